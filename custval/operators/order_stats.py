@@ -8,20 +8,27 @@ with ``monotonically_increasing_id`` (partition index in the upper 31 bits,
 position in the lower 33).  A tiny per-partition count gives the offsets;
 then
 
-* :func:`rows_at_positions` fetches the handful of rows at given global
-  positions (only those rows reach the driver), and
+* :func:`fetch_positions` fetches the handful of rows at given global
+  positions (only those rows reach the driver), batching any number of
+  requests into one counting job and one fetching job, and
 * :func:`global_rank` adds an exact 1-based rank column by joining the
   per-partition offsets (one row per partition) back.
 
-The ranged table is persisted between the counting and the fetching job, so
-both see the same partitioning; a lost block is recomputed from the same
-shuffle dependency (same range bounds), so positions stay stable.
+The partition count grows with the row count (``ROWS_PER_PARTITION`` rows
+each).  With more than one partition the ranged table is persisted between the
+counting and the fetching job so both see the same partitioning; a lost block
+is recomputed from the same shuffle dependency (same range bounds), so
+positions stay stable.  With one partition the position is global already and
+a single job suffices.
 """
 
 from __future__ import annotations
 
 import bisect
+import decimal
 import math
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -38,6 +45,20 @@ def partitions_for(n: int, rows_per_partition: int | None = None) -> int:
     return max(1, min(MAX_PARTITIONS, math.ceil(n / per)))
 
 
+@dataclass
+class PositionRequest:
+    """Rows at 0-based ``positions`` of ``df`` sorted ascending by ``order_cols``.
+
+    ``order_cols`` must be a total order (end it with a unique key); ``n`` is
+    the row count of ``df``.
+    """
+
+    df: DataFrame
+    order_cols: list[str]
+    positions: list[int]
+    n: int
+
+
 def _ranged(df: DataFrame, order_cols: list[str], parts: int) -> DataFrame:
     ordered = [F.col(c).asc_nulls_first() for c in order_cols]
     return (
@@ -47,19 +68,99 @@ def _ranged(df: DataFrame, order_cols: list[str], parts: int) -> DataFrame:
     )
 
 
-def _partition_starts(ranked: DataFrame) -> tuple[list[int], list[int], int]:
-    sizes = (
-        ranked.groupBy(F.shiftright(_POS, _PID_SHIFT).alias("pid"))
-        .agg(F.count("*").alias("n"))
-        .collect()
-    )
-    pids = sorted(r["pid"] for r in sizes)
-    by_pid = {r["pid"]: r["n"] for r in sizes}
-    starts, total = [], 0
-    for pid in pids:
-        starts.append(total)
-        total += by_pid[pid]
-    return pids, starts, total
+def _pid() -> "F.Column":
+    return F.shiftright(F.col(_POS), _PID_SHIFT)
+
+
+_DECODERS = {
+    "bigint": int,
+    "int": int,
+    "smallint": int,
+    "tinyint": int,
+    "double": float,
+    "float": float,
+    "string": str,
+}
+
+
+def _decoder(dtype: str):
+    if dtype.startswith("decimal"):
+        return decimal.Decimal
+    if dtype not in _DECODERS:
+        raise TypeError(f"order statistics of {dtype} columns are not supported")
+    return _DECODERS[dtype]
+
+
+def fetch_positions(
+    requests: list[PositionRequest], rows_per_partition: int | None = None
+) -> list[dict[int, tuple]]:
+    """For each request, ``{position: tuple(order_cols values)}``."""
+    prepared, persisted = [], []
+    try:
+        for req in requests:
+            positions = sorted({int(p) for p in req.positions})
+            if positions and (positions[0] < 0 or positions[-1] >= req.n):
+                raise IndexError(f"positions {positions} outside 0..{req.n - 1}")
+            parts = partitions_for(req.n, rows_per_partition)
+            ranked = _ranged(req.df.select(*req.order_cols), req.order_cols, parts)
+            if parts > 1:
+                ranked = ranked.persist(StorageLevel.MEMORY_AND_DISK)
+                persisted.append(ranked)
+            prepared.append((req, positions, parts, ranked))
+
+        # One job: per-partition sizes of every multi-partition request.
+        sizes: dict[int, dict[int, int]] = {}
+        multi = [
+            ranked.groupBy(_pid().alias("pid")).agg(F.count("*").alias("n")).withColumn("req", F.lit(i))
+            for i, (_, _, parts, ranked) in enumerate(prepared)
+            if parts > 1
+        ]
+        if multi:
+            for row in reduce(DataFrame.unionByName, multi).collect():
+                sizes.setdefault(row["req"], {})[row["pid"]] = row["n"]
+
+        # One job: the wanted rows of every request, values carried as text.
+        frames, wanted_by_req = [], []
+        for i, (req, positions, parts, ranked) in enumerate(prepared):
+            if parts == 1:
+                wanted = {p: p for p in positions}
+            else:
+                pids = sorted(sizes[i])
+                starts, total = [], 0
+                for pid in pids:
+                    starts.append(total)
+                    total += sizes[i][pid]
+                if total != req.n:
+                    raise ValueError(f"expected {req.n} rows, found {total}")
+                wanted = {}
+                for p in positions:
+                    j = bisect.bisect_right(starts, p) - 1
+                    wanted[(pids[j] << _PID_SHIFT) + (p - starts[j])] = p
+            wanted_by_req.append(wanted)
+            if wanted:
+                frames.append(
+                    ranked.filter(F.col(_POS).isin(list(wanted))).select(
+                        F.lit(i).alias("req"),
+                        F.col(_POS).alias("pos"),
+                        F.array(*[F.col(c).cast("string") for c in req.order_cols]).alias("vals"),
+                    )
+                )
+        rows = reduce(DataFrame.unionByName, frames).collect() if frames else []
+    finally:
+        for ranked in persisted:
+            ranked.unpersist()
+
+    results: list[dict[int, tuple]] = [{} for _ in requests]
+    decoders = [
+        [_decoder(t) for _, t in req.df.select(*req.order_cols).dtypes] for req in requests
+    ]
+    for row in rows:
+        i = row["req"]
+        values = tuple(
+            None if v is None else dec(v) for dec, v in zip(decoders[i], row["vals"])
+        )
+        results[i][wanted_by_req[i][row["pos"]]] = values
+    return results
 
 
 def rows_at_positions(
@@ -69,32 +170,10 @@ def rows_at_positions(
     n: int | None = None,
     rows_per_partition: int | None = None,
 ) -> dict[int, tuple]:
-    """Values of ``order_cols`` at 0-based ``positions`` of the ascending order.
-
-    ``order_cols`` must be a total order (make the last column a unique key).
-    Returns ``{position: tuple(values)}``.
-    """
-    wanted_positions = sorted({int(p) for p in positions})
-    if not wanted_positions:
-        return {}
+    """Single-request form of :func:`fetch_positions`."""
     if n is None:
         n = df.count()
-    if wanted_positions[0] < 0 or wanted_positions[-1] >= n:
-        raise IndexError(f"positions {wanted_positions} outside 0..{n - 1}")
-    ranked = _ranged(df.select(*order_cols), order_cols, partitions_for(n, rows_per_partition))
-    ranked = ranked.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        pids, starts, total = _partition_starts(ranked)
-        if total != n:
-            raise ValueError(f"expected {n} rows, found {total}")
-        wanted = {}
-        for p in wanted_positions:
-            i = bisect.bisect_right(starts, p) - 1
-            wanted[(pids[i] << _PID_SHIFT) + (p - starts[i])] = p
-        rows = ranked.filter(F.col(_POS).isin(list(wanted))).collect()
-    finally:
-        ranked.unpersist()
-    return {wanted[r[_POS]]: tuple(r[c] for c in order_cols) for r in rows}
+    return fetch_positions([PositionRequest(df, order_cols, positions, n)], rows_per_partition)[0]
 
 
 def global_rank(
@@ -107,21 +186,23 @@ def global_rank(
 
     The same result as ``row_number().over(Window.orderBy(*order_cols))`` but
     executed as one range shuffle plus a join with a one-row-per-partition
-    offset table.  ``order_cols`` must be a total order.
+    offset table.  ``order_cols`` must be a total order.  The ranked table
+    stays persisted for the lifetime of the returned DataFrame.
     """
     spark = df.sparkSession
     n = df.count()
     ranked = _ranged(df, order_cols, partitions_for(n, rows_per_partition))
     ranked = ranked.persist(StorageLevel.MEMORY_AND_DISK)
-    pids, starts, _ = _partition_starts(ranked)
+    sizes = ranked.groupBy(_pid().alias("pid")).agg(F.count("*").alias("n")).collect()
+    starts, total = [], 0
+    for row in sorted(sizes, key=lambda r: r["pid"]):
+        starts.append((row["pid"], total))
+        total += row["n"]
     # One row per partition: its size is bounded by the partition count.
-    offsets = spark.createDataFrame(
-        list(zip(pids, starts)), "pid long, start long"
-    )
-    pid = F.shiftright(F.col(_POS), _PID_SHIFT)
-    local = F.col(_POS) - F.shiftleft(pid, _PID_SHIFT)
+    offsets = spark.createDataFrame(starts, "pid long, start long")
+    local = F.col(_POS) - F.shiftleft(_pid(), _PID_SHIFT)
     return (
-        ranked.withColumn("pid", pid)
+        ranked.withColumn("pid", _pid())
         .join(F.broadcast(offsets), "pid")
         .withColumn(rank_col, F.col("start") + local + 1)
         .drop("pid", "start", _POS)

@@ -8,27 +8,47 @@ Repeated edges raise unless ``duplicates="drop"``.
 
 Only the order statistics next to each edge are needed.  They are found with
 :mod:`custval.operators.order_stats` (range partitioning on value + unique
-key, no single-partition step); the q+1 edges are interpolated on the driver
-with the same floating-point steps pandas uses, and the bin is a literal
-``CASE`` over the column - a narrow projection, no join, no shuffle.
+key, no single-partition step), for all columns of a table in one counting
+job and one fetching job.  The q+1 edges are interpolated on the driver with
+the same floating-point steps pandas uses, and each bin is a literal ``CASE``
+over its column - a narrow projection, no join, no shuffle.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from custval.operators.order_stats import rows_at_positions
+from custval.operators.order_stats import PositionRequest, fetch_positions
+
+_TIE = "__tie"
 
 
 class DuplicateEdgesError(ValueError):
     """Raised when quantile edges repeat and ``duplicates="raise"``."""
 
 
+@dataclass
+class Cut:
+    """One qcut: ``out`` = bin label of ``col`` among ``q`` quantile bins.
+
+    ``by_rank=True`` cuts the unique ascending rank of ``col`` instead (the
+    ``rank(method="first")`` idiom); ties are broken by the table key.
+    """
+
+    col: str
+    q: int
+    labels: Sequence | None = None
+    out: str | None = None
+    by_rank: bool = False
+    duplicates: str = "raise"
+
+
 def _quantile_points(n: int, probs: Sequence[float]) -> list[tuple[int, int, float]]:
     """(lower index, upper index, weight) per probability, as numpy's linear method.
 
@@ -38,13 +58,11 @@ def _quantile_points(n: int, probs: Sequence[float]) -> list[tuple[int, int, flo
     p = np.true_divide(np.asarray(probs, dtype=np.float64) * 100.0, 100)
     virtual = (n - 1) * p
     lower = np.floor(virtual)
-    upper = lower + 1
     above = virtual >= n - 1
     lower_pos = np.where(above, n - 1, lower).astype(np.int64)
-    upper_pos = np.where(above, n - 1, upper).astype(np.int64)
+    upper_pos = np.where(above, n - 1, lower + 1).astype(np.int64)
     # numpy stores -1 for indexes at the end, so the weight there is virtual + 1
-    lower_for_gamma = np.where(above, -1.0, lower)
-    gamma = virtual - lower_for_gamma
+    gamma = virtual - np.where(above, -1.0, lower)
     return [(int(a), int(b), float(g)) for a, b, g in zip(lower_pos, upper_pos, gamma)]
 
 
@@ -57,37 +75,6 @@ def _lerp(a: float, b: float, t: float) -> float:
     return float(a64 + diff * t64)
 
 
-def quantiles_exact(
-    df: DataFrame,
-    col: str,
-    probs: Sequence[float],
-    key: str | None = None,
-    rows_per_partition: int | None = None,
-) -> list[float]:
-    """Linearly interpolated quantiles of a numeric column (nulls/NaN ignored).
-
-    Same values as ``Series.quantile(probs)``; ``key`` is a unique column used to
-    break ties so that range partitions stay balanced under heavy ties.
-    """
-    values, n = _non_null(df, col, key)
-    if n == 0:
-        return [math.nan for _ in probs]
-    points = _quantile_points(n, probs)
-    needed = {i for a, b, _ in points for i in (a, b)}
-    stats = rows_at_positions(values, [col, "__tie"], sorted(needed), n, rows_per_partition)
-    return [_lerp(float(stats[a][0]), float(stats[b][0]), g) for a, b, g in points]
-
-
-def _non_null(df: DataFrame, col: str, key: str | None) -> tuple[DataFrame, int]:
-    x = F.col(col)
-    keep = x.isNotNull()
-    if dict(df.dtypes)[col] in ("double", "float"):
-        keep = keep & ~F.isnan(x)
-    tie = F.col(key) if key else F.monotonically_increasing_id()
-    values = df.filter(keep).select(x.alias(col), tie.alias("__tie"))
-    return values, values.count()
-
-
 def _checked_edges(edges: list[float], duplicates: str) -> list[float]:
     unique = list(dict.fromkeys(edges))
     if len(unique) < len(edges) and len(edges) != 2:
@@ -107,8 +94,15 @@ def _labels(labels: Sequence | None, bins: int) -> list:
     return list(labels)
 
 
+def _valid(df: DataFrame, col: str) -> Column:
+    x = F.col(col)
+    if dict(df.dtypes)[col] in ("double", "float"):
+        return x.isNotNull() & ~F.isnan(x)
+    return x.isNotNull()
+
+
 def bin_column(x: Column, cuts: list, labels: list, greater) -> Column:
-    """CASE WHEN not greater(cut_1) THEN l1 ... ELSE l_last."""
+    """CASE WHEN not greater(x, cut_1) THEN l1 ... ELSE l_last."""
     expr = None
     for cut, label in zip(cuts, labels[:-1]):
         cond = ~greater(x, cut)
@@ -117,19 +111,108 @@ def bin_column(x: Column, cuts: list, labels: list, greater) -> Column:
     return last if expr is None else expr.otherwise(last)
 
 
-def qcut_edges(
+def _tie_frame(df: DataFrame, key: str | None) -> tuple[DataFrame, str]:
+    if key is not None:
+        return df, key
+    return df.withColumn(_TIE, F.monotonically_increasing_id()), _TIE
+
+
+def quantiles_many(
+    df: DataFrame,
+    requests: Sequence[tuple[str, Sequence[float]]],
+    key: str | None = None,
+    rows_per_partition: int | None = None,
+) -> list[list[float]]:
+    """Linearly interpolated quantiles (``Series.quantile``) of several columns.
+
+    ``requests`` holds (column, probabilities) pairs; nulls and NaN are ignored.
+    ``key`` (a unique column) breaks ties so range partitions stay balanced.
+    """
+    base, tie = _tie_frame(df, key)
+    counts = base.agg(
+        *[F.count_if(_valid(df, c)).alias(f"n{i}") for i, (c, _) in enumerate(requests)]
+    ).first()
+    plans, position_requests = [], []
+    for i, (c, probs) in enumerate(requests):
+        n = counts[f"n{i}"]
+        points = _quantile_points(n, probs) if n else []
+        plans.append(points)
+        needed = sorted({j for a, b, _ in points for j in (a, b)})
+        values = base.filter(_valid(df, c)).select(c, tie)
+        position_requests.append(PositionRequest(values, [c, tie], needed, n))
+    stats = fetch_positions(position_requests, rows_per_partition)
+    out = []
+    for (c, probs), points, st in zip(requests, plans, stats):
+        if not points:
+            out.append([math.nan] * len(probs))
+        else:
+            out.append([_lerp(float(st[a][0]), float(st[b][0]), g) for a, b, g in points])
+    return out
+
+
+def quantiles_exact(
     df: DataFrame,
     col: str,
-    q: int,
+    probs: Sequence[float],
     key: str | None = None,
-    duplicates: str = "raise",
     rows_per_partition: int | None = None,
 ) -> list[float]:
-    probs = np.linspace(0, 1, q + 1)
-    edges = quantiles_exact(df, col, probs, key, rows_per_partition)
-    if any(math.isnan(e) for e in edges):
-        raise ValueError(f"qcut of {col}: no non-null values")
-    return _checked_edges(edges, duplicates)
+    return quantiles_many(df, [(col, probs)], key, rows_per_partition)[0]
+
+
+def qcut_many(
+    df: DataFrame,
+    cuts: Sequence[Cut],
+    key: str | None = None,
+    rows_per_partition: int | None = None,
+) -> DataFrame:
+    """Add one bin column per :class:`Cut`; all edges found in two jobs."""
+    if any(c.by_rank for c in cuts) and key is None:
+        raise ValueError("rank cuts need a unique key column")
+    base, tie = _tie_frame(df, key)
+    counts = base.agg(
+        *[F.count_if(_valid(df, c.col)).alias(f"n{i}") for i, c in enumerate(cuts)]
+    ).first()
+    probs = {c.q: np.linspace(0, 1, c.q + 1) for c in cuts}
+    plans, position_requests = [], []
+    for i, c in enumerate(cuts):
+        n = counts[f"n{i}"]
+        if n == 0:
+            raise ValueError(f"qcut of {c.col}: no non-null values")
+        points = _quantile_points(n, probs[c.q])
+        if c.by_rank:
+            # ranks are the floats 1..n, so order statistic j is j + 1
+            edges = _checked_edges([_lerp(a + 1.0, b + 1.0, g) for a, b, g in points], "raise")
+            # rank r <= e  <=>  r <= floor(e)  <=>  row <= the row at floor(e) - 1
+            needed = [int(math.floor(e)) - 1 for e in edges[1:-1]]
+            plans.append((points, edges, needed))
+        else:
+            needed = sorted({j for a, b, _ in points for j in (a, b)})
+            plans.append((points, None, needed))
+        values = base.filter(_valid(df, c.col)).select(c.col, tie)
+        position_requests.append(PositionRequest(values, [c.col, tie], needed, n))
+    stats = fetch_positions(position_requests, rows_per_partition)
+
+    new_cols = {}
+    for c, (points, rank_edges, needed), st in zip(cuts, plans, stats):
+        x = F.col(c.col)
+        if c.by_rank:
+            labels = _labels(c.labels, len(rank_edges) - 1)
+            k = F.col(tie)
+
+            def greater(_, cut, x=x, k=k):
+                cv, ck = cut
+                return (x > F.lit(cv)) | ((x == F.lit(cv)) & (k > F.lit(ck)))
+
+            binned = bin_column(x, [st[p] for p in needed], labels, greater)
+        else:
+            edges = [_lerp(float(st[a][0]), float(st[b][0]), g) for a, b, g in points]
+            edges = _checked_edges(edges, c.duplicates)
+            labels = _labels(c.labels, len(edges) - 1)
+            binned = bin_column(x, edges[1:-1], labels, lambda v, e: v > F.lit(e))
+        new_cols[c.out or f"{c.col}_bin"] = F.when(_valid(df, c.col), binned)
+    result = base.withColumns(new_cols)
+    return result if key is not None else result.drop(_TIE)
 
 
 def qcut(
@@ -143,14 +226,7 @@ def qcut(
     rows_per_partition: int | None = None,
 ) -> DataFrame:
     """Add ``out`` = the qcut bin label of ``col`` (labels default to 1..q)."""
-    edges = qcut_edges(df, col, q, key, duplicates, rows_per_partition)
-    labels = _labels(labels, len(edges) - 1)
-    x = F.col(col)
-    valid = x.isNotNull()
-    if dict(df.dtypes)[col] in ("double", "float"):
-        valid = valid & ~F.isnan(x)
-    binned = bin_column(x, edges[1:-1], labels, lambda v, e: v > F.lit(e))
-    return df.withColumn(out or f"{col}_bin", F.when(valid, binned))
+    return qcut_many(df, [Cut(col, q, labels, out, False, duplicates)], key, rows_per_partition)
 
 
 def qcut_rank_first(
@@ -162,29 +238,9 @@ def qcut_rank_first(
     out: str | None = None,
     rows_per_partition: int | None = None,
 ) -> DataFrame:
-    """qcut of the unique ascending rank of ``col`` (ties broken by ``key``).
+    """qcut of the unique ascending rank of ``col``, ties broken by ``key``.
 
-    Equivalent to ``qcut(x.rank(method="first"), q)`` with rows ordered by
-    ``key`` before ranking.  The rank itself is never materialised: a row's
-    rank is at most edge e iff (col, key) is at most the row at position
-    floor(e) - 1, so only q-1 rows are fetched.
+    Equivalent to ``qcut(x.rank(method="first"), q)`` on rows ordered by
+    ``key``; the rank itself is never materialised - only q-1 rows are fetched.
     """
-    values = df.filter(F.col(col).isNotNull()).select(col, key)
-    n = values.count()
-    if n == 0:
-        raise ValueError(f"qcut of rank({col}): no non-null values")
-    points = _quantile_points(n, np.linspace(0, 1, q + 1))
-    # ranks are the floats 1..n, so order statistic i is i + 1
-    edges = _checked_edges([_lerp(a + 1.0, b + 1.0, g) for a, b, g in points], "raise")
-    labels = _labels(labels, q)
-    cut_pos = [int(math.floor(e)) - 1 for e in edges[1:-1]]
-    stats = rows_at_positions(values, [col, key], cut_pos, n, rows_per_partition)
-    cuts = [stats[p] for p in cut_pos]
-    x, k = F.col(col), F.col(key)
-
-    def greater(_, cut):
-        cv, ck = cut
-        return (x > F.lit(cv)) | ((x == F.lit(cv)) & (k > F.lit(ck)))
-
-    binned = bin_column(x, cuts, labels, greater)
-    return df.withColumn(out or f"{col}_bin", F.when(x.isNotNull(), binned))
+    return qcut_many(df, [Cut(col, q, labels, out, True)], key, rows_per_partition)

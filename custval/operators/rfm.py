@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from custval.functions.dates import days_between, ntz_literal
 from custval.functions.segments import score_string, segment_of
-from custval.operators.quantiles import qcut, qcut_rank_first
+from custval.operators.quantiles import Cut, qcut_many
 
 RECENCY_LABELS = (5, 4, 3, 2, 1)
 SCORE_LABELS = (1, 2, 3, 4, 5)
@@ -21,16 +21,15 @@ def with_line_total(
     return lines.withColumn(out, F.col(quantity) * F.col(price))
 
 
-def rfm_metrics(
+def customer_activity(
     lines: DataFrame,
-    analysis_date: dt.datetime,
     customer: str = "Customer ID",
     invoice: str = "Invoice",
     date: str = "InvoiceDate",
     amount: str = "TotalPrice",
     money_decimals: int | None = 2,
 ) -> DataFrame:
-    """Per customer: days since the last invoice, distinct invoices, total amount.
+    """Per customer: last invoice date, distinct invoices, total amount.
 
     One hash aggregation keyed by customer (Spark adds the (customer, invoice)
     stage for the distinct count); partial aggregation before each shuffle
@@ -45,13 +44,37 @@ def rfm_metrics(
         lines.filter(F.col(customer).isNotNull())
         .groupBy(F.col(customer).alias("customer_id"))
         .agg(
-            days_between(ntz_literal(analysis_date), F.max(date)).alias("recency"),
+            F.max(date).alias("last_date"),
             F.count_distinct(invoice).alias("frequency"),
             monetary.alias("monetary"),
         )
     )
 
 
+def with_recency(activity: DataFrame, analysis_date: dt.datetime) -> DataFrame:
+    """recency = whole days from the last invoice to the analysis date."""
+    return activity.select(
+        "customer_id",
+        days_between(ntz_literal(analysis_date), F.col("last_date")).alias("recency"),
+        "frequency",
+        "monetary",
+    )
+
+
+def rfm_metrics(
+    lines: DataFrame,
+    analysis_date: dt.datetime,
+    customer: str = "Customer ID",
+    invoice: str = "Invoice",
+    date: str = "InvoiceDate",
+    amount: str = "TotalPrice",
+    money_decimals: int | None = 2,
+) -> DataFrame:
+    """Per customer: recency (days), frequency (distinct invoices), monetary."""
+    activity = customer_activity(lines, customer, invoice, date, amount, money_decimals)
+    return with_recency(activity, analysis_date)
+
+
 def rfm_scores(
     rfm: DataFrame,
     key: str = "customer_id",
@@ -64,13 +87,12 @@ def rfm_scores(
     recency: qcut with reversed labels (recent = 5); frequency: qcut of the
     unique rank (ties broken by ``key``); monetary: qcut.
     """
-    labels_r = list(range(q, 0, -1))
-    labels = list(range(1, q + 1))
-    scored = qcut(rfm, "recency", q, labels_r, "recency_score", key, rows_per_partition=rows_per_partition)
-    scored = qcut_rank_first(
-        scored, "frequency", q, key, labels, "frequency_score", rows_per_partition
-    )
-    scored = qcut(scored, "monetary", q, labels, "monetary_score", key, rows_per_partition=rows_per_partition)
+    cuts = [
+        Cut("recency", q, list(range(q, 0, -1)), "recency_score"),
+        Cut("frequency", q, list(range(1, q + 1)), "frequency_score", by_rank=True),
+        Cut("monetary", q, list(range(1, q + 1)), "monetary_score"),
+    ]
+    scored = qcut_many(rfm, cuts, key, rows_per_partition)
     return scored.withColumns(
         {
             "RF_SCORE": score_string("recency_score", "frequency_score"),

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 
 from custval.operators.filters import drop_cancelled, drop_nulls
-from custval.operators.rfm import rfm_metrics, rfm_scores, with_line_total
+from custval.operators.rfm import customer_activity, rfm_scores, with_line_total, with_recency
 from custval.session import materialize
 from custval.sources.tables import default_analysis_date
 
@@ -23,13 +23,14 @@ def rfm_retail(
 
     line total -> drop rows with any null -> drop cancelled invoices ->
     per-customer metrics -> keep monetary > 0 -> scores -> segment.
-    The per-customer table is materialised once (the cuts read it several times).
+    The per-customer table is materialised once (the analysis date and the
+    quantile cuts read it again; the raw lines are scanned once).
     """
     prepared = drop_cancelled(drop_nulls(with_line_total(lines)))
+    activity = materialize(customer_activity(prepared), "customer_activity")
     if analysis_date is None:
-        analysis_date = default_analysis_date(prepared, "InvoiceDate")
-    metrics = rfm_metrics(prepared, analysis_date)
-    metrics = materialize(metrics.filter("monetary > 0"), "rfm_metrics")
+        analysis_date = default_analysis_date(activity, "last_date")
+    metrics = with_recency(activity, analysis_date).filter("monetary > 0")
     scored = rfm_scores(metrics, rows_per_partition=rows_per_partition)
     if keep_scores:
         return scored
