@@ -24,3 +24,18 @@ def nan_to_null(c: Column | str) -> Column:
     """Map NaN to null, so sorts and null tests treat both alike."""
     col = col_of(c)
     return F.when(F.isnan(col), F.lit(None).cast("double")).otherwise(col)
+
+
+def sig_round(c: Column | str, digits: int = 10) -> Column:
+    """Round to ``digits`` significant digits.
+
+    For presenting order-dependent aggregates (floating sums, means) stably:
+    x is scaled by an exact power of ten (multiplying when the exponent is
+    non-negative, dividing otherwise), rounded half away from zero, scaled back.
+    """
+    x = col_of(c).cast("double")
+    k = F.lit(digits - 1) - F.floor(F.log10(F.abs(x)))
+    up = F.pow(F.lit(10.0), k)
+    down = F.pow(F.lit(10.0), -k)
+    scaled = F.when(k >= 0, F.round(x * up) / up).otherwise(F.round(x / down) * down)
+    return F.when(x.isNull() | F.isnan(x) | (x == 0) | F.isnan(F.abs(x) - F.abs(x)), x).otherwise(scaled)

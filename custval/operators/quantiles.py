@@ -178,7 +178,9 @@ def qcut_many(
     for i, c in enumerate(cuts):
         n = counts[f"n{i}"]
         if n == 0:
-            raise ValueError(f"qcut of {c.col}: no non-null values")
+            # nothing to cut: every bin is null (e.g. a CLV that is null throughout)
+            plans.append(None)
+            continue
         points = _quantile_points(n, probs[c.q])
         if c.by_rank:
             # ranks are the floats 1..n, so order statistic j is j + 1
@@ -191,10 +193,17 @@ def qcut_many(
             plans.append((points, None, needed))
         values = base.filter(_valid(df, c.col)).select(c.col, tie)
         position_requests.append(PositionRequest(values, [c.col, tie], needed, n))
-    stats = fetch_positions(position_requests, rows_per_partition)
+    stats = iter(fetch_positions(position_requests, rows_per_partition))
 
     new_cols = {}
-    for c, (points, rank_edges, needed), st in zip(cuts, plans, stats):
+    for c, plan in zip(cuts, plans):
+        out = c.out or f"{c.col}_bin"
+        if plan is None:
+            label_type = "string" if c.labels and isinstance(list(c.labels)[0], str) else "int"
+            new_cols[out] = F.lit(None).cast(label_type)
+            continue
+        points, rank_edges, needed = plan
+        st = next(stats)
         x = F.col(c.col)
         if c.by_rank:
             labels = _labels(c.labels, len(rank_edges) - 1)
@@ -210,7 +219,7 @@ def qcut_many(
             edges = _checked_edges(edges, c.duplicates)
             labels = _labels(c.labels, len(edges) - 1)
             binned = bin_column(x, edges[1:-1], labels, lambda v, e: v > F.lit(e))
-        new_cols[c.out or f"{c.col}_bin"] = F.when(_valid(df, c.col), binned)
+        new_cols[out] = F.when(_valid(df, c.col), binned)
     result = base.withColumns(new_cols)
     return result if key is not None else result.drop(_TIE)
 

@@ -13,19 +13,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custval.operators.rfm import segment_ids, segment_report
-from custval.plans.retail import rfm_retail
+from custval.functions.numeric import sig_round
+from custval.operators.clv import clv_base as clv_base_op
+from custval.operators.clv import clv_rates as clv_rates_op
+from custval.operators.profile import describe, distinct_counts, null_counts, value_counts
+from custval.operators.reports import group_report, invoice_totals as invoice_totals_op, top_k
+from custval.operators.rfm import segment_ids, segment_report, with_line_total
+from custval.plans.retail import clv_formula_retail, clv_prepared_lines, rfm_retail
 from custval.sources.tables import invoice_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
-DIGITS = 6
+SIG_DIGITS = 10
 
 
-def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round every double column (output presentation only)."""
+def rounded(df: DataFrame, digits: int = SIG_DIGITS) -> DataFrame:
+    """Round every double column to significant digits.
+
+    Used for aggregates whose floating value depends on the summation order
+    (sums, means, deviations); row-level formulas are returned unrounded.
+    """
     return df.select(
         *[
-            F.round(F.col(c), digits).alias(c) if t in ("double", "float") else F.col(c)
+            sig_round(F.col(c), digits).alias(c) if t in ("double", "float") else F.col(c)
             for c, t in df.dtypes
         ]
     )
@@ -63,10 +72,94 @@ def new_customer_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_ids(rfm_retail(invoice_lines(spark, sf_dir)), "new_customers")
 
 
+# --- profiling and invoice reports -----------------------------------------
+
+
+def invoice_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(invoice_totals_op(with_line_total(invoice_lines(spark, sf_dir))))
+
+
+def null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return null_counts(invoice_lines(spark, sf_dir))
+
+
+def numeric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rfm = rfm_retail(invoice_lines(spark, sf_dir))
+    return rounded(describe(rfm, ["recency", "frequency", "monetary"], key="customer_id"))
+
+
+def distinct_count_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct_counts(
+        invoice_lines(spark, sf_dir), ["Invoice", "StockCode", "Description", "Customer ID"]
+    )
+
+
+def segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return value_counts(rfm_retail(invoice_lines(spark, sf_dir)), "segment")
+
+
+# --- formula CLV --------------------------------------------------------------
+
+CLV_MEASURES = [
+    "total_transaction",
+    "total_unit",
+    "total_price",
+    "average_order_value",
+    "purchase_frequency",
+    "profit_margin",
+    "customer_value",
+    "clv",
+]
+
+
+def clv_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clv_base_op(clv_prepared_lines(invoice_lines(spark, sf_dir)))
+
+
+def clv_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(clv_rates_op(clv_base_op(clv_prepared_lines(invoice_lines(spark, sf_dir)))))
+
+
+def clv_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clv_formula_retail(invoice_lines(spark, sf_dir))
+
+
+def clv_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clv = clv_formula_retail(invoice_lines(spark, sf_dir))
+    return clv.select("customer_id", "clv", "segment")
+
+
+def clv_segment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clv = clv_formula_retail(invoice_lines(spark, sf_dir))
+    return rounded(group_report(clv, "segment", CLV_MEASURES))
+
+
+def clv_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clv = clv_formula_retail(invoice_lines(spark, sf_dir))
+    return top_k(clv, "clv", 10, "customer_id")
+
+
+def clv_bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clv = clv_formula_retail(invoice_lines(spark, sf_dir))
+    return top_k(clv, "clv", 5, "customer_id", ascending=True)
+
+
 QUERIES: dict[str, Query] = {
     "rfm_metrics": rfm_metrics,
     "rfm_scores": rfm_scores,
     "rfm_segments": rfm_segments,
     "rfm_segment_report": rfm_segment_report,
     "new_customer_ids": new_customer_ids,
+    "invoice_totals": invoice_totals,
+    "null_profile": null_profile,
+    "numeric_summary": numeric_summary,
+    "distinct_counts": distinct_count_profile,
+    "segment_counts": segment_counts,
+    "clv_base": clv_base,
+    "clv_rates": clv_rates,
+    "clv_formula": clv_formula,
+    "clv_segments": clv_segments,
+    "clv_segment_report": clv_segment_report,
+    "clv_top": clv_top,
+    "clv_bottom": clv_bottom,
 }

@@ -6,7 +6,9 @@ import datetime as dt
 
 from pyspark.sql import DataFrame
 
-from custval.operators.filters import drop_cancelled, drop_nulls
+from custval.operators.clv import clv_base, clv_formula
+from custval.operators.filters import drop_cancelled, drop_nulls, positive
+from custval.operators.quantiles import qcut
 from custval.operators.rfm import customer_activity, rfm_scores, with_line_total, with_recency
 from custval.session import materialize
 from custval.sources.tables import default_analysis_date
@@ -35,3 +37,26 @@ def rfm_retail(
     if keep_scores:
         return scored
     return scored.select("customer_id", "recency", "frequency", "monetary", "segment")
+
+
+CLV_LABELS = ("D", "C", "B", "A")
+
+
+def clv_prepared_lines(lines: DataFrame) -> DataFrame:
+    """Lines kept by the CLV pipelines: not cancelled, quantity > 0, no nulls."""
+    return with_line_total(drop_nulls(positive(drop_cancelled(lines), "Quantity")))
+
+
+def clv_formula_retail(
+    lines: DataFrame,
+    profit: float = 0.10,
+    q: int = 4,
+    labels=CLV_LABELS,
+    rows_per_partition: int | None = None,
+) -> DataFrame:
+    """Formula CLV per customer plus quartile segments (D lowest ... A highest)."""
+    base = materialize(clv_base(clv_prepared_lines(lines)), "clv_base")
+    return qcut(
+        clv_formula(base, profit), "clv", q, list(labels), "segment", "customer_id",
+        rows_per_partition=rows_per_partition,
+    )

@@ -9,7 +9,17 @@ microsecond differences.
 
 from __future__ import annotations
 
-DIGITS = 6
+SIG_DIGITS = 10
+
+
+def sig(x: str, digits: int = SIG_DIGITS) -> str:
+    """Round to significant digits exactly as custval.functions.numeric.sig_round."""
+    k = f"({digits - 1} - floor(log10(abs({x}))))"
+    return (
+        f"(CASE WHEN {x} IS NULL OR isnan({x}) OR {x} = 0 OR isinf({x}) THEN {x} "
+        f"WHEN {k} >= 0 THEN round({x} * pow(10.0, {k})) / pow(10.0, {k}) "
+        f"ELSE round({x} / pow(10.0, -{k})) * pow(10.0, -{k}) END)"
+    )
 
 # Invoice lines over the TPC-H style tables (the same view as
 # custval.sources.tables.invoice_lines).
@@ -115,13 +125,129 @@ scored AS (
 RFM_SCORED = RFM_METRICS + rfm_scored()
 
 
+def exact_sum(x: str, integral: bool = False) -> str:
+    """Order-independent sum, as custval.operators.reports.exact_sum."""
+    if integral:
+        return f"sum({x})"
+    return f"CAST(sum(CAST({x} AS DECIMAL(38,6))) AS DOUBLE)"
+
+
+def exact_mean(x: str, integral: bool = False) -> str:
+    return f"(CAST({exact_sum(x, integral)} AS DOUBLE) / count({x}))"
+
+
+INTEGRAL_MEASURES = {"recency", "frequency", "total_transaction"}
+
+
 def _report(source: str, group: str, measures: list[str]) -> str:
     cols = ", ".join(
-        f"round(avg({m}), {DIGITS}) AS {m}_mean, count({m}) AS {m}_count" for m in measures
+        f"{sig(exact_mean(m, m in INTEGRAL_MEASURES))} AS {m}_mean, count({m}) AS {m}_count"
+        for m in measures
     )
     return f"SELECT {group}, {cols} FROM {source} GROUP BY {group}"
 
 
+LINE_COLUMNS = ["Invoice", "StockCode", "Description", "Quantity", "InvoiceDate", "Price",
+                "Customer ID", "Country"]
+DOUBLE_LINE_COLUMNS = {"Quantity", "Price"}
+
+NULL_PROFILE = "WITH " + INVOICE_LINES + " " + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST(count_if(\"{c}\" IS NULL"
+    + (f" OR isnan(\"{c}\")" if c in DOUBLE_LINE_COLUMNS else "")
+    + ") AS BIGINT) AS null_count FROM invoice_lines"
+    for c in LINE_COLUMNS
+)
+
+DISTINCT_COUNTS = "WITH " + INVOICE_LINES + " " + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(DISTINCT \"{c}\") AS distinct_count FROM invoice_lines"
+    for c in ["Invoice", "StockCode", "Description", "Customer ID"]
+)
+
+
+def _describe(source: str, cols: list[str]) -> str:
+    parts = []
+    for c in cols:
+        x = f"CAST({c} AS DOUBLE)"
+        parts.append(
+            f"SELECT '{c}' AS column_name, count({x}) AS count, {sig(f'avg({x})')} AS mean, "
+            f"{sig(f'stddev_samp({x})')} AS std, {sig(f'min({x})')} AS min, "
+            f"{sig(f'quantile_cont({x}, 0.25)')} AS p25, "
+            f"{sig(f'quantile_cont({x}, 0.5)')} AS p50, "
+            f"{sig(f'quantile_cont({x}, 0.75)')} AS p75, "
+            f"{sig(f'max({x})')} AS max FROM {source}"
+        )
+    return " UNION ALL ".join(parts)
+
+
+INVOICE_TOTALS = (
+    "WITH " + INVOICE_LINES + f""" SELECT "Invoice", {sig('sum("Quantity" * "Price")')} AS total_price
+    FROM invoice_lines WHERE "Invoice" IS NOT NULL GROUP BY "Invoice" """
+)
+
+CLV_BASE = (
+    "WITH "
+    + INVOICE_LINES
+    + """,
+clean AS (
+  SELECT *, "Quantity" * "Price" AS "TotalPrice" FROM invoice_lines
+  WHERE NOT coalesce(contains("Invoice", 'C'), false) AND "Quantity" > 0 AND """
+    + NOT_NULL_LINES
+    + """
+),
+base AS (
+  SELECT "Customer ID" AS customer_id, count(DISTINCT "Invoice") AS total_transaction,
+         CAST(sum("Quantity") AS DOUBLE) AS total_unit, round(sum("TotalPrice"), 2) AS total_price
+  FROM clean GROUP BY 1
+),
+rates AS (
+  SELECT count(*) AS n_customers, count_if(total_transaction > 1) / count(*) AS repeat_rate,
+         1.0 - count_if(total_transaction > 1) / count(*) AS churn_rate
+  FROM base
+),
+clv0 AS (
+  SELECT customer_id, total_transaction, total_unit, total_price,
+         total_price / total_transaction AS average_order_value,
+         total_transaction / CAST(n_customers AS DOUBLE) AS purchase_frequency,
+         total_price * CAST(0.1 AS DOUBLE) AS profit_margin, churn_rate
+  FROM base, rates
+),
+clv1 AS (
+  SELECT *, average_order_value * purchase_frequency AS customer_value FROM clv0
+),
+clv2 AS (
+  SELECT customer_id, total_transaction, total_unit, total_price, average_order_value,
+         purchase_frequency, profit_margin, customer_value,
+         customer_value / churn_rate * profit_margin AS clv
+  FROM clv1
+),
+clv_edges AS (SELECT quantile_cont(clv, [0.25, 0.5, 0.75]) AS e FROM clv2),
+clv AS (
+  SELECT clv2.*, """
+    + _qcut_case("clv", "e", ["D", "C", "B", "A"])
+    + """ AS segment FROM clv2, clv_edges
+)"""
+)
+
+CLV_COLUMNS = ("customer_id, total_transaction, total_unit, total_price, average_order_value, "
+               "purchase_frequency, profit_margin, customer_value, clv, segment")
+
+
+def _round_cols(cols: str) -> str:
+    return cols
+
+
+def _group_report_sql(source: str, group: str, measures: list[str]) -> str:
+    cols = []
+    for m in measures:
+        integral = m in INTEGRAL_MEASURES
+        total = f"CAST(sum({m}) AS BIGINT)" if integral else sig(exact_sum(m))
+        cols += [f"count({m}) AS {m}_count", f"{sig(exact_mean(m, integral))} AS {m}_mean", f"{total} AS {m}_sum"]
+    return f"SELECT {group}, {', '.join(cols)} FROM {source} GROUP BY {group}"
+
+
+CLV_MEASURES = ["total_transaction", "total_unit", "total_price", "average_order_value",
+                "purchase_frequency", "profit_margin", "customer_value", "clv"]
+
 ORACLE: dict[str, str] = {
     "rfm_metrics": RFM_METRICS + " SELECT customer_id, recency, frequency, monetary FROM metrics",
     "rfm_scores": RFM_SCORED
@@ -133,4 +259,19 @@ ORACLE: dict[str, str] = {
     + _report("scored", "segment", ["recency", "frequency", "monetary"]),
     "new_customer_ids": RFM_SCORED
     + " SELECT CAST(customer_id AS BIGINT) AS new_customer_id FROM scored WHERE segment = 'new_customers'",
+    "invoice_totals": INVOICE_TOTALS,
+    "null_profile": NULL_PROFILE,
+    "numeric_summary": RFM_SCORED + " " + _describe("scored", ["recency", "frequency", "monetary"]),
+    "distinct_counts": DISTINCT_COUNTS,
+    "segment_counts": RFM_SCORED + " SELECT segment, count(*) AS count FROM scored GROUP BY segment",
+    "clv_base": CLV_BASE + " SELECT customer_id, total_transaction, total_unit, total_price FROM base",
+    "clv_rates": CLV_BASE
+    + f" SELECT n_customers, {sig('repeat_rate')} AS repeat_rate, {sig('churn_rate')} AS churn_rate FROM rates",
+    "clv_formula": CLV_BASE + f" SELECT {_round_cols(CLV_COLUMNS)} FROM clv",
+    "clv_segments": CLV_BASE + " SELECT customer_id, clv, segment FROM clv",
+    "clv_segment_report": CLV_BASE + " " + _group_report_sql("clv", "segment", CLV_MEASURES),
+    "clv_top": CLV_BASE
+    + f" SELECT {_round_cols(CLV_COLUMNS)} FROM clv ORDER BY clv DESC, customer_id LIMIT 10",
+    "clv_bottom": CLV_BASE
+    + f" SELECT {_round_cols(CLV_COLUMNS)} FROM clv ORDER BY clv ASC, customer_id LIMIT 5",
 }

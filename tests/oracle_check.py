@@ -37,7 +37,7 @@ def normal(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 4)
+        return v
     if hasattr(v, "item"):
         return normal(v.item())
     if isinstance(v, pd.Timestamp):
