@@ -14,6 +14,13 @@ then
 * :func:`global_rank` adds an exact 1-based rank column by joining the
   per-partition offsets (one row per partition) back.
 
+For large inputs whose leading order column has few distinct values (checked
+with ``approx_count_distinct``, then with a bounded collect), a value histogram
+replaces the range shuffle: ``groupBy(value).count()`` aggregates partially on
+every task, the driver walks the cumulative counts, and - when the remaining
+order columns matter (rank cuts) - only the tie group of the boundary value is
+range-partitioned on its (unique) key.
+
 The partition count grows with the row count (``ROWS_PER_PARTITION`` rows
 each).  With more than one partition the ranged table is persisted between the
 counting and the fetching job so both see the same partitioning; a lost block
@@ -36,6 +43,8 @@ from pyspark.sql import functions as F
 
 ROWS_PER_PARTITION = 1_000_000
 MAX_PARTITIONS = 50_000
+# Most distinct values a histogram may have; more falls back to range partitioning.
+HISTOGRAM_LIMIT = 200_000
 _POS = "__pos"
 _PID_SHIFT = 33
 
@@ -57,6 +66,7 @@ class PositionRequest:
     order_cols: list[str]
     positions: list[int]
     n: int
+    value_only: bool = False  # only order_cols[0] is needed in the result
 
 
 def _ranged(df: DataFrame, order_cols: list[str], parts: int) -> DataFrame:
@@ -92,9 +102,104 @@ def _decoder(dtype: str):
 
 
 def fetch_positions(
+    requests: list[PositionRequest],
+    rows_per_partition: int | None = None,
+    histogram_limit: int | None = None,
+) -> list[dict[int, tuple]]:
+    """For each request, ``{position: tuple(order_cols values)}``.
+
+    Requests that fit one partition are sorted in one task; larger ones use the
+    value histogram when the leading column has few distinct values, else the
+    range-partitioned path.  With ``value_only`` the tie columns of the result
+    are None.
+    """
+    limit = HISTOGRAM_LIMIT if histogram_limit is None else histogram_limit
+    results: list[dict[int, tuple] | None] = [None] * len(requests)
+    large = [
+        i
+        for i, r in enumerate(requests)
+        if r.positions and partitions_for(r.n, rows_per_partition) > 1 and limit > 0
+    ]
+    if large:
+        approx = reduce(
+            DataFrame.unionByName,
+            [
+                requests[i]
+                .df.agg(F.approx_count_distinct(requests[i].order_cols[0]).alias("d"))
+                .withColumn("req", F.lit(i))
+                for i in large
+            ],
+        ).collect()
+        few = [row["req"] for row in approx if row["d"] <= limit]
+        hist = _histograms([requests[i] for i in few], limit)
+        for i, h in zip(few, hist):
+            if h is not None:
+                results[i] = _from_histogram(requests[i], h, rows_per_partition, limit)
+    rest = [i for i, r in enumerate(results) if r is None]
+    ranged = _fetch_ranged([requests[i] for i in rest], rows_per_partition)
+    for i, r in zip(rest, ranged):
+        results[i] = r
+    return results
+
+
+def _histograms(requests: list[PositionRequest], limit: int) -> list[list[tuple] | None]:
+    """Sorted (value, count) lists, or None where more than ``limit`` values exist."""
+    if not requests:
+        return []
+    frames = []
+    for i, req in enumerate(requests):
+        col = req.order_cols[0]
+        frames.append(
+            req.df.groupBy(col)
+            .agg(F.count("*").alias("n"))
+            .limit(limit + 1)
+            .select(F.lit(i).alias("req"), F.col(col).cast("string").alias("v"), "n")
+        )
+    out: list[list[tuple]] = [[] for _ in requests]
+    for row in reduce(DataFrame.unionByName, frames).collect():
+        out[row["req"]].append((row["v"], row["n"]))
+    hists: list[list[tuple] | None] = []
+    for req, pairs in zip(requests, out):
+        if len(pairs) > limit:
+            hists.append(None)
+            continue
+        dec = _decoder(dict(req.df.dtypes)[req.order_cols[0]])
+        hists.append(sorted(((None if v is None else dec(v)), n) for v, n in pairs))
+    return hists
+
+
+def _from_histogram(
+    req: PositionRequest, hist: list[tuple], rows_per_partition: int | None, limit: int
+) -> dict[int, tuple]:
+    starts, total = [], 0
+    for _, cnt in hist:
+        starts.append(total)
+        total += cnt
+    if total != req.n:
+        raise ValueError(f"expected {req.n} rows, found {total}")
+    col, rest = req.order_cols[0], req.order_cols[1:]
+    found: dict[int, tuple] = {}
+    tie_requests, tie_meta = [], []
+    for p in sorted(set(req.positions)):
+        j = bisect.bisect_right(starts, p) - 1
+        value, cnt = hist[j]
+        if req.value_only or not rest:
+            found[p] = (value,) + (None,) * len(rest)
+        else:
+            # only this value's tie group is ordered by the remaining columns
+            group = req.df.filter(F.col(col) == F.lit(value))
+            tie_requests.append(PositionRequest(group, rest, [p - starts[j]], cnt))
+            tie_meta.append((p, value))
+    if tie_requests:
+        tied = fetch_positions(tie_requests, rows_per_partition, limit)
+        for (p, value), res, treq in zip(tie_meta, tied, tie_requests):
+            found[p] = (value,) + res[treq.positions[0]]
+    return found
+
+
+def _fetch_ranged(
     requests: list[PositionRequest], rows_per_partition: int | None = None
 ) -> list[dict[int, tuple]]:
-    """For each request, ``{position: tuple(order_cols values)}``."""
     prepared, persisted = [], []
     try:
         for req in requests:
@@ -173,7 +278,9 @@ def rows_at_positions(
     """Single-request form of :func:`fetch_positions`."""
     if n is None:
         n = df.count()
-    return fetch_positions([PositionRequest(df, order_cols, positions, n)], rows_per_partition)[0]
+    return fetch_positions(
+        [PositionRequest(df, order_cols, positions, n)], rows_per_partition
+    )[0]
 
 
 def global_rank(

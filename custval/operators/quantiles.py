@@ -139,7 +139,7 @@ def quantiles_many(
         plans.append(points)
         needed = sorted({j for a, b, _ in points for j in (a, b)})
         values = base.filter(_valid(df, c)).select(c, tie)
-        position_requests.append(PositionRequest(values, [c, tie], needed, n))
+        position_requests.append(PositionRequest(values, [c, tie], needed, n, value_only=True))
     stats = fetch_positions(position_requests, rows_per_partition)
     out = []
     for (c, probs), points, st in zip(requests, plans, stats):
@@ -192,7 +192,9 @@ def qcut_many(
             needed = sorted({j for a, b, _ in points for j in (a, b)})
             plans.append((points, None, needed))
         values = base.filter(_valid(df, c.col)).select(c.col, tie)
-        position_requests.append(PositionRequest(values, [c.col, tie], needed, n))
+        position_requests.append(
+            PositionRequest(values, [c.col, tie], needed, n, value_only=not c.by_rank)
+        )
     stats = iter(fetch_positions(position_requests, rows_per_partition))
 
     new_cols = {}
