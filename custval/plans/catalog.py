@@ -19,8 +19,13 @@ from custval.operators.clv import clv_rates as clv_rates_op
 from custval.operators.profile import describe, distinct_counts, null_counts, value_counts
 from custval.operators.reports import group_report, invoice_totals as invoice_totals_op, top_k
 from custval.operators.rfm import segment_ids, segment_report, with_line_total
-from custval.plans.retail import clv_formula_retail, clv_prepared_lines, rfm_retail
-from custval.sources.tables import invoice_lines
+from custval.operators.filters import keep_value_or_no_orders
+from custval.operators.outliers import cap_both_rounded, outlier_thresholds
+from custval.operators.reports import channel_rollup
+from custval.plans.omni import CATEGORY_COL, campaign_targets, data_prep, rfm_omni
+from custval.plans.retail import clv_formula_retail, clv_prepared_lines, model_lines, rfm_retail
+from custval.functions.segments import BRAND_CAMPAIGN_SEGMENTS, DISCOUNT_CAMPAIGN_SEGMENTS
+from custval.sources.tables import customer_summary, invoice_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 SIG_DIGITS = 10
@@ -144,6 +149,90 @@ def clv_bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(clv, "clv", 5, "customer_id", ascending=True)
 
 
+# --- customer summary (omnichannel) ----------------------------------------
+
+OMNI_CAP_COLUMNS = [
+    "order_num_total_ever_online",
+    "order_num_total_ever_offline",
+    "customer_value_total_ever_offline",
+    "customer_value_total_ever_online",
+]
+# Stand-ins for the reference's category words: the part types of the tables.
+BRAND_CATEGORIES = ("PROMO",)
+DISCOUNT_CATEGORIES = ("SMALL", "ECONOMY")
+
+
+def _dates_as_text(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("string") for c, t in df.dtypes if t.startswith("timestamp")})
+
+
+def omni_prep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dates_as_text(data_prep(customer_summary(spark, sf_dir)))
+
+
+def omni_rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rfm_omni(customer_summary(spark, sf_dir)).drop(CATEGORY_COL)
+
+
+def omni_segment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(segment_report(rfm_omni(customer_summary(spark, sf_dir))))
+
+
+def omni_channel_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(channel_rollup(data_prep(customer_summary(spark, sf_dir))))
+
+
+def omni_top_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared = data_prep(customer_summary(spark, sf_dir))
+    top = top_k(prepared, "customer_value_total", 10, "master_id")
+    return top.select("master_id", "customer_value_total", "order_num_total")
+
+
+def campaign_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rfm = rfm_omni(customer_summary(spark, sf_dir))
+    return campaign_targets(rfm, BRAND_CAMPAIGN_SEGMENTS, BRAND_CATEGORIES)
+
+
+def campaign_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rfm = rfm_omni(customer_summary(spark, sf_dir))
+    return campaign_targets(rfm, DISCOUNT_CAMPAIGN_SEGMENTS, DISCOUNT_CATEGORIES)
+
+
+def zero_value_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = keep_value_or_no_orders(data_prep(customer_summary(spark, sf_dir)))
+    return kept.select("master_id", "order_num_total", "customer_value_total")
+
+
+def _limits_frame(spark: SparkSession, limits: dict, rounded_caps: bool) -> DataFrame:
+    rows = []
+    for c, (low, up) in limits.items():
+        row = (c, float(low), float(up))
+        if rounded_caps:
+            row += (float(round(low, 0)), float(round(up, 0)))
+        rows.append(row)
+    schema = "column_name string, low_limit double, up_limit double"
+    if rounded_caps:
+        schema += ", low_cap double, up_cap double"
+    # one row per capped column
+    return spark.createDataFrame(rows, schema)
+
+
+def caps_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = outlier_thresholds(model_lines(invoice_lines(spark, sf_dir)), ["Quantity", "Price"])
+    return rounded(_limits_frame(spark, limits, False))
+
+
+def caps_both_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary = customer_summary(spark, sf_dir)
+    limits = outlier_thresholds(summary, OMNI_CAP_COLUMNS, key="master_id")
+    return rounded(_limits_frame(spark, limits, True))
+
+
+def omni_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capped, _ = cap_both_rounded(customer_summary(spark, sf_dir), OMNI_CAP_COLUMNS, key="master_id")
+    return capped.select("master_id", *OMNI_CAP_COLUMNS)
+
+
 QUERIES: dict[str, Query] = {
     "rfm_metrics": rfm_metrics,
     "rfm_scores": rfm_scores,
@@ -162,4 +251,15 @@ QUERIES: dict[str, Query] = {
     "clv_segment_report": clv_segment_report,
     "clv_top": clv_top,
     "clv_bottom": clv_bottom,
+    "omni_prep": omni_prep,
+    "omni_rfm": omni_rfm,
+    "omni_segment_report": omni_segment_report,
+    "omni_channel_report": omni_channel_report,
+    "omni_top_customers": omni_top_customers,
+    "campaign_brand": campaign_brand,
+    "campaign_discount": campaign_discount,
+    "zero_value_filter": zero_value_filter,
+    "caps_upper": caps_upper,
+    "caps_both_rounded": caps_both_rounded,
+    "omni_capped": omni_capped,
 }

@@ -60,3 +60,11 @@ def clv_formula_retail(
         clv_formula(base, profit), "clv", q, list(labels), "segment", "customer_id",
         rows_per_partition=rows_per_partition,
     )
+
+
+def model_lines(lines: DataFrame) -> DataFrame:
+    """Lines kept by the predicted-CLV pipeline (before capping).
+
+    no nulls -> not cancelled -> quantity > 0 -> price > 0.
+    """
+    return positive(drop_cancelled(drop_nulls(lines)), "Quantity", "Price")

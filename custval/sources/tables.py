@@ -22,6 +22,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from custval.functions.dates import ntz_literal
+
 TABLES = (
     "region",
     "nation",
@@ -102,10 +104,10 @@ def _channel_sums(online: Column) -> list[Column]:
         F.max(F.when(~online, date)).alias("last_order_date_offline"),
         F.count_if(online).cast("double").alias("order_num_total_ever_online"),
         F.count_if(~online).cast("double").alias("order_num_total_ever_offline"),
-        F.coalesce(F.sum(F.when(~online, price)), F.lit(0.0)).alias(
+        F.round(F.coalesce(F.sum(F.when(~online, price)), F.lit(0.0)), 2).alias(
             "customer_value_total_ever_offline"
         ),
-        F.coalesce(F.sum(F.when(online, price)), F.lit(0.0)).alias(
+        F.round(F.coalesce(F.sum(F.when(online, price)), F.lit(0.0)), 2).alias(
             "customer_value_total_ever_online"
         ),
     ]
@@ -119,9 +121,10 @@ def customer_summary(
     ``order_channel`` is the customer's market segment, ``last_order_channel``
     the priority of the latest order (by date, then order key).  Online orders
     are those with a priority in :data:`ONLINE_PRIORITIES`.
-    ``interested_in_categories_12`` lists, as text "[A, B]", the sorted distinct
-    part types bought in the 12 months before ``analysis_date`` (default: two
-    days after the latest order); null when there are none.
+    Values are rounded to cents.  ``interested_in_categories_12`` lists, as
+    text "[A, B]", the sorted distinct part types bought in the 12 months
+    before ``analysis_date`` (default: two days after the latest order); null
+    when there are none.
     """
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority"
@@ -139,7 +142,7 @@ def customer_summary(
         *_channel_sums(online),
     )
 
-    since = F.lit(analysis_date).cast("timestamp_ntz") - F.expr("INTERVAL 12 MONTHS")
+    since = ntz_literal(analysis_date) - F.expr("INTERVAL 12 MONTHS")
     recent = orders.filter(F.col("o_orderdate") >= since).select("o_orderkey", "o_custkey")
     lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_type")

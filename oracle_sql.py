@@ -275,3 +275,173 @@ ORACLE: dict[str, str] = {
     "clv_bottom": CLV_BASE
     + f" SELECT {_round_cols(CLV_COLUMNS)} FROM clv ORDER BY clv ASC, customer_id LIMIT 5",
 }
+
+
+# --- customer summary (omnichannel) ------------------------------------------
+
+CUSTOMER_SUMMARY = """
+summary_params AS (SELECT date_trunc('day', max(o_orderdate)) + INTERVAL 2 DAY AS analysis_date FROM orders),
+ord AS (SELECT *, o_orderpriority IN ('1-URGENT', '2-HIGH') AS online FROM orders),
+last_channel AS (
+  SELECT o_custkey, o_orderpriority AS last_order_channel FROM (
+    SELECT o_custkey, o_orderpriority,
+           row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
+    FROM orders) WHERE rn = 1
+),
+per_customer AS (
+  SELECT o_custkey, min(o_orderdate) AS first_order_date, max(o_orderdate) AS last_order_date,
+         max(CASE WHEN online THEN o_orderdate END) AS last_order_date_online,
+         max(CASE WHEN NOT online THEN o_orderdate END) AS last_order_date_offline,
+         CAST(count_if(online) AS DOUBLE) AS order_num_total_ever_online,
+         CAST(count_if(NOT online) AS DOUBLE) AS order_num_total_ever_offline,
+         round(coalesce(sum(CASE WHEN NOT online THEN o_totalprice END), 0.0), 2) AS customer_value_total_ever_offline,
+         round(coalesce(sum(CASE WHEN online THEN o_totalprice END), 0.0), 2) AS customer_value_total_ever_online
+  FROM ord GROUP BY o_custkey
+),
+types AS (
+  SELECT o.o_custkey, '[' || string_agg(DISTINCT p.p_type, ', ' ORDER BY p.p_type) || ']' AS interested_in_categories_12
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+  JOIN part p ON l.l_partkey = p.p_partkey, summary_params
+  WHERE o.o_orderdate >= summary_params.analysis_date - INTERVAL 12 MONTH
+  GROUP BY o.o_custkey
+),
+summary AS (
+  SELECT CAST(pc.o_custkey AS VARCHAR) AS master_id, c.c_mktsegment AS order_channel,
+         lc.last_order_channel, pc.first_order_date, pc.last_order_date,
+         pc.last_order_date_online, pc.last_order_date_offline,
+         pc.order_num_total_ever_online, pc.order_num_total_ever_offline,
+         pc.customer_value_total_ever_offline, pc.customer_value_total_ever_online,
+         t.interested_in_categories_12
+  FROM per_customer pc
+  LEFT JOIN customer c ON pc.o_custkey = c.c_custkey
+  LEFT JOIN last_channel lc ON pc.o_custkey = lc.o_custkey
+  LEFT JOIN types t ON pc.o_custkey = t.o_custkey
+),
+prep AS (
+  SELECT *, order_num_total_ever_online + order_num_total_ever_offline AS order_num_total,
+         customer_value_total_ever_offline + customer_value_total_ever_online AS customer_value_total
+  FROM summary
+)"""
+
+OMNI_METRICS = (
+    "WITH "
+    + CUSTOMER_SUMMARY
+    + """,
+omni_params AS (SELECT date_trunc('day', max(last_order_date)) + INTERVAL 2 DAY AS analysis_date FROM prep),
+metrics AS (
+  SELECT master_id AS customer_id,
+         CAST(floor(date_diff('microsecond', last_order_date, analysis_date) / 86400000000.0) AS BIGINT) AS recency,
+         order_num_total AS frequency, customer_value_total AS monetary, interested_in_categories_12
+  FROM prep, omni_params
+)"""
+)
+
+OMNI_SCORED = OMNI_METRICS + rfm_scored()
+
+OMNI_PREP_COLUMNS = (
+    "master_id, order_channel, last_order_channel, "
+    "CAST(first_order_date AS VARCHAR) AS first_order_date, "
+    "CAST(last_order_date AS VARCHAR) AS last_order_date, "
+    "CAST(last_order_date_online AS VARCHAR) AS last_order_date_online, "
+    "CAST(last_order_date_offline AS VARCHAR) AS last_order_date_offline, "
+    "order_num_total_ever_online, order_num_total_ever_offline, "
+    "customer_value_total_ever_offline, customer_value_total_ever_online, "
+    "interested_in_categories_12, order_num_total, customer_value_total"
+)
+
+OMNI_CAP_COLUMNS = ["order_num_total_ever_online", "order_num_total_ever_offline",
+                    "customer_value_total_ever_offline", "customer_value_total_ever_online"]
+
+
+def _limits_sql(source: str, cols: list[str], rounded_caps: bool) -> str:
+    parts = []
+    for c in cols:
+        q1, q3 = f"quantile_cont({c}, 0.01)", f"quantile_cont({c}, 0.99)"
+        low = f"({q1} - 1.5 * ({q3} - {q1}))"
+        up = f"({q3} + 1.5 * ({q3} - {q1}))"
+        sel = f"SELECT '{c}' AS column_name, {sig(low)} AS low_limit, {sig(up)} AS up_limit"
+        if rounded_caps:
+            sel += f", round_even({low}, 0) AS low_cap, round_even({up}, 0) AS up_cap"
+        parts.append(sel + f" FROM {source}")
+    return " UNION ALL ".join(parts)
+
+
+def _cap_expr(c: str) -> str:
+    q1, q3 = f"quantile_cont({c}, 0.01)", f"quantile_cont({c}, 0.99)"
+    return (
+        f"({q1} - 1.5 * ({q3} - {q1})) AS {c}_low, ({q3} + 1.5 * ({q3} - {q1})) AS {c}_up"
+    )
+
+
+OMNI_CAPPED = (
+    "WITH "
+    + CUSTOMER_SUMMARY
+    + ", limits AS (SELECT "
+    + ", ".join(_cap_expr(c) for c in OMNI_CAP_COLUMNS)
+    + " FROM summary), capped AS (SELECT master_id, "
+    + ", ".join(
+        f"""CASE WHEN (CASE WHEN {c} < {c}_low THEN round_even({c}_low, 0) ELSE {c} END) > {c}_up
+             THEN round_even({c}_up, 0)
+             ELSE (CASE WHEN {c} < {c}_low THEN round_even({c}_low, 0) ELSE {c} END) END AS {c}"""
+        for c in OMNI_CAP_COLUMNS
+    )
+    + " FROM summary, limits)"
+)
+
+MODEL_LINES = (
+    "WITH "
+    + INVOICE_LINES
+    + """,
+model_lines AS (
+  SELECT * FROM invoice_lines
+  WHERE """
+    + NOT_NULL_LINES.replace(' AND NOT isnan("Quantity" * "Price")', "")
+    + """
+    AND NOT coalesce(contains("Invoice", 'C'), false) AND "Quantity" > 0 AND "Price" > 0
+)"""
+)
+
+ORACLE.update(
+    {
+        "omni_prep": "WITH " + CUSTOMER_SUMMARY + f" SELECT {OMNI_PREP_COLUMNS} FROM prep",
+        "omni_rfm": OMNI_SCORED
+        + " SELECT customer_id, recency, frequency, monetary, recency_score, frequency_score,"
+        ' monetary_score, "RF_SCORE", "RFM_SCORE", segment FROM scored',
+        "omni_segment_report": OMNI_SCORED
+        + " "
+        + _report("scored", "segment", ["recency", "frequency", "monetary"]).replace(
+            "_mean, count(frequency)", "_mean, count(frequency)"
+        ),
+        "omni_channel_report": "WITH "
+        + CUSTOMER_SUMMARY
+        + f""" SELECT order_channel, count(master_id) AS customers,
+               {sig(exact_sum("order_num_total"))} AS order_num_total,
+               {sig(exact_sum("customer_value_total"))} AS customer_value_total
+             FROM prep GROUP BY order_channel""",
+        "omni_top_customers": "WITH "
+        + CUSTOMER_SUMMARY
+        + """ SELECT master_id, customer_value_total, order_num_total FROM prep
+             ORDER BY customer_value_total DESC, master_id LIMIT 10""",
+        "campaign_brand": OMNI_SCORED
+        + """ SELECT customer_id AS master_id FROM scored
+             WHERE segment IN ('champions', 'loyal_customers')
+               AND coalesce(contains(interested_in_categories_12, 'PROMO'), false)""",
+        "campaign_discount": OMNI_SCORED
+        + """ SELECT customer_id AS master_id FROM scored
+             WHERE segment IN ('cant_loose', 'hibernating', 'new_customers')
+               AND (coalesce(contains(interested_in_categories_12, 'SMALL'), false)
+                    OR coalesce(contains(interested_in_categories_12, 'ECONOMY'), false))""",
+        "zero_value_filter": "WITH "
+        + CUSTOMER_SUMMARY
+        + """ SELECT master_id, order_num_total, customer_value_total FROM prep
+             WHERE customer_value_total <> 0 OR order_num_total = 0""",
+        "caps_upper": MODEL_LINES + " " + _limits_sql("model_lines", ['"Quantity"', '"Price"'], False)
+        .replace("SELECT '\"Quantity\"'", "SELECT 'Quantity'")
+        .replace("SELECT '\"Price\"'", "SELECT 'Price'"),
+        "caps_both_rounded": "WITH "
+        + CUSTOMER_SUMMARY
+        + " "
+        + _limits_sql("summary", OMNI_CAP_COLUMNS, True),
+        "omni_capped": OMNI_CAPPED + " SELECT * FROM capped",
+    }
+)
