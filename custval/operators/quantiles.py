@@ -160,6 +160,27 @@ def quantiles_exact(
     return quantiles_many(df, [(col, probs)], key, rows_per_partition)[0]
 
 
+def qcut_edges(
+    df: DataFrame,
+    col: str,
+    q: int,
+    key: str | None = None,
+    duplicates: str = "raise",
+    rows_per_partition: int | None = None,
+) -> list[float]:
+    """The q+1 interpolated bin edges of ``col`` (checked for repeats)."""
+    edges = quantiles_many(df, [(col, np.linspace(0, 1, q + 1))], key, rows_per_partition)[0]
+    if any(math.isnan(e) for e in edges):
+        raise ValueError(f"qcut of {col}: no non-null values")
+    return _checked_edges(edges, duplicates)
+
+
+def bins_from_edges(x: Column, edges: list[float], labels: Sequence | None = None) -> Column:
+    """Label of the (e[k-1], e[k]] bin of ``x`` (the first bin includes e[0])."""
+    labels = _labels(labels, len(edges) - 1)
+    return bin_column(x, edges[1:-1], labels, lambda v, e: v > F.lit(e))
+
+
 def qcut_many(
     df: DataFrame,
     cuts: Sequence[Cut],

@@ -15,7 +15,8 @@ from custval.functions.segments import (
     DISCOUNT_CAMPAIGN_CATEGORIES,
     DISCOUNT_CAMPAIGN_SEGMENTS,
 )
-from custval.operators.filters import in_segments, mentions_any
+from custval.operators.filters import in_segments, keep_value_or_no_orders, mentions_any
+from custval.operators.outliers import cap_both_rounded
 from custval.operators.rfm import rfm_scores
 from custval.session import materialize
 from custval.sources.tables import default_analysis_date
@@ -114,3 +115,42 @@ def discount_campaign(
     rfm: DataFrame, categories: Sequence[str] = DISCOUNT_CAMPAIGN_CATEGORIES
 ) -> DataFrame:
     return campaign_targets(rfm, DISCOUNT_CAMPAIGN_SEGMENTS, categories)
+
+
+CAP_COLUMNS = (
+    "order_num_total_ever_online",
+    "order_num_total_ever_offline",
+    "customer_value_total_ever_offline",
+    "customer_value_total_ever_online",
+)
+
+
+def model_inputs_omni(
+    summary: DataFrame,
+    analysis_date: dt.datetime | None = None,
+    repeat_only: bool = True,
+) -> DataFrame:
+    """BG/NBD / Gamma-Gamma inputs from the customer summary.
+
+    The four count/value columns are capped at the rounded outlier limits,
+    totals are added, rows with a zero value but some orders are dropped
+    (``repeat_only``, with frequency > 1, as the function form does), and the
+    weekly recency / age and the mean order value are derived.
+    """
+    capped, _ = cap_both_rounded(summary, list(CAP_COLUMNS), key="master_id")
+    prepared = data_prep(capped)
+    if repeat_only:
+        prepared = keep_value_or_no_orders(prepared)
+    prepared = materialize(prepared, "omni_model_prepared")
+    if analysis_date is None:
+        analysis_date = default_analysis_date(prepared, "last_order_date")
+    inputs = prepared.select(
+        F.col("master_id").alias("customer_id"),
+        (days_between("last_order_date", "first_order_date") / F.lit(7.0)).alias("recency_clv_weekly"),
+        (days_between(ntz_literal(analysis_date), F.col("first_order_date")) / F.lit(7.0)).alias(
+            "T_weekly"
+        ),
+        F.col("order_num_total").alias("frequency"),
+        F.try_divide(F.col("customer_value_total"), F.col("order_num_total")).alias("monetary_clv_avg"),
+    )
+    return inputs.filter(F.col("frequency") > 1) if repeat_only else inputs

@@ -5,10 +5,13 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from custval.operators.clv import clv_base, clv_formula
 from custval.operators.filters import drop_cancelled, drop_nulls, positive
+from custval.operators.outliers import cap_upper
 from custval.operators.quantiles import qcut
+from custval.functions.dates import days_between, ntz_literal
 from custval.operators.rfm import customer_activity, rfm_scores, with_line_total, with_recency
 from custval.session import materialize
 from custval.sources.tables import default_analysis_date
@@ -68,3 +71,49 @@ def model_lines(lines: DataFrame) -> DataFrame:
     no nulls -> not cancelled -> quantity > 0 -> price > 0.
     """
     return positive(drop_cancelled(drop_nulls(lines)), "Quantity", "Price")
+
+
+def model_inputs_retail(
+    lines: DataFrame,
+    analysis_date: dt.datetime | None = None,
+    cap: bool = True,
+    repeat_only: bool = True,
+    money_decimals: int | None = 2,
+) -> DataFrame:
+    """BG/NBD / Gamma-Gamma inputs per customer from invoice lines.
+
+    Quantity and Price are capped at q99 + 1.5 IQR (thresholds over the kept
+    lines).  recency = days between first and last invoice, T = days from the
+    first invoice to the analysis date, both in weeks; frequency = distinct
+    invoices; monetary = total spend per invoice.  The kept lines are
+    materialised once: the thresholds and the aggregation both read them.
+    """
+    kept = materialize(
+        model_lines(lines).select("Customer ID", "Invoice", "InvoiceDate", "Quantity", "Price"),
+        "model_lines",
+    )
+    if cap:
+        kept, _ = cap_upper(kept, ["Quantity", "Price"])
+    kept = with_line_total(kept)
+    total = F.sum("TotalPrice")
+    if money_decimals is not None:
+        total = F.round(total, money_decimals)
+    per_customer = materialize(
+        kept.groupBy(F.col("Customer ID").alias("customer_id")).agg(
+            F.min("InvoiceDate").alias("first_date"),
+            F.max("InvoiceDate").alias("last_date"),
+            F.count_distinct("Invoice").alias("frequency"),
+            total.alias("total"),
+        ),
+        "model_customers",
+    )
+    if analysis_date is None:
+        analysis_date = default_analysis_date(per_customer, "last_date")
+    inputs = per_customer.select(
+        "customer_id",
+        (days_between("last_date", "first_date") / F.lit(7.0)).alias("recency"),
+        (days_between(ntz_literal(analysis_date), F.col("first_date")) / F.lit(7.0)).alias("T"),
+        "frequency",
+        (F.col("total") / F.col("frequency")).alias("monetary"),
+    )
+    return inputs.filter(F.col("frequency") > 1) if repeat_only else inputs
