@@ -23,8 +23,32 @@ from custval.operators.filters import keep_value_or_no_orders
 from custval.operators.outliers import cap_both_rounded, outlier_thresholds
 from custval.operators.reports import channel_rollup
 from custval.plans.omni import CATEGORY_COL, campaign_targets, data_prep, rfm_omni
-from custval.plans.retail import clv_formula_retail, clv_prepared_lines, model_lines, rfm_retail
+from custval.plans.retail import (
+    clv_formula_retail,
+    clv_prepared_lines,
+    model_inputs_retail,
+    model_lines,
+    rfm_retail,
+)
 from custval.functions.segments import BRAND_CAMPAIGN_SEGMENTS, DISCOUNT_CAMPAIGN_SEGMENTS
+from custval.operators.bgnbd import BetaGeoParams, probability_of_n_purchases
+from custval.operators.gammagamma import GammaGammaParams, discounted_clv, expected_average_profit
+from custval.operators.reports import exact_sum
+from custval.plans.omni import model_inputs_omni
+from custval.plans.predict import (
+    OMNI_COLS,
+    OMNI_HORIZONS,
+    RETAIL_HORIZONS,
+    clv_predict_omni,
+    clv_predict_retail,
+    fit_table,
+    score_customers,
+    split_top_segment,
+)
+from custval.operators.bgnbd import fit_bgnbd
+from custval.operators.gammagamma import fit_gamma_gamma
+from custval.operators.quantiles import qcut
+from custval.session import materialize
 from custval.sources.tables import customer_summary, invoice_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,6 +257,130 @@ def omni_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capped.select("master_id", *OMNI_CAP_COLUMNS)
 
 
+# --- probabilistic models --------------------------------------------------
+
+# Published example parameters (CDNOW data set) used to check the
+# prediction formulas independently of any fit.
+CDNOW_BGNBD = BetaGeoParams(r=0.243, alpha=4.414, a=0.793, b=2.426)
+CDNOW_GAMMA_GAMMA = GammaGammaParams(p=6.25, q=3.74, v=15.44)
+MODEL_DIGITS = 8
+CALIBRATION_MAX = 7
+
+
+def model_rounded(df: DataFrame) -> DataFrame:
+    return rounded(df, MODEL_DIGITS)
+
+
+def clv_model_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(model_inputs_retail(invoice_lines(spark, sf_dir)))
+
+
+def omni_model_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(model_inputs_omni(customer_summary(spark, sf_dir)))
+
+
+def _retail_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(model_inputs_retail(invoice_lines(spark, sf_dir)), "model_inputs")
+
+
+def bgnbd_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs = _retail_inputs(spark, sf_dir)
+    scored = score_customers(inputs, CDNOW_BGNBD, CDNOW_GAMMA_GAMMA)
+    return model_rounded(scored.select("customer_id", *RETAIL_HORIZONS))
+
+
+def gg_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs = _retail_inputs(spark, sf_dir)
+    return model_rounded(
+        inputs.select(
+            "customer_id",
+            expected_average_profit(CDNOW_GAMMA_GAMMA, "frequency", "monetary").alias(
+                "expected_average_profit"
+            ),
+        )
+    )
+
+
+def clv_discounted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs = _retail_inputs(spark, sf_dir)
+    clv = discounted_clv(
+        CDNOW_BGNBD, CDNOW_GAMMA_GAMMA, "frequency", "recency", "T", "monetary", 3, 0.01, "W"
+    )
+    return model_rounded(inputs.select("customer_id", clv.alias("clv")))
+
+
+def expected_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs = _retail_inputs(spark, sf_dir)
+    scored = score_customers(inputs, CDNOW_BGNBD, CDNOW_GAMMA_GAMMA)
+    return model_rounded(
+        scored.agg(
+            F.count("*").alias("customers"),
+            exact_sum("expected_purc_1_month", scale=12).alias("expected_purc_1_month_total"),
+            exact_sum("expected_purc_3_month", scale=12).alias("expected_purc_3_month_total"),
+        )
+    )
+
+
+def sub_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs = materialize(model_inputs_omni(customer_summary(spark, sf_dir)), "model_inputs")
+    scored = materialize(
+        score_customers(
+            inputs, CDNOW_BGNBD, CDNOW_GAMMA_GAMMA, OMNI_COLS, OMNI_HORIZONS, "exp_average_value", 6
+        ),
+        "clv_scored",
+    )
+    scored = model_rounded(scored.select("customer_id", "clv"))
+    segmented = qcut(scored, "clv", 4, ["D", "C", "B", "A"], "clv_segment", "customer_id")
+    return split_top_segment(segmented)
+
+
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers per transaction count: observed vs expected under the model."""
+    inputs = _retail_inputs(spark, sf_dir)
+    probs = [probability_of_n_purchases(CDNOW_BGNBD, "T", n) for n in range(CALIBRATION_MAX)]
+    tail = F.lit(1.0) - sum(probs[1:], probs[0])
+    rows = inputs.select(
+        "frequency", *[p.alias(f"p{n}") for n, p in enumerate(probs)], tail.alias(f"p{CALIBRATION_MAX}")
+    )
+    expected = rows.agg(
+        *[exact_sum(f"p{n}", scale=12).alias(f"e{n}") for n in range(CALIBRATION_MAX + 1)]
+    )
+    stacked = expected.selectExpr(
+        f"stack({CALIBRATION_MAX + 1}, "
+        + ", ".join(f"{n}, e{n}" for n in range(CALIBRATION_MAX + 1))
+        + ") AS (frequency, expected)"
+    )
+    actual = (
+        inputs.select(F.least(F.col("frequency"), F.lit(CALIBRATION_MAX)).cast("int").alias("frequency"))
+        .groupBy("frequency")
+        .agg(F.count("*").alias("actual"))
+    )
+    # both sides have at most CALIBRATION_MAX + 1 rows
+    return model_rounded(
+        stacked.join(F.broadcast(actual), "frequency", "left").select(
+            "frequency", F.coalesce("actual", F.lit(0)).alias("actual"), "expected"
+        )
+    )
+
+
+def bgnbd_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs = _retail_inputs(spark, sf_dir)
+    return fit_table(spark, fit_bgnbd(inputs, "frequency", "recency", "T", 0.001), "bgnbd")
+
+
+def gg_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs = _retail_inputs(spark, sf_dir)
+    return fit_table(spark, fit_gamma_gamma(inputs, "frequency", "monetary", 0.01), "gamma_gamma")
+
+
+def clv_predict_retail_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clv_predict_retail(invoice_lines(spark, sf_dir)).table
+
+
+def clv_predict_omni_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clv_predict_omni(customer_summary(spark, sf_dir)).table
+
+
 QUERIES: dict[str, Query] = {
     "rfm_metrics": rfm_metrics,
     "rfm_scores": rfm_scores,
@@ -262,4 +410,16 @@ QUERIES: dict[str, Query] = {
     "caps_upper": caps_upper,
     "caps_both_rounded": caps_both_rounded,
     "omni_capped": omni_capped,
+    "clv_model_inputs": clv_model_inputs,
+    "omni_model_inputs": omni_model_inputs,
+    "bgnbd_score": bgnbd_score,
+    "gg_profit": gg_profit,
+    "clv_discounted": clv_discounted,
+    "expected_total": expected_total,
+    "sub_segments": sub_segments,
+    "calibration": calibration,
+    "bgnbd_fit": bgnbd_fit,
+    "gg_fit": gg_fit,
+    "clv_predict_retail": clv_predict_retail_q,
+    "clv_predict_omni": clv_predict_omni_q,
 }

@@ -445,3 +445,216 @@ ORACLE.update(
         "omni_capped": OMNI_CAPPED + " SELECT * FROM capped",
     }
 )
+
+
+# --- probabilistic models ----------------------------------------------------
+# Published example parameters (CDNOW), the same fixed values as the catalog.
+BG = {"r": 0.243, "alpha": 4.414, "a": 0.793, "b": 2.426}
+GG = {"p": 6.25, "q": 3.74, "v": 15.44}
+MODEL_DIGITS = 8
+CALIBRATION_MAX = 7
+
+
+def d(v: float) -> str:
+    return f"CAST({float(v)!r} AS DOUBLE)"
+
+
+def hyp2f1_sql(A: float, B: float, C: str, z: str) -> str:
+    """2F1 as a sum of Pochhammer ratios through lgamma (A > 0, -1 < B < 1)."""
+    sign = -1.0 if B < 0 else 1.0
+    n_terms = f"least(20000, CAST(ceil(ln(1e-17) / ln({z})) AS BIGINT) + 40)"
+    term = (
+        f"exp(lgamma({d(A)} + n) - lgamma({d(A)}) + lgamma({d(B)} + n) - lgamma({d(B)})"
+        f" - lgamma({C} + n) + lgamma({C}) - lgamma(n + 1) + n * ln({z}))"
+    )
+    return (
+        f"list_sum(list_transform(range(0, {n_terms}), "
+        f"lambda n: CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE {d(sign)} * {term} END))"
+    )
+
+
+def expected_sql(t: float, x: str, tx: str, age: str) -> str:
+    r, alpha, a, b = BG["r"], BG["alpha"], BG["a"], BG["b"]
+    assert a + b - 1 - r > 0 and -1 < a - 1 < 1
+    z = f"({d(t)} / ({d(alpha)} + {age} + {d(t)}))"
+    c = f"({d(a + b - 1.0)} + {x})"
+    hyp = hyp2f1_sql(a + b - 1.0 - r, a - 1.0, c, z)
+    first = f"(({d(a + b - 1.0)} + {x}) / {d(a - 1.0)})"
+    second = f"(1.0::DOUBLE - pow(1.0::DOUBLE - {z}, {d(a - 1.0)}) * {hyp})"
+    ratio = f"pow(({d(alpha)} + {age}) / ({d(alpha)} + {tx}), {d(r)} + {x})"
+    denom = f"(1.0::DOUBLE + CASE WHEN {x} > 0 THEN {d(a)} / ({d(b - 1.0)} + {x}) * {ratio} ELSE 0.0::DOUBLE END)"
+    return f"({first} * {second} / {denom})"
+
+
+def profit_sql(x: str, m: str) -> str:
+    p, q, v = GG["p"], GG["q"], GG["v"]
+    weight = f"({d(p)} * {x} / ({d(p)} * {x} + {d(q - 1.0)}))"
+    return f"((1.0::DOUBLE - {weight}) * {d(v * p / (q - 1.0))} + {weight} * {m})"
+
+
+def clv_sql(months: int, x: str, tx: str, age: str, m: str, rate: float = 0.01) -> str:
+    factor = 4.345
+    import numpy as np
+
+    parts, previous = [], "0.0::DOUBLE"
+    for i in (np.arange(1, months + 1) * factor).tolist():
+        current = expected_sql(i, x, tx, age)
+        parts.append(f"{profit_sql(x, m)} * ({current} - {previous}) / {d((1 + rate) ** (i / factor))}")
+        previous = current
+    return "(" + " + ".join(parts) + ")"
+
+
+def pmf_sql(n: int, t: str) -> str:
+    import math
+
+    r, alpha, a, b = BG["r"], BG["alpha"], BG["a"], BG["b"]
+
+    def lbeta(p, q):
+        return f"(lgamma({d(p)}) + lgamma({d(q)}) - lgamma({d(p + q)}))"
+
+    p_alpha = f"({d(alpha)} / ({d(alpha)} + {t}))"
+    p_t = f"({t} / ({d(alpha)} + {t}))"
+    first = (
+        f"exp({lbeta(a, b + n)} - {lbeta(a, b)} + lgamma({d(r + n)}) - lgamma({d(r)})"
+        f" - lgamma({d(n + 1.0)}))"
+    )
+    term = f"({first} * pow({p_alpha}, {d(r)}) * pow({p_t}, {d(n)}))"
+    if n == 0:
+        return term
+    second = f"exp({lbeta(a + 1, b + n - 1)} - {lbeta(a, b)})"
+    partial = (
+        f"list_sum(list_transform(range(0, {n}), lambda j: exp(lgamma({d(r)} + j) - lgamma({d(r)})"
+        f" - lgamma(j + 1)) * pow({p_t}, j)))"
+    )
+    return f"({term} + {second} * (1.0::DOUBLE - pow({p_alpha}, {d(r)}) * {partial}))"
+
+
+def exact_sum12(x: str) -> str:
+    return f"CAST(sum(CAST({x} AS DECIMAL(38,12))) AS DOUBLE)"
+
+
+RETAIL_INPUTS = (
+    MODEL_LINES
+    + """,
+limits AS (
+  SELECT quantile_cont("Quantity", 0.99) + 1.5 * (quantile_cont("Quantity", 0.99) - quantile_cont("Quantity", 0.01)) AS q_up,
+         quantile_cont("Price", 0.99) + 1.5 * (quantile_cont("Price", 0.99) - quantile_cont("Price", 0.01)) AS p_up
+  FROM model_lines
+),
+capped AS (
+  SELECT "Customer ID", "Invoice", "InvoiceDate",
+         CASE WHEN "Quantity" > q_up THEN q_up ELSE "Quantity" END
+           * CASE WHEN "Price" > p_up THEN p_up ELSE "Price" END AS "TotalPrice"
+  FROM model_lines, limits
+),
+model_customers AS (
+  SELECT "Customer ID" AS customer_id, min("InvoiceDate") AS first_date, max("InvoiceDate") AS last_date,
+         count(DISTINCT "Invoice") AS frequency, round(sum("TotalPrice"), 2) AS total
+  FROM capped GROUP BY 1
+),
+model_params AS (SELECT date_trunc('day', max(last_date)) + INTERVAL 2 DAY AS analysis_date FROM model_customers),
+inputs AS (
+  SELECT customer_id,
+         floor(date_diff('microsecond', first_date, last_date) / 86400000000.0) / 7.0::DOUBLE AS recency,
+         floor(date_diff('microsecond', first_date, analysis_date) / 86400000000.0) / 7.0::DOUBLE AS "T",
+         frequency, total / frequency AS monetary
+  FROM model_customers, model_params WHERE frequency > 1
+)"""
+)
+
+OMNI_CAPPED_FULL = (
+    "WITH "
+    + CUSTOMER_SUMMARY
+    + ", limits AS (SELECT "
+    + ", ".join(_cap_expr(c) for c in OMNI_CAP_COLUMNS)
+    + """ FROM summary), capped_summary AS (SELECT master_id, order_channel, last_order_channel,
+    first_order_date, last_order_date, last_order_date_online, last_order_date_offline, """
+    + ", ".join(
+        f"""CASE WHEN (CASE WHEN {c} < {c}_low THEN round_even({c}_low, 0) ELSE {c} END) > {c}_up
+             THEN round_even({c}_up, 0)
+             ELSE (CASE WHEN {c} < {c}_low THEN round_even({c}_low, 0) ELSE {c} END) END AS {c}"""
+        for c in OMNI_CAP_COLUMNS
+    )
+    + """, interested_in_categories_12 FROM summary, limits),
+capped_prep AS (
+  SELECT *, order_num_total_ever_online + order_num_total_ever_offline AS order_num_total,
+         customer_value_total_ever_offline + customer_value_total_ever_online AS customer_value_total
+  FROM capped_summary
+),
+kept AS (SELECT * FROM capped_prep WHERE customer_value_total <> 0 OR order_num_total = 0),
+kept_params AS (SELECT date_trunc('day', max(last_order_date)) + INTERVAL 2 DAY AS analysis_date FROM kept),
+omni_inputs AS (
+  SELECT master_id AS customer_id,
+         floor(date_diff('microsecond', first_order_date, last_order_date) / 86400000000.0) / 7.0::DOUBLE AS recency_clv_weekly,
+         floor(date_diff('microsecond', first_order_date, analysis_date) / 86400000000.0) / 7.0::DOUBLE AS "T_weekly",
+         order_num_total AS frequency, customer_value_total / order_num_total AS monetary_clv_avg
+  FROM kept, kept_params WHERE order_num_total > 1
+)"""
+)
+
+RETAIL_E = {
+    name: expected_sql(t, "frequency", "recency", '"T"')
+    for name, t in {"expected_purc_1_week": 1.0, "expected_purc_1_month": 4.0, "expected_purc_3_month": 12.0}.items()
+}
+
+SUB_SEGMENTS = (
+    OMNI_CAPPED_FULL
+    + f""",
+omni_clv AS (
+  SELECT customer_id, {sig(clv_sql(6, "frequency", "recency_clv_weekly", '"T_weekly"', "monetary_clv_avg"), MODEL_DIGITS)} AS clv
+  FROM omni_inputs
+),
+clv_edges AS (SELECT quantile_cont(clv, [0.25, 0.5, 0.75]) AS e FROM omni_clv),
+seg AS (SELECT omni_clv.*, {_qcut_case("clv", "e", ["D", "C", "B", "A"])} AS clv_segment FROM omni_clv, clv_edges),
+a_edges AS (SELECT quantile_cont(clv, [0.5]) AS e FROM seg WHERE clv_segment = 'A')
+SELECT customer_id, clv,
+       CASE WHEN clv_segment = 'A' THEN {_qcut_case("clv", "e", ["A2", "A1"])} ELSE clv_segment END AS clv_segment
+FROM seg, a_edges"""
+)
+
+CALIBRATION = (
+    RETAIL_INPUTS
+    + ", probs AS (SELECT frequency, "
+    + ", ".join(f"{pmf_sql(n, '\"T\"')} AS p{n}" for n in range(CALIBRATION_MAX))
+    + " FROM inputs), probs2 AS (SELECT *, 1.0::DOUBLE - ("
+    + " + ".join(f"p{n}" for n in range(CALIBRATION_MAX))
+    + f") AS p{CALIBRATION_MAX} FROM probs), expected AS ("
+    + " UNION ALL ".join(
+        f"SELECT {n} AS frequency, {exact_sum12(f'p{n}')} AS expected FROM probs2"
+        for n in range(CALIBRATION_MAX + 1)
+    )
+    + f"""), actual AS (
+  SELECT CAST(least(frequency, {CALIBRATION_MAX}) AS INTEGER) AS frequency, count(*) AS actual
+  FROM inputs GROUP BY 1)
+SELECT CAST(e.frequency AS INTEGER) AS frequency, coalesce(a.actual, 0) AS actual,
+       {sig("e.expected", MODEL_DIGITS)} AS expected
+FROM expected e LEFT JOIN actual a ON CAST(e.frequency AS INTEGER) = a.frequency"""
+)
+
+ORACLE.update(
+    {
+        "clv_model_inputs": RETAIL_INPUTS
+        + f""" SELECT customer_id, {sig('recency')} AS recency, {sig('"T"')} AS "T", frequency,
+               {sig('monetary')} AS monetary FROM inputs""",
+        "omni_model_inputs": OMNI_CAPPED_FULL
+        + f""" SELECT customer_id, {sig('recency_clv_weekly')} AS recency_clv_weekly,
+               {sig('"T_weekly"')} AS "T_weekly", {sig('frequency')} AS frequency,
+               {sig('monetary_clv_avg')} AS monetary_clv_avg FROM omni_inputs""",
+        "bgnbd_score": RETAIL_INPUTS
+        + " SELECT customer_id, "
+        + ", ".join(f"{sig(e, MODEL_DIGITS)} AS {name}" for name, e in RETAIL_E.items())
+        + " FROM inputs",
+        "gg_profit": RETAIL_INPUTS
+        + f" SELECT customer_id, {sig(profit_sql('frequency', 'monetary'), MODEL_DIGITS)} AS expected_average_profit FROM inputs",
+        "clv_discounted": RETAIL_INPUTS
+        + f""" SELECT customer_id, {sig(clv_sql(3, "frequency", "recency", '"T"', "monetary"), MODEL_DIGITS)} AS clv
+             FROM inputs""",
+        "expected_total": RETAIL_INPUTS
+        + f""" SELECT count(*) AS customers,
+               {sig(exact_sum12(RETAIL_E["expected_purc_1_month"]), MODEL_DIGITS)} AS expected_purc_1_month_total,
+               {sig(exact_sum12(RETAIL_E["expected_purc_3_month"]), MODEL_DIGITS)} AS expected_purc_3_month_total
+             FROM inputs""",
+        "sub_segments": SUB_SEGMENTS,
+        "calibration": CALIBRATION,
+    }
+)
