@@ -48,7 +48,10 @@ from custval.plans.predict import (
 from custval.operators.bgnbd import fit_bgnbd
 from custval.operators.gammagamma import fit_gamma_gamma
 from custval.operators.quantiles import qcut
+from custval.functions.dates import days_between, ntz_literal
+from custval.operators.kpi import acquisition, conversion, retention
 from custval.session import materialize
+from custval.sources.tables import default_analysis_date, read_table
 from custval.sources.tables import customer_summary, invoice_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -381,6 +384,56 @@ def clv_predict_omni_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clv_predict_omni(customer_summary(spark, sf_dir)).table
 
 
+# --- events and KPIs ---------------------------------------------------------
+
+
+def event_recency_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user: whole days from the last purchase event to the analysis date.
+
+    Event timestamps carry times of day, so this exercises the floor-of-days
+    rule (not calendar days, not truncation toward zero).
+    """
+    events = read_table(spark, sf_dir, "events")
+    per_user = materialize(
+        events.filter((F.col("event_type") == "purchase") & F.col("user_id").isNotNull())
+        .groupBy("user_id")
+        .agg(
+            F.max("ts").alias("last_ts"),
+            F.count("*").alias("purchases"),
+            F.round(F.sum("value"), 2).alias("value"),
+        ),
+        "event_purchases",
+    )
+    analysis_date = default_analysis_date(per_user, "last_ts")
+    return per_user.select(
+        "user_id",
+        days_between(ntz_literal(analysis_date), F.col("last_ts")).alias("recency"),
+        "purchases",
+        "value",
+    )
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate")
+
+
+def kpi_acquisition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(acquisition(_orders(spark, sf_dir), "o_custkey", "o_orderdate"))
+
+
+def kpi_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(retention(_orders(spark, sf_dir), "o_custkey", "o_orderdate"))
+
+
+def kpi_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kpis = retention(_orders(spark, sf_dir), "o_custkey", "o_orderdate")
+    return rounded(kpis.select("period", "churn_rate"))
+
+
+def kpi_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(conversion(read_table(spark, sf_dir, "events")))
+
+
 QUERIES: dict[str, Query] = {
     "rfm_metrics": rfm_metrics,
     "rfm_scores": rfm_scores,
@@ -422,4 +475,9 @@ QUERIES: dict[str, Query] = {
     "gg_fit": gg_fit,
     "clv_predict_retail": clv_predict_retail_q,
     "clv_predict_omni": clv_predict_omni_q,
+    "event_recency_days": event_recency_days,
+    "kpi_acquisition": kpi_acquisition,
+    "kpi_retention": kpi_retention,
+    "kpi_churn": kpi_churn,
+    "kpi_conversion": kpi_conversion,
 }

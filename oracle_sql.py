@@ -14,6 +14,7 @@ SIG_DIGITS = 10
 
 def sig(x: str, digits: int = SIG_DIGITS) -> str:
     """Round to significant digits exactly as custval.functions.numeric.sig_round."""
+    x = f"({x})"
     k = f"({digits - 1} - floor(log10(abs({x}))))"
     return (
         f"(CASE WHEN {x} IS NULL OR isnan({x}) OR {x} = 0 OR isinf({x}) THEN {x} "
@@ -658,3 +659,75 @@ ORACLE.update(
         "calibration": CALIBRATION,
     }
 )
+
+
+# --- events and KPIs ------------------------------------------------------------
+
+EVENT_RECENCY = """
+WITH p AS (
+  SELECT user_id, max(ts) AS last_ts, count(*) AS purchases, round(sum(value), 2) AS value
+  FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL GROUP BY 1
+),
+ad AS (SELECT date_trunc('day', max(last_ts)) + INTERVAL 2 DAY AS analysis_date FROM p)
+SELECT user_id,
+       CAST(floor(date_diff('microsecond', last_ts, analysis_date) / 86400000000.0) AS BIGINT) AS recency,
+       purchases, value
+FROM p, ad"""
+
+KPI_ACQUISITION = f"""
+WITH firsts AS (
+  SELECT o_custkey, date_trunc('month', min(o_orderdate)) AS month FROM orders
+  WHERE o_custkey IS NOT NULL GROUP BY 1
+),
+per_month AS (SELECT month, count(*) AS new_customers FROM firsts GROUP BY month),
+running AS (
+  SELECT month, new_customers,
+         sum(new_customers) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS customers_to_date
+  FROM per_month
+)
+SELECT strftime(month, '%Y-%m') AS period, new_customers, CAST(customers_to_date AS BIGINT) AS customers_to_date,
+       {sig("new_customers / customers_to_date")} AS acquisition_rate
+FROM running"""
+
+KPI_RETENTION_BASE = """
+WITH active AS (
+  SELECT DISTINCT o_custkey AS customer_id, date_trunc('month', o_orderdate) AS month
+  FROM orders WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL
+),
+flagged AS (
+  SELECT *, lag(month) OVER (PARTITION BY customer_id ORDER BY month) = month - INTERVAL 1 MONTH AS retained
+  FROM active
+),
+per_month AS (
+  SELECT month, count(*) AS active_customers, CAST(count_if(coalesce(retained, false)) AS BIGINT) AS retained_customers
+  FROM flagged GROUP BY month
+),
+rates AS (
+  SELECT p.month, p.active_customers, p.retained_customers,
+         p.retained_customers / CAST(q.active_customers AS DOUBLE) AS retention_rate
+  FROM per_month p LEFT JOIN per_month q ON q.month + INTERVAL 1 MONTH = p.month
+)"""
+
+KPI_CONVERSION = f"""
+WITH per_user AS (
+  SELECT user_id, date_trunc('month', ts) AS month, max(event_type = 'purchase') AS converted
+  FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2
+)
+SELECT strftime(month, '%Y-%m') AS period, count(*) AS visitors, CAST(count_if(converted) AS BIGINT) AS converted,
+       {sig("count_if(converted) / count(*)")} AS conversion_rate
+FROM per_user GROUP BY month"""
+
+ORACLE.update(
+    {
+        "event_recency_days": EVENT_RECENCY,
+        "kpi_acquisition": KPI_ACQUISITION,
+        "kpi_retention": KPI_RETENTION_BASE
+        + f""" SELECT strftime(month, '%Y-%m') AS period, active_customers, retained_customers,
+               {sig("retention_rate")} AS retention_rate, {sig("1.0::DOUBLE - retention_rate")} AS churn_rate
+             FROM rates""",
+        "kpi_churn": KPI_RETENTION_BASE
+        + f""" SELECT strftime(month, '%Y-%m') AS period, {sig("1.0::DOUBLE - retention_rate")} AS churn_rate
+             FROM rates""",
+        "kpi_conversion": KPI_CONVERSION,
+    }
+)
