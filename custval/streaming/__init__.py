@@ -1,0 +1,7 @@
+"""Streaming: nothing to build.
+
+The analyses read bounded tables, and the quantile scores of RFM and CLV are
+defined over the complete customer table, so there is no incremental form to
+offer.  Batch pipelines can be run per micro-batch of a file stream with
+``foreachBatch`` by the caller if ever needed.
+"""
