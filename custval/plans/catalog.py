@@ -16,7 +16,14 @@ from pyspark.sql import functions as F
 from custval.functions.numeric import sig_round
 from custval.operators.clv import clv_base as clv_base_op
 from custval.operators.clv import clv_rates as clv_rates_op
-from custval.operators.profile import describe, distinct_counts, null_counts, value_counts
+from custval.operators.order_stats import global_rank
+from custval.operators.profile import (
+    describe,
+    distinct_counts,
+    distinct_values,
+    null_counts,
+    value_counts,
+)
 from custval.operators.reports import group_report, invoice_totals as invoice_totals_op, top_k
 from custval.operators.rfm import segment_ids, segment_report, with_line_total
 from custval.operators.filters import keep_value_or_no_orders
@@ -126,6 +133,14 @@ def distinct_count_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def frequency_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unique ascending rank behind the frequency score (ties by customer)."""
+    rfm = rfm_retail(invoice_lines(spark, sf_dir))
+    return global_rank(
+        rfm.select("customer_id", "frequency"), ["frequency", "customer_id"], "frequency_rank"
+    )
+
+
 def segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return value_counts(rfm_retail(invoice_lines(spark, sf_dir)), "segment")
 
@@ -225,6 +240,10 @@ def campaign_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return campaign_targets(rfm, DISCOUNT_CAMPAIGN_SEGMENTS, DISCOUNT_CATEGORIES)
 
 
+def category_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct_values(customer_summary(spark, sf_dir), CATEGORY_COL)
+
+
 def zero_value_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = keep_value_or_no_orders(data_prep(customer_summary(spark, sf_dir)))
     return kept.select("master_id", "order_num_total", "customer_value_total")
@@ -337,6 +356,11 @@ def sub_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_top_segment(segmented)
 
 
+def omni_clv_segment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segmented = sub_segments(spark, sf_dir)
+    return rounded(group_report(segmented, "clv_segment", ["clv"], ("count", "mean")))
+
+
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers per transaction count: observed vs expected under the model."""
     inputs = _retail_inputs(spark, sf_dir)
@@ -445,6 +469,7 @@ QUERIES: dict[str, Query] = {
     "numeric_summary": numeric_summary,
     "distinct_counts": distinct_count_profile,
     "segment_counts": segment_counts,
+    "frequency_ranks": frequency_ranks,
     "clv_base": clv_base,
     "clv_rates": clv_rates,
     "clv_formula": clv_formula,
@@ -460,6 +485,7 @@ QUERIES: dict[str, Query] = {
     "campaign_brand": campaign_brand,
     "campaign_discount": campaign_discount,
     "zero_value_filter": zero_value_filter,
+    "category_values": category_values,
     "caps_upper": caps_upper,
     "caps_both_rounded": caps_both_rounded,
     "omni_capped": omni_capped,
@@ -470,6 +496,7 @@ QUERIES: dict[str, Query] = {
     "clv_discounted": clv_discounted,
     "expected_total": expected_total,
     "sub_segments": sub_segments,
+    "omni_clv_segment_report": omni_clv_segment_report,
     "calibration": calibration,
     "bgnbd_fit": bgnbd_fit,
     "gg_fit": gg_fit,

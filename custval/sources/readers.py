@@ -53,7 +53,7 @@ def read_invoices(
     paths = [paths] if isinstance(paths, str) else list(paths)
     reader = spark.read.schema(INVOICE_SCHEMA)
     if fmt == "csv":
-        return reader.option("header", header).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(paths)
+        return reader.option("header", header).csv(paths)
     return reader.format(fmt).load(paths)
 
 

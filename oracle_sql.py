@@ -731,3 +731,19 @@ ORACLE.update(
         "kpi_conversion": KPI_CONVERSION,
     }
 )
+
+
+ORACLE.update(
+    {
+        "frequency_ranks": RFM_METRICS
+        + """ SELECT customer_id, frequency,
+               row_number() OVER (ORDER BY frequency, customer_id) AS frequency_rank FROM metrics""",
+        "category_values": "WITH " + CUSTOMER_SUMMARY
+        + " SELECT DISTINCT interested_in_categories_12 FROM summary",
+        "omni_clv_segment_report": "SELECT clv_segment, count(clv) AS clv_count, "
+        + sig(exact_mean("clv"))
+        + " AS clv_mean FROM ("
+        + SUB_SEGMENTS
+        + ") GROUP BY clv_segment",
+    }
+)
