@@ -128,23 +128,24 @@ def probability_of_n_purchases(
     return term + F.lit(second) * (F.lit(1.0) - F.pow(p_alpha, F.lit(r)) * partial)
 
 
-def check_inputs(df: DataFrame, frequency: str, recency: str, T: str) -> int:
-    """Validate in one pass; returns the row count."""
+def check_inputs(df: DataFrame, frequency: str, recency: str, T: str):
+    """Validate in one pass; returns the row with the count and max(T)."""
     x, tx, age = F.col(frequency), F.col(recency), F.col(T)
     row = df.agg(
         F.count("*").alias("n"),
+        F.max(age).alias("max_t"),
         F.count_if(x.isNull() | tx.isNull() | age.isNull()).alias("nulls"),
         F.count_if(tx > age).alias("recency_after_T"),
         F.count_if(x != F.floor(x)).alias("non_integer"),
         F.count_if(x < 0).alias("negative"),
         F.count_if((x == 0) & (tx != 0)).alias("recency_without_repeat"),
-    ).first()
+    ).collect()[0]
     problems = {k: row[k] for k in ("nulls", "recency_after_T", "non_integer", "negative", "recency_without_repeat") if row[k]}
     if problems:
         raise ValueError(f"invalid BG/NBD inputs: {problems}")
     if row["n"] == 0:
         raise ValueError("no customers to fit")
-    return row["n"]
+    return row
 
 
 def sql_double(v: float) -> str:
@@ -207,9 +208,7 @@ def fit_bgnbd(
     max_iter: int = 200,
 ) -> FitResult:
     """Maximum-likelihood BG/NBD parameters (penalised), fitted with Spark aggregates."""
-    check_inputs(df, frequency, recency, T)
-    max_t = df.agg(F.max(T).alias("m")).first()["m"]
-    scale = 1.0 / max_t
+    scale = 1.0 / check_inputs(df, frequency, recency, T)["max_t"]
     grouped = materialize(
         df.select(
             F.col(frequency).cast("double").alias("x"),
@@ -231,7 +230,7 @@ def fit_bgnbd(
             for k, p in enumerate(params)
             for j, term in enumerate(_row_terms(p))
         ]
-        row = grouped.selectExpr(*aggs).first()
+        row = grouped.selectExpr(*aggs).collect()[0]
         out = []
         for k, (p, th) in enumerate(zip(params, thetas)):
             xll, xgrad = _x_terms(p, hist)

@@ -57,7 +57,7 @@ def clv_rates(base: DataFrame) -> DataFrame:
 
 def clv_formula(base: DataFrame, profit: float = 0.10) -> DataFrame:
     """Add the CLV columns to a :func:`clv_base` table."""
-    rates = clv_rates(base).first()
+    rates = clv_rates(base).collect()[0]
     n = rates["n_customers"]
     churn = rates["churn_rate"] if n else None
     aov = safe_ratio("total_price", "total_transaction")

@@ -51,15 +51,19 @@ def expected_average_profit(params: GammaGammaParams, frequency: Column | str, m
     return (F.lit(1.0) - weight) * population_mean + weight * m
 
 
-def check_inputs(df: DataFrame, frequency: str, monetary: str) -> None:
-    x, m = F.col(frequency), F.col(monetary)
+def check_inputs(df: DataFrame, frequency: str, monetary: str):
+    """Validate in one pass; also returns the parameter-free sums of the likelihood."""
+    x, m = F.col(frequency).cast("double"), F.col(monetary).cast("double")
     row = df.agg(
         F.count("*").alias("n"),
+        F.sum(F.log(m)).alias("ln_m"),
+        F.sum(x * F.log(m)).alias("x_ln_m"),
+        F.sum(x * F.log(x)).alias("x_ln_x"),
         F.count_if(x.isNull() | m.isNull()).alias("nulls"),
         F.count_if(m <= 0).alias("non_positive_monetary"),
         F.count_if(x <= 0).alias("non_positive_frequency"),
         F.count_if(x != F.floor(x)).alias("non_integer"),
-    ).first()
+    ).collect()[0]
     problems = {
         k: row[k]
         for k in ("nulls", "non_positive_monetary", "non_positive_frequency", "non_integer")
@@ -69,6 +73,7 @@ def check_inputs(df: DataFrame, frequency: str, monetary: str) -> None:
         raise ValueError(f"invalid Gamma-Gamma inputs: {problems}")
     if row["n"] == 0:
         raise ValueError("no customers to fit")
+    return row
 
 
 def fit_gamma_gamma(
@@ -79,20 +84,13 @@ def fit_gamma_gamma(
     tol: float = 1e-7,
     max_iter: int = 200,
 ) -> FitResult:
-    check_inputs(df, frequency, monetary)
+    const = check_inputs(df, frequency, monetary)
     data = df.select(
         F.col(frequency).cast("double").alias("x"), F.col(monetary).cast("double").alias("m")
     )
     # one row per distinct frequency
     hist = [(r["x"], r["w"]) for r in data.groupBy("x").agg(F.count("*").cast("double").alias("w")).collect()]
     total_w = sum(w for _, w in hist)
-    x, m = F.col("x"), F.col("m")
-    # parameter-free row sums, computed once
-    const = data.agg(
-        F.sum(F.log(m)).alias("ln_m"),
-        F.sum(x * F.log(m)).alias("x_ln_m"),
-        F.sum(x * F.log(x)).alias("x_ln_x"),
-    ).first()
 
     def evaluate(thetas):
         params = [GammaGammaParams(*np.exp(th)) for th in thetas]
@@ -106,7 +104,7 @@ def fit_gamma_gamma(
                 f"sum({ln_xmv}) AS c{k}",
                 f"sum(({p} * x + {q}) / (x * m + {v})) AS d{k}",
             ]
-        row = data.selectExpr(*aggs).first()
+        row = data.selectExpr(*aggs).collect()[0]
         out = []
         for k, (pr, th) in enumerate(zip(params, thetas)):
             p, q, v = pr.p, pr.q, pr.v

@@ -50,7 +50,7 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, key: str | None =
             F.min(x).alias(f"min{i}"),
             F.max(x).alias(f"max{i}"),
         ]
-    moments = df.agg(*aggs).first()
+    moments = df.agg(*aggs).collect()[0]
     quartiles = quantiles_many(df, [(c, [0.25, 0.5, 0.75]) for c in cols], key)
     rows = []
     for i, c in enumerate(cols):
@@ -97,4 +97,4 @@ def value_counts(df: DataFrame, col: str, out: str = "count") -> DataFrame:
 
 
 def latest(df: DataFrame, col: str):
-    return df.agg(F.max(col).alias("m")).first()["m"]
+    return df.agg(F.max(col).alias("m")).collect()[0]["m"]

@@ -131,7 +131,7 @@ def quantiles_many(
     base, tie = _tie_frame(df, key)
     counts = base.agg(
         *[F.count_if(_valid(df, c)).alias(f"n{i}") for i, (c, _) in enumerate(requests)]
-    ).first()
+    ).collect()[0]
     plans, position_requests = [], []
     for i, (c, probs) in enumerate(requests):
         n = counts[f"n{i}"]
@@ -193,7 +193,7 @@ def qcut_many(
     base, tie = _tie_frame(df, key)
     counts = base.agg(
         *[F.count_if(_valid(df, c.col)).alias(f"n{i}") for i, c in enumerate(cuts)]
-    ).first()
+    ).collect()[0]
     probs = {c.q: np.linspace(0, 1, c.q + 1) for c in cuts}
     plans, position_requests = [], []
     for i, c in enumerate(cuts):

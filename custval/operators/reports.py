@@ -78,7 +78,7 @@ def invoice_bill(
     row = (
         lines.filter(F.col(invoice) == F.lit(invoice_no))
         .agg(F.bround(F.sum(F.col(quantity) * F.col(price)), 2).alias("bill"))
-        .first()
+        .collect()[0]
     )
     return row["bill"] if row["bill"] is not None else 0.0
 
