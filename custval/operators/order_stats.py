@@ -67,6 +67,7 @@ class PositionRequest:
     positions: list[int]
     n: int
     value_only: bool = False  # only order_cols[0] is needed in the result
+    approx_distinct: int | None = None  # of order_cols[0], if already known
 
 
 def _ranged(df: DataFrame, order_cols: list[str], parts: int) -> DataFrame:
@@ -121,16 +122,20 @@ def fetch_positions(
         if r.positions and partitions_for(r.n, rows_per_partition) > 1 and limit > 0
     ]
     if large:
-        approx = reduce(
-            DataFrame.unionByName,
-            [
-                requests[i]
-                .df.agg(F.approx_count_distinct(requests[i].order_cols[0]).alias("d"))
-                .withColumn("req", F.lit(i))
-                for i in large
-            ],
-        ).collect()
-        few = [row["req"] for row in approx if row["d"] <= limit]
+        unknown = [i for i in large if requests[i].approx_distinct is None]
+        distinct = {i: requests[i].approx_distinct for i in large if i not in unknown}
+        if unknown:
+            approx = reduce(
+                DataFrame.unionByName,
+                [
+                    requests[i]
+                    .df.agg(F.approx_count_distinct(requests[i].order_cols[0]).alias("d"))
+                    .withColumn("req", F.lit(i))
+                    for i in unknown
+                ],
+            ).collect()
+            distinct.update({row["req"]: row["d"] for row in approx})
+        few = [i for i in large if distinct[i] <= limit]
         hist = _histograms([requests[i] for i in few], limit)
         for i, h in zip(few, hist):
             if h is not None:

@@ -111,6 +111,17 @@ def bin_column(x: Column, cuts: list, labels: list, greater) -> Column:
     return last if expr is None else expr.otherwise(last)
 
 
+def _counts(base: DataFrame, df: DataFrame, cols: list[str]):
+    """Non-null counts and approximate distinct counts of several columns, one job."""
+    aggs = []
+    for i, c in enumerate(cols):
+        aggs += [
+            F.count_if(_valid(df, c)).alias(f"n{i}"),
+            F.approx_count_distinct(F.col(c)).alias(f"d{i}"),
+        ]
+    return base.agg(*aggs).collect()[0]
+
+
 def _tie_frame(df: DataFrame, key: str | None) -> tuple[DataFrame, str]:
     if key is not None:
         return df, key
@@ -129,9 +140,7 @@ def quantiles_many(
     ``key`` (a unique column) breaks ties so range partitions stay balanced.
     """
     base, tie = _tie_frame(df, key)
-    counts = base.agg(
-        *[F.count_if(_valid(df, c)).alias(f"n{i}") for i, (c, _) in enumerate(requests)]
-    ).collect()[0]
+    counts = _counts(base, df, [c for c, _ in requests])
     plans, position_requests = [], []
     for i, (c, probs) in enumerate(requests):
         n = counts[f"n{i}"]
@@ -139,7 +148,9 @@ def quantiles_many(
         plans.append(points)
         needed = sorted({j for a, b, _ in points for j in (a, b)})
         values = base.filter(_valid(df, c)).select(c, tie)
-        position_requests.append(PositionRequest(values, [c, tie], needed, n, value_only=True))
+        position_requests.append(
+            PositionRequest(values, [c, tie], needed, n, True, counts[f"d{i}"])
+        )
     stats = fetch_positions(position_requests, rows_per_partition)
     out = []
     for (c, probs), points, st in zip(requests, plans, stats):
@@ -191,9 +202,7 @@ def qcut_many(
     if any(c.by_rank for c in cuts) and key is None:
         raise ValueError("rank cuts need a unique key column")
     base, tie = _tie_frame(df, key)
-    counts = base.agg(
-        *[F.count_if(_valid(df, c.col)).alias(f"n{i}") for i, c in enumerate(cuts)]
-    ).collect()[0]
+    counts = _counts(base, df, [c.col for c in cuts])
     probs = {c.q: np.linspace(0, 1, c.q + 1) for c in cuts}
     plans, position_requests = [], []
     for i, c in enumerate(cuts):
@@ -214,7 +223,7 @@ def qcut_many(
             plans.append((points, None, needed))
         values = base.filter(_valid(df, c.col)).select(c.col, tie)
         position_requests.append(
-            PositionRequest(values, [c.col, tie], needed, n, value_only=not c.by_rank)
+            PositionRequest(values, [c.col, tie], needed, n, not c.by_rank, counts[f"d{i}"])
         )
     stats = iter(fetch_positions(position_requests, rows_per_partition))
 
