@@ -76,6 +76,76 @@ def check_inputs(df: DataFrame, frequency: str, monetary: str):
     return row
 
 
+# Warm start: mean values binned on a 1/64 grid of ln(m) per frequency; fitted on
+# the driver when the summary has at most this many rows.
+WARM_START_LOG_BINS = 64
+WARM_START_MAX_ROWS = 100_000
+
+
+def _objective(theta, pr: GammaGammaParams, sums, const, hist, total_w, penalizer):
+    """Penalised mean negative log-likelihood and gradient in log parameters.
+
+    ``sums`` = (a, b, c, d): the weighted row sums of (px+q) ln(xm+v),
+    x ln(xm+v), ln(xm+v) and (px+q)/(xm+v); ``const`` the parameter-free sums.
+    """
+    p, q, v = pr.p, pr.q, pr.v
+    a, b, c, d = sums
+    ll = p * const["x_ln_m"] - const["ln_m"] + p * const["x_ln_x"] - a
+    ll += total_w * (q * math.log(v) - math.lgamma(q))
+    gp = const["x_ln_m"] + const["x_ln_x"] - b
+    gq = -c + total_w * (math.log(v) - digamma(q))
+    gv = total_w * q / v - d
+    for xv, w in hist:
+        ll += w * (math.lgamma(p * xv + q) - math.lgamma(p * xv))
+        gp += w * xv * (digamma(p * xv + q) - digamma(p * xv))
+        gq += w * digamma(p * xv + q)
+    pv = np.exp(theta)
+    f = -ll / total_w + penalizer * float(np.sum(pv**2))
+    g = (-np.array([gp, gq, gv]) / total_w + 2 * penalizer * pv) * pv
+    return (f if math.isfinite(f) else math.inf, g)
+
+
+def _warm_start(data: DataFrame, hist, total_w, penalizer):
+    start = np.full(3, 0.1)
+    bins = float(WARM_START_LOG_BINS)
+    coarse = (
+        data.groupBy("x", F.round(F.log("m") * bins).alias("lm"))
+        .agg(F.count("*").cast("double").alias("w"))
+        .limit(WARM_START_MAX_ROWS + 1)
+        .collect()
+    )
+    if len(coarse) > WARM_START_MAX_ROWS:
+        return start, None
+    x = np.array([r["x"] for r in coarse], dtype=float)
+    m = np.exp(np.array([r["lm"] for r in coarse], dtype=float) / bins)
+    w = np.array([r["w"] for r in coarse], dtype=float)
+    const = {
+        "ln_m": float(np.sum(w * np.log(m))),
+        "x_ln_m": float(np.sum(w * x * np.log(m))),
+        "x_ln_x": float(np.sum(w * x * np.log(x))),
+    }
+
+    def evaluate(thetas):
+        out = []
+        for th in thetas:
+            pr = GammaGammaParams(*np.exp(th))
+            with np.errstate(all="ignore"):
+                ln_xmv = np.log(x * m + pr.v)
+                sums = (
+                    float(np.sum(w * (pr.p * x + pr.q) * ln_xmv)),
+                    float(np.sum(w * x * ln_xmv)),
+                    float(np.sum(w * ln_xmv)),
+                    float(np.sum(w * (pr.p * x + pr.q) / (x * m + pr.v))),
+                )
+            out.append(_objective(th, pr, sums, const, hist, total_w, penalizer))
+        return out
+
+    res = bfgs(evaluate, start, gtol=1e-5, max_iter=500)
+    if not np.all(np.isfinite(res.x)):
+        return start, None
+    return res.x, res.inverse_hessian
+
+
 def fit_gamma_gamma(
     df: DataFrame,
     frequency: str = "frequency",
@@ -83,7 +153,13 @@ def fit_gamma_gamma(
     penalizer: float = 0.01,
     tol: float = 1e-7,
     max_iter: int = 200,
+    warm_start: bool = True,
 ) -> FitResult:
+    """Penalised maximum-likelihood Gamma-Gamma parameters via Spark aggregates.
+
+    ``warm_start`` starts from a fit to a bounded coarse summary (see
+    :data:`WARM_START_MAX_ROWS`); the optimum reached is that of the full data.
+    """
     const = check_inputs(df, frequency, monetary)
     data = df.select(
         F.col(frequency).cast("double").alias("x"), F.col(monetary).cast("double").alias("m")
@@ -105,25 +181,17 @@ def fit_gamma_gamma(
                 f"sum(({p} * x + {q}) / (x * m + {v})) AS d{k}",
             ]
         row = data.selectExpr(*aggs).collect()[0]
-        out = []
-        for k, (pr, th) in enumerate(zip(params, thetas)):
-            p, q, v = pr.p, pr.q, pr.v
-            ll = p * const["x_ln_m"] - const["ln_m"] + p * const["x_ln_x"] - row[f"a{k}"]
-            ll += total_w * (q * math.log(v) - math.lgamma(q))
-            gp = const["x_ln_m"] + const["x_ln_x"] - row[f"b{k}"]
-            gq = -row[f"c{k}"] + total_w * (math.log(v) - digamma(q))
-            gv = total_w * q / v - row[f"d{k}"]
-            for xv, w in hist:
-                ll += w * (math.lgamma(p * xv + q) - math.lgamma(p * xv))
-                gp += w * xv * (digamma(p * xv + q) - digamma(p * xv))
-                gq += w * digamma(p * xv + q)
-            pv = np.exp(th)
-            f = -ll / total_w + penalizer * float(np.sum(pv**2))
-            g = (-np.array([gp, gq, gv]) / total_w + 2 * penalizer * pv) * pv
-            out.append((f if math.isfinite(f) else math.inf, g))
-        return out
-
-    res = bfgs(evaluate, np.full(3, 0.1), gtol=tol, max_iter=max_iter)
+        return [
+            _objective(
+                th, pr, tuple(row[f"{c}{k}"] for c in "abcd"), const, hist, total_w, penalizer
+            )
+            for k, (pr, th) in enumerate(zip(params, thetas))
+        ]
+
+    start, h0 = (np.full(3, 0.1), None)
+    if warm_start:
+        start, h0 = _warm_start(data, hist, total_w, penalizer)
+    res = bfgs(evaluate, start, gtol=tol, max_iter=max_iter, h0=h0)
     p, q, v = np.exp(res.x)
     return FitResult(GammaGammaParams(float(p), float(q), float(v)), res.fun, res.iterations, res.converged)
 

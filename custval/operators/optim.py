@@ -36,6 +36,7 @@ class OptimResult:
     grad: np.ndarray
     iterations: int
     converged: bool
+    inverse_hessian: np.ndarray | None = None
 
 
 STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 1e-3, 1e-4, 1e-6)
@@ -46,6 +47,7 @@ def bfgs(
     x0: Sequence[float],
     gtol: float = 1e-7,
     max_iter: int = 200,
+    h0: np.ndarray | None = None,
 ) -> OptimResult:
     """Minimise with BFGS; ``evaluate`` maps a list of points to (f, grad) pairs.
 
@@ -54,12 +56,13 @@ def bfgs(
     """
     x = np.asarray(x0, dtype=float)
     f, g = evaluate([x])[0]
-    h = np.eye(len(x))
+    h = np.eye(len(x)) if h0 is None else np.array(h0, dtype=float)
+    scale_first = h0 is None
     for it in range(1, max_iter + 1):
         if not np.all(np.isfinite(g)):
-            return OptimResult(x, f, g, it - 1, False)
+            return OptimResult(x, f, g, it - 1, False, h)
         if np.max(np.abs(g)) < gtol:
-            return OptimResult(x, f, g, it - 1, True)
+            return OptimResult(x, f, g, it - 1, True, h)
         p = -h @ g
         slope = float(g @ p)
         if slope >= 0:
@@ -78,18 +81,18 @@ def bfgs(
                 break
         if chosen is None:
             # no step decreases f: converged as far as floating point allows
-            return OptimResult(x, f, g, it, bool(np.max(np.abs(g)) < 1e3 * gtol))
+            return OptimResult(x, f, g, it, bool(np.max(np.abs(g)) < 1e3 * gtol), h)
         x_new, f_new, g_new = chosen
         s_vec, y_vec = x_new - x, g_new - g
         sy = float(s_vec @ y_vec)
         if sy > 1e-12:
-            if it == 1:
+            if it == 1 and scale_first:
                 h = np.eye(len(x)) * (sy / float(y_vec @ y_vec))
             rho = 1.0 / sy
             eye = np.eye(len(x))
             h = (eye - rho * np.outer(s_vec, y_vec)) @ h @ (eye - rho * np.outer(y_vec, s_vec))
             h += rho * np.outer(s_vec, s_vec)
         if abs(f - f_new) <= 1e-15 * max(1.0, abs(f)) and np.max(np.abs(g_new)) < 1e3 * gtol:
-            return OptimResult(x_new, f_new, g_new, it, True)
+            return OptimResult(x_new, f_new, g_new, it, True, h)
         x, f, g = x_new, f_new, g_new
-    return OptimResult(x, f, g, max_iter, bool(np.max(np.abs(g)) < gtol))
+    return OptimResult(x, f, g, max_iter, bool(np.max(np.abs(g)) < gtol), h)
