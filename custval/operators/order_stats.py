@@ -111,16 +111,22 @@ def fetch_positions(
 
     Requests that fit one partition are sorted in one task; larger ones use the
     value histogram when the leading column has few distinct values, else the
-    range-partitioned path.  With ``value_only`` the tie columns of the result
+    range-partitioned path.  Value-only requests whose column repeats a lot
+    (distinct values at most 1/8 of the rows) use the histogram at any size.  With ``value_only`` the tie columns of the result
     are None.
     """
     limit = HISTOGRAM_LIMIT if histogram_limit is None else histogram_limit
     results: list[dict[int, tuple] | None] = [None] * len(requests)
-    large = [
-        i
-        for i, r in enumerate(requests)
-        if r.positions and partitions_for(r.n, rows_per_partition) > 1 and limit > 0
-    ]
+
+    def histogram_candidate(r: PositionRequest) -> bool:
+        if not r.positions or limit <= 0:
+            return False
+        if partitions_for(r.n, rows_per_partition) > 1:
+            return True
+        # one partition: a histogram still beats sorting when values repeat a lot
+        return r.value_only and r.approx_distinct is not None and r.approx_distinct * 8 <= r.n
+
+    large = [i for i, r in enumerate(requests) if histogram_candidate(r)]
     if large:
         unknown = [i for i in large if requests[i].approx_distinct is None]
         distinct = {i: requests[i].approx_distinct for i in large if i not in unknown}
