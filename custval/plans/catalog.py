@@ -127,6 +127,22 @@ def numeric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(describe(rfm, ["recency", "frequency", "monetary"], key="customer_id"))
 
 
+def latest_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest invoice date and latest order date of the summary (as text)."""
+    none = F.lit(None).cast("timestamp_ntz")
+    lines = invoice_lines(spark, sf_dir).select(F.col("InvoiceDate").alias("i"), none.alias("o"))
+    orders = customer_summary(spark, sf_dir).select(none.alias("i"), F.col("last_order_date").alias("o"))
+    both = lines.unionByName(orders).agg(
+        F.max("i").alias("latest_invoice_date"), F.max("o").alias("latest_order_date")
+    )
+    return _dates_as_text(both)
+
+
+def table_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = invoice_lines(spark, sf_dir)
+    return lines.agg(F.count("*").alias("rows")).withColumn("columns", F.lit(len(lines.columns)))
+
+
 def distinct_count_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_counts(
         invoice_lines(spark, sf_dir), ["Invoice", "StockCode", "Description", "Customer ID"]
@@ -468,6 +484,8 @@ QUERIES: dict[str, Query] = {
     "null_profile": null_profile,
     "numeric_summary": numeric_summary,
     "distinct_counts": distinct_count_profile,
+    "latest_dates": latest_dates,
+    "table_shape": table_shape,
     "segment_counts": segment_counts,
     "frequency_ranks": frequency_ranks,
     "clv_base": clv_base,

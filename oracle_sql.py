@@ -747,3 +747,18 @@ ORACLE.update(
         + ") GROUP BY clv_segment",
     }
 )
+
+
+ORACLE.update(
+    {
+        "latest_dates": "WITH "
+        + INVOICE_LINES
+        + ", "
+        + CUSTOMER_SUMMARY
+        + """ SELECT CAST((SELECT max("InvoiceDate") FROM invoice_lines) AS VARCHAR) AS latest_invoice_date,
+                 CAST((SELECT max(last_order_date) FROM summary) AS VARCHAR) AS latest_order_date""",
+        "table_shape": "WITH "
+        + INVOICE_LINES
+        + " SELECT count(*) AS rows, 8 AS columns FROM invoice_lines",
+    }
+)
