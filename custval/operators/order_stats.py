@@ -304,13 +304,14 @@ def global_rank(
 
     The same result as ``row_number().over(Window.orderBy(*order_cols))`` but
     executed as one range shuffle plus a join with a one-row-per-partition
-    offset table.  ``order_cols`` must be a total order.  The ranked table
-    stays persisted for the lifetime of the returned DataFrame.
+    offset table.  ``order_cols`` must be a total order.  The numbered table is
+    written to the checkpoint folder, so the positions are fixed data.
     """
+    from custval.session import materialize
+
     spark = df.sparkSession
     n = df.count()
-    ranked = _ranged(df, order_cols, partitions_for(n, rows_per_partition))
-    ranked = ranked.persist(StorageLevel.MEMORY_AND_DISK)
+    ranked = materialize(_ranged(df, order_cols, partitions_for(n, rows_per_partition)), "ranked")
     sizes = ranked.groupBy(_pid().alias("pid")).agg(F.count("*").alias("n")).collect()
     starts, total = [], 0
     for row in sorted(sizes, key=lambda r: r["pid"]):

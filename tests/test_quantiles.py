@@ -129,3 +129,26 @@ def test_rows_at_positions_and_global_rank(spark):
     ranked = global_rank(df, ["x", "k"], "rank", rows_per_partition=30)
     ranks = {r["k"]: r["rank"] for r in ranked.collect()}
     assert all(ranks[k] == pos + 1 for pos, k in enumerate(order))
+
+
+def test_hot_value_spreads_over_range_partitions(spark):
+    """A value held by a third of the rows must not land in one partition."""
+    from pyspark.sql import functions as F
+
+    from custval.operators.order_stats import _ranged
+
+    n = 3000
+    df = spark.range(n).select(
+        F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise(F.rand(3)).alias("x")
+    )
+    ranked = _ranged(df, ["x", "k"], 10)
+    sizes = [r["c"] for r in ranked.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("c")).collect()]
+    assert max(sizes) < n / 5  # 1000 tied rows split over several partitions
+
+
+def test_rank_cut_with_hot_value(spark):
+    rng = np.random.default_rng(21)
+    values = np.where(rng.random(900) < 0.34, 1.0, rng.integers(2, 30, size=900).astype(float))
+    out = qcut_rank_first(_frame(spark, values), "x", 5, "k", out="b", rows_per_partition=60)
+    expected = pd.qcut(pd.Series(values).rank(method="first"), 5, labels=False) + 1
+    assert _bins(out) == expected.tolist()
