@@ -13,10 +13,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from custval.functions.dates import days_between, ntz_literal
 from custval.functions.numeric import sig_round
+from custval.functions.segments import BRAND_CAMPAIGN_SEGMENTS, DISCOUNT_CAMPAIGN_SEGMENTS
+from custval.operators.bgnbd import BetaGeoParams, fit_bgnbd, probability_of_n_purchases
 from custval.operators.clv import clv_base as clv_base_op
 from custval.operators.clv import clv_rates as clv_rates_op
+from custval.operators.filters import keep_value_or_no_orders
+from custval.operators.gammagamma import (
+    GammaGammaParams,
+    discounted_clv,
+    expected_average_profit,
+    fit_gamma_gamma,
+)
+from custval.operators.kpi import acquisition, conversion, retention
 from custval.operators.order_stats import global_rank
+from custval.operators.outliers import cap_both_rounded, outlier_thresholds
 from custval.operators.profile import (
     describe,
     distinct_counts,
@@ -24,24 +36,11 @@ from custval.operators.profile import (
     null_counts,
     value_counts,
 )
-from custval.operators.reports import group_report, invoice_totals as invoice_totals_op, top_k
+from custval.operators.quantiles import qcut
+from custval.operators.reports import channel_rollup, exact_sum, group_report, top_k
+from custval.operators.reports import invoice_totals as invoice_totals_op
 from custval.operators.rfm import segment_ids, segment_report, with_line_total
-from custval.operators.filters import keep_value_or_no_orders
-from custval.operators.outliers import cap_both_rounded, outlier_thresholds
-from custval.operators.reports import channel_rollup
-from custval.plans.omni import CATEGORY_COL, campaign_targets, data_prep, rfm_omni
-from custval.plans.retail import (
-    clv_formula_retail,
-    clv_prepared_lines,
-    model_inputs_retail,
-    model_lines,
-    rfm_retail,
-)
-from custval.functions.segments import BRAND_CAMPAIGN_SEGMENTS, DISCOUNT_CAMPAIGN_SEGMENTS
-from custval.operators.bgnbd import BetaGeoParams, probability_of_n_purchases
-from custval.operators.gammagamma import GammaGammaParams, discounted_clv, expected_average_profit
-from custval.operators.reports import exact_sum
-from custval.plans.omni import model_inputs_omni
+from custval.plans.omni import CATEGORY_COL, campaign_targets, data_prep, model_inputs_omni, rfm_omni
 from custval.plans.predict import (
     OMNI_COLS,
     OMNI_HORIZONS,
@@ -52,14 +51,15 @@ from custval.plans.predict import (
     score_customers,
     split_top_segment,
 )
-from custval.operators.bgnbd import fit_bgnbd
-from custval.operators.gammagamma import fit_gamma_gamma
-from custval.operators.quantiles import qcut
-from custval.functions.dates import days_between, ntz_literal
-from custval.operators.kpi import acquisition, conversion, retention
+from custval.plans.retail import (
+    clv_formula_retail,
+    clv_prepared_lines,
+    model_inputs_retail,
+    model_lines,
+    rfm_retail,
+)
 from custval.session import materialize
-from custval.sources.tables import default_analysis_date, read_table
-from custval.sources.tables import customer_summary, invoice_lines
+from custval.sources.tables import customer_summary, default_analysis_date, invoice_lines, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 SIG_DIGITS = 10

@@ -506,8 +506,6 @@ def clv_sql(months: int, x: str, tx: str, age: str, m: str, rate: float = 0.01)
 
 
 def pmf_sql(n: int, t: str) -> str:
-    import math
-
     r, alpha, a, b = BG["r"], BG["alpha"], BG["a"], BG["b"]
 
     def lbeta(p, q):
