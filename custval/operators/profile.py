@@ -76,9 +76,14 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, key: str | None =
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column_name, distinct_count), nulls not counted."""
-    aggs = [F.count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)]
+def distinct_counts(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
+    """(column_name, distinct_count), nulls not counted.
+
+    Exact counts shuffle each column's distinct values; ``approx=True`` uses
+    HyperLogLog sketches instead (one pass, partial aggregation only).
+    """
+    count = F.approx_count_distinct if approx else F.count_distinct
+    aggs = [count(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)]
     return _stack(df.agg(*aggs), list(cols), [f"d{i}" for i in range(len(cols))], "distinct_count")
 
 

@@ -14,6 +14,7 @@ from custval.operators.quantiles import qcut
 from custval.functions.dates import days_between, ntz_literal
 from custval.operators.rfm import customer_activity, rfm_scores, with_line_total, with_recency
 from custval.session import materialize
+from custval.sources.sinks import write_table
 from custval.sources.tables import default_analysis_date
 
 
@@ -23,8 +24,9 @@ def rfm_retail(
     keep_scores: bool = True,
     mapping: dict[str, str] | None = None,
     rows_per_partition: int | None = None,
+    output_path: str | None = None,
 ) -> DataFrame:
-    """RFM segments from invoice lines.
+    """RFM segments from invoice lines (written as CSV too when ``output_path`` is set).
 
     line total -> drop rows with any null -> drop cancelled invoices ->
     per-customer metrics -> keep monetary > 0 -> scores -> segment.
@@ -36,10 +38,12 @@ def rfm_retail(
     if analysis_date is None:
         analysis_date = default_analysis_date(activity, "last_date")
     metrics = with_recency(activity, analysis_date).filter("monetary > 0")
-    scored = rfm_scores(metrics, rows_per_partition=rows_per_partition)
-    if keep_scores:
-        return scored
-    return scored.select("customer_id", "recency", "frequency", "monetary", "segment")
+    scored = rfm_scores(metrics, mapping=mapping, rows_per_partition=rows_per_partition)
+    if not keep_scores:
+        scored = scored.select("customer_id", "recency", "frequency", "monetary", "segment")
+    if output_path is not None:
+        write_table(scored, output_path, "csv")
+    return scored
 
 
 CLV_LABELS = ("D", "C", "B", "A")
