@@ -112,3 +112,18 @@ def test_sig_round_matches_python(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     got = [r[0] for r in df.select(sig_round(F.col("x"), 6)).collect()]
     assert got == [123457.0, 0.000123457, -98765.4, 0.0]
+
+
+def test_floor_days_ignores_session_time_zone(spark):
+    """Whole days are wall-clock days, also across a daylight-saving change."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = spark.sql(
+            "SELECT TIMESTAMP_NTZ'2001-03-31 12:00:00' AS a, TIMESTAMP_NTZ'2001-04-01 12:00:00' AS b "
+            "UNION ALL SELECT TIMESTAMP_NTZ'2001-04-01 01:30:00', TIMESTAMP_NTZ'2001-04-02 01:00:00' "
+            "UNION ALL SELECT TIMESTAMP_NTZ'2001-10-27 12:00:00', TIMESTAMP_NTZ'2001-10-28 12:00:00'"
+        )
+        assert [r[0] for r in df.select(days_between("b", "a")).collect()] == [1, 0, 1]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
