@@ -76,3 +76,18 @@ def test_no_python_udfs_in_pipelines(spark):
     plan = _plan(out)
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert "SinglePartition" not in plan
+
+
+SCALE_PATH = ["rfm_scores", "omni_rfm", "clv_segments", "caps_upper", "numeric_summary", "sub_segments", "frequency_ranks"]
+
+
+@pytest.mark.parametrize("name", SCALE_PATH)
+def test_query_matches_oracle_on_the_multi_partition_path(spark, name, monkeypatch):
+    """Force the range/histogram order-statistics paths (tiny partitions)."""
+    import custval.operators.order_stats as order_stats
+
+    monkeypatch.setattr(order_stats, "ROWS_PER_PARTITION", 40)
+    con = duck(SF_SMALL)
+    got = E.queries()[name](spark, SF_SMALL).toPandas()
+    want = con.execute(E.oracle_sql()[name]).df()
+    assert compare(name, got, want) is None
