@@ -63,10 +63,20 @@ class FitResult:
 def hyp2f1(A: Column, B: Column, C: Column, z: Column) -> Column:
     """Gauss 2F1(A, B; C; z) for 0 <= z < 1 by its power series.
 
-    Each row sums as many terms as its own z needs (z**n below 1e-17).
+    Each row sums as many terms as its own z needs.  The term ratio
+    z (A+n)(B+n) / ((C+n)(n+1)) is at most z K with
+    K = max(1, |A|/C) max(1, |B|), so when zK < 1 the terms fall geometrically
+    and ceil(ln(1e-17) / ln(zK)) + 2 of them leave a tail below 1e-17/(1-zK)
+    (used when C >= 1); otherwise a z-based count with a margin (capped).
     """
-    n_terms = F.when(z <= 0, F.lit(1)).otherwise(
-        F.least(F.lit(MAX_SERIES_TERMS), F.ceil(F.lit(_LN_EPS) / F.log(z)).cast("int") + 40)
+    k = F.greatest(F.lit(1.0), F.abs(A) / C) * F.greatest(F.lit(1.0), F.abs(B))
+    zk = z * k
+    bounded = F.ceil(F.lit(_LN_EPS) / F.log(zk)).cast("int") + 2
+    fallback = F.ceil(F.lit(_LN_EPS) / F.log(z)).cast("int") + 40
+    n_terms = (
+        F.when(z <= 0, F.lit(1))
+        .when((zk < 1) & (C >= 1), F.least(F.lit(MAX_SERIES_TERMS), bounded))
+        .otherwise(F.least(F.lit(MAX_SERIES_TERMS), fallback))
     )
     init = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total"))
 
