@@ -48,7 +48,7 @@ def _direct_expected(p, t, x, tx, T, terms=5000):
 
 
 def test_euler_form_equals_direct_form(spark):
-    cases = [(0.0, 0.0, 10.0, 5.0), (3.0, 8.0, 20.0, 12.0), (12.0, 30.0, 35.0, 26.07)]
+    cases = [(0.0, 0.0, 10.0, 5.0), (3.0, 8.0, 20.0, 12.0), (12.0, 30.0, 35.0, 26.07), (0.0, 0.0, 0.5, 50.0), (4.0, 0.3, 0.5, 50.0)]
     df = spark.createDataFrame([c[:3] + (c[3],) for c in cases], "x double, tx double, T double, horizon double")
     got = [r[0] for r in df.select(expected_purchases(CDNOW, F.col("horizon"), "x", "tx", "T")).collect()]
     for (x, tx, T, t), g in zip(cases, got):
