@@ -246,6 +246,12 @@ def omni_top_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("master_id", "customer_value_total", "order_num_total")
 
 
+def omni_top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared = data_prep(customer_summary(spark, sf_dir))
+    top = top_k(prepared, "order_num_total", 10, "master_id")
+    return top.select("master_id", "order_num_total", "customer_value_total")
+
+
 def campaign_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     rfm = rfm_omni(customer_summary(spark, sf_dir))
     return campaign_targets(rfm, BRAND_CAMPAIGN_SEGMENTS, BRAND_CATEGORIES)
@@ -372,6 +378,22 @@ def sub_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_top_segment(segmented)
 
 
+def top_expected_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 customers with the most expected purchases in 3 months (omni inputs)."""
+    inputs = materialize(model_inputs_omni(customer_summary(spark, sf_dir)), "model_inputs")
+    scored = score_customers(
+        inputs, CDNOW_BGNBD, CDNOW_GAMMA_GAMMA, OMNI_COLS, OMNI_HORIZONS, "exp_average_value", 6
+    )
+    scored = model_rounded(scored.select("customer_id", "exp_sales_3_month"))
+    return top_k(scored, "exp_sales_3_month", 10, "customer_id")
+
+
+def top_expected_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 customers with the highest expected average profit (retail inputs)."""
+    profit = gg_profit(spark, sf_dir)
+    return top_k(profit, "expected_average_profit", 10, "customer_id")
+
+
 def omni_clv_segment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     segmented = sub_segments(spark, sf_dir)
     return rounded(group_report(segmented, "clv_segment", ["clv"], ("count", "mean")))
@@ -500,6 +522,7 @@ QUERIES: dict[str, Query] = {
     "omni_segment_report": omni_segment_report,
     "omni_channel_report": omni_channel_report,
     "omni_top_customers": omni_top_customers,
+    "omni_top_orders": omni_top_orders,
     "campaign_brand": campaign_brand,
     "campaign_discount": campaign_discount,
     "zero_value_filter": zero_value_filter,
@@ -515,6 +538,8 @@ QUERIES: dict[str, Query] = {
     "expected_total": expected_total,
     "sub_segments": sub_segments,
     "omni_clv_segment_report": omni_clv_segment_report,
+    "top_expected_sales": top_expected_sales,
+    "top_expected_profit": top_expected_profit,
     "calibration": calibration,
     "bgnbd_fit": bgnbd_fit,
     "gg_fit": gg_fit,

@@ -760,3 +760,26 @@ ORACLE.update(
         + " SELECT count(*) AS rows, 8 AS columns FROM invoice_lines",
     }
 )
+
+
+ORACLE.update(
+    {
+        "omni_top_orders": "WITH "
+        + CUSTOMER_SUMMARY
+        + """ SELECT master_id, order_num_total, customer_value_total FROM prep
+             ORDER BY order_num_total DESC, master_id LIMIT 10""",
+        "top_expected_sales": OMNI_CAPPED_FULL
+        + f""" SELECT * FROM (
+               SELECT customer_id,
+                      {sig(expected_sql(12.0, "frequency", "recency_clv_weekly", '"T_weekly"'), MODEL_DIGITS)}
+                        AS exp_sales_3_month
+               FROM omni_inputs)
+             ORDER BY exp_sales_3_month DESC, customer_id LIMIT 10""",
+        "top_expected_profit": RETAIL_INPUTS
+        + f""" SELECT * FROM (
+               SELECT customer_id,
+                      {sig(profit_sql('frequency', 'monetary'), MODEL_DIGITS)} AS expected_average_profit
+               FROM inputs)
+             ORDER BY expected_average_profit DESC, customer_id LIMIT 10""",
+    }
+)
