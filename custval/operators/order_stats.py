@@ -190,21 +190,28 @@ def _from_histogram(
         raise ValueError(f"expected {req.n} rows, found {total}")
     col, rest = req.order_cols[0], req.order_cols[1:]
     found: dict[int, tuple] = {}
-    tie_requests, tie_meta = [], []
+    by_group: dict[int, list[int]] = {}
     for p in sorted(set(req.positions)):
         j = bisect.bisect_right(starts, p) - 1
-        value, cnt = hist[j]
         if req.value_only or not rest:
-            found[p] = (value,) + (None,) * len(rest)
+            found[p] = (hist[j][0],) + (None,) * len(rest)
         else:
-            # only this value's tie group is ordered by the remaining columns
-            group = req.df.filter(F.col(col) == F.lit(value))
-            tie_requests.append(PositionRequest(group, rest, [p - starts[j]], cnt))
-            tie_meta.append((p, value))
+            by_group.setdefault(j, []).append(p)
+    # only the tie groups holding wanted positions are ordered by the other columns
+    groups = sorted(by_group)
+    tie_requests = [
+        PositionRequest(
+            req.df.filter(F.col(col) == F.lit(hist[j][0])),
+            rest,
+            [p - starts[j] for p in by_group[j]],
+            hist[j][1],
+        )
+        for j in groups
+    ]
     if tie_requests:
-        tied = fetch_positions(tie_requests, rows_per_partition, limit)
-        for (p, value), res, treq in zip(tie_meta, tied, tie_requests):
-            found[p] = (value,) + res[treq.positions[0]]
+        for j, res in zip(groups, fetch_positions(tie_requests, rows_per_partition, limit)):
+            for p in by_group[j]:
+                found[p] = (hist[j][0],) + res[p - starts[j]]
     return found
 
 
