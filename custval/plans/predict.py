@@ -89,9 +89,16 @@ def clv_predict_retail(lines: DataFrame, months: int = 3) -> Prediction:
 OMNI_COLS = ("frequency", "recency_clv_weekly", "T_weekly", "monetary_clv_avg")
 
 
-def clv_predict_omni(summary: DataFrame, months: int = 6, split_top: bool = False) -> Prediction:
+def clv_predict_omni(
+    summary: DataFrame, months: int = 6, split_top: bool = False, repeat_only: bool = True
+) -> Prediction:
+    """Omnichannel predicted CLV.
+
+    The defaults follow the function form; ``repeat_only=False, split_top=True``
+    follow the script form (no zero-value / frequency filters, A split in two).
+    """
     pred = clv_predict(
-        model_inputs_omni(summary),
+        model_inputs_omni(summary, repeat_only=repeat_only),
         OMNI_COLS,
         OMNI_HORIZONS,
         "exp_average_value",
