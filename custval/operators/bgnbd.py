@@ -245,9 +245,8 @@ def _objective(theta, p: BetaGeoParams, row_ll, row_grad, hist, total_w, penaliz
     return (f if math.isfinite(f) else math.inf, g)
 
 
-def _warm_start(grouped: DataFrame, hist, total_w, penalizer):
-    """(start point, inverse-Hessian estimate) from the coarse summary."""
-    start = np.full(4, 0.1)
+def _coarse_summary(grouped: DataFrame):
+    """Rows of the binned summary, or None when it has more than the cap."""
     bins = float(WARM_START_BINS)
     coarse = (
         grouped.groupBy(
@@ -259,8 +258,12 @@ def _warm_start(grouped: DataFrame, hist, total_w, penalizer):
         .limit(WARM_START_MAX_ROWS + 1)
         .collect()
     )
-    if len(coarse) > WARM_START_MAX_ROWS:
-        return start, None
+    return None if len(coarse) > WARM_START_MAX_ROWS else coarse
+
+
+def _warm_start(coarse, hist, total_w, penalizer):
+    """(start point, inverse-Hessian estimate) fitted to the coarse summary."""
+    start = np.full(4, 0.1)
     x, tx, age, w = (np.array([r[c] for r in coarse], dtype=float) for c in ("x", "tx", "T", "w"))
 
     def evaluate(thetas):
@@ -306,8 +309,16 @@ def fit_bgnbd(
         .agg(F.count("*").cast("double").alias("w")),
         "bgnbd_grouped",
     )
-    # one row per distinct frequency
-    hist = [(r["x"], r["w"]) for r in grouped.groupBy("x").agg(F.sum("w").alias("w")).collect()]
+    coarse = _coarse_summary(grouped) if warm_start else None
+    if coarse is not None:
+        # the frequency histogram is exact in the binned summary (x is not binned)
+        counts: dict[float, float] = {}
+        for r in coarse:
+            counts[r["x"]] = counts.get(r["x"], 0.0) + r["w"]
+        hist = sorted(counts.items())
+    else:
+        # one row per distinct frequency
+        hist = [(r["x"], r["w"]) for r in grouped.groupBy("x").agg(F.sum("w").alias("w")).collect()]
     total_w = sum(w for _, w in hist)
 
     def evaluate(thetas):
@@ -327,8 +338,8 @@ def fit_bgnbd(
         ]
 
     start, h0 = (np.full(4, 0.1), None)
-    if warm_start:
-        start, h0 = _warm_start(grouped, hist, total_w, penalizer)
+    if coarse is not None:
+        start, h0 = _warm_start(coarse, hist, total_w, penalizer)
     res = bfgs(evaluate, start, gtol=tol, max_iter=max_iter, h0=h0)
     r, alpha, a, b = np.exp(res.x)
     return FitResult(

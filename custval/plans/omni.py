@@ -137,6 +137,8 @@ def model_inputs_omni(
     (``repeat_only``, with frequency > 1, as the function form does), and the
     weekly recency / age and the mean order value are derived.
     """
+    # the thresholds and the capping read the summary again: compute it once
+    summary = materialize(summary, "omni_summary")
     capped, _ = cap_both_rounded(summary, list(CAP_COLUMNS), key="master_id")
     prepared = data_prep(capped)
     if repeat_only:
