@@ -39,13 +39,21 @@ def group_report(
     group: str | Sequence[str],
     measures: Sequence[str],
     stats: Sequence[str] = ("count", "mean", "sum"),
+    scale: int = SUM_SCALE,
 ) -> DataFrame:
-    """One row per group with ``<measure>_<stat>`` columns in a fixed order."""
+    """One row per group with ``<measure>_<stat>`` columns in a fixed order.
+
+    Floating sums are exact at ``scale`` decimals (see :func:`exact_sum`).
+    """
     keys = [group] if isinstance(group, str) else list(group)
     types = dict(df.dtypes)
-    aggs = [
-        _STATS[s](m, types[m] in _INTEGRAL).alias(f"{m}_{s}") for m in measures for s in stats
-    ]
+
+    def stat(s: str, m: str):
+        if s == "count":
+            return F.count(m)
+        return _STATS[s](m, types[m] in _INTEGRAL, scale)
+
+    aggs = [stat(s, m).alias(f"{m}_{s}") for m in measures for s in stats]
     return df.groupBy(*keys).agg(*aggs)
 
 

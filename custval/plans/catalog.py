@@ -394,6 +394,26 @@ def top_expected_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(profit, "expected_average_profit", 10, "customer_id")
 
 
+PREDICTION_MEASURES = [
+    "expected_purc_1_week",
+    "expected_purc_1_month",
+    "expected_purc_3_month",
+    "expected_average_profit",
+    "clv",
+]
+
+
+def predicted_clv_segment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """count / mean / sum of the predictions per CLV quartile (retail inputs)."""
+    inputs = _retail_inputs(spark, sf_dir)
+    scored = score_customers(inputs, CDNOW_BGNBD, CDNOW_GAMMA_GAMMA)
+    scored = materialize(
+        model_rounded(scored.select("customer_id", *PREDICTION_MEASURES)), "clv_scored"
+    )
+    segmented = qcut(scored, "clv", 4, ["D", "C", "B", "A"], "segment", "customer_id")
+    return rounded(group_report(segmented, "segment", PREDICTION_MEASURES, scale=12))
+
+
 def omni_clv_segment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     segmented = sub_segments(spark, sf_dir)
     return rounded(group_report(segmented, "clv_segment", ["clv"], ("count", "mean")))
@@ -538,6 +558,7 @@ QUERIES: dict[str, Query] = {
     "expected_total": expected_total,
     "sub_segments": sub_segments,
     "omni_clv_segment_report": omni_clv_segment_report,
+    "predicted_clv_segment_report": predicted_clv_segment_report,
     "top_expected_sales": top_expected_sales,
     "top_expected_profit": top_expected_profit,
     "calibration": calibration,

@@ -783,3 +783,30 @@ ORACLE.update(
              ORDER BY expected_average_profit DESC, customer_id LIMIT 10""",
     }
 )
+
+
+def _predicted_report() -> str:
+    measures = list(RETAIL_E) + ["expected_average_profit", "clv"]
+    exprs = dict(RETAIL_E)
+    exprs["expected_average_profit"] = profit_sql("frequency", "monetary")
+    exprs["clv"] = clv_sql(3, "frequency", "recency", '"T"', "monetary")
+    cols = []
+    for m in measures:
+        total = f"CAST(sum(CAST({m} AS DECIMAL(38,12))) AS DOUBLE)"
+        cols += [
+            f"count({m}) AS {m}_count",
+            f"{sig(f'CAST({total} AS DOUBLE) / count({m})')} AS {m}_mean",
+            f"{sig(total)} AS {m}_sum",
+        ]
+    scored = ", ".join(f"{sig(exprs[m], MODEL_DIGITS)} AS {m}" for m in measures)
+    return (
+        RETAIL_INPUTS
+        + f""",
+pred AS (SELECT customer_id, {scored} FROM inputs),
+pred_edges AS (SELECT quantile_cont(clv, [0.25, 0.5, 0.75]) AS e FROM pred),
+pred_seg AS (SELECT pred.*, {_qcut_case("clv", "e", ["D", "C", "B", "A"])} AS segment FROM pred, pred_edges)
+SELECT segment, {", ".join(cols)} FROM pred_seg GROUP BY segment"""
+    )
+
+
+ORACLE["predicted_clv_segment_report"] = _predicted_report()
