@@ -112,8 +112,8 @@ def fetch_positions(
     Requests that fit one partition are sorted in one task; larger ones use the
     value histogram when the leading column has few distinct values, else the
     range-partitioned path.  Value-only requests whose column repeats a lot
-    (distinct values at most 1/8 of the rows) use the histogram at any size.  With ``value_only`` the tie columns of the result
-    are None.
+    (distinct values at most 1/8 of the rows) use the histogram at any size.
+    With ``value_only`` the tie columns of the result are None.
     """
     limit = HISTOGRAM_LIMIT if histogram_limit is None else histogram_limit
     results: list[dict[int, tuple] | None] = [None] * len(requests)
