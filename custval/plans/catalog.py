@@ -39,7 +39,14 @@ from custval.operators.profile import (
 from custval.operators.quantiles import qcut
 from custval.operators.reports import channel_rollup, exact_sum, group_report, top_k
 from custval.operators.reports import invoice_totals as invoice_totals_op
-from custval.operators.rfm import segment_ids, segment_report, with_line_total
+from custval.operators.filters import drop_cancelled, drop_nulls
+from custval.operators.rfm import (
+    customer_activity,
+    segment_ids,
+    segment_report,
+    with_line_total,
+    with_recency,
+)
 from custval.plans.omni import CATEGORY_COL, campaign_targets, data_prep, model_inputs_omni, rfm_omni
 from custval.plans.predict import (
     OMNI_COLS,
@@ -123,8 +130,11 @@ def null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numeric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rfm = rfm_retail(invoice_lines(spark, sf_dir))
-    return rounded(describe(rfm, ["recency", "frequency", "monetary"], key="customer_id"))
+    """describe() of the per-customer metrics, before the monetary > 0 filter."""
+    lines = drop_cancelled(drop_nulls(with_line_total(invoice_lines(spark, sf_dir))))
+    activity = materialize(customer_activity(lines), "customer_activity")
+    metrics = with_recency(activity, default_analysis_date(activity, "last_date"))
+    return rounded(describe(metrics, ["recency", "frequency", "monetary"], key="customer_id"))
 
 
 def latest_dates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,12 +66,13 @@ activity AS (
   FROM clean GROUP BY 1
 ),
 params AS (SELECT date_trunc('day', max(last_date)) + INTERVAL 2 DAY AS analysis_date FROM activity),
-metrics AS (
+metrics_all AS (
   SELECT customer_id,
          CAST(floor(date_diff('microsecond', last_date, analysis_date) / 86400000000.0) AS BIGINT) AS recency,
          frequency, monetary
-  FROM activity, params WHERE monetary > 0
-)"""
+  FROM activity, params
+),
+metrics AS (SELECT * FROM metrics_all WHERE monetary > 0)"""
 )
 
 SEGMENT_CASE = """CASE
@@ -262,7 +263,7 @@ ORACLE: dict[str, str] = {
     + " SELECT CAST(customer_id AS BIGINT) AS new_customer_id FROM scored WHERE segment = 'new_customers'",
     "invoice_totals": INVOICE_TOTALS,
     "null_profile": NULL_PROFILE,
-    "numeric_summary": RFM_SCORED + " " + _describe("scored", ["recency", "frequency", "monetary"]),
+    "numeric_summary": RFM_METRICS + " " + _describe("metrics_all", ["recency", "frequency", "monetary"]),
     "distinct_counts": DISTINCT_COUNTS,
     "segment_counts": RFM_SCORED + " SELECT segment, count(*) AS count FROM scored GROUP BY segment",
     "clv_base": CLV_BASE + " SELECT customer_id, total_transaction, total_unit, total_price FROM base",
