@@ -21,6 +21,11 @@ every task, the driver walks the cumulative counts, and - when the remaining
 order columns matter (rank cuts) - only the tie group of the boundary value is
 range-partitioned on its (unique) key.
 
+Very large value-only requests (a quantile of a line-level column, say) are
+first narrowed to brackets by an approximate quantile sketch; exact counts
+verify each bracket and only its rows are ordered, so the whole column is
+never shuffled.
+
 The partition count grows with the row count (``ROWS_PER_PARTITION`` rows
 each).  With more than one partition the ranged table is persisted between the
 counting and the fetching job so both see the same partitioning; a lost block
@@ -45,6 +50,11 @@ ROWS_PER_PARTITION = 1_000_000
 MAX_PARTITIONS = 50_000
 # Most distinct values a histogram may have; more falls back to range partitioning.
 HISTOGRAM_LIMIT = 200_000
+# Value-only requests over more rows than this first narrow each position to a
+# bracket with an approximate quantile sketch (rank error at most n / accuracy),
+# verify it with exact counts, and sort only the bracket.
+BRACKET_MIN_ROWS = 4 * ROWS_PER_PARTITION
+APPROX_ACCURACY = 100_000
 _POS = "__pos"
 _PID_SHIFT = 33
 
@@ -146,6 +156,9 @@ def fetch_positions(
         for i, h in zip(few, hist):
             if h is not None:
                 results[i] = _from_histogram(requests[i], h, rows_per_partition, limit)
+    for i, r in enumerate(requests):
+        if results[i] is None and r.value_only and r.positions and r.n > BRACKET_MIN_ROWS:
+            results[i] = _from_brackets(r, rows_per_partition, limit)
     rest = [i for i, r in enumerate(results) if r is None]
     ranged = _fetch_ranged([requests[i] for i in rest], rows_per_partition)
     for i, r in zip(rest, ranged):
@@ -215,6 +228,58 @@ def _from_histogram(
     return found
 
 
+def _from_brackets(
+    req: PositionRequest, rows_per_partition: int | None, limit: int
+) -> dict[int, tuple] | None:
+    """Exact values at positions via approximate brackets; None if a bracket fails.
+
+    For position p the sketch gives values lo <= hi around ranks p -/+ slack.
+    Exact counts then check count(x < lo) <= p < count(x <= hi); if so, the
+    answer is the (p - count(x < lo))-th value among the rows in [lo, hi] -
+    a small fraction of the table, fetched with the usual exact machinery.
+    """
+    col = req.order_cols[0]
+    x = F.col(col)
+    n = req.n
+    positions = sorted(set(req.positions))
+    slack = 2 * (n // APPROX_ACCURACY) + 2
+    probs = [max(0.0, (p - slack) / n) for p in positions] + [
+        min(1.0, (p + slack + 1) / n) for p in positions
+    ]
+    bounds = req.df.agg(F.percentile_approx(x, probs, APPROX_ACCURACY).alias("b")).collect()[0]["b"]
+    k = len(positions)
+    lows, highs = bounds[:k], bounds[k:]
+    counts = req.df.agg(
+        *[
+            agg
+            for i in range(k)
+            for agg in (
+                F.count_if(x < F.lit(lows[i])).alias(f"below{i}"),
+                F.count_if((x >= F.lit(lows[i])) & (x <= F.lit(highs[i]))).alias(f"inside{i}"),
+            )
+        ]
+    ).collect()[0]
+    found: dict[int, tuple] = {}
+    subs, meta = [], []
+    rest_none = (None,) * (len(req.order_cols) - 1)
+    for i, p in enumerate(positions):
+        below, inside = counts[f"below{i}"], counts[f"inside{i}"]
+        if not below <= p < below + inside:
+            return None  # the sketch missed: use an exact path for this request
+        if lows[i] == highs[i]:
+            found[p] = (lows[i],) + rest_none
+            continue
+        if inside * 4 > n:
+            return None  # no real narrowing (heavy ties inside): exact path instead
+        bracket = req.df.filter((x >= F.lit(lows[i])) & (x <= F.lit(highs[i])))
+        subs.append(PositionRequest(bracket, req.order_cols, [p - below], inside, True))
+        meta.append(p)
+    if subs:
+        for p, sub, res in zip(meta, subs, fetch_positions(subs, rows_per_partition, limit)):
+            found[p] = res[sub.positions[0]]
+    return found
+
+
 def _fetch_ranged(
     requests: list[PositionRequest], rows_per_partition: int | None = None
 ) -> list[dict[int, tuple]]:

@@ -152,3 +152,21 @@ def test_rank_cut_with_hot_value(spark):
     out = qcut_rank_first(_frame(spark, values), "x", 5, "k", out="b", rows_per_partition=60)
     expected = pd.qcut(pd.Series(values).rank(method="first"), 5, labels=False) + 1
     assert _bins(out) == expected.tolist()
+
+
+@pytest.mark.parametrize("accuracy", [20, 1000])
+def test_bracket_path_matches_pandas(spark, monkeypatch, accuracy):
+    """Approximate brackets + exact counts give exact quantiles (forced on small data)."""
+    import custval.operators.order_stats as order_stats
+
+    monkeypatch.setattr(order_stats, "BRACKET_MIN_ROWS", 50)
+    monkeypatch.setattr(order_stats, "APPROX_ACCURACY", accuracy)
+    rng = np.random.default_rng(17)
+    values = np.concatenate([np.round(rng.normal(500, 120, 1500), 2), np.full(700, 431.0)])
+    rng.shuffle(values)
+    probs = [0.01, 0.2, 0.4, 0.5, 0.6, 0.8, 0.99]
+    got = quantiles_exact(_frame(spark, values), "x", probs, key="k", rows_per_partition=100)
+    assert got == pd.Series(values).quantile(probs).tolist()
+    out = qcut(_frame(spark, values), "x", 5, out="b", key="k", rows_per_partition=100, duplicates="drop")
+    expected = pd.qcut(pd.Series(values), 5, labels=False, duplicates="drop") + 1
+    assert _bins(out) == expected.tolist()
