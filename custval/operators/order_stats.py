@@ -104,6 +104,9 @@ _DECODERS = {
 }
 
 
+_NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
 def _decoder(dtype: str):
     if dtype.startswith("decimal"):
         return decimal.Decimal
@@ -157,7 +160,13 @@ def fetch_positions(
             if h is not None:
                 results[i] = _from_histogram(requests[i], h, rows_per_partition, limit)
     for i, r in enumerate(requests):
-        if results[i] is None and r.value_only and r.positions and r.n > BRACKET_MIN_ROWS:
+        if (
+            results[i] is None
+            and r.value_only
+            and r.positions
+            and r.n > BRACKET_MIN_ROWS
+            and dict(r.df.dtypes)[r.order_cols[0]] in _NUMERIC
+        ):
             results[i] = _from_brackets(r, rows_per_partition, limit)
     rest = [i for i, r in enumerate(results) if r is None]
     ranged = _fetch_ranged([requests[i] for i in rest], rows_per_partition)
@@ -218,6 +227,7 @@ def _from_histogram(
             rest,
             [p - starts[j] for p in by_group[j]],
             hist[j][1],
+            value_only=len(rest) == 1,  # a one-column order: the value is the whole row
         )
         for j in groups
     ]

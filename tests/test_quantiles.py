@@ -170,3 +170,16 @@ def test_bracket_path_matches_pandas(spark, monkeypatch, accuracy):
     out = qcut(_frame(spark, values), "x", 5, out="b", key="k", rows_per_partition=100, duplicates="drop")
     expected = pd.qcut(pd.Series(values), 5, labels=False, duplicates="drop") + 1
     assert _bins(out) == expected.tolist()
+
+
+def test_rank_cut_tie_group_by_brackets(spark, monkeypatch):
+    """Histogram on the value, then brackets on the numeric key inside the tie group."""
+    import custval.operators.order_stats as order_stats
+
+    monkeypatch.setattr(order_stats, "BRACKET_MIN_ROWS", 50)
+    monkeypatch.setattr(order_stats, "APPROX_ACCURACY", 30)
+    rng = np.random.default_rng(23)
+    values = np.where(rng.random(1200) < 0.4, 1.0, rng.integers(2, 9, size=1200).astype(float))
+    out = qcut_rank_first(_frame(spark, values), "x", 5, "k", out="b", rows_per_partition=100)
+    expected = pd.qcut(pd.Series(values).rank(method="first"), 5, labels=False) + 1
+    assert _bins(out) == expected.tolist()
