@@ -6,6 +6,8 @@ Main entry points::
     from custval import rfm_omni, clv_predict_omni, qcut, qcut_many, Cut
 """
 
+from custval.operators.bgnbd import BetaGeoModel
+from custval.operators.gammagamma import GammaGammaModel
 from custval.operators.quantiles import Cut, qcut, qcut_many, qcut_rank_first
 from custval.plans.omni import brand_campaign, campaign_targets, data_prep, discount_campaign, rfm_omni
 from custval.plans.predict import clv_predict, clv_predict_omni, clv_predict_retail
@@ -13,7 +15,9 @@ from custval.plans.retail import clv_formula_retail, rfm_retail
 from custval.session import get_spark, materialize
 
 __all__ = [
+    "BetaGeoModel",
     "Cut",
+    "GammaGammaModel",
     "brand_campaign",
     "campaign_targets",
     "clv_formula_retail",

@@ -346,3 +346,29 @@ def fit_bgnbd(
         BetaGeoParams(float(r), float(alpha / scale), float(a), float(b)),
         res.fun, res.iterations, res.converged,
     )
+
+
+class BetaGeoModel:
+    """Fitter-style wrapper: ``fit`` a DataFrame, then build column expressions."""
+
+    def __init__(self, penalizer_coef: float = 0.0):
+        self.penalizer_coef = penalizer_coef
+        self.result: FitResult | None = None
+
+    @property
+    def params(self) -> BetaGeoParams:
+        if self.result is None:
+            raise ValueError("fit the model first")
+        return self.result.params
+
+    def fit(self, df: DataFrame, frequency: str = "frequency", recency: str = "recency", T: str = "T", **kw):
+        self.result = fit_bgnbd(df, frequency, recency, T, self.penalizer_coef, **kw)
+        return self
+
+    def conditional_expected_number_of_purchases_up_to_time(self, t, frequency, recency, T) -> Column:
+        return expected_purchases(self.params, t, frequency, recency, T)
+
+    predict = conditional_expected_number_of_purchases_up_to_time
+
+    def probability_of_n_purchases_up_to_time(self, t, n: int) -> Column:
+        return probability_of_n_purchases(self.params, t, n)

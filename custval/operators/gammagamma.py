@@ -227,3 +227,31 @@ def discounted_clv(
         total = total + profit * (current - previous) / F.lit((1 + discount_rate) ** (i / factor))
         previous = current
     return total
+
+
+class GammaGammaModel:
+    """Fitter-style wrapper: ``fit`` a DataFrame, then build column expressions."""
+
+    def __init__(self, penalizer_coef: float = 0.0):
+        self.penalizer_coef = penalizer_coef
+        self.result: FitResult | None = None
+
+    @property
+    def params(self) -> GammaGammaParams:
+        if self.result is None:
+            raise ValueError("fit the model first")
+        return self.result.params
+
+    def fit(self, df: DataFrame, frequency: str = "frequency", monetary: str = "monetary", **kw):
+        self.result = fit_gamma_gamma(df, frequency, monetary, self.penalizer_coef, **kw)
+        return self
+
+    def conditional_expected_average_profit(self, frequency, monetary) -> Column:
+        return expected_average_profit(self.params, frequency, monetary)
+
+    def customer_lifetime_value(
+        self, transaction_model, frequency, recency, T, monetary, time=12, discount_rate=0.01, freq="D"
+    ) -> Column:
+        return discounted_clv(
+            transaction_model.params, self.params, frequency, recency, T, monetary, time, discount_rate, freq
+        )

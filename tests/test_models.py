@@ -163,3 +163,51 @@ def test_profit_and_clv_expressions(spark):
         manual += row["e"] * (cur - prev) / 1.01 ** (i / 4.345)
         prev = cur
     assert row["clv"] == pytest.approx(manual, rel=1e-9)
+
+
+def test_spark_fit_equals_numpy_fit(spark):
+    """The distributed objective and a numpy evaluation of it reach the same optimum."""
+    from custval.operators.bgnbd import _np_row_sums, _objective
+
+    rng = np.random.default_rng(5)
+    rows = _simulate_bgnbd(rng, 1500, 0.6, 3.0, 0.8, 3.0, 50)
+    df = spark.createDataFrame(rows, "id long, frequency double, recency double, T double")
+    fit = fit_bgnbd(df, penalizer=0.001, warm_start=False)
+
+    x = np.array([r[1] for r in rows]); tx = np.array([r[2] for r in rows]); T = np.array([r[3] for r in rows])
+    scale = 1.0 / T.max()
+    keys, counts = np.unique(x, return_counts=True)
+    hist = list(zip(keys.tolist(), counts.astype(float).tolist()))
+
+    def evaluate(thetas):
+        out = []
+        for th in thetas:
+            p = BetaGeoParams(*np.exp(th))
+            ll, g = _np_row_sums(p, x, tx * scale, T * scale, np.ones_like(x))
+            out.append(_objective(th, p, ll, g, hist, float(len(x)), 0.001))
+        return out
+
+    local = bfgs(evaluate, np.full(4, 0.1))
+    r, alpha, a, b = np.exp(local.x)
+    assert fit.params.r == pytest.approx(r, rel=1e-4)
+    assert fit.params.alpha == pytest.approx(alpha / scale, rel=1e-4)
+    assert fit.params.a == pytest.approx(a, rel=1e-3)
+    assert fit.params.b == pytest.approx(b, rel=1e-3)
+
+
+def test_model_classes(spark):
+    from custval.operators.bgnbd import BetaGeoModel
+    from custval.operators.gammagamma import GammaGammaModel
+
+    rng = np.random.default_rng(8)
+    rows = [(i, float(x), float(tx), float(T), float(m)) for i, (_, x, tx, T) in
+            enumerate(_simulate_bgnbd(rng, 800, 0.8, 4.0, 0.6, 2.5, 60)) for m in [rng.gamma(5, 8)] if x > 0]
+    df = spark.createDataFrame(rows, "id long, frequency double, recency double, T double, monetary double")
+    bgf = BetaGeoModel(penalizer_coef=0.001).fit(df)
+    ggf = GammaGammaModel(penalizer_coef=0.01).fit(df)
+    out = df.select(
+        bgf.predict(4.0, "frequency", "recency", "T").alias("e"),
+        ggf.conditional_expected_average_profit("frequency", "monetary").alias("p"),
+        ggf.customer_lifetime_value(bgf, "frequency", "recency", "T", "monetary", time=3, freq="W").alias("clv"),
+    ).collect()
+    assert all(r["e"] >= 0 and r["clv"] is not None for r in out)
