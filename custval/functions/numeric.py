@@ -15,15 +15,6 @@ def safe_ratio(num: Column | str, den: Column | str) -> Column:
     return F.try_divide(col_of(num).cast("double"), col_of(den).cast("double"))
 
 
-def round_half_even(c: Column | str, scale: int = 0) -> Column:
-    """Banker's rounding, as Python's ``round`` does."""
-    return F.bround(col_of(c), scale)
-
-
-def nan_to_null(c: Column | str) -> Column:
-    """Map NaN to null, so sorts and null tests treat both alike."""
-    col = col_of(c)
-    return F.when(F.isnan(col), F.lit(None).cast("double")).otherwise(col)
 
 
 def sig_round(c: Column | str, digits: int = 10) -> Column:

@@ -91,10 +91,6 @@ def invoice_bill(
     return row["bill"] if row["bill"] is not None else 0.0
 
 
-def totals(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One row with the sum of each column."""
-    return df.agg(*[F.sum(c).alias(f"{c}_total") for c in cols])
-
 
 def channel_rollup(
     df: DataFrame,

@@ -15,7 +15,12 @@ from custval.functions.segments import (
     DISCOUNT_CAMPAIGN_CATEGORIES,
     DISCOUNT_CAMPAIGN_SEGMENTS,
 )
-from custval.operators.filters import in_segments, keep_value_or_no_orders, mentions_any
+from custval.operators.filters import (
+    in_segments,
+    keep_value_or_no_orders,
+    mentions_any,
+    repeat_customers,
+)
 from custval.operators.outliers import cap_both_rounded
 from custval.operators.rfm import rfm_scores
 from custval.session import materialize
@@ -155,4 +160,4 @@ def model_inputs_omni(
         F.col("order_num_total").alias("frequency"),
         F.try_divide(F.col("customer_value_total"), F.col("order_num_total")).alias("monetary_clv_avg"),
     )
-    return inputs.filter(F.col("frequency") > 1) if repeat_only else inputs
+    return repeat_customers(inputs) if repeat_only else inputs

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custval.operators.clv import clv_base, clv_formula
-from custval.operators.filters import drop_cancelled, drop_nulls, positive
+from custval.operators.filters import drop_cancelled, drop_nulls, positive, repeat_customers
 from custval.operators.outliers import cap_upper
 from custval.operators.quantiles import qcut
 from custval.functions.dates import days_between, ntz_literal
@@ -120,4 +120,4 @@ def model_inputs_retail(
         "frequency",
         (F.col("total") / F.col("frequency")).alias("monetary"),
     )
-    return inputs.filter(F.col("frequency") > 1) if repeat_only else inputs
+    return repeat_customers(inputs) if repeat_only else inputs

@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from custval.functions.dates import to_timestamp_columns
 
 INVOICE_SCHEMA = T.StructType(
     [
@@ -63,7 +62,3 @@ def read_customer_summary(spark: SparkSession, path: str, fmt: str = "csv") -> D
     if fmt == "csv":
         return reader.option("header", True).csv(path)
     return reader.format(fmt).load(path)
-
-
-def parse_dates(df: DataFrame) -> DataFrame:
-    return to_timestamp_columns(df, "date")
