@@ -79,6 +79,17 @@ def invoice_totals(lines: DataFrame, invoice: str = "Invoice", amount: str = "To
     )
 
 
+def invoice_bills(
+    lines: DataFrame, invoice: str = "Invoice", quantity: str = "Quantity", price: str = "Price"
+) -> DataFrame:
+    """Every invoice's bill: sum of quantity x price, rounded half-even to cents."""
+    return (
+        lines.filter(F.col(invoice).isNotNull())
+        .groupBy(invoice)
+        .agg(F.bround(F.sum(F.col(quantity) * F.col(price)), 2).alias("bill"))
+    )
+
+
 def invoice_bill(
     lines: DataFrame, invoice_no: str, invoice: str = "Invoice", quantity: str = "Quantity", price: str = "Price"
 ):

@@ -37,7 +37,13 @@ from custval.operators.profile import (
     value_counts,
 )
 from custval.operators.quantiles import qcut
-from custval.operators.reports import channel_rollup, exact_sum, group_report, top_k
+from custval.operators.reports import (
+    channel_rollup,
+    exact_sum,
+    group_report,
+    invoice_bills,
+    top_k,
+)
 from custval.operators.reports import invoice_totals as invoice_totals_op
 from custval.operators.filters import drop_cancelled, drop_nulls
 from custval.operators.rfm import (
@@ -125,6 +131,10 @@ def invoice_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(invoice_totals_op(with_line_total(invoice_lines(spark, sf_dir))))
 
 
+def invoice_bill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return invoice_bills(invoice_lines(spark, sf_dir))
+
+
 def null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return null_counts(invoice_lines(spark, sf_dir))
 
@@ -533,6 +543,7 @@ QUERIES: dict[str, Query] = {
     "rfm_segment_report": rfm_segment_report,
     "new_customer_ids": new_customer_ids,
     "invoice_totals": invoice_totals,
+    "invoice_bill": invoice_bill,
     "null_profile": null_profile,
     "numeric_summary": numeric_summary,
     "distinct_counts": distinct_count_profile,

@@ -811,3 +811,11 @@ SELECT segment, {", ".join(cols)} FROM pred_seg GROUP BY segment"""
 
 
 ORACLE["predicted_clv_segment_report"] = _predicted_report()
+
+
+ORACLE["invoice_bill"] = (
+    "WITH "
+    + INVOICE_LINES
+    + """ SELECT "Invoice", round_even(sum("Quantity" * "Price"), 2) AS bill
+    FROM invoice_lines WHERE "Invoice" IS NOT NULL GROUP BY "Invoice" """
+)
