@@ -72,3 +72,16 @@ def test_targets_by_ids_semi_join(spark):
     ids = spark.createDataFrame([("a",), ("c",), ("z",)], "customer_id string")
     got = sorted(r["master_id"] for r in targets_by_ids(summary, ids).collect())
     assert got == ["a", "c"]
+
+
+def test_rfm_written_as_csv(spark):
+    from conftest import SF_SMALL
+
+    from custval.plans.retail import rfm_retail
+    from custval.sources.tables import invoice_lines
+
+    out = tempfile.mkdtemp(prefix="custval-io-") + "/rfm"
+    rfm = rfm_retail(invoice_lines(spark, SF_SMALL), keep_scores=False, output_path=out)
+    back = spark.read.option("header", True).csv(out)
+    assert back.columns == ["customer_id", "recency", "frequency", "monetary", "segment"]
+    assert back.count() == rfm.count() == 150
