@@ -246,19 +246,25 @@ def _objective(theta, p: BetaGeoParams, row_ll, row_grad, hist, total_w, penaliz
 
 
 def _coarse_summary(grouped: DataFrame):
-    """Rows of the binned summary, or None when it has more than the cap."""
-    bins = float(WARM_START_BINS)
-    coarse = (
-        grouped.groupBy(
-            "x",
-            (F.round(F.col("tx") * bins) / bins).alias("tx"),
-            (F.round(F.col("T") * bins) / bins).alias("T"),
+    """Rows of the binned summary, or None when even the coarsest grid exceeds the cap.
+
+    Grids of 1/256, 1/64 and 1/16 of the scaled time range are tried in turn;
+    each attempt collects at most WARM_START_MAX_ROWS + 1 rows.
+    """
+    for bins in (float(WARM_START_BINS), WARM_START_BINS / 4.0, WARM_START_BINS / 16.0):
+        coarse = (
+            grouped.groupBy(
+                "x",
+                (F.round(F.col("tx") * bins) / bins).alias("tx"),
+                (F.round(F.col("T") * bins) / bins).alias("T"),
+            )
+            .agg(F.sum("w").alias("w"))
+            .limit(WARM_START_MAX_ROWS + 1)
+            .collect()
         )
-        .agg(F.sum("w").alias("w"))
-        .limit(WARM_START_MAX_ROWS + 1)
-        .collect()
-    )
-    return None if len(coarse) > WARM_START_MAX_ROWS else coarse
+        if len(coarse) <= WARM_START_MAX_ROWS:
+            return coarse
+    return None
 
 
 def _warm_start(coarse, hist, total_w, penalizer):

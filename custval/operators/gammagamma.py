@@ -107,17 +107,22 @@ def _objective(theta, pr: GammaGammaParams, sums, const, hist, total_w, penalize
 
 def _warm_start(data: DataFrame, hist, total_w, penalizer):
     start = np.full(3, 0.1)
-    bins = float(WARM_START_LOG_BINS)
-    coarse = (
-        data.groupBy("x", F.round(F.log("m") * bins).alias("lm"))
-        .agg(F.count("*").cast("double").alias("w"))
-        .limit(WARM_START_MAX_ROWS + 1)
-        .collect()
-    )
-    if len(coarse) > WARM_START_MAX_ROWS:
+    coarse = None
+    # grids of 1/64, 1/16 and 1/4 in ln(m); each attempt collects a bounded number of rows
+    for bins in (float(WARM_START_LOG_BINS), WARM_START_LOG_BINS / 4.0, WARM_START_LOG_BINS / 16.0):
+        rows = (
+            data.groupBy("x", F.round(F.log("m") * bins).alias("lm"))
+            .agg(F.count("*").cast("double").alias("w"))
+            .limit(WARM_START_MAX_ROWS + 1)
+            .collect()
+        )
+        if len(rows) <= WARM_START_MAX_ROWS:
+            coarse = rows
+            break
+    if coarse is None:
         return start, None
     x = np.array([r["x"] for r in coarse], dtype=float)
-    m = np.exp(np.array([r["lm"] for r in coarse], dtype=float) / bins)
+    m = np.exp(np.array([r["lm"] for r in coarse], dtype=float) / bins)  # bins of the accepted grid
     w = np.array([r["w"] for r in coarse], dtype=float)
     const = {
         "ln_m": float(np.sum(w * np.log(m))),

@@ -211,3 +211,40 @@ def test_model_classes(spark):
         ggf.customer_lifetime_value(bgf, "frequency", "recency", "T", "monetary", time=3, freq="W").alias("clv"),
     ).collect()
     assert all(r["e"] >= 0 and r["clv"] is not None for r in out)
+
+
+def test_warm_start_with_coarser_grids(spark, monkeypatch):
+    """A tight cap forces coarser warm-start grids; the optimum does not change."""
+    import custval.operators.bgnbd as bgm
+    import custval.operators.gammagamma as ggm
+
+    rng = np.random.default_rng(12)
+    rows = [
+        (i, float(x), float(tx), float(T), float(rng.gamma(5, 8)))
+        for i, (_, x, tx, T) in enumerate(_simulate_bgnbd(rng, 1500, 0.8, 4.0, 0.6, 2.5, 60))
+        if x > 0
+    ]
+    df = spark.createDataFrame(rows, "id long, frequency double, recency double, T double, monetary double")
+    cold_bg = fit_bgnbd(df, penalizer=0.001, warm_start=False)
+    cold_gg = fit_gamma_gamma(df, penalizer=0.01, warm_start=False)
+    # these data give 1239 / 1165 / 685 BG/NBD rows and 724 / 375 / 171 Gamma-Gamma
+    # rows on the three grids: only the coarsest grid fits under these caps
+    monkeypatch.setattr(bgm, "WARM_START_MAX_ROWS", 700)
+    monkeypatch.setattr(ggm, "WARM_START_MAX_ROWS", 200)
+    from custval.session import materialize
+
+    grouped = materialize(
+        df.select(
+            F.col("frequency").alias("x"),
+            (F.col("recency") / 59.0).alias("tx"),
+            (F.col("T") / 59.0).alias("T"),
+            F.lit(1.0).alias("w"),
+        )
+    )
+    assert bgm._coarse_summary(grouped) is not None
+    warm_bg = fit_bgnbd(df, penalizer=0.001)
+    warm_gg = fit_gamma_gamma(df, penalizer=0.01)
+    for a, b in zip(vars(cold_bg.params).values(), vars(warm_bg.params).values()):
+        assert a == pytest.approx(b, rel=1e-3)
+    for a, b in zip(vars(cold_gg.params).values(), vars(warm_gg.params).values()):
+        assert a == pytest.approx(b, rel=1e-3)
