@@ -183,3 +183,13 @@ def test_rank_cut_tie_group_by_brackets(spark, monkeypatch):
     out = qcut_rank_first(_frame(spark, values), "x", 5, "k", out="b", rows_per_partition=100)
     expected = pd.qcut(pd.Series(values).rank(method="first"), 5, labels=False) + 1
     assert _bins(out) == expected.tolist()
+
+
+def test_qcut_sizes_n19945_q4(spark):
+    """The published quartile sizes of a 19,945-customer table."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(19945).select(F.col("id").alias("k"), (F.col("id") * 1.5).alias("x"))
+    out = qcut(df, "x", 4, ["D", "C", "B", "A"], "b", key="k")
+    sizes = {r["b"]: r["c"] for r in out.groupBy("b").agg(F.count("*").alias("c")).collect()}
+    assert sizes == {"D": 4987, "C": 4986, "B": 4986, "A": 4986}
