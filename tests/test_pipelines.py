@@ -91,3 +91,15 @@ def test_query_matches_oracle_on_the_multi_partition_path(spark, name, monkeypat
     got = E.queries()[name](spark, SF_SMALL).toPandas()
     want = con.execute(E.oracle_sql()[name]).df()
     assert compare(name, got, want) is None
+
+
+def test_scoring_plan_is_one_projection(spark):
+    from custval.plans.catalog import CDNOW_BGNBD, CDNOW_GAMMA_GAMMA
+    from custval.plans.predict import score_customers
+    from custval.plans.retail import model_inputs_retail
+    from custval.session import materialize
+
+    inputs = materialize(model_inputs_retail(invoice_lines(spark, SF_SMALL)))
+    plan = _plan(score_customers(inputs, CDNOW_BGNBD, CDNOW_GAMMA_GAMMA))
+    assert "Exchange" not in plan and "Join" not in plan
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
