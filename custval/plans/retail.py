@@ -47,6 +47,8 @@ def rfm_retail(
 
 
 CLV_LABELS = ("D", "C", "B", "A")
+# Column names of the function form of the formula CLV.
+FUNCTION_NAMES = {"average_order_value": "avg_order_value", "clv": "cltv"}
 
 
 def clv_prepared_lines(lines: DataFrame) -> DataFrame:
@@ -60,13 +62,24 @@ def clv_formula_retail(
     q: int = 4,
     labels=CLV_LABELS,
     rows_per_partition: int | None = None,
+    names: str = "script",
 ) -> DataFrame:
-    """Formula CLV per customer plus quartile segments (D lowest ... A highest)."""
+    """Formula CLV per customer plus quartile segments (D lowest ... A highest).
+
+    ``names="function"`` uses the function form's column names
+    (``avg_order_value``, ``cltv``) instead of the script's
+    (``average_order_value``, ``clv``).
+    """
     base = materialize(clv_base(clv_prepared_lines(lines)), "clv_base")
-    return qcut(
+    out = qcut(
         clv_formula(base, profit), "clv", q, list(labels), "segment", "customer_id",
         rows_per_partition=rows_per_partition,
     )
+    if names == "function":
+        out = out.withColumnsRenamed(FUNCTION_NAMES)
+    elif names != "script":
+        raise ValueError(f"names must be 'script' or 'function', not {names!r}")
+    return out
 
 
 def model_lines(lines: DataFrame) -> DataFrame:

@@ -103,3 +103,10 @@ def test_scoring_plan_is_one_projection(spark):
     plan = _plan(score_customers(inputs, CDNOW_BGNBD, CDNOW_GAMMA_GAMMA))
     assert "Exchange" not in plan and "Join" not in plan
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_formula_clv_function_names(spark):
+    from custval.plans.retail import clv_formula_retail
+
+    cols = clv_formula_retail(invoice_lines(spark, SF_SMALL), names="function").columns
+    assert "avg_order_value" in cols and "cltv" in cols and "clv" not in cols
