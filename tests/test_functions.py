@@ -127,3 +127,40 @@ def test_floor_days_ignores_session_time_zone(spark):
         assert [r[0] for r in df.select(days_between("b", "a")).collect()] == [1, 0, 1]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_rfm_scores_with_four_levels(spark):
+    import numpy as np
+    import pandas as pd
+
+    from custval.operators.rfm import rfm_scores
+
+    rng = np.random.default_rng(4)
+    n = 300
+    pdf = pd.DataFrame(
+        {
+            "customer_id": np.arange(n),
+            "recency": rng.integers(0, 400, n),
+            "frequency": rng.integers(1, 12, n),
+            "monetary": np.round(rng.gamma(2, 300, n), 2),
+        }
+    )
+    got = rfm_scores(spark.createDataFrame(pdf), q=4).toPandas().sort_values("customer_id")
+    r = pd.qcut(pdf["recency"], 4, labels=[4, 3, 2, 1]).astype(int)
+    f = pd.qcut(pdf["frequency"].rank(method="first"), 4, labels=[1, 2, 3, 4]).astype(int)
+    m = pd.qcut(pdf["monetary"], 4, labels=[1, 2, 3, 4]).astype(int)
+    assert got["recency_score"].tolist() == r.tolist()
+    assert got["frequency_score"].tolist() == f.tolist()
+    assert got["monetary_score"].tolist() == m.tolist()
+    assert got["RF_SCORE"].tolist() == (r.astype(str) + f.astype(str)).tolist()
+
+
+def test_approximate_distinct_counts(spark):
+    from custval.operators.profile import distinct_counts
+
+    df = spark.range(5000).selectExpr("id % 97 AS a", "id AS b")
+    exact = {r[0]: r[1] for r in distinct_counts(df, ["a", "b"]).collect()}
+    approx = {r[0]: r[1] for r in distinct_counts(df, ["a", "b"], approx=True).collect()}
+    assert exact == {"a": 97, "b": 5000}
+    # HyperLogLog with the default 5% relative standard deviation: allow three of them
+    assert abs(approx["a"] - 97) <= 0.15 * 97 and abs(approx["b"] - 5000) <= 0.15 * 5000
