@@ -12,7 +12,7 @@ from custval.operators.quantiles import Cut, qcut, qcut_many, qcut_rank_first
 from custval.plans.omni import brand_campaign, campaign_targets, data_prep, discount_campaign, rfm_omni
 from custval.plans.predict import clv_predict, clv_predict_omni, clv_predict_retail
 from custval.plans.retail import clv_formula_retail, rfm_retail
-from custval.session import get_spark, materialize
+from custval.session import clear_materialized, get_spark, materialize
 
 __all__ = [
     "BetaGeoModel",
@@ -20,6 +20,7 @@ __all__ = [
     "GammaGammaModel",
     "brand_campaign",
     "campaign_targets",
+    "clear_materialized",
     "clv_formula_retail",
     "clv_predict",
     "clv_predict_omni",

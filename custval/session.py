@@ -5,7 +5,8 @@ quantile cuts, the model fits) materialises it once with :func:`materialize`:
 the table is written as Parquet below the cluster's shared checkpoint folder
 (``spark.checkpoint.dir``) and read back, which cuts the lineage so a lost
 executor costs a re-read of a small file instead of a re-run of the raw scan
-and the shuffle that built it.
+and the shuffle that built it.  :func:`clear_materialized` removes them once the
+results are written.
 """
 
 from __future__ import annotations
@@ -69,6 +70,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and read it back."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/custval/{label}-{uuid.uuid4().hex}"
+    path = f"{materialized_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def materialized_root(spark: SparkSession) -> str:
+    """The folder under the checkpoint folder that holds this library's tables."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/custval"
+
+
+def clear_materialized(spark: SparkSession) -> bool:
+    """Delete every table :func:`materialize` wrote for this application.
+
+    DataFrames returned by the pipelines read those tables lazily: call this
+    only after their results have been written or collected.  Uses the Hadoop
+    FileSystem of the checkpoint folder (HDFS, object stores, local).
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(materialized_root(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(path) and fs.delete(path, True))

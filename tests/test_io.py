@@ -85,3 +85,17 @@ def test_rfm_written_as_csv(spark):
     back = spark.read.option("header", True).csv(out)
     assert back.columns == ["customer_id", "recency", "frequency", "monetary", "segment"]
     assert back.count() == rfm.count() == 150
+
+
+def test_clear_materialized(spark):
+    import os
+
+    from custval.session import clear_materialized, materialize, materialized_root
+
+    df = materialize(spark.range(10), "probe")
+    assert df.count() == 10
+    root = materialized_root(spark).replace("file:", "")
+    assert os.path.isdir(root)
+    assert clear_materialized(spark)
+    assert not os.path.exists(root)
+    assert materialize(spark.range(3), "probe").count() == 3  # the folder is recreated on demand
