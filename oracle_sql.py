@@ -234,10 +234,6 @@ CLV_COLUMNS = ("customer_id, total_transaction, total_unit, total_price, average
                "purchase_frequency, profit_margin, customer_value, clv, segment")
 
 
-def _round_cols(cols: str) -> str:
-    return cols
-
-
 def _group_report_sql(source: str, group: str, measures: list[str]) -> str:
     cols = []
     for m in measures:
@@ -269,13 +265,13 @@ ORACLE: dict[str, str] = {
     "clv_base": CLV_BASE + " SELECT customer_id, total_transaction, total_unit, total_price FROM base",
     "clv_rates": CLV_BASE
     + f" SELECT n_customers, {sig('repeat_rate')} AS repeat_rate, {sig('churn_rate')} AS churn_rate FROM rates",
-    "clv_formula": CLV_BASE + f" SELECT {_round_cols(CLV_COLUMNS)} FROM clv",
+    "clv_formula": CLV_BASE + f" SELECT {CLV_COLUMNS} FROM clv",
     "clv_segments": CLV_BASE + " SELECT customer_id, clv, segment FROM clv",
     "clv_segment_report": CLV_BASE + " " + _group_report_sql("clv", "segment", CLV_MEASURES),
     "clv_top": CLV_BASE
-    + f" SELECT {_round_cols(CLV_COLUMNS)} FROM clv ORDER BY clv DESC, customer_id LIMIT 10",
+    + f" SELECT {CLV_COLUMNS} FROM clv ORDER BY clv DESC, customer_id LIMIT 10",
     "clv_bottom": CLV_BASE
-    + f" SELECT {_round_cols(CLV_COLUMNS)} FROM clv ORDER BY clv ASC, customer_id LIMIT 5",
+    + f" SELECT {CLV_COLUMNS} FROM clv ORDER BY clv ASC, customer_id LIMIT 5",
 }
 
 
@@ -732,6 +728,8 @@ ORACLE.update(
 )
 
 
+# --- further profiles, ranks, reports and top-k lists -----------------------------
+
 ORACLE.update(
     {
         "frequency_ranks": RFM_METRICS
