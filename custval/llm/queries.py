@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from custval.llm.common import table
 from custval.llm.repetition import repetition_rules
+from custval.llm.setsketch import setsketch_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,3 +22,8 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 @query
 def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch_groups(table(spark, sf_dir, "documents"))
