@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from custval.llm.bpe import bpe_round_trip
 from custval.llm.common import table
+from custval.llm.language import label_languages
 from custval.llm.repetition import repetition_rules
 from custval.llm.setsketch import setsketch_groups
 
@@ -27,3 +30,14 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe_round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
