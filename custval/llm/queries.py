@@ -12,6 +12,7 @@ from custval.llm.common import table
 from custval.llm.language import label_languages
 from custval.llm.repetition import repetition_rules
 from custval.llm.setsketch import setsketch_groups
+from custval.llm.wavelet import token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -41,3 +42,8 @@ def op3_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe_round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query
+def op8_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
