@@ -11,6 +11,7 @@ from custval.llm.bpe import bpe_round_trip
 from custval.llm.common import table
 from custval.llm.language import label_languages
 from custval.llm.repetition import repetition_rules
+from custval.llm.secrets import secret_report
 from custval.llm.setsketch import setsketch_groups
 from custval.llm.wavelet import token_files
 
@@ -47,3 +48,8 @@ def op10_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+@query
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))

@@ -1,0 +1,121 @@
+"""Native secret scans against Python's regular expressions and a direct entropy."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import types as T
+
+from custval.llm import secrets as S
+from custval.llm.common import table
+
+SCHEMA = T.StructType(
+    [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("found", T.StringType())]
+)
+KEY = r"""(%s)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""" % "|".join(
+    "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")
+)
+
+
+def base(text):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(KEY, text) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    return out + [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+
+
+def method(text):
+    out = []
+    for j, (_, alphabet, least) in enumerate(S.CLASSES):
+        chars = "[" + alphabet.replace("-", r"\-") + "]"
+        for m in re.finditer(chars + "+", text):
+            run = m[0]
+            if len(run) < S.WINDOW or any(re.fullmatch(a, run) for a in S.ALLOW):
+                continue
+            last = None
+            for i in range(len(run) - S.WINDOW + 1):
+                counts = Counter(run[i : i + S.WINDOW]).values()
+                if -sum(c / S.WINDOW * math.log2(c / S.WINDOW) for c in counts) >= least - 1e-9:
+                    if last and m.start() + i <= last[2]:
+                        last[2] = m.start() + i + S.WINDOW
+                    else:
+                        last = [m.start() + i, len(S.BASE) + j, m.start() + i + S.WINDOW]
+                        out.append(last)
+    return [tuple(x) for x in out]
+
+
+def joined(spans):
+    return ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+
+
+def expected(text):
+    text = text or ""
+    b = base(text)
+    count = Counter(k for _, k, _ in b)
+    return (count[0], count[1], count[2], hashlib.sha256(joined(b).encode()).hexdigest(), joined(b + method(text)))
+
+
+def texts():
+    rnd = random.Random(9)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+    def rand(n, chars=b64):
+        return "".join(rnd.choice(chars) for _ in range(n))
+
+    out = [None, "", "token=secret: abcdefghijklmnop", 'API_KEY = "abcdefABCDEF123"; PassWord:short', "ſecret=abcdefghijklmnop apiKey='x.y-z_1234567'"]
+    out += ["AKIA" + rand(14, "ABCDEFGH0123"), "AKIAAKIA AKIAABCDEFGHIJKLMN0é", "0123456789abcdef" * 4 + " " + "a" * 15, "é😀 token: " + "f" * 40]
+    out += [f"x {rand(40)} y {rand(24, '0123456789abcdef')} z " + "é" * 3 + rand(64) for _ in range(30)]
+    out += [rand(20) + "example" + rand(20), "123e4567-e89b-12d3-a456-426614174000", "internationalizationalism" * 2, "some/long/path/to/file_name_1234"]
+    out += ["a" * 30 + rand(60) + "b" * 60 + rand(30) + "c" * 30, rand(1500), "12345678901234567890123"]
+    pieces = ["token", "Secret", "=", ":", " ", '"', "'", "abc", "AKIA", "0123456789abcdef", "XYZ12345", "é", "\n", "api_key", "passwd", "/+._-"]
+    out += ["".join(rnd.choice(pieces) for _ in range(rnd.randrange(2, 40))) for _ in range(300)]
+    return out
+
+
+def test_against_brute_force(spark):
+    rows = [(i, t, "x") for i, t in enumerate(texts())] + [(None, "token=abcdefghijklmnop", None), (3, texts()[3], "")]
+    got = S.secret_report(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = "token=abcdefghijklmnop" if r.doc_id is None else texts()[r.doc_id]
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) == expected(text), (r.doc_id, text)
+
+
+def test_whole_small_table(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    want = {r.doc_id: expected(r.text) for r in docs.collect()}
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in S.secret_report(docs).collect()}
+    assert got == want
+    assert any(w[0] for w in want.values())
+
+
+def test_redacted_texts_hold_no_secret(spark):
+    rows = [(i, t, "x") for i, t in enumerate(texts())]
+    for r in S.redact(spark.createDataFrame(rows, SCHEMA)).collect():
+        text = texts()[r.doc_id]
+        out, at = [], 0
+        merged = []
+        for a, _, b in sorted(base(text or "") + method(text or "")):
+            if merged and a < merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        for a, b in merged:
+            out += [text[at:a], "[SECRET]"]
+            at = b
+        assert r.text == "".join(out) + (text or "")[at:] and r.n_secrets == len(merged)
+
+
+def test_empty_table_and_native_plan(spark, capsys):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert S.secret_report(empty).collect() == []
+    S.secret_report(empty).explain()
+    plan = capsys.readouterr().out
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("text", ["the quick brown fox jumps over", "Donaudampfschifffahrtsgesellschaft"])
+def test_clean_texts(spark, text):
+    assert S.secret_report(spark.createDataFrame([(1, text, "")], SCHEMA)).first().spans == ""
