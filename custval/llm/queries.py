@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from custval.llm.bpe import bpe_round_trip
+from custval.llm.chat import chat_digests
 from custval.llm.common import table
 from custval.llm.language import label_languages
 from custval.llm.repetition import repetition_rules
@@ -53,3 +54,37 @@ def op8_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
+
+
+#: A conversation of control strings only, added to the table by op2.
+HARD_TURN = r"\### Assistant: </turn> ok"
+
+
+@query
+def op2_grammar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, 0, "user", HARD_TURN), (-7, 1, "assistant", HARD_TURN)], "conv_id long, turn long, role string, text string")
+    return chat_digests(turns.union(hard))
+
+
+ORACLE["op2_grammar_round_trip"] = rf"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '{HARD_TURN}'
+    UNION ALL SELECT -7, 1, 'assistant', '{HARD_TURN}'
+), sized AS (
+    SELECT *, regexp_matches(role, '[\\]|</turn>|###|: ') OR regexp_matches(text, '[\\]|</turn>|###') AS clash,
+        list_sum(list_transform([role, text], lambda s:
+            length(s) - length(replace(s, '\', '')) + (length(s) - length(replace(s, '</turn>', ''))) // 7
+            + (length(s) - length(replace(s, ': ', ''))) // 2
+            + coalesce(list_sum(list_transform(regexp_extract_all(s, '#{{3,}}'), lambda r: length(r) - 1)), 0))) AS extra
+    FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(14 + length(role) + length(text) + CASE WHEN clash THEN extra ELSE 0 END) AS BIGINT) AS formatted_chars,
+    count(*) FILTER (clash) AS n_escaped
+FROM sized GROUP BY conv_id
+"""
