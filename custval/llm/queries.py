@@ -11,6 +11,7 @@ from custval.llm.bpe import bpe_round_trip
 from custval.llm.chat import chat_digests
 from custval.llm.common import table
 from custval.llm.language import label_languages
+from custval.llm.mixing import mix
 from custval.llm.repetition import repetition_rules
 from custval.llm.secrets import secret_report
 from custval.llm.setsketch import setsketch_groups
@@ -88,3 +89,8 @@ SELECT conv_id, count(*) AS n_turns,
     count(*) FILTER (clash) AS n_escaped
 FROM sized GROUP BY conv_id
 """
+
+
+@query
+def op9_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1))
