@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from custval.llm.bpe import bpe_round_trip
 from custval.llm.chat import chat_digests
 from custval.llm.common import table
+from custval.llm.kdtree import kd_shards
 from custval.llm.language import label_languages
 from custval.llm.mixing import mix
 from custval.llm.repetition import repetition_rules
@@ -94,3 +96,11 @@ FROM sized GROUP BY conv_id
 @query
 def op9_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1))
+
+
+@query
+def op6_kd_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = kd_shards(table(spark, sf_dir, "documents"), shards=16)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
