@@ -15,10 +15,12 @@ the sets are similar.  Steps, all as Spark jobs:
    from the counts of larger, smaller and equal registers and the known set
    sizes.  Only pairs whose likelihood allows the threshold go on.
 4. First round: each node's most similar earlier node.  Verify on the full sets,
-   find components.  Second round: every likely pair of a bucket whose nodes are
-   still in different components, verified too.  Pairs inside a component need no
-   test, so a large group of copies costs about one test per node and no
-   possible link between components goes untested.
+   find components.  Second round: in every bucket that still holds several
+   components, the members outside the largest one meet all members, chunk by
+   chunk with their full sets, and every likely pair of different components is
+   verified there until a link joins the two; only such links leave the task.
+   Pairs inside a component need no test, so a large group of copies costs about
+   one test per node, and no possible link between components goes untested.
 5. Components of the verified links, spread to classes and documents.
 
 With ``BANDS`` x ``ROWS`` = 16 x 4 registers a pair at the threshold 0.85 fails to
@@ -40,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custval.llm.common import blocks, keyed, word_codes
@@ -58,8 +60,9 @@ BASE, RATE, TOP = 1.001, 20.0, 65_535
 
 #: A pair is dropped before verification if the threshold is less likely than its best estimate by this log factor (4.2 sigma).
 LOG_FACTOR = 9.0
-#: Largest chunk of a bucket that meets in one step.
+#: Members of a bucket's chunk that meet in one step, and shingles of those whose full sets meet.
 CHUNK = 1024
+CHUNK_SHINGLES = 1 << 22
 
 _RNG = np.random.default_rng(20_240_607)
 _MULTIPLY = _RNG.integers(0, 2**63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -249,36 +252,79 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([nodes.take(pa.array(some)), nodes.take(to), pa.array(value[some])], names=["a", "b", "estimate"])
 
 
+def _same(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if len(x) > len(y):
+        x, y = y, x
+    both = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Likely pairs of a chunk of the smaller components with a chunk of all members, between components."""
+    """Links between components, from a chunk of a bucket's smaller components and a chunk of all its members.
+
+    Likely pairs are verified on the spot, the most similar first, unless an earlier
+    link has joined their components.  A pair is looked at in its first common band only.
+    """
     for batch in batches:
         offsets, nodes, size, regs, flat = _members(batch.column("members"))
-        comp = pa.array(flat.field("component")).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        keys = regs.view(f"V{2 * ROWS}").reshape(len(regs), BANDS)
+        band = batch.column("band").to_pylist()
+        comp = flat.field("component").dictionary_encode().indices.to_pylist()
         node = nodes.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        sets = flat.field("shingles")
         side = flat.field("rest").to_numpy(zero_copy_only=False).astype(bool)
-        found = []
-        for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            rest, all_ = lo + np.flatnonzero(side[lo:hi]), lo + np.flatnonzero(~side[lo:hi])
-            for part in np.array_split(rest, max(1, len(rest) * len(all_) >> 18)):
-                a, b = np.repeat(part, len(all_)), np.tile(all_, len(part))
-                other = (comp[a] != comp[b]) & (node[a] != node[b])
-                x, y, _ = likely(regs, size, a[other], b[other])
-                found.append(np.stack([x, y]))
-        x, y = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        yield pa.record_batch([nodes.take(pa.array(x)), nodes.take(pa.array(y))], names=["a", "b"])
+        labels = np.array(comp)
+        links: list[tuple[int, int]] = []
+        for g, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            rest, every = lo + np.flatnonzero(side[lo:hi]), lo + np.flatnonzero(~side[lo:hi])
+            into: dict[int, int] = {}
+
+            def root(c: int, into=into) -> int:
+                while c in into:
+                    c = into[c]
+                return c
+
+            found = []
+            for part in np.array_split(rest, max(1, len(rest) * len(every) >> 18)):
+                a, b = np.repeat(part, len(every)), np.tile(every, len(part))
+                other = (labels[a] != labels[b]) & (node[a] != node[b])
+                x, y, estimate = likely(regs, size, a[other], b[other])
+                fresh = (
+                    np.ones(len(x), bool)
+                    if not band[g] or not len(x)
+                    else ~np.any(keys[x, : band[g]] == keys[y, : band[g]], axis=1)
+                )
+                found.append((x[fresh], y[fresh], estimate[fresh]))
+            x, y, estimate = (np.concatenate(c) for c in zip(*found, strict=True))
+            opened: dict[int, np.ndarray] = {}
+            for k in np.argsort(-estimate, kind="stable").tolist():
+                i, j = int(x[k]), int(y[k])
+                p, q = root(comp[i]), root(comp[j])
+                if p != q:
+                    for m in (i, j):
+                        if m not in opened:
+                            opened[m] = np.frombuffer(sets[m].as_buffer(), np.uint64)
+                    if _same(opened[i], opened[j]):
+                        into[p] = q
+                        links.append((i, j))
+        u, v = np.array(links, np.int64).reshape(-1, 2).T
+        yield pa.record_batch([nodes.take(pa.array(u)), nodes.take(pa.array(v))], names=["u", "v"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y)
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+        pairs = zip(batch.column("x"), batch.column("y"), strict=True)
+        keep = [_same(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in pairs]
         linked = batch.filter(pa.array(keep, pa.bool_()))
         yield pa.record_batch([linked.column("a"), linked.column("b")], names=["u", "v"])
 
 
+def _parts(n: Column, shingles: Column) -> Column:
+    """Chunks for so many members with so many shingles in all."""
+    return F.greatest(F.ceil(n / CHUNK), F.ceil(shingles / CHUNK_SHINGLES), F.lit(1)).cast("long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold, as links (u, v)."""
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -299,9 +345,9 @@ def setsketch_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     width = 2 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 1 + i * width, width)) for i in range(BANDS)])
-    banded = nodes.select("node", F.explode(keys).alias("key"))
+    banded = nodes.select("node", F.posexplode(keys).alias("band", "key"))
     crowded = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(banded.join(crowded, "key").select("key", "n", "node"), "members")
+    members = materialize(banded.join(crowded, "key").select("key", "band", "n", "node"), "members")
     facts = nodes.select("node", "n_shingles", "regs")
 
     chunk = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / CHUNK))
@@ -321,52 +367,47 @@ def setsketch_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     wanted = nodes.join(nearest.select(F.col("a").alias("node")), "node", "left_semi").select(F.col("first_id").alias("doc_id"))
     wanted_rows = rows.join(wanted.distinct(), rows["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
-    sets = materialize(wanted_rows.mapInArrow(_sets, "node binary, shingles binary"), "sets")
+    read = wanted_rows.mapInArrow(_sets, "node binary, shingles binary")
+    sets = materialize(read.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
     first = nearest.where("b is not null").select("a", "b")
     links = materialize(verified(first, sets), "verified")
 
     joined = components(links)
     open_members = (
-        members.join(nearest.select(F.col("a").alias("node")), "node", "left_semi")
+        members.join(sets.select("node", (F.length("shingles") / 8).alias("size")), "node")
         .join(joined, "node", "left")
-        .select("key", "node", F.coalesce("component", "node").alias("component"))
+        .select("key", "band", "node", "size", F.coalesce("component", "node").alias("component"))
     )
-    counted = open_members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    counted = open_members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     open_keys = (
         counted.groupBy("key")
-        .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
-        .where("most < n")
-    )
-    placed = (
-        open_members.join(open_keys, "key")
-        .join(facts, "node")
-        .withColumn("parts", F.ceil(F.col("n") / CHUNK))
-        .withColumn("rest_parts", F.ceil((F.col("n") - F.col("most")) / CHUNK))
-    )
-    fields = ["node", "n_shingles", "regs", "component"]
+        .agg(
+            F.max_by(F.struct("component", "n", "size"), F.struct("n", "component")).alias("main"),
+            F.sum("n").alias("n"),
+            F.sum("size").alias("size"),
+        )
+        .where("main.n < n")
+        .select("key", "main.component", _parts(F.col("n"), F.col("size")).alias("parts"), _parts(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("rest_parts"))
+        .withColumnRenamed("component", "main")
+    )
+    fields = ["node", "n_shingles", "regs", "component", "shingles"]
+    placed = open_members.join(open_keys, "key").join(facts, "node").join(sets, "node")
     rest = placed.where("component <> main").select(
         "key",
+        "band",
         F.pmod(F.xxhash64("node"), "rest_parts").alias("i"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"),
         F.struct(*fields, F.lit(True).alias("rest")).alias("member"),
     )
     every = placed.select(
         "key",
+        "band",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest_parts") - 1)).alias("i"),
         F.pmod(F.xxhash64("node"), "parts").alias("j"),
         F.struct(*fields, F.lit(False).alias("rest")).alias("member"),
     )
-    across = (
-        rest.union(every)
-        .groupBy("key", "i", "j")
-        .agg(F.collect_list("member").alias("members"))
-        .select("members")
-        .mapInArrow(_across, "a binary, b binary")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    more = materialize(verified(across, sets), "verified")
+    blocks_of = rest.union(every).groupBy("key", "band", "i", "j").agg(F.collect_list("member").alias("members"))
+    more = materialize(blocks_of.select("band", "members").mapInArrow(_across, "u binary, v binary"), "verified")
 
     final = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
     named = nodes.select("node", "first_id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
