@@ -14,6 +14,7 @@ from custval.llm.common import table
 from custval.llm.kdtree import kd_shards
 from custval.llm.language import label_languages
 from custval.llm.mixing import mix
+from custval.llm.multiindex import similar_vectors
 from custval.llm.repetition import repetition_rules
 from custval.llm.secrets import secret_report
 from custval.llm.setsketch import setsketch_groups
@@ -104,3 +105,8 @@ def op6_kd_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors(table(spark, sf_dir, "embeddings"))
