@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from custval.llm.common import blocks, keyed, rows_of, word_codes
 
@@ -183,21 +184,29 @@ def predict(block: pa.RecordBatch, model: Model) -> pa.RecordBatch:
     )
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, lang_pred, score, n_letters, phrase_rate.
+def identify(
+    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, str] | None = None
+) -> DataFrame:
+    """One row per document: doc_id, lang_pred, score, n_letters, phrase_rate, then the ``keep`` columns (new name: column).
 
     ``score`` is the share of the winner in the sum of e**-phrases over the
     languages; ``n_letters`` counts letters and one blank per word;
     ``phrase_rate`` is the winner's phrases per such character.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE_WORDS for each language
+    keep = keep or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            yield predict(block, shared.value)
-
-    schema = "doc_id long, lang_pred string, score double, n_letters long, phrase_rate double"
-    return keyed(docs, doc_id=id_col, text=text_col).mapInArrow(run, schema)
+            found = predict(block, shared.value)
+            columns = [*found.columns, *[block.column(k) for k in keep]]
+            yield pa.record_batch(columns, names=[*found.schema.names, *keep])
+
+    rows = keyed(docs, doc_id=id_col, text=text_col, **keep)
+    schema = T.StructType.fromDDL("doc_id long, lang_pred string, score double, n_letters long, phrase_rate double")
+    for name in keep:
+        schema = schema.add(name, rows.schema[name].dataType)
+    return rows.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -155,17 +155,18 @@ def _count(found: Column, kind: int) -> Column:
     return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, text, and ``found``, the spans (start, kind, end) ordered by start and kind.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, str] | None = None) -> DataFrame:
+    """One row per document: doc_id, text, ``found``, the spans (start, kind, end) ordered by start and kind, and ``keep``.
 
-    ``kind`` is the number of a name in ``KINDS``.
+    ``kind`` is the number of a name in ``KINDS``; ``keep`` names further columns to carry (new name: column).
     """
-    rows = keyed(docs, doc_id=id_col, text=F.coalesce(F.col(text_col), F.lit("")))
+    keep = keep or {}
+    rows = keyed(docs, doc_id=id_col, text=F.coalesce(F.col(text_col), F.lit("")), **keep)
     text = F.col("text")
     parts = [matches(text, pattern, i, group, least) for i, (_, pattern, group, least) in enumerate(BASE)]
     parts += [high_entropy(text, len(BASE) + j, alphabet, least) for j, (_, alphabet, least) in enumerate(CLASSES)]
     spans = F.transform(F.concat(*parts), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return rows.select("doc_id", "text", F.array_sort(spans).alias("found"))
+    return rows.select("doc_id", "text", F.array_sort(spans).alias("found"), *keep)
 
 
 def _joined(found: Column) -> Column:
@@ -181,8 +182,10 @@ def secret_report(docs: DataFrame) -> DataFrame:
     return scan(docs).select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(found).alias("spans"))
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text with every union of overlapping spans replaced by ``mark`` (null stays null), and how many were."""
+def redact(
+    docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", keep: dict[str, str] | None = None
+) -> DataFrame:
+    """doc_id, text with every union of overlapping spans replaced by ``mark``, how many were, and ``keep``."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(0).alias("n"))
 
     def merge(acc: Column, s: Column) -> Column:
@@ -198,5 +201,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text
     steps = F.transform(F.col("found"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), text.alias("text")))
     done = F.aggregate(steps, start, merge)
     clean = F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
-    scanned = scan(keyed(docs, doc_id=id_col, text=text_col), "doc_id", "text")
-    return scanned.select("doc_id", F.when(F.size("found") > 0, clean).otherwise(text).alias("text"), done["n"].cast("long").alias("n_secrets"))
+    redacted = F.when(F.size("found") > 0, clean).otherwise(text)
+    return scan(docs, id_col, text_col, keep).select("doc_id", redacted.alias("text"), done["n"].cast("long").alias("n_secrets"), *(keep or {}))

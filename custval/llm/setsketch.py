@@ -186,11 +186,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(
             [
                 block.column("doc_id"),
+                block.column("tag"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(digest, pa.binary()),
                 pa.array([r.tobytes() if d else None for r, d in zip(regs, digest, strict=True)], pa.binary()),
             ],
-            names=["doc_id", "n_shingles", "node", "regs"],
+            names=["doc_id", "tag", "n_shingles", "node", "regs"],
         )
 
 
@@ -332,10 +333,15 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "u binary, v binary")
 
 
-def setsketch_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links), kept."""
-    rows = keyed(docs, doc_id=id_col, text=text_col)
-    sketched = materialize(rows.mapInArrow(_sketch, "doc_id long, n_shingles long, node binary, regs binary"), "sketches")
+def setsketch_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: Column | None = None) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links), kept.
+
+    With ``tag``, an integer column of ``docs`` that comes back with each row.
+    """
+    rows = keyed(docs, doc_id=id_col, text=text_col, tag=(F.lit(None) if tag is None else tag).cast("long"))
+    sketched = materialize(
+        rows.mapInArrow(_sketch, "doc_id long, tag long, n_shingles long, node binary, regs binary"), "sketches"
+    )
     nodes = materialize(
         sketched.where("node is not null")
         .groupBy("node")
@@ -413,10 +419,8 @@ def setsketch_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = nodes.select("node", "first_id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of_node = named.join(smallest, "component").select("node", "component_id")
-    full = sketched.where("node is not null").select("doc_id", "n_shingles", "node").join(of_node, "node")
-    alone = sketched.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return (
-        full.select("doc_id", "n_shingles", "component_id")
-        .union(alone)
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    own = ["doc_id", "n_shingles", *(["tag"] if tag is not None else [])]
+    full = sketched.where("node is not null").select(*own, "node").join(of_node, "node")
+    alone = sketched.where("node is null").select(*own, F.col("doc_id").alias("component_id"))
+    both = full.select(*own, "component_id").union(alone)
+    return both.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
