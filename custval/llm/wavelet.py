@@ -30,18 +30,22 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from custval.llm.common import blocks, keyed, word_codes
+from custval.llm.common import blocks, keyed, rows_of, word_codes
 from custval.session import checkpoint_dir, materialize
 
 #: Tokens of a shard, at about which a task starts the next one.
 SHARD_TOKENS = 4 << 20
 #: Text bytes whose distinct words are encoded together, and words kept for the next ones.
 ENCODE_BYTES = 16 << 20
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_500_000
+
+#: Letters after which the tokenizer cuts off a comma or stop whatever else it does (lower-casing others may leave a mark).
+PLAIN = r"[a-z\x{DF}-\x{F6}\x{F8}-\x{FF}]"
 
 MAGIC = b"WVM1"
 SUPER = 512  # bits between the counts of the rank directory
@@ -59,7 +63,7 @@ class WaveletMatrix:
         levels = max(1, int(tokens.max()).bit_length()) if len(tokens) else 1
         planes, zeros = [], []
         for level in range(levels - 1, -1, -1):
-            bit = (tokens >> level) & 1 == 1
+            bit = (tokens & tokens.dtype.type(1 << level)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
             low = tokens[~bit]
             zeros.append(len(low))
@@ -132,13 +136,14 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """All tokens, the partitions undone plane by plane."""
-        out = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
         for level in range(len(self.planes) - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
-            up = np.empty(self.n, np.uint32)
+            up = np.empty(self.n, kind)
             z = self.zeros[level]
             up[~bit] = out[:z]
-            up[bit] = out[z:] | np.uint32(1 << (len(self.planes) - 1 - level))
+            up[bit] = out[z:] | kind(1 << (len(self.planes) - 1 - level))
             out = up
         return out
 
@@ -150,7 +155,7 @@ def to_file(tokens: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray)
     ids = np.array([0 if d is None else d for d in doc_ids], np.int64)
     sections = [ids.tobytes(), null.tobytes(), lengths.astype(np.int64).tobytes(), np.array(matrix.zeros, np.int64).tobytes()]
     sections += [part.tobytes() for pair in zip(matrix.planes, matrix.directory, strict=True) for part in pair]
-    packed = [zlib.compress(s, 1) for s in sections]
+    packed = [zstandard.ZstdCompressor(level=1).compress(s) for s in sections]
     head = struct.pack("<4sqqi", MAGIC, matrix.n, len(doc_ids), len(matrix.planes))
     return head + b"".join(struct.pack("<q", len(p)) + p for p in packed)
 
@@ -163,7 +168,7 @@ def from_file(image: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray
     at, parts = struct.calcsize("<4sqqi"), []
     while at < len(image):
         (size,) = struct.unpack_from("<q", image, at)
-        parts.append(zlib.decompress(memoryview(image)[at + 8 : at + 8 + size]))
+        parts.append(zstandard.ZstdDecompressor().decompress(memoryview(image)[at + 8 : at + 8 + size]))
         at += 8 + size
     ids = np.frombuffer(parts[0], np.int64).tolist()
     null = np.unpackbits(np.frombuffer(parts[1], np.uint8), count=docs, bitorder="little") if docs else []
@@ -173,72 +178,92 @@ def from_file(image: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray
     return WaveletMatrix(n, planes, np.frombuffer(parts[3], np.int64).tolist(), directory), ids, np.frombuffer(parts[2], np.int64)
 
 
-@lru_cache(maxsize=1)
-def _tokenizer(data: bytes):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_str(data.decode())
-
-
 class WordEncoder:
     """Encodes texts whose tokenizer never looks across ASCII blanks, each distinct word once.
 
-    Words are sent to the library joined by blanks and told apart by their offsets.
     A lower-cased word (unless it may hold a special token) and a final comma or
-    stop after an ASCII letter are encoded by themselves: the tokenizer lower-cases
-    and splits there.  ``tests/llm/test_wavelet.py`` compares with whole texts.
+    stop after a plain letter are encoded by themselves: the tokenizer lower-cases
+    and splits there.  Words go to the library joined by blanks.  A word of letters
+    ends with its only token that has the end-of-word mark; if these do not number as
+    the words do, and for other words, the library's offsets tell them apart.
+    ``tests/llm/test_wavelet.py`` compares with whole texts.
     """
 
     def __init__(self, data: bytes):
-        self.library = _tokenizer(data)
-        self.known: dict[str, np.ndarray] = {}
-        self.tail = {c: self._each([c])[0] for c in ",."}
-
-    def _each(self, words: list[str], step: int = 500) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for i in range(0, len(words), step):
-            part = words[i : i + step]
-            found = self.library.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, np.uint32)
-            ends = np.cumsum([len(w) + 1 for w in part])
-            begins = np.array([o[0] for o in found.offsets], np.int64)
-            out += np.split(ids, np.searchsorted(begins, ends[:-1]))
-        return out
-
-    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of the words and their offsets."""
-        special = pc.match_substring(words, "<")
-        lower = pc.if_else(special, words, pc.ascii_lower(words))
-        cut = pc.match_substring_regex(lower, "[a-z][.,]$")
-        stem = pc.if_else(cut, pc.utf8_slice_codeunits(lower, 0, -1), lower)
-        coded = stem.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_str(data.decode())
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Start with the empty word, the comma and the stop."""
+        self.known = pa.array([""])
+        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(2, np.int64)
+        self._learn(pa.array([",", "."]), plain=False)
+
+    def _encode(self, words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after another, and how many each has."""
+        joined = " ".join(words)
+        if plain:
+            ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(words):
+                return ids, np.diff(last, prepend=-1)
+        found = self.library.encode(joined, add_special_tokens=False)
+        begins = np.array([o[0] for o in found.offsets], np.int64)
+        cuts = np.searchsorted(begins, np.cumsum([len(w) + 1 for w in words]))
+        return np.array(found.ids, np.uint32), np.diff(cuts, prepend=0)
+
+    def _learn(self, new: pa.Array, plain: bool, step: int = 500) -> None:
+        words = new.to_pylist()
+        done = [self._encode(words[i : i + step], plain) for i in range(0, len(words), step)]
+        self.known = pa.concat_arrays([self.known, new])
+        self.flat = np.concatenate([self.flat, *[ids for ids, _ in done]])
+        self.at = np.concatenate([self.at, *([self.at[-1] + np.cumsum(np.concatenate([n for _, n in done]))] if done else [])])
+
+    def numbers(self, stems: pa.Array) -> np.ndarray:
+        """The numbers of distinct words in the store, after encoding those that are new."""
         if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        new = [w for w in distinct if w not in self.known]
-        self.known.update(zip(new, self._each(new), strict=True))
-        each = [self.known[w] for w in distinct]
-        stems, tails = coded.indices.to_pylist(), pc.utf8_slice_codeunits(lower, -1).to_pylist()
-        tails = [self.tail[t] if c else None for t, c in zip(tails, cut.to_pylist(), strict=True)]
-        parts = [p for s, t in zip(stems, tails, strict=True) for p in ((each[s],) if t is None else (each[s], t))]
-        size = [len(each[s]) + (0 if t is None else len(t)) for s, t in zip(stems, tails, strict=True)]
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+            self.forget()
+        new = stems.filter(pc.invert(pc.is_in(stems, self.known)))
+        letters = pc.match_substring_regex(new, r"^\p{L}+$")
+        self._learn(new.filter(letters), plain=True)
+        self._learn(new.filter(pc.invert(letters)), plain=False)
+        return pc.index_in(stems, self.known).to_numpy(zero_copy_only=False).astype(np.int64)
 
     def texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts, each closed by ``end_id``, and their offsets."""
         codes, offsets, words = word_codes(texts)
-        flat, at = self.words(words)
-        size = np.diff(at)[codes]
-        done = np.concatenate([[0], np.cumsum(size)])
-        into = done[:-1] + np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))  # one end id per text before
+        lower = pc.if_else(pc.match_substring(words, "<"), words, pc.ascii_lower(words))
+        comma = pc.match_substring_regex(lower, PLAIN + ",$").to_numpy(zero_copy_only=False).astype(bool)
+        stop = pc.match_substring_regex(lower, PLAIN + "[.]$").to_numpy(zero_copy_only=False).astype(bool)
+        stems = pc.if_else(pa.array(comma | stop), pc.utf8_slice_codeunits(lower, 0, -1), lower).dictionary_encode()
+        number = self.numbers(stems.dictionary)[stems.indices.to_numpy(zero_copy_only=False)] if len(words) else codes
+        tail = np.where(comma, 1, np.where(stop, 2, 0))
+        size = np.diff(self.at)
+        stem_size, tail_size = size[number][codes], size[tail][codes]
+        done = np.concatenate([[0], np.cumsum(stem_size + tail_size)])
         out_offsets = done[offsets] + np.arange(len(offsets))
         out = np.full(int(out_offsets[-1]), end_id, np.uint32)
-        inner = np.arange(int(done[-1])) - np.repeat(done[:-1], size)
-        out[np.repeat(into, size) + inner] = flat[np.repeat(at[codes], size) + inner]
+        begin = done[:-1] + rows_of(offsets)  # one end id for each text before
+        for of, n, at in ((number, stem_size, begin), (tail, tail_size, begin + stem_size)):
+            some = np.flatnonzero(n) if of is tail else slice(None)
+            n, at, source = n[some], at[some], self.at[of][codes[some]]
+            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            out[np.repeat(at, n) + inner] = self.flat[np.repeat(source, n) + inner]
         return out, out_offsets
 
 
+@lru_cache(maxsize=1)
+def _encoder(data: bytes) -> WordEncoder:
+    """One encoder for all tasks of a Python worker, so that frequent words stay known."""
+    return WordEncoder(data)
+
+
 def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode ``docs`` and write shards in ascending id order below ``path`` (columns: part, seq, n_tokens, image)."""
     spark = docs.sparkSession
@@ -246,7 +271,7 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, end_id: int, i
         shared = spark.sparkContext.broadcast(f.read())  # a fixed file of under 2 MB
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(shared.value)
+        encoder = _encoder(shared.value)
         for block in blocks(batches, limit=ENCODE_BYTES):
             ids, at = encoder.texts(block.column("text"), end_id)
             narrow = ids.astype(np.uint16) if encoder.library.get_vocab_size() <= 1 << 16 else ids
