@@ -12,24 +12,36 @@ Fit.  The log-likelihood of one customer is
     A3 = -(r+x) ln(alpha+T)
     A4 = ln a - ln(b + max(x,1) - 1) - (r+x) ln(alpha+tx)
 
-The first two brackets depend on the integer x only: they are summed on the
-driver over the histogram of x (tens of rows).  The last term and its
-gradient are plain column arithmetic, summed by one Spark aggregate over the
-table pre-grouped by (x, tx, T).  The objective is the weighted mean negative
-log-likelihood plus ``penalizer * sum(params**2)``, minimised over log
-parameters from 0.1 with the times scaled so that max(T) = 1 (alpha is scaled
-back afterwards) - the conventions of the common Python implementation.
-
-Prediction.  E[X(t) | x, tx, T] uses the Euler-transformed Gauss
-hypergeometric function, so the series has only positive powers of
-z = t / (alpha + T + t) < 1 and converges without overflow; it is evaluated
-per row with ``aggregate(sequence(...))`` - JVM-side, no Python UDF.
+All terms and their gradients are column arithmetic (the gamma functions by
+Stirling's series after a shift by 8), summed by one Spark aggregate over the
+table pre-grouped by (x, tx, T); five numbers reach the driver.  The objective is
+the weighted mean negative log-likelihood plus ``penalizer * sum(params**2)``,
+minimised over log parameters from 0.1 with the times scaled so that max(T) = 1
+(``scale_times``; alpha is scaled back afterwards) - the conventions of the common
+Python implementation.
+
+Prediction.  Given that a customer is alive, the dropout probability p is
+Beta(a, b + x) and the purchase rate Gamma(r + x, alpha + T), so with
+s = t / (alpha + T) the expected purchases until t are the mean over p of
+
+    g(p) = (1 - (1 + s p) ** -(r + x)) / p
+
+(the hypergeometric closed form is this integral; it divides by a - 1 and its
+series needs ever more terms as t / (alpha + T + t) nears 1, the integral
+does not).  The chord g(0) (1 - p) + g(1) p has a mean in closed form; the rest is
+integrated by double-exponential quadrature, p = 1 / (1 + exp(-pi sinh u)) on an even
+grid of u, the same for all rows and refined on the driver until the sums over a
+range of x and s stand still.  Rows evaluate it JVM-side with ``aggregate`` over the
+constant nodes, for all horizons at once.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -39,11 +51,6 @@ from custval.functions.numeric import col_of
 from custval.operators.optim import bfgs, digamma
 from custval.session import materialize
 
-MAX_SERIES_TERMS = 20_000
-# terms needed so that z**n < 1e-17
-_LN_EPS = math.log(1e-17)
-
-
 @dataclass(frozen=True)
 class BetaGeoParams:
     r: float
@@ -52,40 +59,142 @@ class BetaGeoParams:
     b: float
 
 
+#: A parameter this small or large has run to the boundary: the log-likelihood hardly depends on it there.
+BOUNDARY = (1e-4, 1e6)
+
+
 @dataclass
 class FitResult:
+    """``objective`` is the penalised mean negative log-likelihood (of the scaled times)."""
+
     params: object
-    neg_log_likelihood: float
+    objective: float
     iterations: int
     converged: bool
+    boundary: bool = False
 
 
-def hyp2f1(A: Column, B: Column, C: Column, z: Column) -> Column:
-    """Gauss 2F1(A, B; C; z) for 0 <= z < 1 by its power series.
+def fit_result(model: str, params, res) -> FitResult:
+    """The result of a fit; warns if it should not be trusted."""
+    boundary = [k for k, v in vars(params).items() if not BOUNDARY[0] < v < BOUNDARY[1]]
+    if not res.converged:
+        warnings.warn(f"the {model} fit did not converge in {res.iterations} iterations", stacklevel=3)
+    if boundary:
+        warnings.warn(f"the {model} fit ended at the boundary for {', '.join(boundary)}", stacklevel=3)
+    return FitResult(params, res.fun, res.iterations, res.converged, bool(boundary))
 
-    Each row sums as many terms as its own z needs.  The term ratio
-    z (A+n)(B+n) / ((C+n)(n+1)) is at most z K with
-    K = max(1, |A|/C) max(1, |B|), so when zK < 1 the terms fall geometrically
-    and ceil(ln(1e-17) / ln(zK)) + 2 of them leave a tail below 1e-17/(1-zK)
-    (used when C >= 1); otherwise a z-based count with a margin (capped).
+
+#: Where the grid is tried: frequencies and t / (alpha + T); and how still its sums must stand.
+PROBE_X = (0.0, 1.0, 4.0, 30.0, 1000.0, 100_000.0)
+PROBE_S = (1e-3, 0.1, 1.0, 10.0, 1e3, 1e5)
+PROBE_TOL = 1e-11
+
+
+def _grid(a: float, b: float, step: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ln p, ln(1 - p) and the log of the Jacobian (pi cosh u) at the nodes.
+
+    They reach to where p ** (a + 1) (1 - p) ** (c + 1) has fallen by e ** -45 from its peak, for any c = b + x.
     """
-    k = F.greatest(F.lit(1.0), F.abs(A) / C) * F.greatest(F.lit(1.0), F.abs(B))
-    zk = z * k
-    bounded = F.ceil(F.lit(_LN_EPS) / F.log(zk)).cast("int") + 2
-    fallback = F.ceil(F.lit(_LN_EPS) / F.log(z)).cast("int") + 40
-    n_terms = (
-        F.when(z <= 0, F.lit(1))
-        .when((zk < 1) & (C >= 1), F.least(F.lit(MAX_SERIES_TERMS), bounded))
-        .otherwise(F.least(F.lit(MAX_SERIES_TERMS), fallback))
+
+    def reach(power: float) -> float:
+        return 45.0 / power + math.sqrt(90.0 / power) + 4.0
+
+    low = math.log((a + 1.0) / (b + PROBE_X[-1] + 1.0)) - reach(a + 1.0)
+    high = math.log((a + 1.0) / (b + 1.0)) + reach(b + 1.0)
+    u = np.arange(math.floor(math.asinh(low / math.pi) / step), math.ceil(math.asinh(high / math.pi) / step) + 1) * step
+    v = math.pi * np.sinh(u)
+    return -np.logaddexp(0.0, -v), -np.logaddexp(0.0, v), np.log(math.pi * np.cosh(u))
+
+
+def _mean_gain(a: float, c: float, k: float, s: float, grid) -> float:
+    """The mean of g over Beta(a, c): numpy twin of :func:`expected_if_alive`."""
+    ln_p, ln_q, ln_w = grid
+    shift = (a + 1.0) * math.log((a + 1.0) / (a + c + 2.0)) + (c + 1.0) * math.log((c + 1.0) / (a + c + 2.0))
+    w = np.exp((a + 1.0) * ln_p + (c + 1.0) * ln_q + ln_w - shift)
+    p, q = np.exp(ln_p), np.exp(ln_q)
+    g0, g1 = k * s, -math.expm1(-k * math.log1p(s))
+    g = -np.expm1(-k * np.log1p(s * p)) / p
+    rest = float(np.sum(w * ((g - g0 * q - g1 * p) / (p * q))) / np.sum(w))
+    return (g0 * c + g1 * a) / (a + c) + rest * a * c / ((a + c) * (a + c + 1.0))
+
+
+@lru_cache(maxsize=64)
+def quadrature(params: BetaGeoParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes fine enough for any row of these parameters (driver-side, a few milliseconds)."""
+    a, b, r = params.a, params.b, params.r
+
+    def sums(grid):
+        return np.array([_mean_gain(a, b + x, r + x, s, grid) for x in PROBE_X for s in PROBE_S])
+
+    scale = np.array([1e-3 * (r + x) * s for x in PROBE_X for s in PROBE_S])  # of what the rounding of g(0) leaves
+    step = 0.25
+    grid = _grid(a, b, step)
+    last = sums(grid)
+    while step > 1e-3:
+        step /= 2.0
+        finer = _grid(a, b, step)
+        now = sums(finer)
+        if np.all(np.abs(now - last) <= PROBE_TOL * (np.abs(now) + scale)):
+            return grid
+        grid, last = finer, now
+    return grid
+
+
+def _doubles(values: Sequence[float]) -> Column:
+    """A constant array<double> (folded once by the optimizer)."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
+def expected_if_alive(params: BetaGeoParams, times: Sequence[float | Column], frequency: Column | str, T: Column | str) -> Column:
+    """Expected purchases within each of ``times`` of a customer known to be alive, as an array.
+
+    Depends on frequency and T only.
+    """
+    a, b = F.lit(params.a), F.lit(params.b)
+    x = col_of(frequency).cast("double")
+    age = col_of(T).cast("double") + F.lit(params.alpha)
+    c, k = x + b, x + F.lit(params.r)
+    ln_p, ln_q, ln_w = quadrature(params)
+    columns = {"lp": ln_p, "lq": ln_q, "lw": ln_w, "p": np.exp(ln_p), "q": np.exp(ln_q)}
+    nodes = F.arrays_zip(*[_doubles(values).alias(name) for name, values in columns.items()])
+    both = a + c + F.lit(2.0)
+    shift = (a + 1.0) * F.log((a + 1.0) / both) + (c + 1.0) * F.log((c + 1.0) / both)
+    horizons = F.array(*[F.struct((t if isinstance(t, Column) else F.lit(float(t))).cast("double").alias("t")) for t in times])
+
+    def ends(h):
+        s = h["t"] / age
+        return F.struct(s.alias("s"), (k * s).alias("g0"), (-F.expm1(-k * F.log1p(s))).alias("g1"), F.lit(0.0).alias("sum"))
+
+    start = F.struct(
+        F.lit(0.0).alias("total"), F.transform(horizons, ends).alias("of"), c.alias("c"), k.alias("k"), shift.alias("shift")
     )
-    init = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total"))
 
-    def step(acc, n):
-        nd = n.cast("double")
-        nxt = acc["term"] * (A + nd) * (B + nd) / ((C + nd) * (nd + F.lit(1.0))) * z
-        return F.struct(nxt.alias("term"), (acc["total"] + acc["term"]).alias("total"))
+    def merge(acc, n):
+        w = F.exp((a + 1.0) * n["lp"] + (acc["c"] + 1.0) * n["lq"] + n["lw"] - acc["shift"])
+
+        def add(o):
+            g = -F.expm1(-acc["k"] * F.log1p(o["s"] * n["p"])) / n["p"]
+            more = w * ((g - o["g0"] * n["q"] - o["g1"] * n["p"]) / (n["p"] * n["q"]))
+            return F.struct(o["s"].alias("s"), o["g0"].alias("g0"), o["g1"].alias("g1"), (o["sum"] + more).alias("sum"))
+
+        return F.struct(
+            (acc["total"] + w).alias("total"), F.transform(acc["of"], add).alias("of"),
+            acc["c"].alias("c"), acc["k"].alias("k"), acc["shift"].alias("shift"),
+        )
+
+    def finish(acc):
+        ac = a + acc["c"]
+        share = a * acc["c"] / (ac * (ac + 1.0)) / acc["total"]
+        return F.transform(acc["of"], lambda o: (o["g0"] * acc["c"] + o["g1"] * a) / ac + o["sum"] * share)
+
+    return F.aggregate(nodes, start, merge, finish)
 
-    return F.aggregate(F.sequence(F.lit(0), n_terms - 1), init, step, lambda acc: acc["total"])
+
+def alive_odds(params: BetaGeoParams, frequency: Column | str, recency: Column | str, T: Column | str) -> Column:
+    """1 + odds of having dropped out: what the expectation of a live customer is divided by."""
+    x, tx, age = (col_of(v).cast("double") for v in (frequency, recency, T))
+    ratio = F.pow((F.lit(params.alpha) + age) / (F.lit(params.alpha) + tx), F.lit(params.r) + x)
+    return F.lit(1.0) + F.when(x > 0, F.lit(params.a) / (F.lit(params.b - 1.0) + x) * ratio).otherwise(F.lit(0.0))
 
 
 def expected_purchases(
@@ -96,20 +205,7 @@ def expected_purchases(
     T: Column | str,
 ) -> Column:
     """Conditional expected number of purchases in the next ``t`` periods."""
-    r, alpha, a, b = params.r, params.alpha, params.a, params.b
-    x = col_of(frequency).cast("double")
-    tx = col_of(recency).cast("double")
-    age = col_of(T).cast("double")
-    t_col = t if isinstance(t, Column) else F.lit(float(t))
-    z = t_col / (F.lit(alpha) + age + t_col)
-    hyp = hyp2f1(F.lit(a + b - 1.0 - r), F.lit(a - 1.0), F.lit(a + b - 1.0) + x, z)
-    first = (F.lit(a + b - 1.0) + x) / F.lit(a - 1.0)
-    second = F.lit(1.0) - F.pow(F.lit(1.0) - z, F.lit(a - 1.0)) * hyp
-    ratio = F.pow((F.lit(alpha) + age) / (F.lit(alpha) + tx), F.lit(r) + x)
-    denom = F.lit(1.0) + F.when(
-        x > 0, F.lit(a) / (F.lit(b - 1.0) + x) * ratio
-    ).otherwise(F.lit(0.0))
-    return first * second / denom
+    return expected_if_alive(params, [t], frequency, T)[0] / alive_odds(params, frequency, recency, T)
 
 
 def probability_of_n_purchases(
@@ -163,59 +259,76 @@ def sql_double(v: float) -> str:
     return f"CAST({float(v)!r} AS DOUBLE)"
 
 
+#: Coefficients of Stirling's series for ln Gamma; its derivative gives digamma.
+_STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360)
+_SHIFT = 8
+
+
+def _in_squares(y: str, coefficients: Sequence[float]) -> str:
+    """c0 + c1 / y**2 + c2 / y**4 + ... by Horner's rule."""
+    out = f"({coefficients[-1]!r}D)"
+    for c in reversed(coefficients[:-1]):
+        out = f"({out} / ({y} * {y}) + ({c!r}D))"
+    return out
+
+
+def sql_lgamma(z: str) -> str:
+    """ln Gamma(z), z > 0, as Spark SQL: the series at z + 8 less the logs of z ... z + 7."""
+    y = f"({z} + {_SHIFT}.0D)"
+    shift = " + ".join(f"ln({z} + {j}.0D)" for j in range(_SHIFT))
+    return f"(({y} - 0.5D) * ln({y}) - {y} + {0.5 * math.log(2 * math.pi)!r}D + {_in_squares(y, _STIRLING)} / {y} - ({shift}))"
+
+
+def sql_digamma(z: str) -> str:
+    """The derivative of ln Gamma(z), z > 0, as Spark SQL."""
+    y = f"({z} + {_SHIFT}.0D)"
+    series = _in_squares(y, [(2 * i + 1) * c for i, c in enumerate(_STIRLING)])
+    shift = " + ".join(f"1.0D / ({z} + {j}.0D)" for j in range(_SHIFT))
+    return f"(ln({y}) - 0.5D / {y} - {series} / ({y} * {y}) - ({shift}))"
+
+
+def np_lgamma(z: np.ndarray) -> np.ndarray:
+    y = z + _SHIFT
+    series = sum(c / y ** (2 * i + 1) for i, c in enumerate(_STIRLING))
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - sum(np.log(z + j) for j in range(_SHIFT))
+
+
+def np_digamma(z: np.ndarray) -> np.ndarray:
+    y = z + _SHIFT
+    series = sum((2 * i + 1) * c / y ** (2 * i + 2) for i, c in enumerate(_STIRLING))
+    return np.log(y) - 0.5 / y - series - sum(1.0 / (z + j) for j in range(_SHIFT))
+
+
 def _row_terms(p: BetaGeoParams, x: str = "x", tx: str = "tx", age: str = "T") -> list[str]:
-    """Per-row ln(e^A3 + [x>0] e^A4) and its gradient in (r, alpha, a, b), as SQL.
+    """Log-likelihood of a row and its gradient in (r, alpha, a, b), as SQL.
 
     SQL text keeps building a batch of these aggregates to one call; the
     expressions are plain arithmetic that Spark compiles with codegen.
     """
     r, alpha, a, b = (sql_double(v) for v in (p.r, p.alpha, p.a, p.b))
+    rx, bx, abx = f"({r} + {x})", f"({b} + {x})", f"({a} + {b} + {x})"
+    fixed = math.lgamma(p.a + p.b) - math.lgamma(p.b) - math.lgamma(p.r) + p.r * math.log(p.alpha)
     ln_at = f"ln({alpha} + {age})"
     ln_ax = f"ln({alpha} + {tx})"
     b_x = f"({b} + greatest({x}, 1.0D) - 1.0D)"
-    a3 = f"(-({r} + {x}) * {ln_at})"
-    a4 = f"(ln({a}) - ln({b_x}) - ({r} + {x}) * {ln_ax})"
+    a3 = f"(-{rx} * {ln_at})"
+    a4 = f"(ln({a}) - ln({b_x}) - {rx} * {ln_ax})"
     m = f"greatest({a3}, {a4})"
     e3, e4 = f"exp({a3} - {m})", f"exp({a4} - {m})"
     ll = f"CASE WHEN {x} > 0 THEN {m} + ln({e3} + {e4}) ELSE {a3} END"
     w = f"(CASE WHEN {x} > 0 THEN {e4} / ({e3} + {e4}) ELSE 0.0D END)"
+    ends = sql_digamma(abx)
     return [
-        ll,
-        f"-(1.0D - {w}) * {ln_at} - {w} * {ln_ax}",
-        f"-({r} + {x}) * ((1.0D - {w}) / ({alpha} + {age}) + {w} / ({alpha} + {tx}))",
-        f"{w} / {a}",
-        f"-{w} / {b_x}",
+        f"{sql_double(fixed)} + {sql_lgamma(rx)} + {sql_lgamma(bx)} - {sql_lgamma(abx)} + {ll}",
+        f"{sql_double(math.log(p.alpha) - digamma(p.r))} + {sql_digamma(rx)} - (1.0D - {w}) * {ln_at} - {w} * {ln_ax}",
+        f"{r} / {alpha} - {rx} * ((1.0D - {w}) / ({alpha} + {age}) + {w} / ({alpha} + {tx}))",
+        f"{sql_double(digamma(p.a + p.b))} - {ends} + {w} / {a}",
+        f"{sql_double(digamma(p.a + p.b) - digamma(p.b))} + {sql_digamma(bx)} - {ends} - {w} / {b_x}",
     ]
 
 
-def _x_terms(p: BetaGeoParams, hist: list[tuple[float, float]]) -> tuple[float, np.ndarray]:
-    """Sum over the x histogram of the x-only brackets and their gradient."""
-    r, alpha, a, b = p.r, p.alpha, p.a, p.b
-    ll, grad = 0.0, np.zeros(4)
-    for x, w in hist:
-        ll += w * (
-            math.lgamma(r + x) - math.lgamma(r) + r * math.log(alpha)
-            + math.lgamma(a + b) + math.lgamma(b + x) - math.lgamma(b) - math.lgamma(a + b + x)
-        )
-        grad += w * np.array(
-            [
-                digamma(r + x) - digamma(r) + math.log(alpha),
-                r / alpha,
-                digamma(a + b) - digamma(a + b + x),
-                digamma(a + b) + digamma(b + x) - digamma(b) - digamma(a + b + x),
-            ]
-        )
-    return ll, grad
-
-
-# Warm start: a coarse summary of the grouped table (times on a 1/256 grid of
-# the scaled range) is fitted on the driver when it has at most this many rows.
-WARM_START_BINS = 256
-WARM_START_MAX_ROWS = 100_000
-
-
 def _np_row_sums(p: BetaGeoParams, x, tx, age, w) -> tuple[float, np.ndarray]:
-    """The per-row part of :func:`_row_terms`, summed with numpy (warm start only)."""
+    """:func:`_row_terms` weighted and summed with numpy (warm start, tests)."""
     ln_at = np.log(p.alpha + age)
     ln_ax = np.log(p.alpha + tx)
     b_x = p.b + np.maximum(x, 1.0) - 1.0
@@ -224,67 +337,81 @@ def _np_row_sums(p: BetaGeoParams, x, tx, age, w) -> tuple[float, np.ndarray]:
     m = np.maximum(a3, a4)
     e3, e4 = np.exp(a3 - m), np.exp(a4 - m)
     pos = x > 0
-    ll = np.where(pos, m + np.log(e3 + e4), a3)
     wt = np.where(pos, e4 / (e3 + e4), 0.0)
+    fixed = math.lgamma(p.a + p.b) - math.lgamma(p.b) - math.lgamma(p.r) + p.r * math.log(p.alpha)
+    ll = fixed + np_lgamma(p.r + x) + np_lgamma(p.b + x) - np_lgamma(p.a + p.b + x) + np.where(pos, m + np.log(e3 + e4), a3)
+    ends = np_digamma(p.a + p.b + x)
     grads = [
-        -(1.0 - wt) * ln_at - wt * ln_ax,
-        -(p.r + x) * ((1.0 - wt) / (p.alpha + age) + wt / (p.alpha + tx)),
-        wt / p.a,
-        -wt / b_x,
+        math.log(p.alpha) - digamma(p.r) + np_digamma(p.r + x) - (1.0 - wt) * ln_at - wt * ln_ax,
+        p.r / p.alpha - (p.r + x) * ((1.0 - wt) / (p.alpha + age) + wt / (p.alpha + tx)),
+        digamma(p.a + p.b) - ends + wt / p.a,
+        digamma(p.a + p.b) - digamma(p.b) + np_digamma(p.b + x) - ends - wt / b_x,
     ]
     return float(np.sum(w * ll)), np.array([float(np.sum(w * g)) for g in grads])
 
 
-def _objective(theta, p: BetaGeoParams, row_ll, row_grad, hist, total_w, penalizer):
-    xll, xgrad = _x_terms(p, hist)
-    ll = xll + row_ll
-    grad = xgrad + row_grad
+def penalised(theta, ll: float, grad: np.ndarray, total_w: float, penalizer: float) -> tuple[float, np.ndarray]:
+    """Penalised mean negative log-likelihood and its gradient in log parameters."""
     pv = np.exp(theta)
     f = -ll / total_w + penalizer * float(np.sum(pv**2))
     g = (-grad / total_w + 2 * penalizer * pv) * pv
     return (f if math.isfinite(f) else math.inf, g)
 
 
-def _coarse_summary(grouped: DataFrame):
-    """Rows of the binned summary, or None when even the coarsest grid exceeds the cap.
-
-    Grids of 1/256, 1/64 and 1/16 of the scaled time range are tried in turn;
-    each attempt collects at most WARM_START_MAX_ROWS + 1 rows.
-    """
-    for bins in (float(WARM_START_BINS), WARM_START_BINS / 4.0, WARM_START_BINS / 16.0):
-        coarse = (
-            grouped.groupBy(
-                "x",
-                (F.round(F.col("tx") * bins) / bins).alias("tx"),
-                (F.round(F.col("T") * bins) / bins).alias("T"),
-            )
-            .agg(F.sum("w").alias("w"))
-            .limit(WARM_START_MAX_ROWS + 1)
-            .collect()
+def objective_values(grouped: DataFrame, params: Sequence[BetaGeoParams], penalizer: float) -> list[tuple[float, np.ndarray]]:
+    """The fit's objective and gradient at each of ``params``, by one aggregate over (x, tx, T, w)."""
+    aggs = ["sum(w) AS n"]
+    aggs += [f"sum(w * ({term})) AS s{k}_{j}" for k, p in enumerate(params) for j, term in enumerate(_row_terms(p))]
+    row = grouped.selectExpr(*aggs).first()
+    return [
+        penalised(
+            np.log([p.r, p.alpha, p.a, p.b]), row[f"s{k}_0"], np.array([row[f"s{k}_{j}"] for j in range(1, 5)]), row["n"], penalizer
         )
-        if len(coarse) <= WARM_START_MAX_ROWS:
-            return coarse
-    return None
+        for k, p in enumerate(params)
+    ]
+
 
+#: Warm start: the table binned to this many steps of tx, T and (logarithmic) x, so of bounded size whatever
+#: the data; the driver fits the bins and the full fit starts there.
+WARM_BINS = 24
 
-def _warm_start(coarse, hist, total_w, penalizer):
-    """(start point, inverse-Hessian estimate) fitted to the coarse summary."""
+
+def _warm_start(grouped: DataFrame, penalizer: float):
+    """(start point, inverse-Hessian estimate) fitted to the binned table, at most about WARM_BINS ** 3 rows."""
     start = np.full(4, 0.1)
+    bins = F.lit(float(WARM_BINS))
+    most = grouped.agg(F.max("x"), F.max("T")).first()
+    steps = [
+        F.floor(F.log1p("x") / F.lit(max(math.log1p(most[0]), 1e-9)) * bins).alias("i"),
+        F.floor(F.col("tx") / F.lit(most[1]) * bins).alias("j"),
+        F.floor(F.col("T") / F.lit(most[1]) * bins).alias("k"),
+    ]
+    means = [(F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c) for c in ("x", "tx", "T")]
+    coarse = grouped.groupBy((F.col("x") > 0).alias("repeat"), *steps).agg(*means, F.sum("w").alias("w")).collect()
     x, tx, age, w = (np.array([r[c] for r in coarse], dtype=float) for c in ("x", "tx", "T", "w"))
 
     def evaluate(thetas):
         out = []
         for th in thetas:
-            p = BetaGeoParams(*np.exp(th))
             with np.errstate(all="ignore"):
-                row_ll, row_grad = _np_row_sums(p, x, tx, age, w)
-            out.append(_objective(th, p, row_ll, row_grad, hist, total_w, penalizer))
+                out.append(penalised(th, *_np_row_sums(BetaGeoParams(*np.exp(th)), x, tx, age, w), w.sum(), penalizer))
         return out
 
     res = bfgs(evaluate, start, gtol=1e-5, max_iter=500)
-    if not np.all(np.isfinite(res.x)):
-        return start, None
-    return res.x, res.inverse_hessian
+    return (res.x, res.inverse_hessian) if np.all(np.isfinite(res.x)) else (start, None)
+
+
+def grouped_inputs(df: DataFrame, frequency: str, recency: str, T: str, scale: float) -> DataFrame:
+    """Customers counted by (x, tx, T), the times scaled."""
+    return (
+        df.select(
+            F.col(frequency).cast("double").alias("x"),
+            (F.col(recency).cast("double") * F.lit(scale)).alias("tx"),
+            (F.col(T).cast("double") * F.lit(scale)).alias("T"),
+        )
+        .groupBy("x", "tx", "T")
+        .agg(F.count("*").cast("double").alias("w"))
+    )
 
 
 def fit_bgnbd(
@@ -296,62 +423,26 @@ def fit_bgnbd(
     tol: float = 1e-7,
     max_iter: int = 200,
     warm_start: bool = True,
+    scale_times: bool = True,
 ) -> FitResult:
     """Maximum-likelihood BG/NBD parameters (penalised), fitted with Spark aggregates.
 
-    With ``warm_start`` the optimisation starts from a fit to a bounded coarse
-    summary of the data (driver-side, at most WARM_START_MAX_ROWS rows); the
-    result is still the optimum of the full objective, reached in fewer Spark
-    jobs.
+    With ``warm_start`` the optimisation starts from a fit to a binned table of
+    bounded size (driver-side); the result is the optimum of the full objective,
+    reached in fewer Spark jobs.  ``scale_times=False`` fits the times as they are.
+    A fit that did not converge, or ended at the boundary of the parameter space,
+    says so in the result and in a warning.
     """
-    scale = 1.0 / check_inputs(df, frequency, recency, T)["max_t"]
-    grouped = materialize(
-        df.select(
-            F.col(frequency).cast("double").alias("x"),
-            (F.col(recency).cast("double") * F.lit(scale)).alias("tx"),
-            (F.col(T).cast("double") * F.lit(scale)).alias("T"),
-        )
-        .groupBy("x", "tx", "T")
-        .agg(F.count("*").cast("double").alias("w")),
-        "bgnbd_grouped",
-    )
-    coarse = _coarse_summary(grouped) if warm_start else None
-    if coarse is not None:
-        # the frequency histogram is exact in the binned summary (x is not binned)
-        counts: dict[float, float] = {}
-        for r in coarse:
-            counts[r["x"]] = counts.get(r["x"], 0.0) + r["w"]
-        hist = sorted(counts.items())
-    else:
-        # one row per distinct frequency
-        hist = [(r["x"], r["w"]) for r in grouped.groupBy("x").agg(F.sum("w").alias("w")).collect()]
-    total_w = sum(w for _, w in hist)
+    scale = 1.0 / check_inputs(df, frequency, recency, T)["max_t"] if scale_times else 1.0
+    grouped = materialize(grouped_inputs(df, frequency, recency, T, scale), "bgnbd_grouped")
 
     def evaluate(thetas):
-        params = [BetaGeoParams(*np.exp(th)) for th in thetas]
-        aggs = [
-            f"sum(w * ({term})) AS s{k}_{j}"
-            for k, p in enumerate(params)
-            for j, term in enumerate(_row_terms(p))
-        ]
-        row = grouped.selectExpr(*aggs).collect()[0]
-        return [
-            _objective(
-                th, p, row[f"s{k}_0"], np.array([row[f"s{k}_{j}"] for j in range(1, 5)]),
-                hist, total_w, penalizer,
-            )
-            for k, (p, th) in enumerate(zip(params, thetas))
-        ]
-
-    start, h0 = (np.full(4, 0.1), None)
-    if coarse is not None:
-        start, h0 = _warm_start(coarse, hist, total_w, penalizer)
+        return objective_values(grouped, [BetaGeoParams(*np.exp(th).tolist()) for th in thetas], penalizer)
+
+    start, h0 = _warm_start(grouped, penalizer) if warm_start else (np.full(4, 0.1), None)
     res = bfgs(evaluate, start, gtol=tol, max_iter=max_iter, h0=h0)
-    r, alpha, a, b = np.exp(res.x)
-    return FitResult(
-        BetaGeoParams(float(r), float(alpha / scale), float(a), float(b)),
-        res.fun, res.iterations, res.converged,
-    )
+    r, alpha, a, b = np.exp(res.x).tolist()
+    return fit_result("BG/NBD", BetaGeoParams(r, alpha / scale, a, b), res)
 
 
 class BetaGeoModel:

@@ -6,11 +6,14 @@ transaction value (> 0).  Per-customer log-likelihood:
     LL = lnG(px+q) - lnG(px) - lnG(q) + q ln v + (px-1) ln m + px ln x
          - (px+q) ln(xm+v)
 
-The gamma-function part depends on x only (driver, over the x histogram); the
-rest is column arithmetic summed by one Spark aggregate per BFGS iteration.
+Everything is column arithmetic (the gamma functions as in ``bgnbd``), summed by one
+Spark aggregate per BFGS iteration over the table grouped by (x, m).
 Objective: mean negative log-likelihood + ``penalizer * sum(params**2)`` over
 log parameters starting at 0.1.
 
+With q <= 1 the population mean of the spend does not exist: E[M | x, m] is then not a
+shrunk mean (the weight of the observed mean exceeds 1), and ``fit_gamma_gamma`` warns.
+
 CLV over ``time`` periods of ``factor`` model time units (4.345 weeks per
 month for ``freq="W"``), discounted per period:
 
@@ -20,6 +23,8 @@ month for ``freq="W"``), discounted per period:
 from __future__ import annotations
 
 import math
+import warnings
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +32,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custval.functions.numeric import col_of
-from custval.operators.bgnbd import BetaGeoParams, FitResult, expected_purchases, sql_double
+from custval.operators.bgnbd import (
+    BetaGeoParams,
+    FitResult,
+    alive_odds,
+    expected_if_alive,
+    fit_result,
+    np_digamma,
+    np_lgamma,
+    penalised,
+    sql_digamma,
+    sql_double,
+    sql_lgamma,
+)
 from custval.operators.optim import bfgs, digamma
+from custval.session import materialize
 
 # Model time units per month for each period code.
 PERIODS_PER_MONTH = {"W": 4.345, "M": 1.0, "D": 30.0, "H": 30.0 * 24}
@@ -42,23 +60,22 @@ class GammaGammaParams:
 
 
 def expected_average_profit(params: GammaGammaParams, frequency: Column | str, monetary: Column | str) -> Column:
-    """E[M | x, m]: shrinks the observed mean towards the population mean."""
+    """E[M | x, m] = p (v + x m) / (p x + q - 1): the observed mean shrunk towards the population mean v p / (q - 1).
+
+    For q <= 1 the population mean does not exist and the value is above the observed mean; null where p x + q <= 1.
+    """
     p, q, v = params.p, params.q, params.v
     x = col_of(frequency).cast("double")
     m = col_of(monetary).cast("double")
-    weight = F.lit(p) * x / (F.lit(p) * x + F.lit(q - 1.0))
-    population_mean = F.lit(v * p / (q - 1.0))
-    return (F.lit(1.0) - weight) * population_mean + weight * m
+    below = F.lit(p) * x + F.lit(q - 1.0)
+    return F.when(below > 0, F.lit(p) * (F.lit(v) + x * m) / below)
 
 
 def check_inputs(df: DataFrame, frequency: str, monetary: str):
-    """Validate in one pass; also returns the parameter-free sums of the likelihood."""
+    """Validate in one pass; returns the row with the count and the range of ln m."""
     x, m = F.col(frequency).cast("double"), F.col(monetary).cast("double")
     row = df.agg(
         F.count("*").alias("n"),
-        F.sum(F.log(m)).alias("ln_m"),
-        F.sum(x * F.log(m)).alias("x_ln_m"),
-        F.sum(x * F.log(x)).alias("x_ln_x"),
         F.count_if(x.isNull() | m.isNull()).alias("nulls"),
         F.count_if(m <= 0).alias("non_positive_monetary"),
         F.count_if(x <= 0).alias("non_positive_frequency"),
@@ -76,79 +93,76 @@ def check_inputs(df: DataFrame, frequency: str, monetary: str):
     return row
 
 
-# Warm start: mean values binned on a 1/64 grid of ln(m) per frequency; fitted on
-# the driver when the summary has at most this many rows.
-WARM_START_LOG_BINS = 64
-WARM_START_MAX_ROWS = 100_000
+def _row_terms(pr: GammaGammaParams, x: str = "x", m: str = "m") -> list[str]:
+    """Log-likelihood of a row and its gradient in (p, q, v), as SQL."""
+    p, q, v = (sql_double(val) for val in (pr.p, pr.q, pr.v))
+    px, pxq, ln_xmv = f"({p} * {x})", f"({p} * {x} + {q})", f"ln({x} * {m} + {v})"
+    fixed = sql_double(pr.q * math.log(pr.v) - math.lgamma(pr.q))
+    return [
+        f"{fixed} + {sql_lgamma(pxq)} - {sql_lgamma(px)} + ({px} - 1.0D) * ln({m}) + {px} * ln({x}) - {pxq} * {ln_xmv}",
+        f"{x} * ({sql_digamma(pxq)} - {sql_digamma(px)} + ln({m}) + ln({x}) - {ln_xmv})",
+        f"{sql_double(math.log(pr.v) - digamma(pr.q))} + {sql_digamma(pxq)} - {ln_xmv}",
+        f"{q} / {v} - {pxq} / ({x} * {m} + {v})",
+    ]
 
 
-def _objective(theta, pr: GammaGammaParams, sums, const, hist, total_w, penalizer):
-    """Penalised mean negative log-likelihood and gradient in log parameters.
-
-    ``sums`` = (a, b, c, d): the weighted row sums of (px+q) ln(xm+v),
-    x ln(xm+v), ln(xm+v) and (px+q)/(xm+v); ``const`` the parameter-free sums.
-    """
+def _np_row_sums(pr: GammaGammaParams, x, m, w) -> tuple[float, np.ndarray]:
+    """:func:`_row_terms` weighted and summed with numpy (warm start)."""
     p, q, v = pr.p, pr.q, pr.v
-    a, b, c, d = sums
-    ll = p * const["x_ln_m"] - const["ln_m"] + p * const["x_ln_x"] - a
-    ll += total_w * (q * math.log(v) - math.lgamma(q))
-    gp = const["x_ln_m"] + const["x_ln_x"] - b
-    gq = -c + total_w * (math.log(v) - digamma(q))
-    gv = total_w * q / v - d
-    for xv, w in hist:
-        ll += w * (math.lgamma(p * xv + q) - math.lgamma(p * xv))
-        gp += w * xv * (digamma(p * xv + q) - digamma(p * xv))
-        gq += w * digamma(p * xv + q)
-    pv = np.exp(theta)
-    f = -ll / total_w + penalizer * float(np.sum(pv**2))
-    g = (-np.array([gp, gq, gv]) / total_w + 2 * penalizer * pv) * pv
-    return (f if math.isfinite(f) else math.inf, g)
-
-
-def _warm_start(data: DataFrame, hist, total_w, penalizer):
+    ln_xmv, pxq = np.log(x * m + v), p * x + q
+    ll = q * math.log(v) - math.lgamma(q) + np_lgamma(pxq) - np_lgamma(p * x) + (p * x - 1) * np.log(m) + p * x * np.log(x) - pxq * ln_xmv
+    grads = [
+        x * (np_digamma(pxq) - np_digamma(p * x) + np.log(m) + np.log(x) - ln_xmv),
+        math.log(v) - digamma(q) + np_digamma(pxq) - ln_xmv,
+        q / v - pxq / (x * m + v),
+    ]
+    return float(np.sum(w * ll)), np.array([float(np.sum(w * g)) for g in grads])
+
+
+def objective_values(grouped: DataFrame, params: Sequence[GammaGammaParams], penalizer: float) -> list[tuple[float, np.ndarray]]:
+    """The fit's objective and gradient at each of ``params``, by one aggregate over (x, m, w)."""
+    aggs = ["sum(w) AS n"]
+    aggs += [f"sum(w * ({term})) AS s{k}_{j}" for k, pr in enumerate(params) for j, term in enumerate(_row_terms(pr))]
+    row = grouped.selectExpr(*aggs).first()
+    return [
+        penalised(np.log([pr.p, pr.q, pr.v]), row[f"s{k}_0"], np.array([row[f"s{k}_{j}"] for j in range(1, 4)]), row["n"], penalizer)
+        for k, pr in enumerate(params)
+    ]
+
+
+#: Warm start: the table binned to this many steps of ln x and ln m, so of bounded size whatever the data.
+WARM_BINS = 64
+
+
+def _warm_start(grouped: DataFrame, penalizer: float):
+    """(start point, inverse-Hessian estimate) fitted to the binned table, at most about WARM_BINS ** 2 rows."""
     start = np.full(3, 0.1)
-    coarse = None
-    # grids of 1/64, 1/16 and 1/4 in ln(m); each attempt collects a bounded number of rows
-    for bins in (float(WARM_START_LOG_BINS), WARM_START_LOG_BINS / 4.0, WARM_START_LOG_BINS / 16.0):
-        rows = (
-            data.groupBy("x", F.round(F.log("m") * bins).alias("lm"))
-            .agg(F.count("*").cast("double").alias("w"))
-            .limit(WARM_START_MAX_ROWS + 1)
-            .collect()
-        )
-        if len(rows) <= WARM_START_MAX_ROWS:
-            coarse = rows
-            break
-    if coarse is None:
-        return start, None
-    x = np.array([r["x"] for r in coarse], dtype=float)
-    m = np.exp(np.array([r["lm"] for r in coarse], dtype=float) / bins)  # bins of the accepted grid
-    w = np.array([r["w"] for r in coarse], dtype=float)
-    const = {
-        "ln_m": float(np.sum(w * np.log(m))),
-        "x_ln_m": float(np.sum(w * x * np.log(m))),
-        "x_ln_x": float(np.sum(w * x * np.log(x))),
-    }
+    ln_x, ln_m = F.log("x"), F.log("m")
+    ends = grouped.agg(F.min(ln_x).alias("ax"), F.max(ln_x).alias("bx"), F.min(ln_m).alias("am"), F.max(ln_m).alias("bm")).first()
+
+    def step(c, a, b):
+        return F.floor((c - F.lit(a)) / F.lit(max(b - a, 1e-9)) * F.lit(float(WARM_BINS)))
+
+    means = [F.exp(F.sum(F.log(c) * F.col("w")) / F.sum("w")).alias(c) for c in ("x", "m")]
+    bins = [step(ln_x, ends["ax"], ends["bx"]).alias("i"), step(ln_m, ends["am"], ends["bm"]).alias("j")]
+    coarse = grouped.groupBy(*bins).agg(*means, F.sum("w").alias("w")).collect()
+    x, m, w = (np.array([r[c] for r in coarse], dtype=float) for c in ("x", "m", "w"))
 
     def evaluate(thetas):
         out = []
         for th in thetas:
-            pr = GammaGammaParams(*np.exp(th))
             with np.errstate(all="ignore"):
-                ln_xmv = np.log(x * m + pr.v)
-                sums = (
-                    float(np.sum(w * (pr.p * x + pr.q) * ln_xmv)),
-                    float(np.sum(w * x * ln_xmv)),
-                    float(np.sum(w * ln_xmv)),
-                    float(np.sum(w * (pr.p * x + pr.q) / (x * m + pr.v))),
-                )
-            out.append(_objective(th, pr, sums, const, hist, total_w, penalizer))
+                out.append(penalised(th, *_np_row_sums(GammaGammaParams(*np.exp(th)), x, m, w), w.sum(), penalizer))
         return out
 
     res = bfgs(evaluate, start, gtol=1e-5, max_iter=500)
-    if not np.all(np.isfinite(res.x)):
-        return start, None
-    return res.x, res.inverse_hessian
+    return (res.x, res.inverse_hessian) if np.all(np.isfinite(res.x)) else (start, None)
+
+
+def grouped_inputs(df: DataFrame, frequency: str, monetary: str) -> DataFrame:
+    """Customers counted by (x, m)."""
+    columns = [F.col(frequency).cast("double").alias("x"), F.col(monetary).cast("double").alias("m")]
+    return df.select(*columns).groupBy("x", "m").agg(F.count("*").cast("double").alias("w"))
 
 
 def fit_gamma_gamma(
@@ -162,43 +176,21 @@ def fit_gamma_gamma(
 ) -> FitResult:
     """Penalised maximum-likelihood Gamma-Gamma parameters via Spark aggregates.
 
-    ``warm_start`` starts from a fit to a bounded coarse summary (see
-    :data:`WARM_START_MAX_ROWS`); the optimum reached is that of the full data.
+    The input is read twice: for the checks, and to write the grouped table that
+    all iterations read.  Warns for q <= 1, no convergence, or a boundary.
     """
-    const = check_inputs(df, frequency, monetary)
-    data = df.select(
-        F.col(frequency).cast("double").alias("x"), F.col(monetary).cast("double").alias("m")
-    )
-    # one row per distinct frequency
-    hist = [(r["x"], r["w"]) for r in data.groupBy("x").agg(F.count("*").cast("double").alias("w")).collect()]
-    total_w = sum(w for _, w in hist)
+    check_inputs(df, frequency, monetary)
+    grouped = materialize(grouped_inputs(df, frequency, monetary), "gamma_gamma_grouped")
 
     def evaluate(thetas):
-        params = [GammaGammaParams(*np.exp(th)) for th in thetas]
-        aggs = []
-        for k, pr in enumerate(params):
-            p, q, v = (sql_double(val) for val in (pr.p, pr.q, pr.v))
-            ln_xmv = f"ln(x * m + {v})"
-            aggs += [
-                f"sum(({p} * x + {q}) * {ln_xmv}) AS a{k}",
-                f"sum(x * {ln_xmv}) AS b{k}",
-                f"sum({ln_xmv}) AS c{k}",
-                f"sum(({p} * x + {q}) / (x * m + {v})) AS d{k}",
-            ]
-        row = data.selectExpr(*aggs).collect()[0]
-        return [
-            _objective(
-                th, pr, tuple(row[f"{c}{k}"] for c in "abcd"), const, hist, total_w, penalizer
-            )
-            for k, (pr, th) in enumerate(zip(params, thetas))
-        ]
-
-    start, h0 = (np.full(3, 0.1), None)
-    if warm_start:
-        start, h0 = _warm_start(data, hist, total_w, penalizer)
+        return objective_values(grouped, [GammaGammaParams(*np.exp(th).tolist()) for th in thetas], penalizer)
+
+    start, h0 = _warm_start(grouped, penalizer) if warm_start else (np.full(3, 0.1), None)
     res = bfgs(evaluate, start, gtol=tol, max_iter=max_iter, h0=h0)
-    p, q, v = np.exp(res.x)
-    return FitResult(GammaGammaParams(float(p), float(q), float(v)), res.fun, res.iterations, res.converged)
+    params = GammaGammaParams(*np.exp(res.x).tolist())
+    if params.q <= 1:
+        warnings.warn(f"Gamma-Gamma q = {params.q:.4g} <= 1: the expected average profit is no shrunk mean", stacklevel=2)
+    return fit_result("Gamma-Gamma", params, res)
 
 
 def purchase_horizons(time: int, freq: str = "W") -> list[float]:
@@ -218,20 +210,23 @@ def discounted_clv(
     discount_rate: float = 0.01,
     freq: str = "D",
 ) -> Column:
-    """Discounted CLV over ``time`` months (column expression).
+    """Discounted CLV over ``time`` months (column expression)."""
+    gains = expected_if_alive(bg, purchase_horizons(time, freq), frequency, T)
+    profit = expected_average_profit(gg, frequency, monetary)
+    return profit * discounted_gain(gains, discount_weights(time, discount_rate, freq)) / alive_odds(bg, frequency, recency, T)
 
-    E[X] is evaluated once per month boundary and reused for both sides of
-    each monthly difference.
-    """
+
+def discount_weights(time: int, discount_rate: float, freq: str) -> list[float]:
+    """Weights of E[X(t_1)], E[X(t_2)], ... in the sum of the discounted monthly differences."""
     factor = PERIODS_PER_MONTH[freq]
-    profit = expected_average_profit(gg, frequency, monetary)
-    previous = F.lit(0.0)
-    total = F.lit(0.0)
-    for i in purchase_horizons(time, freq):
-        current = expected_purchases(bg, i, frequency, recency, T)
-        total = total + profit * (current - previous) / F.lit((1 + discount_rate) ** (i / factor))
-        previous = current
-    return total
+    rates = [(1 + discount_rate) ** -(t / factor) for t in purchase_horizons(time, freq)]
+    return [d - e for d, e in zip(rates, [*rates[1:], 0.0], strict=True)]
+
+
+def discounted_gain(gains: Column, weights: Sequence[float]) -> Column:
+    """The weighted sum of an array column."""
+    parts = F.zip_with(gains, F.array(*[F.lit(w) for w in weights]), lambda g, w: g * w)
+    return F.aggregate(parts, F.lit(0.0), lambda acc, v: acc + v)
 
 
 class GammaGammaModel:

@@ -2,6 +2,7 @@
 
 * acquisition: customers whose first purchase falls in the month, and their
   share of all customers acquired up to the month's end;
+* every calendar month from the first to the last has a row, also one without activity;
 * retention: customers active in the month who were also active the month
   before, over the previous month's active customers; churn = 1 - retention;
 * conversion: users with a target event (a purchase) over users with any
@@ -37,15 +38,21 @@ def _period(month: str = "month") -> Column:
     return F.date_format(F.col(month), "yyyy-MM").alias("period")
 
 
+def calendar(months: DataFrame) -> DataFrame:
+    """Every calendar month from the first to the last ``month`` (none for an empty table)."""
+    ends = months.agg(F.min("month").alias("a"), F.max("month").alias("b")).where("a is not null")
+    return ends.select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 MONTH"))).alias("month"))
+
+
 def acquisition(df: DataFrame, customer: str, date: str) -> DataFrame:
-    """period, new_customers, customers_to_date, acquisition_rate."""
-    first = (
-        df.filter(F.col(customer).isNotNull())
-        .groupBy(customer)
-        .agg(month_of(F.min(date)).alias("month"))
+    """period, new_customers, customers_to_date, acquisition_rate; one row for every month from the first to the last."""
+    purchases = df.filter(F.col(customer).isNotNull() & F.col(date).isNotNull())
+    first = purchases.groupBy(customer).agg(month_of(F.min(date)).alias("month"))
+    months = calendar(purchases.select(month_of(date).alias("month")))
+    # one row per month from here on
+    per_month = months.join(first.groupBy("month").agg(F.count("*").alias("n")), "month", "left").select(
+        "month", F.coalesce("n", F.lit(0)).alias("new_customers")
     )
-    per_month = first.groupBy("month").agg(F.count("*").alias("new_customers"))
-    # one row per month: a running total over a table of months
     running = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return per_month.select(
         _period(),
@@ -57,24 +64,27 @@ def acquisition(df: DataFrame, customer: str, date: str) -> DataFrame:
 def retention(df: DataFrame, customer: str, date: str) -> DataFrame:
     """period, active_customers, retained_customers, retention_rate, churn_rate.
 
-    Rates compare with the previous calendar month; the first month has none.
+    One row for every calendar month from the first to the last.  Rates compare
+    with the previous month: a month without activity after an active one has
+    churn 1; the first month, and a month after an inactive one, has no rates.
     """
     active = monthly_activity(df, customer, date)
     by_customer = Window.partitionBy("customer_id").orderBy("month")
     flagged = active.withColumn(
         "retained", F.lag("month").over(by_customer) == F.add_months(F.col("month"), -1)
     )
-    per_month = flagged.groupBy("month").agg(
-        F.count("*").alias("active_customers"),
-        F.count_if(F.coalesce("retained", F.lit(False))).alias("retained_customers"),
+    counted = flagged.groupBy("month").agg(
+        F.count("*").alias("active"), F.count_if(F.coalesce("retained", F.lit(False))).alias("retained")
     )
-    previous = per_month.select(
-        F.add_months("month", 1).alias("month"), F.col("active_customers").alias("previous_active")
+    # one row per month from here on
+    per_month = calendar(counted).join(counted, "month", "left").select(
+        "month",
+        F.coalesce("active", F.lit(0)).alias("active_customers"),
+        F.coalesce("retained", F.lit(0)).alias("retained_customers"),
     )
-    # both sides have one row per month
-    joined = per_month.join(previous, "month", "left")
-    rate = F.try_divide(F.col("retained_customers").cast("double"), F.col("previous_active").cast("double"))
-    return joined.select(
+    before = F.lag("active_customers").over(Window.orderBy("month")).cast("double")
+    rate = F.try_divide(F.col("retained_customers").cast("double"), F.col("previous"))
+    return per_month.withColumn("previous", before).select(
         _period(),
         "active_customers",
         "retained_customers",

@@ -80,8 +80,8 @@ def bfgs(
             if chosen is not None:
                 break
         if chosen is None:
-            # no step decreases f: converged as far as floating point allows
-            return OptimResult(x, f, g, it, bool(np.max(np.abs(g)) < 1e3 * gtol), h)
+            # no step decreases f any more (floating point): converged only if the gradient says so
+            return OptimResult(x, f, g, it, bool(np.max(np.abs(g)) < gtol), h)
         x_new, f_new, g_new = chosen
         s_vec, y_vec = x_new - x, g_new - g
         sy = float(s_vec @ y_vec)
@@ -92,7 +92,7 @@ def bfgs(
             eye = np.eye(len(x))
             h = (eye - rho * np.outer(s_vec, y_vec)) @ h @ (eye - rho * np.outer(y_vec, s_vec))
             h += rho * np.outer(s_vec, s_vec)
-        if abs(f - f_new) <= 1e-15 * max(1.0, abs(f)) and np.max(np.abs(g_new)) < 1e3 * gtol:
+        if abs(f - f_new) <= 1e-15 * max(1.0, abs(f)) and np.max(np.abs(g_new)) < gtol:
             return OptimResult(x_new, f_new, g_new, it, True, h)
         x, f, g = x_new, f_new, g_new
     return OptimResult(x, f, g, max_iter, bool(np.max(np.abs(g)) < gtol), h)

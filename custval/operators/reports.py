@@ -7,31 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SUM_SCALE = 6
-
-
-def exact_sum(c: str, integral: bool = False, scale: int = SUM_SCALE):
-    """Sum that does not depend on the order of the partial sums.
-
-    Floating values are summed as DECIMAL(38, scale) - exact, so every
-    partitioning (and any other engine summing the same decimals) gives the
-    same total - and returned as double.  Integer columns sum exactly already.
-    """
-    if integral:
-        return F.sum(F.col(c))
-    return F.sum(F.col(c).cast(f"decimal(38,{scale})")).cast("double")
-
-
-def exact_mean(c: str, integral: bool = False, scale: int = SUM_SCALE):
-    return exact_sum(c, integral, scale).cast("double") / F.count(F.col(c))
-
-
-_INTEGRAL = ("tinyint", "smallint", "int", "bigint")
-_STATS = {
-    "count": lambda c, integral: F.count(c),
-    "mean": exact_mean,
-    "sum": exact_sum,
-}
+_STATS = {"count": F.count, "mean": F.avg, "sum": F.sum}
 
 
 def group_report(
@@ -39,22 +15,15 @@ def group_report(
     group: str | Sequence[str],
     measures: Sequence[str],
     stats: Sequence[str] = ("count", "mean", "sum"),
-    scale: int = SUM_SCALE,
 ) -> DataFrame:
     """One row per group with ``<measure>_<stat>`` columns in a fixed order.
 
-    Floating sums are exact at ``scale`` decimals (see :func:`exact_sum`).
+    Sums and means are taken in double precision over the values as they are, so
+    measures of any magnitude keep their digits; round the output where the last
+    bits (which depend on the order of the partial sums) should not show.
     """
     keys = [group] if isinstance(group, str) else list(group)
-    types = dict(df.dtypes)
-
-    def stat(s: str, m: str):
-        if s == "count":
-            return F.count(m)
-        return _STATS[s](m, types[m] in _INTEGRAL, scale)
-
-    aggs = [stat(s, m).alias(f"{m}_{s}") for m in measures for s in stats]
-    return df.groupBy(*keys).agg(*aggs)
+    return df.groupBy(*keys).agg(*[_STATS[s](m).alias(f"{m}_{s}") for m in measures for s in stats])
 
 
 def top_k(df: DataFrame, col: str, k: int, key: str, ascending: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from custval.functions.dates import days_between, ntz_literal
 from custval.functions.segments import score_string, segment_of
 from custval.operators.quantiles import Cut, qcut_many
-from custval.operators.reports import exact_mean
+from custval.operators.reports import group_report
 
 RECENCY_LABELS = (5, 4, 3, 2, 1)
 SCORE_LABELS = (1, 2, 3, 4, 5)
@@ -104,12 +104,7 @@ def rfm_scores(
 
 def segment_report(rfm: DataFrame, segment: str = "segment") -> DataFrame:
     """Mean and count of recency, frequency and monetary per segment."""
-    types = dict(rfm.dtypes)
-    aggs = []
-    for m in ("recency", "frequency", "monetary"):
-        integral = types[m] in ("int", "bigint")
-        aggs += [exact_mean(m, integral).alias(f"{m}_mean"), F.count(m).alias(f"{m}_count")]
-    return rfm.groupBy(segment).agg(*aggs)
+    return group_report(rfm, segment, ["recency", "frequency", "monetary"], ("mean", "count"))
 
 
 def segment_ids(

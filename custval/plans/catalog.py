@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from custval.functions.dates import days_between, ntz_literal
 from custval.functions.numeric import sig_round
 from custval.functions.segments import BRAND_CAMPAIGN_SEGMENTS, DISCOUNT_CAMPAIGN_SEGMENTS
-from custval.operators.bgnbd import BetaGeoParams, fit_bgnbd, probability_of_n_purchases
+from custval.operators.bgnbd import BetaGeoParams, fit_bgnbd
+from custval.operators.bgnbd import grouped_inputs as bgnbd_groups
+from custval.operators.bgnbd import objective_values as bgnbd_values
 from custval.operators.clv import clv_base as clv_base_op
 from custval.operators.clv import clv_rates as clv_rates_op
 from custval.operators.filters import keep_value_or_no_orders
@@ -26,6 +28,8 @@ from custval.operators.gammagamma import (
     expected_average_profit,
     fit_gamma_gamma,
 )
+from custval.operators.gammagamma import grouped_inputs as gamma_gamma_groups
+from custval.operators.gammagamma import objective_values as gamma_gamma_values
 from custval.operators.kpi import acquisition, conversion, retention
 from custval.operators.order_stats import global_rank
 from custval.operators.outliers import cap_both_rounded, outlier_thresholds
@@ -39,7 +43,6 @@ from custval.operators.profile import (
 from custval.operators.quantiles import qcut
 from custval.operators.reports import (
     channel_rollup,
-    exact_sum,
     group_report,
     invoice_bills,
     top_k,
@@ -64,6 +67,7 @@ from custval.plans.predict import (
     score_customers,
     split_top_segment,
 )
+from custval.plans.predict import calibration as calibration_op
 from custval.plans.retail import (
     clv_formula_retail,
     clv_prepared_lines,
@@ -214,7 +218,7 @@ def clv_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clv_segment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     clv = clv_formula_retail(invoice_lines(spark, sf_dir))
-    return rounded(group_report(clv, "segment", CLV_MEASURES))
+    return model_rounded(group_report(clv, "segment", CLV_MEASURES))
 
 
 def clv_top(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,6 +331,9 @@ def omni_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 # prediction formulas independently of any fit.
 CDNOW_BGNBD = BetaGeoParams(r=0.243, alpha=4.414, a=0.793, b=2.426)
 CDNOW_GAMMA_GAMMA = GammaGammaParams(p=6.25, q=3.74, v=15.44)
+STEEP_BGNBD = BetaGeoParams(r=1.7, alpha=9.0, a=6.2, b=8.1)
+BGNBD_POINTS = (CDNOW_BGNBD, STEEP_BGNBD, BetaGeoParams(r=0.05, alpha=0.4, a=0.02, b=0.3), BetaGeoParams(r=3.0, alpha=30.0, a=1.0, b=20.0))
+GAMMA_GAMMA_POINTS = (CDNOW_GAMMA_GAMMA, GammaGammaParams(p=1.0, q=1.5, v=100.0), GammaGammaParams(p=0.3, q=0.2, v=2.0))
 MODEL_DIGITS = 8
 CALIBRATION_MAX = 7
 
@@ -344,7 +351,7 @@ def omni_model_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _retail_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(model_inputs_retail(invoice_lines(spark, sf_dir)), "model_inputs")
+    return model_inputs_retail(invoice_lines(spark, sf_dir))
 
 
 def bgnbd_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,31 +386,29 @@ def expected_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_rounded(
         scored.agg(
             F.count("*").alias("customers"),
-            exact_sum("expected_purc_1_month", scale=12).alias("expected_purc_1_month_total"),
-            exact_sum("expected_purc_3_month", scale=12).alias("expected_purc_3_month_total"),
+            F.sum("expected_purc_1_month").alias("expected_purc_1_month_total"),
+            F.sum("expected_purc_3_month").alias("expected_purc_3_month_total"),
         )
     )
 
 
+def _omni_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs = model_inputs_omni(customer_summary(spark, sf_dir))
+    return score_customers(inputs, CDNOW_BGNBD, CDNOW_GAMMA_GAMMA, OMNI_COLS, OMNI_HORIZONS, "exp_average_value", 6)
+
+
+def _omni_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = materialize(_omni_scored(spark, sf_dir).select("customer_id", "clv"), "clv_scored")
+    return split_top_segment(qcut(scored, "clv", 4, ["D", "C", "B", "A"], "clv_segment", "customer_id"))
+
+
 def sub_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inputs = materialize(model_inputs_omni(customer_summary(spark, sf_dir)), "model_inputs")
-    scored = materialize(
-        score_customers(
-            inputs, CDNOW_BGNBD, CDNOW_GAMMA_GAMMA, OMNI_COLS, OMNI_HORIZONS, "exp_average_value", 6
-        ),
-        "clv_scored",
-    )
-    scored = model_rounded(scored.select("customer_id", "clv"))
-    segmented = qcut(scored, "clv", 4, ["D", "C", "B", "A"], "clv_segment", "customer_id")
-    return split_top_segment(segmented)
+    return model_rounded(_omni_segmented(spark, sf_dir))
 
 
 def top_expected_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 customers with the most expected purchases in 3 months (omni inputs)."""
-    inputs = materialize(model_inputs_omni(customer_summary(spark, sf_dir)), "model_inputs")
-    scored = score_customers(
-        inputs, CDNOW_BGNBD, CDNOW_GAMMA_GAMMA, OMNI_COLS, OMNI_HORIZONS, "exp_average_value", 6
-    )
+    scored = _omni_scored(spark, sf_dir)
     scored = model_rounded(scored.select("customer_id", "exp_sales_3_month"))
     return top_k(scored, "exp_sales_3_month", 10, "customer_id")
 
@@ -427,45 +432,56 @@ def predicted_clv_segment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """count / mean / sum of the predictions per CLV quartile (retail inputs)."""
     inputs = _retail_inputs(spark, sf_dir)
     scored = score_customers(inputs, CDNOW_BGNBD, CDNOW_GAMMA_GAMMA)
-    scored = materialize(
-        model_rounded(scored.select("customer_id", *PREDICTION_MEASURES)), "clv_scored"
-    )
+    scored = materialize(scored.select("customer_id", *PREDICTION_MEASURES), "clv_scored")
     segmented = qcut(scored, "clv", 4, ["D", "C", "B", "A"], "segment", "customer_id")
-    return rounded(group_report(segmented, "segment", PREDICTION_MEASURES, scale=12))
+    return model_rounded(group_report(segmented, "segment", PREDICTION_MEASURES))
 
 
 def omni_clv_segment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segmented = sub_segments(spark, sf_dir)
-    return rounded(group_report(segmented, "clv_segment", ["clv"], ("count", "mean")))
+    segmented = _omni_segmented(spark, sf_dir)
+    return model_rounded(group_report(segmented, "clv_segment", ["clv"], ("count", "mean")))
 
 
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers per transaction count: observed vs expected under the model."""
-    inputs = _retail_inputs(spark, sf_dir)
-    probs = [probability_of_n_purchases(CDNOW_BGNBD, "T", n) for n in range(CALIBRATION_MAX)]
-    tail = F.lit(1.0) - sum(probs[1:], probs[0])
-    rows = inputs.select(
-        "frequency", *[p.alias(f"p{n}") for n, p in enumerate(probs)], tail.alias(f"p{CALIBRATION_MAX}")
-    )
-    expected = rows.agg(
-        *[exact_sum(f"p{n}", scale=12).alias(f"e{n}") for n in range(CALIBRATION_MAX + 1)]
-    )
-    stacked = expected.selectExpr(
-        f"stack({CALIBRATION_MAX + 1}, "
-        + ", ".join(f"{n}, e{n}" for n in range(CALIBRATION_MAX + 1))
-        + ") AS (frequency, expected)"
-    )
-    actual = (
-        inputs.select(F.least(F.col("frequency"), F.lit(CALIBRATION_MAX)).cast("int").alias("frequency"))
-        .groupBy("frequency")
-        .agg(F.count("*").alias("actual"))
-    )
-    # both sides have at most CALIBRATION_MAX + 1 rows
-    return model_rounded(
-        stacked.join(F.broadcast(actual), "frequency", "left").select(
-            "frequency", F.coalesce("actual", F.lit(0)).alias("actual"), "expected"
-        )
-    )
+    return model_rounded(calibration_op(CDNOW_BGNBD, _retail_inputs(spark, sf_dir), CALIBRATION_MAX))
+
+
+def bgnbd_score_steep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected purchases with a large dropout shape (a > 5)."""
+    scored = score_customers(_retail_inputs(spark, sf_dir), STEEP_BGNBD, CDNOW_GAMMA_GAMMA)
+    return model_rounded(scored.select("customer_id", *RETAIL_HORIZONS))
+
+
+def _objective_rows(spark: SparkSession, values: list[tuple[float, object]]) -> DataFrame:
+    """One row per point: the fit's penalised objective."""
+    return spark.createDataFrame([(i, float(f)) for i, (f, _) in enumerate(values)], "point int, objective double")
+
+
+def bgnbd_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The penalised BG/NBD objective at fixed parameters (times in weeks, not scaled)."""
+    grouped = bgnbd_groups(_retail_inputs(spark, sf_dir), "frequency", "recency", "T", 1.0)
+    return model_rounded(_objective_rows(spark, bgnbd_values(grouped, BGNBD_POINTS, 0.001)))
+
+
+def gg_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The penalised Gamma-Gamma objective at fixed parameters."""
+    grouped = gamma_gamma_groups(_retail_inputs(spark, sf_dir), "frequency", "monetary")
+    return model_rounded(_objective_rows(spark, gamma_gamma_values(grouped, GAMMA_GAMMA_POINTS, 0.01)))
+
+
+def clv_pipeline_retail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted-CLV pipeline after the fits, at fixed parameters: scores and quartiles."""
+    scored = materialize(score_customers(_retail_inputs(spark, sf_dir), CDNOW_BGNBD, CDNOW_GAMMA_GAMMA), "clv_scored")
+    segmented = qcut(scored, "clv", 4, ["D", "C", "B", "A"], "segment", "customer_id")
+    return model_rounded(segmented.select("customer_id", *PREDICTION_MEASURES, "segment"))
+
+
+def clv_pipeline_omni(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The omnichannel pipeline after the fits, at fixed parameters: scores and quartiles."""
+    scored = materialize(_omni_scored(spark, sf_dir), "clv_scored")
+    segmented = qcut(scored, "clv", 4, ["D", "C", "B", "A"], "clv_segment", "customer_id")
+    return model_rounded(segmented.select("customer_id", *OMNI_HORIZONS, "exp_average_value", "clv", "clv_segment"))
 
 
 def bgnbd_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -583,6 +599,11 @@ QUERIES: dict[str, Query] = {
     "top_expected_sales": top_expected_sales,
     "top_expected_profit": top_expected_profit,
     "calibration": calibration,
+    "bgnbd_score_steep": bgnbd_score_steep,
+    "bgnbd_objective": bgnbd_objective,
+    "gg_objective": gg_objective,
+    "clv_pipeline_retail": clv_pipeline_retail,
+    "clv_pipeline_omni": clv_pipeline_omni,
     "bgnbd_fit": bgnbd_fit,
     "gg_fit": gg_fit,
     "clv_predict_retail": clv_predict_retail_q,

@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from custval.operators.bgnbd import BetaGeoParams, FitResult, expected_purchases, fit_bgnbd
+from custval.operators.bgnbd import (
+    BetaGeoParams,
+    FitResult,
+    alive_odds,
+    expected_if_alive,
+    fit_bgnbd,
+    probability_of_n_purchases,
+)
 from custval.operators.gammagamma import (
     GammaGammaParams,
-    discounted_clv,
+    discount_weights,
+    discounted_gain,
     expected_average_profit,
     fit_gamma_gamma,
+    purchase_horizons,
 )
 from custval.operators.quantiles import bins_from_edges, qcut, qcut_edges
 from custval.plans.omni import model_inputs_omni
@@ -42,17 +52,27 @@ def score_customers(
     discount_rate: float = 0.01,
     freq: str = "W",
 ) -> DataFrame:
-    """Add expected purchases per horizon, expected profit and discounted CLV."""
+    """Add expected purchases per horizon, expected profit and discounted CLV.
+
+    What a live customer is expected to buy depends on (frequency, T) only: it is
+    evaluated once for each distinct pair and joined back (the pairs are few where
+    customers are many; the strategy is left to Spark), recency enters row by row.
+    """
     x, tx, age, m = cols
     horizons = RETAIL_HORIZONS if horizons is None else horizons
-    scored = inputs.withColumns(
-        {name: expected_purchases(bg, float(t), x, tx, age) for name, t in horizons.items()}
-    )
-    return scored.withColumns(
-        {
-            profit_col: expected_average_profit(gg, x, m),
-            "clv": discounted_clv(bg, gg, x, tx, age, m, months, discount_rate, freq),
-        }
+    times = [*map(float, horizons.values()), *purchase_horizons(months, freq)]
+    pairs = inputs.select(F.col(x).alias("_x"), F.col(age).alias("_T")).distinct()
+    gains = pairs.withColumn("_gains", expected_if_alive(bg, times, "_x", "_T"))
+    joined = inputs.join(gains, (F.col(x) == F.col("_x")) & (F.col(age) == F.col("_T")), "left")
+    odds = alive_odds(bg, x, tx, age)
+    profit = expected_average_profit(gg, x, m)
+    monthly = F.slice("_gains", len(horizons) + 1, months)
+    clv = profit * discounted_gain(monthly, discount_weights(months, discount_rate, freq)) / odds
+    return joined.select(
+        *inputs.columns,
+        *[(F.col("_gains")[i] / odds).alias(name) for i, name in enumerate(horizons)],
+        profit.alias(profit_col),
+        clv.alias("clv"),
     )
 
 
@@ -70,7 +90,6 @@ def clv_predict(
     labels: Sequence[str] = CLV_LABELS,
 ) -> Prediction:
     """Fit both models on ``inputs``, score every customer, cut CLV quartiles."""
-    inputs = materialize(inputs, "model_inputs")
     x, tx, age, m = cols
     bg = fit_bgnbd(inputs, x, tx, age, bg_penalizer)
     gg = fit_gamma_gamma(inputs, x, m, gg_penalizer)
@@ -82,15 +101,44 @@ def clv_predict(
     return Prediction(segmented, bg, gg)
 
 
-def clv_predict_retail(lines: DataFrame, months: int = 3) -> Prediction:
-    return clv_predict(model_inputs_retail(lines), months=months)
+def clv_predict_retail(
+    lines: DataFrame,
+    months: int = 3,
+    analysis_date: dt.datetime | None = None,
+    horizons: dict[str, float] | None = None,
+    bg_penalizer: float = 0.001,
+    gg_penalizer: float = 0.01,
+    discount_rate: float = 0.01,
+    repeat_only: bool = True,
+) -> Prediction:
+    """Predicted CLV from invoice lines.
+
+    ``horizons`` names expected-purchase columns and their weeks (default 1, 4 and
+    12); ``analysis_date`` defaults to two days after the latest invoice.
+    """
+    return clv_predict(
+        model_inputs_retail(lines, analysis_date, repeat_only=repeat_only),
+        horizons=horizons,
+        months=months,
+        bg_penalizer=bg_penalizer,
+        gg_penalizer=gg_penalizer,
+        discount_rate=discount_rate,
+    )
 
 
 OMNI_COLS = ("frequency", "recency_clv_weekly", "T_weekly", "monetary_clv_avg")
 
 
 def clv_predict_omni(
-    summary: DataFrame, months: int = 6, split_top: bool = False, repeat_only: bool = True
+    summary: DataFrame,
+    months: int = 6,
+    split_top: bool = False,
+    repeat_only: bool = True,
+    analysis_date: dt.datetime | None = None,
+    horizons: dict[str, float] | None = None,
+    bg_penalizer: float = 0.001,
+    gg_penalizer: float = 0.01,
+    discount_rate: float = 0.01,
 ) -> Prediction:
     """Omnichannel predicted CLV.
 
@@ -98,18 +146,43 @@ def clv_predict_omni(
     follow the script form (no zero-value / frequency filters, A split in two).
     """
     pred = clv_predict(
-        model_inputs_omni(summary, repeat_only=repeat_only),
+        model_inputs_omni(summary, analysis_date, repeat_only=repeat_only),
         OMNI_COLS,
-        OMNI_HORIZONS,
+        OMNI_HORIZONS if horizons is None else horizons,
         "exp_average_value",
         months,
         "clv_segment",
+        bg_penalizer,
+        gg_penalizer,
+        discount_rate,
     )
     if split_top:
         pred.table = split_top_segment(pred.table)
     return pred
 
 
+def merge_by_key(left: DataFrame, right: DataFrame, key: str = "customer_id") -> DataFrame:
+    """Left merge of a result (one row per key) onto a table; columns that both have keep the left values."""
+    new = [c for c in right.columns if c == key or c not in left.columns]
+    return left.join(right.select(*new), key, "left")
+
+
+def calibration(
+    params: BetaGeoParams, inputs: DataFrame, max_frequency: int = 7, frequency: str = "frequency", T: str = "T"
+) -> DataFrame:
+    """Customers per transaction count, observed and expected under the model: frequency, actual, expected.
+
+    The last row, ``max_frequency``, holds that count and all above it.
+    """
+    probs = [probability_of_n_purchases(params, T, n) for n in range(max_frequency)]
+    tail = F.lit(1.0) - sum(probs[1:], probs[0])
+    each = [F.sum(p).alias(f"e{n}") for n, p in enumerate([*probs, tail])]
+    counts = [F.count_if(F.col(frequency) == n).alias(f"a{n}") for n in range(max_frequency)]
+    row = inputs.agg(*each, *counts, F.count_if(F.col(frequency) >= max_frequency).alias(f"a{max_frequency}"))
+    stack = ", ".join(f"{n}, a{n}, e{n}" for n in range(max_frequency + 1))
+    return row.selectExpr(f"stack({max_frequency + 1}, {stack}) AS (frequency, actual, expected)")
+
+
 def split_top_segment(
     df: DataFrame,
     clv: str = "clv",
@@ -132,8 +205,11 @@ def fit_table(spark, result: FitResult, model: str) -> DataFrame:
     """Parameters of a fit as rows (parameter, value) plus fit diagnostics."""
     params = vars(result.params)
     rows = [(model, k, float(v)) for k, v in params.items()]
-    rows.append((model, "neg_log_likelihood", float(result.neg_log_likelihood)))
+    rows.append((model, "objective", float(result.objective)))
     rows.append((model, "iterations", float(result.iterations)))
     rows.append((model, "converged", 1.0 if result.converged else 0.0))
+    rows.append((model, "boundary", 1.0 if result.boundary else 0.0))
+    if "q" in params:  # 1: the population mean of the spend does not exist
+        rows.append((model, "q_at_most_1", 1.0 if params["q"] <= 1 else 0.0))
     # a handful of rows: one per model parameter
     return spark.createDataFrame(rows, "model string, parameter string, value double")

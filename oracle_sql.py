@@ -127,23 +127,12 @@ scored AS (
 RFM_SCORED = RFM_METRICS + rfm_scored()
 
 
-def exact_sum(x: str, integral: bool = False) -> str:
-    """Order-independent sum, as custval.operators.reports.exact_sum."""
-    if integral:
-        return f"sum({x})"
-    return f"CAST(sum(CAST({x} AS DECIMAL(38,6))) AS DOUBLE)"
-
-
-def exact_mean(x: str, integral: bool = False) -> str:
-    return f"(CAST({exact_sum(x, integral)} AS DOUBLE) / count({x}))"
-
-
 INTEGRAL_MEASURES = {"recency", "frequency", "total_transaction"}
 
 
 def _report(source: str, group: str, measures: list[str]) -> str:
     cols = ", ".join(
-        f"{sig(exact_mean(m, m in INTEGRAL_MEASURES))} AS {m}_mean, count({m}) AS {m}_count"
+        f"{sig(f'avg({m})')} AS {m}_mean, count({m}) AS {m}_count"
         for m in measures
     )
     return f"SELECT {group}, {cols} FROM {source} GROUP BY {group}"
@@ -234,12 +223,11 @@ CLV_COLUMNS = ("customer_id, total_transaction, total_unit, total_price, average
                "purchase_frequency, profit_margin, customer_value, clv, segment")
 
 
-def _group_report_sql(source: str, group: str, measures: list[str]) -> str:
+def _group_report_sql(source: str, group: str, measures: list[str], digits: int = 8) -> str:
     cols = []
     for m in measures:
-        integral = m in INTEGRAL_MEASURES
-        total = f"CAST(sum({m}) AS BIGINT)" if integral else sig(exact_sum(m))
-        cols += [f"count({m}) AS {m}_count", f"{sig(exact_mean(m, integral))} AS {m}_mean", f"{total} AS {m}_sum"]
+        total = f"CAST(sum({m}) AS BIGINT)" if m in INTEGRAL_MEASURES else sig(f"sum({m})", digits)
+        cols += [f"count({m}) AS {m}_count", f"{sig(f'avg({m})', digits)} AS {m}_mean", f"{total} AS {m}_sum"]
     return f"SELECT {group}, {', '.join(cols)} FROM {source} GROUP BY {group}"
 
 
@@ -413,8 +401,8 @@ ORACLE.update(
         "omni_channel_report": "WITH "
         + CUSTOMER_SUMMARY
         + f""" SELECT order_channel, count(master_id) AS customers,
-               {sig(exact_sum("order_num_total"))} AS order_num_total,
-               {sig(exact_sum("customer_value_total"))} AS customer_value_total
+               {sig("sum(order_num_total)")} AS order_num_total,
+               {sig("sum(customer_value_total)")} AS customer_value_total
              FROM prep GROUP BY order_channel""",
         "omni_top_customers": "WITH "
         + CUSTOMER_SUMMARY
@@ -448,6 +436,7 @@ ORACLE.update(
 # --- probabilistic models ----------------------------------------------------
 # Published example parameters (CDNOW), the same fixed values as the catalog.
 BG = {"r": 0.243, "alpha": 4.414, "a": 0.793, "b": 2.426}
+BG_STEEP = {"r": 1.7, "alpha": 9.0, "a": 6.2, "b": 8.1}
 GG = {"p": 6.25, "q": 3.74, "v": 15.44}
 MODEL_DIGITS = 8
 CALIBRATION_MAX = 7
@@ -457,29 +446,27 @@ def d(v: float) -> str:
     return f"CAST({float(v)!r} AS DOUBLE)"
 
 
-def hyp2f1_sql(A: float, B: float, C: str, z: str) -> str:
-    """2F1 as a sum of Pochhammer ratios through lgamma (A > 0, -1 < B < 1)."""
-    sign = -1.0 if B < 0 else 1.0
-    n_terms = f"least(20000, CAST(ceil(ln(1e-17) / ln({z})) AS BIGINT) + 40)"
-    term = (
-        f"exp(lgamma({d(A)} + n) - lgamma({d(A)}) + lgamma({d(B)} + n) - lgamma({d(B)})"
-        f" - lgamma({C} + n) + lgamma({C}) - lgamma(n + 1) + n * ln({z}))"
-    )
-    return (
-        f"list_sum(list_transform(range(0, {n_terms}), "
-        f"lambda n: CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE {d(sign)} * {term} END))"
-    )
+SERIES_TERMS = 600
 
 
-def expected_sql(t: float, x: str, tx: str, age: str) -> str:
-    r, alpha, a, b = BG["r"], BG["alpha"], BG["a"], BG["b"]
-    assert a + b - 1 - r > 0 and -1 < a - 1 < 1
+def expected_sql(t: float, x: str, tx: str, age: str, bg: dict | None = None) -> str:
+    """E[X(t) | x, tx, T] by the series of 2F1(r+x, b+x; a+b+x-1; z), summed term by term.
+
+    All terms are positive; they fall like z**n, and z = t / (alpha + T + t) is below 0.8
+    for the horizons and parameters used here, so SERIES_TERMS leave nothing.
+    """
+    bg = bg or BG
+    r, alpha, a, b = bg["r"], bg["alpha"], bg["a"], bg["b"]
     z = f"({d(t)} / ({d(alpha)} + {age} + {d(t)}))"
-    c = f"({d(a + b - 1.0)} + {x})"
-    hyp = hyp2f1_sql(a + b - 1.0 - r, a - 1.0, c, z)
-    first = f"(({d(a + b - 1.0)} + {x}) / {d(a - 1.0)})"
-    second = f"(1.0::DOUBLE - pow(1.0::DOUBLE - {z}, {d(a - 1.0)}) * {hyp})"
-    ratio = f"pow(({d(alpha)} + {age}) / ({d(alpha)} + {tx}), {d(r)} + {x})"
+    up1, up2, low = f"({d(r)} + {x})", f"({d(b)} + {x})", f"({d(a + b - 1.0)} + {x})"
+    term = (
+        f"exp(lgamma({up1} + n) - lgamma({up1}) + lgamma({up2} + n) - lgamma({up2})"
+        f" - lgamma({low} + n) + lgamma({low}) - lgamma(n + 1) + n * ln({z}))"
+    )
+    series = f"list_sum(list_transform(range(0, {SERIES_TERMS}), lambda n: {term}))"
+    first = f"({low} / {d(a - 1.0)})"
+    second = f"(1.0::DOUBLE - pow(1.0::DOUBLE - {z}, {up1}) * {series})"
+    ratio = f"pow(({d(alpha)} + {age}) / ({d(alpha)} + {tx}), {up1})"
     denom = f"(1.0::DOUBLE + CASE WHEN {x} > 0 THEN {d(a)} / ({d(b - 1.0)} + {x}) * {ratio} ELSE 0.0::DOUBLE END)"
     return f"({first} * {second} / {denom})"
 
@@ -525,10 +512,6 @@ def pmf_sql(n: int, t: str) -> str:
     return f"({term} + {second} * (1.0::DOUBLE - pow({p_alpha}, {d(r)}) * {partial}))"
 
 
-def exact_sum12(x: str) -> str:
-    return f"CAST(sum(CAST({x} AS DECIMAL(38,12))) AS DOUBLE)"
-
-
 RETAIL_INPUTS = (
     MODEL_LINES
     + """,
@@ -588,24 +571,24 @@ omni_inputs AS (
 )"""
 )
 
-RETAIL_E = {
-    name: expected_sql(t, "frequency", "recency", '"T"')
-    for name, t in {"expected_purc_1_week": 1.0, "expected_purc_1_month": 4.0, "expected_purc_3_month": 12.0}.items()
-}
+RETAIL_TIMES = {"expected_purc_1_week": 1.0, "expected_purc_1_month": 4.0, "expected_purc_3_month": 12.0}
+RETAIL_E = {name: expected_sql(t, "frequency", "recency", '"T"') for name, t in RETAIL_TIMES.items()}
 
-SUB_SEGMENTS = (
+OMNI_SEGMENTED = (
     OMNI_CAPPED_FULL
     + f""",
 omni_clv AS (
-  SELECT customer_id, {sig(clv_sql(6, "frequency", "recency_clv_weekly", '"T_weekly"', "monetary_clv_avg"), MODEL_DIGITS)} AS clv
+  SELECT customer_id, {clv_sql(6, "frequency", "recency_clv_weekly", '"T_weekly"', "monetary_clv_avg")} AS clv
   FROM omni_inputs
 ),
 clv_edges AS (SELECT quantile_cont(clv, [0.25, 0.5, 0.75]) AS e FROM omni_clv),
 seg AS (SELECT omni_clv.*, {_qcut_case("clv", "e", ["D", "C", "B", "A"])} AS clv_segment FROM omni_clv, clv_edges),
-a_edges AS (SELECT quantile_cont(clv, [0.5]) AS e FROM seg WHERE clv_segment = 'A')
-SELECT customer_id, clv,
-       CASE WHEN clv_segment = 'A' THEN {_qcut_case("clv", "e", ["A2", "A1"])} ELSE clv_segment END AS clv_segment
-FROM seg, a_edges"""
+a_edges AS (SELECT quantile_cont(clv, [0.5]) AS e FROM seg WHERE clv_segment = 'A'),
+segmented AS (
+  SELECT customer_id, clv,
+         CASE WHEN clv_segment = 'A' THEN {_qcut_case("clv", "e", ["A2", "A1"])} ELSE clv_segment END AS clv_segment
+  FROM seg, a_edges
+)"""
 )
 
 CALIBRATION = (
@@ -616,7 +599,7 @@ CALIBRATION = (
     + " + ".join(f"p{n}" for n in range(CALIBRATION_MAX))
     + f") AS p{CALIBRATION_MAX} FROM probs), expected AS ("
     + " UNION ALL ".join(
-        f"SELECT {n} AS frequency, {exact_sum12(f'p{n}')} AS expected FROM probs2"
+        f"SELECT {n} AS frequency, sum(p{n}) AS expected FROM probs2"
         for n in range(CALIBRATION_MAX + 1)
     )
     + f"""), actual AS (
@@ -640,6 +623,13 @@ ORACLE.update(
         + " SELECT customer_id, "
         + ", ".join(f"{sig(e, MODEL_DIGITS)} AS {name}" for name, e in RETAIL_E.items())
         + " FROM inputs",
+        "bgnbd_score_steep": RETAIL_INPUTS
+        + " SELECT customer_id, "
+        + ", ".join(
+            f"{sig(expected_sql(t, 'frequency', 'recency', '\"T\"', BG_STEEP), MODEL_DIGITS)} AS {name}"
+            for name, t in RETAIL_TIMES.items()
+        )
+        + " FROM inputs",
         "gg_profit": RETAIL_INPUTS
         + f" SELECT customer_id, {sig(profit_sql('frequency', 'monetary'), MODEL_DIGITS)} AS expected_average_profit FROM inputs",
         "clv_discounted": RETAIL_INPUTS
@@ -647,10 +637,11 @@ ORACLE.update(
              FROM inputs""",
         "expected_total": RETAIL_INPUTS
         + f""" SELECT count(*) AS customers,
-               {sig(exact_sum12(RETAIL_E["expected_purc_1_month"]), MODEL_DIGITS)} AS expected_purc_1_month_total,
-               {sig(exact_sum12(RETAIL_E["expected_purc_3_month"]), MODEL_DIGITS)} AS expected_purc_3_month_total
+               {sig(f'sum({RETAIL_E["expected_purc_1_month"]})', MODEL_DIGITS)} AS expected_purc_1_month_total,
+               {sig(f'sum({RETAIL_E["expected_purc_3_month"]})', MODEL_DIGITS)} AS expected_purc_3_month_total
              FROM inputs""",
-        "sub_segments": SUB_SEGMENTS,
+        "sub_segments": OMNI_SEGMENTED
+        + f" SELECT customer_id, {sig('clv', MODEL_DIGITS)} AS clv, clv_segment FROM segmented",
         "calibration": CALIBRATION,
     }
 )
@@ -669,12 +660,21 @@ SELECT user_id,
        purchases, value
 FROM p, ad"""
 
+MONTHS = """
+  SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)),
+                                INTERVAL 1 MONTH)) AS month
+  FROM orders WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL"""
+
 KPI_ACQUISITION = f"""
 WITH firsts AS (
   SELECT o_custkey, date_trunc('month', min(o_orderdate)) AS month FROM orders
-  WHERE o_custkey IS NOT NULL GROUP BY 1
+  WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL GROUP BY 1
+),
+calendar AS ({MONTHS}),
+per_month AS (
+  SELECT calendar.month, count(o_custkey) AS new_customers
+  FROM calendar LEFT JOIN firsts ON firsts.month = calendar.month GROUP BY calendar.month
 ),
-per_month AS (SELECT month, count(*) AS new_customers FROM firsts GROUP BY month),
 running AS (
   SELECT month, new_customers,
          sum(new_customers) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS customers_to_date
@@ -684,7 +684,7 @@ SELECT strftime(month, '%Y-%m') AS period, new_customers, CAST(customers_to_date
        {sig("new_customers / customers_to_date")} AS acquisition_rate
 FROM running"""
 
-KPI_RETENTION_BASE = """
+KPI_RETENTION_BASE = f"""
 WITH active AS (
   SELECT DISTINCT o_custkey AS customer_id, date_trunc('month', o_orderdate) AS month
   FROM orders WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL
@@ -693,13 +693,15 @@ flagged AS (
   SELECT *, lag(month) OVER (PARTITION BY customer_id ORDER BY month) = month - INTERVAL 1 MONTH AS retained
   FROM active
 ),
+calendar AS ({MONTHS}),
 per_month AS (
-  SELECT month, count(*) AS active_customers, CAST(count_if(coalesce(retained, false)) AS BIGINT) AS retained_customers
-  FROM flagged GROUP BY month
+  SELECT calendar.month, count(customer_id) AS active_customers,
+         CAST(count_if(coalesce(retained, false)) AS BIGINT) AS retained_customers
+  FROM calendar LEFT JOIN flagged ON flagged.month = calendar.month GROUP BY calendar.month
 ),
 rates AS (
   SELECT p.month, p.active_customers, p.retained_customers,
-         p.retained_customers / CAST(q.active_customers AS DOUBLE) AS retention_rate
+         CASE WHEN q.active_customers > 0 THEN p.retained_customers / CAST(q.active_customers AS DOUBLE) END AS retention_rate
   FROM per_month p LEFT JOIN per_month q ON q.month + INTERVAL 1 MONTH = p.month
 )"""
 
@@ -737,11 +739,10 @@ ORACLE.update(
                row_number() OVER (ORDER BY frequency, customer_id) AS frequency_rank FROM metrics""",
         "category_values": "WITH " + CUSTOMER_SUMMARY
         + " SELECT DISTINCT interested_in_categories_12 FROM summary",
-        "omni_clv_segment_report": "SELECT clv_segment, count(clv) AS clv_count, "
-        + sig(exact_mean("clv"))
-        + " AS clv_mean FROM ("
-        + SUB_SEGMENTS
-        + ") GROUP BY clv_segment",
+        "omni_clv_segment_report": OMNI_SEGMENTED
+        + " SELECT clv_segment, count(clv) AS clv_count, "
+        + sig("avg(clv)", MODEL_DIGITS)
+        + " AS clv_mean FROM segmented GROUP BY clv_segment",
     }
 )
 
@@ -791,13 +792,12 @@ def _predicted_report() -> str:
     exprs["clv"] = clv_sql(3, "frequency", "recency", '"T"', "monetary")
     cols = []
     for m in measures:
-        total = f"CAST(sum(CAST({m} AS DECIMAL(38,12))) AS DOUBLE)"
         cols += [
             f"count({m}) AS {m}_count",
-            f"{sig(f'CAST({total} AS DOUBLE) / count({m})')} AS {m}_mean",
-            f"{sig(total)} AS {m}_sum",
+            f"{sig(f'avg({m})', MODEL_DIGITS)} AS {m}_mean",
+            f"{sig(f'sum({m})', MODEL_DIGITS)} AS {m}_sum",
         ]
-    scored = ", ".join(f"{sig(exprs[m], MODEL_DIGITS)} AS {m}" for m in measures)
+    scored = ", ".join(f"{exprs[m]} AS {m}" for m in measures)
     return (
         RETAIL_INPUTS
         + f""",
@@ -817,3 +817,76 @@ ORACLE["invoice_bill"] = (
     + """ SELECT "Invoice", round_even(sum("Quantity" * "Price"), 2) AS bill
     FROM invoice_lines WHERE "Invoice" IS NOT NULL GROUP BY "Invoice" """
 )
+
+
+# --- fit objectives and pipelines at fixed parameters -------------------------------
+
+BGNBD_POINTS = [BG, BG_STEEP, {"r": 0.05, "alpha": 0.4, "a": 0.02, "b": 0.3}, {"r": 3.0, "alpha": 30.0, "a": 1.0, "b": 20.0}]
+GG_POINTS = [GG, {"p": 1.0, "q": 1.5, "v": 100.0}, {"p": 0.3, "q": 0.2, "v": 2.0}]
+
+
+def _bgnbd_point(i: int, bg: dict) -> str:
+    """Penalised mean negative log-likelihood: the two ways to the last purchase, added as they stand."""
+    r, alpha, a, b = (d(bg[k]) for k in ("r", "alpha", "a", "b"))
+    common = f"lgamma({r} + x) - lgamma({r}) + {r} * ln({alpha}) - (lgamma({a}) + lgamma({b}) - lgamma({a} + {b}))"
+    alive = f"lgamma({a}) + lgamma({b} + x) - lgamma({a} + {b} + x) - ({r} + x) * ln({alpha} + age)"
+    gone = f"lgamma({a} + 1) + lgamma({b} + x - 1) - lgamma({a} + {b} + x) - ({r} + x) * ln({alpha} + tx)"
+    both = f"greatest({alive}, {gone}) + ln(1.0::DOUBLE + exp(-abs({alive} - ({gone}))))"
+    ll = f"{common} + CASE WHEN x > 0 THEN {both} ELSE {alive} END"
+    penalty = 0.001 * sum(v * v for v in bg.values())
+    return f"SELECT {i} AS point, {sig(f'-avg({ll}) + {d(penalty)}', MODEL_DIGITS)} AS objective FROM rows"
+
+
+def _gg_point(i: int, gg: dict) -> str:
+    p, q, v = (d(gg[k]) for k in ("p", "q", "v"))
+    ll = (
+        f"lgamma({p} * x + {q}) - lgamma({p} * x) - lgamma({q}) + {q} * ln({v})"
+        f" + ({p} * x - 1) * ln(m) + {p} * x * ln(x) - ({p} * x + {q}) * ln(x * m + {v})"
+    )
+    penalty = 0.01 * sum(w * w for w in gg.values())
+    return f"SELECT {i} AS point, {sig(f'-avg({ll}) + {d(penalty)}', MODEL_DIGITS)} AS objective FROM rows"
+
+
+def _pipeline_sql(inputs: str, source: str, measures: dict[str, str], segment: str) -> str:
+    exprs = ", ".join(f"{e} AS {name}" for name, e in measures.items())
+    out = ", ".join(f"{sig(name, MODEL_DIGITS)} AS {name}" for name in measures)
+    return (
+        inputs
+        + f""",
+pred AS (SELECT customer_id, {exprs} FROM {source}),
+pred_edges AS (SELECT quantile_cont(clv, [0.25, 0.5, 0.75]) AS e FROM pred)
+SELECT customer_id, {out}, {_qcut_case("clv", "e", ["D", "C", "B", "A"])} AS {segment} FROM pred, pred_edges"""
+    )
+
+
+ORACLE.update(
+    {
+        "bgnbd_objective": RETAIL_INPUTS
+        + ', rows AS (SELECT CAST(frequency AS DOUBLE) AS x, recency AS tx, "T" AS age FROM inputs) '
+        + " UNION ALL ".join(_bgnbd_point(i, bg) for i, bg in enumerate(BGNBD_POINTS)),
+        "gg_objective": RETAIL_INPUTS
+        + ", rows AS (SELECT CAST(frequency AS DOUBLE) AS x, monetary AS m FROM inputs) "
+        + " UNION ALL ".join(_gg_point(i, gg) for i, gg in enumerate(GG_POINTS)),
+        "clv_pipeline_retail": _pipeline_sql(
+            RETAIL_INPUTS,
+            "inputs",
+            {
+                **RETAIL_E,
+                "expected_average_profit": profit_sql("frequency", "monetary"),
+                "clv": clv_sql(3, "frequency", "recency", '"T"', "monetary"),
+            },
+            "segment",
+        ),
+        "clv_pipeline_omni": _pipeline_sql(
+            OMNI_CAPPED_FULL,
+            "omni_inputs",
+            {
+                "exp_sales_3_month": expected_sql(12.0, "frequency", "recency_clv_weekly", '"T_weekly"'),
+                "exp_sales_6_month": expected_sql(24.0, "frequency", "recency_clv_weekly", '"T_weekly"'),
+                "exp_average_value": profit_sql("frequency", "monetary_clv_avg"),
+                "clv": clv_sql(6, "frequency", "recency_clv_weekly", '"T_weekly"', "monetary_clv_avg"),
+            },
+            "clv_segment",
+        ),
+    }
+)
