@@ -5,14 +5,16 @@ quantile cuts, the model fits) materialises it once with :func:`materialize`:
 the table is written as Parquet below the cluster's shared checkpoint folder
 (``spark.checkpoint.dir``) and read back, which cuts the lineage so a lost
 executor costs a re-read of a small file instead of a re-run of the raw scan
-and the shuffle that built it.  :func:`clear_materialized` removes them once the
-results are written.
+and the shuffle that built it.  :class:`Scratch` removes those of one
+piece of work once its results are written, :func:`clear_materialized` all.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,8 +55,10 @@ def get_spark(
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for materialised tables.
 
-    Uses the folder the cluster names in ``spark.checkpoint.dir``; only when
-    nothing is configured (local runs, tests) a private temporary folder is set.
+    The folder the cluster names in ``spark.checkpoint.dir``.  Only a local master
+    may do without: a private temporary folder is set then.  On a cluster a
+    machine-local folder would leave every executor's part on its own disk, so a
+    missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -62,17 +66,49 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.match(r"local($|\[)", sc.master):
+            raise RuntimeError(
+                f"spark.checkpoint.dir is not set: on {sc.master} intermediate tables need a folder that all executors share"
+            )
         configured = tempfile.mkdtemp(prefix="custval-checkpoint-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
+class Scratch:
+    """The tables that :func:`materialize` writes while it is open; leaving it deletes them, and no others.
+
+    ``with Scratch(spark): write(result)`` - results must be written or collected inside.
+    """
+
+    _open: ClassVar[list[Scratch]] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        Scratch._open.append(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        Scratch._open.remove(self)
+        for path in self.paths:
+            delete(self.spark, path)
+
+    @classmethod
+    def note(cls, path: str) -> None:
+        if cls._open:
+            cls._open[-1].paths.append(path)
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and read it back."""
     spark = df.sparkSession
     path = f"{materialized_root(spark)}/{label}-{uuid.uuid4().hex}"
+    Scratch.note(path)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def materialized_root(spark: SparkSession) -> str:
@@ -80,14 +116,13 @@ def materialized_root(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/custval"
 
 
-def clear_materialized(spark: SparkSession) -> bool:
-    """Delete every table :func:`materialize` wrote for this application.
+def delete(spark: SparkSession, path: str) -> bool:
+    """Delete a folder, through the Hadoop FileSystem it is in (HDFS, object stores, local)."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(folder) and fs.delete(folder, True))
 
-    DataFrames returned by the pipelines read those tables lazily: call this
-    only after their results have been written or collected.  Uses the Hadoop
-    FileSystem of the checkpoint folder (HDFS, object stores, local).
-    """
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(materialized_root(spark))
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(path) and fs.delete(path, True))
+
+def clear_materialized(spark: SparkSession) -> bool:
+    """Delete every table :func:`materialize` wrote for this application (those of open results too)."""
+    return delete(spark, materialized_root(spark))

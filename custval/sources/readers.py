@@ -9,8 +9,10 @@ export each sheet to CSV or Parquet first.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -45,20 +47,54 @@ SUMMARY_SCHEMA = T.StructType(
 )
 
 
+def _read_csv(spark: SparkSession, paths: Sequence[str], schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """CSV files with a header, columns taken by name; a value that does not fit its type fails the read.
+
+    Quotes inside quoted fields are doubled.  Empty fields are null.  Whole numbers
+    may be written as floats (``13085.0``).  Line breaks inside quoted fields need
+    ``multi_line`` (each file is then one task; without it such a row fails the read).
+    """
+    frames = []
+    for path in paths:
+        text = spark.read.option("columnPruning", False).csv(
+            path, header=True, inferSchema=False, escape='"', multiLine=multi_line, mode="FAILFAST"
+        )
+        missing = [f.name for f in schema if f.name not in text.columns]
+        if missing:
+            raise ValueError(f"{path} lacks the columns {missing}")
+        columns = []
+        for f in schema:
+            value = F.col(f"`{f.name}`")
+            if isinstance(f.dataType, T.LongType):
+                number = value.cast("double")
+                whole = F.when(number == F.floor(number), number.cast("long"))
+                bad = F.raise_error(F.concat(F.lit(f"{f.name}: no whole number: "), value))
+                value = F.when(value.isNotNull() & whole.isNull(), bad).otherwise(whole)
+            else:
+                value = value.cast(f.dataType)  # fails on text that is no number or date (ANSI cast)
+            columns.append(value.alias(f.name))
+        frames.append(text.select(*columns))
+    return reduce(DataFrame.unionByName, frames)
+
+
 def read_invoices(
-    spark: SparkSession, paths: str | Sequence[str], fmt: str = "csv", header: bool = True
+    spark: SparkSession, paths: str | Sequence[str], fmt: str = "csv", multi_line: bool = False
 ) -> DataFrame:
-    """Invoice lines from CSV or Parquet with :data:`INVOICE_SCHEMA`."""
+    """Invoice lines from CSV or Parquet with :data:`INVOICE_SCHEMA`; every row of the files is kept."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    reader = spark.read.schema(INVOICE_SCHEMA)
     if fmt == "csv":
-        return reader.option("header", header).csv(paths)
-    return reader.format(fmt).load(paths)
+        return _read_csv(spark, paths, INVOICE_SCHEMA, multi_line)
+    return spark.read.schema(INVOICE_SCHEMA).format(fmt).load(paths)
 
 
 def read_customer_summary(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """The customer summary; date columns stay text until :func:`data_prep` parses them."""
-    reader = spark.read.schema(SUMMARY_SCHEMA)
     if fmt == "csv":
-        return reader.option("header", True).csv(path)
-    return reader.format(fmt).load(path)
+        return _read_csv(spark, [path], SUMMARY_SCHEMA)
+    return spark.read.schema(SUMMARY_SCHEMA).format(fmt).load(path)
+
+
+def schema_table(df: DataFrame) -> DataFrame:
+    """The columns of a table as rows: position, column_name, type, nullable."""
+    rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema)]
+    return df.sparkSession.createDataFrame(rows, "position int, column_name string, type string, nullable boolean")
