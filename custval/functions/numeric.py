@@ -23,8 +23,10 @@ def sig_round(c: Column | str, digits: int = 10) -> Column:
     For presenting order-dependent aggregates (floating sums, means) stably:
     x is scaled by an exact power of ten (multiplying when the exponent is
     non-negative, dividing otherwise), rounded half away from zero, scaled back.
+    Exact decimal ties (means of cents, say) would fall to either side with the last bit
+    of a sum, so x is first moved away from zero by a part in 2**41, far below the digits kept.
     """
-    x = col_of(c).cast("double")
+    x = col_of(c).cast("double") * F.lit(1.0 + 2.0**-41)
     k = F.lit(digits - 1) - F.floor(F.log10(F.abs(x)))
     up = F.pow(F.lit(10.0), k)
     down = F.pow(F.lit(10.0), -k)

@@ -46,22 +46,26 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from custval.session import materialize
+
 ROWS_PER_PARTITION = 1_000_000
-MAX_PARTITIONS = 50_000
 # Most distinct values a histogram may have; more falls back to range partitioning.
 HISTOGRAM_LIMIT = 200_000
 # Value-only requests over more rows than this first narrow each position to a
-# bracket with an approximate quantile sketch (rank error at most n / accuracy),
-# verify it with exact counts, and sort only the bracket.
+# bracket with an approximate quantile sketch, verify it with exact counts, and
+# sort only the bracket.
 BRACKET_MIN_ROWS = 4 * ROWS_PER_PARTITION
-APPROX_ACCURACY = 100_000
+# KLL sketch size; the rank error is about 2.3 / k ** 0.9 of the rows.  Sketches of
+# scan tasks merge in this many groups first, then the groups' ones.
+SKETCH_K = 8192
+SKETCH_GROUPS = 512
 _POS = "__pos"
 _PID_SHIFT = 33
 
 
 def partitions_for(n: int, rows_per_partition: int | None = None) -> int:
     per = rows_per_partition or ROWS_PER_PARTITION
-    return max(1, min(MAX_PARTITIONS, math.ceil(n / per)))
+    return max(1, math.ceil(n / per))
 
 
 @dataclass
@@ -252,13 +256,11 @@ def _from_brackets(
     x = F.col(col)
     n = req.n
     positions = sorted(set(req.positions))
-    slack = 2 * (n // APPROX_ACCURACY) + 2
-    probs = [max(0.0, (p - slack) / n) for p in positions] + [
-        min(1.0, (p + slack + 1) / n) for p in positions
-    ]
-    bounds = req.df.agg(F.percentile_approx(x, probs, APPROX_ACCURACY).alias("b")).collect()[0]["b"]
+    slack = int(n * 2.3 / SKETCH_K**0.9) + 2
+    ranks = [r for p in positions for r in (max(0.0, (p - slack) / n), min(1.0, (p + slack + 1) / n))]
+    bounds = sketch_quantiles(req.df, col, ranks)
+    lows, highs = bounds[0::2], bounds[1::2]
     k = len(positions)
-    lows, highs = bounds[:k], bounds[k:]
     counts = req.df.agg(
         *[
             agg
@@ -270,7 +272,7 @@ def _from_brackets(
         ]
     ).collect()[0]
     found: dict[int, tuple] = {}
-    subs, meta = [], []
+    todo = []
     rest_none = (None,) * (len(req.order_cols) - 1)
     for i, p in enumerate(positions):
         below, inside = counts[f"below{i}"], counts[f"inside{i}"]
@@ -281,15 +283,36 @@ def _from_brackets(
             continue
         if inside * 4 > n:
             return None  # no real narrowing (heavy ties inside): exact path instead
-        bracket = req.df.filter((x >= F.lit(lows[i])) & (x <= F.lit(highs[i])))
-        subs.append(PositionRequest(bracket, req.order_cols, [p - below], inside, True))
-        meta.append(p)
-    if subs:
-        for p, sub, res in zip(meta, subs, fetch_positions(subs, rows_per_partition, limit)):
-            found[p] = res[sub.positions[0]]
+        todo.append((p, lows[i], highs[i], p - below, inside))
+    if todo:
+        # one more read: the rows of all brackets, a small part of the column, are written once
+        inside_any = reduce(lambda a, b: a | b, [x.between(F.lit(lo), F.lit(hi)) for _, lo, hi, _, _ in todo])
+        near = materialize(req.df.filter(inside_any).select(*req.order_cols), "brackets")
+        subs = [
+            PositionRequest(near.filter(x.between(F.lit(lo), F.lit(hi))), req.order_cols, [at], size, True)
+            for _, lo, hi, at, size in todo
+        ]
+        for (p, _, _, at, _), res in zip(todo, fetch_positions(subs, rows_per_partition, limit)):
+            found[p] = res[at]
     return found
 
 
+def sketch_quantiles(df: DataFrame, col: str, ranks: list[float]) -> list[float]:
+    """Approximate values at the ranks (0 to 1), by a KLL sketch merged in two levels.
+
+    Every scan task sketches its rows; tasks' sketches merge in SKETCH_GROUPS groups,
+    so that no task reads more than a share of them, and the groups' sketches at the end.
+    """
+    x = F.col(col).cast("double")
+    group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS))
+    level = (
+        df.select(x.alias("x"), group.alias("g")).groupBy("g").agg(F.kll_sketch_agg_double("x", F.lit(SKETCH_K)).alias("s"))
+    )
+    merged = level.agg(F.kll_merge_agg_double("s", F.lit(SKETCH_K)).alias("s"))
+    values = F.kll_sketch_get_quantile_double("s", F.array(*[F.lit(float(r)) for r in ranks]))
+    return list(merged.select(values.alias("v")).first()["v"])
+
+
 def _fetch_ranged(
     requests: list[PositionRequest], rows_per_partition: int | None = None
 ) -> list[dict[int, tuple]]:
@@ -389,8 +412,6 @@ def global_rank(
     offset table.  ``order_cols`` must be a total order.  The numbered table is
     written to the checkpoint folder, so the positions are fixed data.
     """
-    from custval.session import materialize
-
     spark = df.sparkSession
     n = df.count()
     ranked = materialize(_ranged(df, order_cols, partitions_for(n, rows_per_partition)), "ranked")

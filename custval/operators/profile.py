@@ -7,6 +7,7 @@ Each profile is one aggregation over the table (all columns at once), then a
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,12 +80,20 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, key: str | None =
 def distinct_counts(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
     """(column_name, distinct_count), nulls not counted.
 
-    Exact counts shuffle each column's distinct values; ``approx=True`` uses
-    HyperLogLog sketches instead (one pass, partial aggregation only).
+    Exact counts deduplicate each column in an aggregate of its own (several exact
+    counts in one aggregate would expand every row once per column); ``approx=True``
+    uses HyperLogLog sketches instead (one pass, partial aggregation only).
     """
-    count = F.approx_count_distinct if approx else F.count_distinct
-    aggs = [count(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)]
-    return _stack(df.agg(*aggs), list(cols), [f"d{i}" for i in range(len(cols))], "distinct_count")
+    if approx:
+        aggs = [F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)]
+        return _stack(df.agg(*aggs), list(cols), [f"d{i}" for i in range(len(cols))], "distinct_count")
+    each = [
+        df.select(F.col(c).alias("v")).where("v is not null").distinct().agg(F.count("*").alias("distinct_count")).select(
+            F.lit(c).alias("column_name"), "distinct_count"
+        )
+        for c in cols
+    ]
+    return reduce(DataFrame.unionByName, each)
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:

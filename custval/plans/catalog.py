@@ -9,11 +9,12 @@ output so that they compare stably with an independent SQL engine.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custval.functions.dates import days_between, ntz_literal
+from custval.functions.dates import days_between, ntz_literal, to_timestamp_columns
 from custval.functions.numeric import sig_round
 from custval.functions.segments import BRAND_CAMPAIGN_SEGMENTS, DISCOUNT_CAMPAIGN_SEGMENTS
 from custval.operators.bgnbd import BetaGeoParams, fit_bgnbd
@@ -56,7 +57,15 @@ from custval.operators.rfm import (
     with_line_total,
     with_recency,
 )
-from custval.plans.omni import CATEGORY_COL, campaign_targets, data_prep, model_inputs_omni, rfm_omni
+from custval.plans.omni import (
+    CAP_COLUMNS,
+    CATEGORY_COL,
+    campaign_targets,
+    data_prep,
+    model_inputs_omni,
+    rfm_omni,
+    targets_by_ids,
+)
 from custval.plans.predict import (
     OMNI_COLS,
     OMNI_HORIZONS,
@@ -76,7 +85,7 @@ from custval.plans.retail import (
     rfm_retail,
 )
 from custval.session import materialize
-from custval.sources.tables import customer_summary, default_analysis_date, invoice_lines, read_table
+from custval.sources.tables import INVOICE_COLUMNS, customer_summary, default_analysis_date, invoice_lines, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 SIG_DIGITS = 10
@@ -132,11 +141,12 @@ def new_customer_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def invoice_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(invoice_totals_op(with_line_total(invoice_lines(spark, sf_dir))))
+    lines = invoice_lines(spark, sf_dir, ["Invoice", "Quantity", "Price"])
+    return rounded(invoice_totals_op(with_line_total(lines)))
 
 
 def invoice_bill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return invoice_bills(invoice_lines(spark, sf_dir))
+    return invoice_bills(invoice_lines(spark, sf_dir, ["Invoice", "Quantity", "Price"]))
 
 
 def null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,23 +164,22 @@ def numeric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest invoice date and latest order date of the summary (as text)."""
     none = F.lit(None).cast("timestamp_ntz")
-    lines = invoice_lines(spark, sf_dir).select(F.col("InvoiceDate").alias("i"), none.alias("o"))
-    orders = customer_summary(spark, sf_dir).select(none.alias("i"), F.col("last_order_date").alias("o"))
-    both = lines.unionByName(orders).agg(
+    lines = invoice_lines(spark, sf_dir, ["InvoiceDate"]).select(F.col("InvoiceDate").alias("i"), none.alias("o"))
+    orders = read_table(spark, sf_dir, "orders").where("o_custkey is not null")  # the summary's orders
+    both = lines.unionByName(orders.select(none.alias("i"), F.col("o_orderdate").alias("o"))).agg(
         F.max("i").alias("latest_invoice_date"), F.max("o").alias("latest_order_date")
     )
     return _dates_as_text(both)
 
 
 def table_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = invoice_lines(spark, sf_dir)
-    return lines.agg(F.count("*").alias("rows")).withColumn("columns", F.lit(len(lines.columns)))
+    rows = invoice_lines(spark, sf_dir, ["Invoice"]).agg(F.count("*").alias("rows"))
+    return rows.withColumn("columns", F.lit(len(INVOICE_COLUMNS)))
 
 
 def distinct_count_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinct_counts(
-        invoice_lines(spark, sf_dir), ["Invoice", "StockCode", "Description", "Customer ID"]
-    )
+    columns = ["Invoice", "StockCode", "Description", "Customer ID"]
+    return reduce(DataFrame.unionByName, [distinct_counts(invoice_lines(spark, sf_dir, [c]), [c]) for c in columns])
 
 
 def frequency_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,12 +242,7 @@ def clv_bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- customer summary (omnichannel) ----------------------------------------
 
-OMNI_CAP_COLUMNS = [
-    "order_num_total_ever_online",
-    "order_num_total_ever_offline",
-    "customer_value_total_ever_offline",
-    "customer_value_total_ever_online",
-]
+OMNI_CAP_COLUMNS = list(CAP_COLUMNS)
 # Stand-ins for the reference's category words: the part types of the tables.
 BRAND_CATEGORIES = ("PROMO",)
 DISCOUNT_CATEGORIES = ("SMALL", "ECONOMY")
@@ -286,6 +290,22 @@ def campaign_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return campaign_targets(rfm, DISCOUNT_CAMPAIGN_SEGMENTS, DISCOUNT_CATEGORIES)
 
 
+def targets_by_id_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary rows of the brand campaign's ids (a left semi-join with an id list)."""
+    summary = materialize(customer_summary(spark, sf_dir), "omni_summary")
+    ids = campaign_targets(rfm_omni(summary), BRAND_CAMPAIGN_SEGMENTS, BRAND_CATEGORIES, out="customer_id")
+    return targets_by_ids(summary, ids).select("master_id", "order_channel", "last_order_channel")
+
+
+def text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates written as text and parsed back by the preparation step: days from first to last order."""
+    orders = read_table(spark, sf_dir, "orders").where("o_custkey is not null")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = orders.groupBy("o_custkey").agg(F.min(day).alias("first_order_date"), F.max(day).alias("last_order_date"))
+    parsed = to_timestamp_columns(text, "date")
+    return parsed.select("o_custkey", days_between("last_order_date", "first_order_date").alias("days"))
+
+
 def category_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_values(customer_summary(spark, sf_dir), CATEGORY_COL)
 
@@ -584,6 +604,8 @@ QUERIES: dict[str, Query] = {
     "campaign_discount": campaign_discount,
     "zero_value_filter": zero_value_filter,
     "category_values": category_values,
+    "targets_by_ids": targets_by_id_list,
+    "text_dates": text_dates,
     "caps_upper": caps_upper,
     "caps_both_rounded": caps_both_rounded,
     "omni_capped": omni_capped,

@@ -102,13 +102,10 @@ def model_inputs_retail(
     Quantity and Price are capped at q99 + 1.5 IQR (thresholds over the kept
     lines).  recency = days between first and last invoice, T = days from the
     first invoice to the analysis date, both in weeks; frequency = distinct
-    invoices; monetary = total spend per invoice.  The kept lines are
-    materialised once: the thresholds and the aggregation both read them.
+    invoices; monetary = total spend per invoice.  The lines are read again, pruned,
+    for the thresholds and for the aggregation: they are never written.
     """
-    kept = materialize(
-        model_lines(lines).select("Customer ID", "Invoice", "InvoiceDate", "Quantity", "Price"),
-        "model_lines",
-    )
+    kept = model_lines(lines).select("Customer ID", "Invoice", "InvoiceDate", "Quantity", "Price")
     if cap:
         kept, _ = cap_upper(kept, ["Quantity", "Price"])
     kept = with_line_total(kept)

@@ -18,6 +18,7 @@ aggregation, so every query's work grows with the given tables.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ TABLES = (
     "events",
 )
 
+INVOICE_COLUMNS = ("Invoice", "StockCode", "Description", "Quantity", "InvoiceDate", "Price", "Customer ID", "Country")
+
 # Order priorities counted as the "online" side of the summary table; the
 # remaining priorities are the "offline" side.
 ONLINE_PRIORITIES = ("1-URGENT", "2-HIGH")
@@ -44,9 +47,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def invoice_lines(spark: SparkSession, sf_dir: str, columns: Sequence[str] = INVOICE_COLUMNS) -> DataFrame:
     """Invoice lines over lineitem, orders, part, customer and nation.
 
+    With ``columns``, those only: tables that just describe a line (part, customer, nation) are
+    joined when a column needs them.  The join with orders, which decides whether a line counts, stays.
+
     ``Invoice`` is the order key as text, prefixed with "C" for returned lines
     (the cancellation marker).  It is built from ``l_orderkey`` so that the
     cancellation filter only references lineitem columns and Catalyst pushes it
@@ -56,31 +62,30 @@ def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag"
     )
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-
     # Dimension side first (orders -> customer -> nation): the fact table is
     # joined once, on the order key.  Join strategies are left to Catalyst/AQE,
     # which broadcast a side only when its measured size is under the threshold.
-    cust_country = customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left")
-    order_info = orders.join(cust_country, orders.o_custkey == cust_country.c_custkey, "left")
-    lines = li.join(order_info, li.l_orderkey == order_info.o_orderkey, "inner").join(
-        part, li.l_partkey == part.p_partkey, "left"
-    )
+    if "Country" in columns:
+        customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+        nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+        cust_country = customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left")
+        orders = orders.join(cust_country, orders.o_custkey == cust_country.c_custkey, "left")
+    lines = li.join(orders, li.l_orderkey == orders.o_orderkey, "inner")
+    if "Description" in columns:
+        part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
+        lines = lines.join(part, li.l_partkey == part.p_partkey, "left")
     key_text = F.col("l_orderkey").cast("string")
-    return lines.select(
-        F.when(F.col("l_returnflag") == "R", F.concat(F.lit("C"), key_text))
-        .otherwise(key_text)
-        .alias("Invoice"),
-        F.col("l_partkey").cast("string").alias("StockCode"),
-        F.col("p_name").alias("Description"),
-        F.col("l_quantity").alias("Quantity"),
-        F.col("o_orderdate").alias("InvoiceDate"),
-        F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).alias("Price"),
-        F.col("o_custkey").alias("Customer ID"),
-        F.col("n_name").alias("Country"),
-    )
+    made = {
+        "Invoice": lambda: F.when(F.col("l_returnflag") == "R", F.concat(F.lit("C"), key_text)).otherwise(key_text),
+        "StockCode": lambda: F.col("l_partkey").cast("string"),
+        "Description": lambda: F.col("p_name"),
+        "Quantity": lambda: F.col("l_quantity"),
+        "InvoiceDate": lambda: F.col("o_orderdate"),
+        "Price": lambda: F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")),
+        "Customer ID": lambda: F.col("o_custkey"),
+        "Country": lambda: F.col("n_name"),
+    }
+    return lines.select(*[made[c]().alias(c) for c in columns])
 
 
 def default_analysis_date(df: DataFrame, date_col: str, days_after: int = 2) -> dt.datetime:

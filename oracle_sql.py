@@ -13,8 +13,8 @@ SIG_DIGITS = 10
 
 
 def sig(x: str, digits: int = SIG_DIGITS) -> str:
-    """Round to significant digits exactly as custval.functions.numeric.sig_round."""
-    x = f"({x})"
+    """Round to significant digits for presentation, exact decimal ties away from zero (see custval.functions.numeric)."""
+    x = f"(({x}) * {1.0 + 2.0**-41!r}::DOUBLE)"
     k = f"({digits - 1} - floor(log10(abs({x}))))"
     return (
         f"(CASE WHEN {x} IS NULL OR isnan({x}) OR {x} = 0 OR isinf({x}) THEN {x} "
@@ -890,3 +890,17 @@ ORACLE.update(
         ),
     }
 )
+
+
+ORACLE.update(
+    {
+        "targets_by_ids": OMNI_SCORED
+        + """ SELECT master_id, order_channel, last_order_channel FROM summary
+             WHERE master_id IN (SELECT customer_id FROM scored
+               WHERE segment IN ('champions', 'loyal_customers')
+                 AND coalesce(contains(interested_in_categories_12, 'PROMO'), false))""",
+        "text_dates": """SELECT o_custkey,
+               CAST(date_diff('day', CAST(min(o_orderdate) AS DATE), CAST(max(o_orderdate) AS DATE)) AS BIGINT) AS days
+             FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey""",
+    }
+)

@@ -34,3 +34,12 @@ def test_omni_rfm_command(spark):
     assert _csv(spark, f"{work}/out/rfm").count() == 150
     for name in ("new_brand_target_ids", "discount_target_customer_ids"):
         assert _csv(spark, f"{work}/out/{name}").columns == ["master_id"]
+
+
+def test_clv_predict_command_options(spark):
+    work = tempfile.mkdtemp(prefix="custval-cli-")
+    write_table(invoice_lines(spark, SF_SMALL), f"{work}/invoices")
+    args = ["clv-predict", "--invoices", f"{work}/invoices", "--out", f"{work}/out", "--months", "2", "--analysis-date", "2002-01-01"]
+    assert main([*args, "--horizon", "in_2_weeks=2", "--discount-rate", "0.02", "--gg-penalizer", "0.02"]) == 0
+    out = _csv(spark, f"{work}/out/clv_prediction")
+    assert "in_2_weeks" in out.columns and out.count() > 0

@@ -61,6 +61,22 @@ def test_retention_and_churn(spark):
             assert got[m]["retention_rate"] is None
 
 
+def test_months_without_activity_have_rows(spark):
+    rows = [(1, dt.datetime(2020, 12, 5)), (2, dt.datetime(2020, 12, 9)), (1, dt.datetime(2021, 3, 1)), (None, dt.datetime(2021, 5, 1))]
+    df = spark.createDataFrame(rows, "cust long, ts timestamp_ntz")
+    got = [tuple(r) for r in retention(df, "cust", "ts").orderBy("period").collect()]
+    assert got == [
+        ("2020-12", 2, 0, None, None),
+        ("2021-01", 0, 0, 0.0, 1.0),
+        ("2021-02", 0, 0, None, None),
+        ("2021-03", 1, 0, None, None),
+    ]
+    new = [tuple(r) for r in acquisition(df, "cust", "ts").orderBy("period").collect()]
+    assert new == [("2020-12", 2, 2, 1.0), ("2021-01", 0, 2, 0.0), ("2021-02", 0, 2, 0.0), ("2021-03", 0, 2, 0.0)]
+    empty = spark.createDataFrame([], "cust long, ts timestamp_ntz")
+    assert retention(empty, "cust", "ts").count() == acquisition(empty, "cust", "ts").count() == 0
+
+
 def test_conversion(spark):
     events = spark.createDataFrame(
         [(1, dt.datetime(2024, 1, 1), "view"), (1, dt.datetime(2024, 1, 2), "purchase"),

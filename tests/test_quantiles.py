@@ -154,13 +154,13 @@ def test_rank_cut_with_hot_value(spark):
     assert _bins(out) == expected.tolist()
 
 
-@pytest.mark.parametrize("accuracy", [20, 1000])
+@pytest.mark.parametrize("accuracy", [8, 1000])
 def test_bracket_path_matches_pandas(spark, monkeypatch, accuracy):
     """Approximate brackets + exact counts give exact quantiles (forced on small data)."""
     import custval.operators.order_stats as order_stats
 
     monkeypatch.setattr(order_stats, "BRACKET_MIN_ROWS", 50)
-    monkeypatch.setattr(order_stats, "APPROX_ACCURACY", accuracy)
+    monkeypatch.setattr(order_stats, "SKETCH_K", accuracy)
     rng = np.random.default_rng(17)
     values = np.concatenate([np.round(rng.normal(500, 120, 1500), 2), np.full(700, 431.0)])
     rng.shuffle(values)
@@ -177,7 +177,7 @@ def test_rank_cut_tie_group_by_brackets(spark, monkeypatch):
     import custval.operators.order_stats as order_stats
 
     monkeypatch.setattr(order_stats, "BRACKET_MIN_ROWS", 50)
-    monkeypatch.setattr(order_stats, "APPROX_ACCURACY", 30)
+    monkeypatch.setattr(order_stats, "SKETCH_K", 16)
     rng = np.random.default_rng(23)
     values = np.where(rng.random(1200) < 0.4, 1.0, rng.integers(2, 9, size=1200).astype(float))
     out = qcut_rank_first(_frame(spark, values), "x", 5, "k", out="b", rows_per_partition=100)
