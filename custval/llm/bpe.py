@@ -1,16 +1,18 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-A task takes its texts block by block.  The split pattern cuts a block's texts
-into pieces; every distinct piece is laid out once, byte by byte, in one array of
+A task takes its texts block by block.  Texts are cut before every single blank
+between two other characters; the split pattern never joins what such a cut parts,
+so equal units give equal pieces, and only units that are new to the task's Python
+worker go on.  Their distinct pieces are laid out once, byte by byte, in one array of
 tokens.  An inverted index holds, for every merged token that some neighbouring
 pair would give, the positions of those pairs.  The merges are then replayed over
-the whole block in rank order: all positions of the lowest rank are merged, left to
+all these words in rank order: all positions of the lowest rank are merged, left to
 right, and only their two new neighbour pairs enter the index.  Texts are put
-together from their pieces' ids.
+together from their units' ids.
 
 The work is one narrow pass (no shuffle, nothing gathered); memory is bounded by
-the block.  The rank file is a parameter and is read by every task: the driver reads
-it and Spark broadcasts it (its size is fixed, under 1 MB).
+the block and by ``REMEMBERED`` units.  The rank file is a parameter and is read by
+the driver; Spark broadcasts it (its size is fixed, under 1 MB).
 
 Defined results: a null text is empty (no ids); text is taken whole; repeated rows
 give equal rows; an empty table gives an empty result; other columns are ignored.
@@ -24,112 +26,215 @@ import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from custval.llm.common import blocks, keyed
+from custval.llm.common import Known, blocks, gather, keyed, text_bytes
 
-#: Text bytes whose pieces are merged together.
+#: Text bytes that are taken together.
 REPLAY_BYTES = 8 << 20
+#: Units whose ids a Python worker remembers, and token pairs whose rank it does.
+REMEMBERED = 1_500_000
+REMEMBERED_PAIRS = 1_000_000
 
+#: White space beyond ASCII, as UTF-8: two bytes, or three with the last in a range.  Fixed values.
+_WIDE_BLANKS = ((b"\xc2", 0x85, 0x85), (b"\xc2", 0xA0, 0xA0), (b"\xe1\x9a", 0x80, 0x80), (b"\xe2\x80", 0x80, 0x8A),
+                (b"\xe2\x80", 0xA8, 0xA9), (b"\xe2\x80", 0xAF, 0xAF), (b"\xe2\x81", 0x9F, 0x9F), (b"\xe3\x80", 0x80, 0x80))
 
-@lru_cache(maxsize=2)
+
+def blank_after(body: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a white-space character starts at each of the positions (which leave two bytes behind them)."""
+    byte = body[at]
+    out = (byte == 32) | ((byte >= 9) & (byte <= 13))
+    for head, low, high in _WIDE_BLANKS:
+        hit = byte == head[0]
+        for i in range(1, len(head)):
+            hit &= body[at + i] == head[i]
+        last = body[at + len(head)]
+        out |= hit & (last >= low) & (last <= high)
+    return out
+
+
+def blank_before(body: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a white-space character ends right before each of the positions (which have three bytes before them)."""
+    byte = body[at - 1]
+    out = (byte == 32) | ((byte >= 9) & (byte <= 13))
+    for head, low, high in _WIDE_BLANKS:
+        hit = (byte >= low) & (byte <= high)
+        for i in range(len(head)):
+            hit &= body[at - 1 - len(head) + i] == head[i]
+        out |= hit
+    return out
+
+
+def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Texts cut before every blank (0x20) that stands alone between other characters: the units, row offsets."""
+    body, at = text_bytes(texts)
+    padded = np.concatenate([np.zeros(3, np.uint8), body, np.zeros(3, np.uint8)])
+    blank = np.flatnonzero(body == 32)
+    first = np.zeros(len(body) + 1, bool)
+    first[at] = True  # positions where a text starts or the last one ends
+    blank = blank[~first[blank] & ~first[blank + 1]]
+    blank = blank[~blank_before(padded, blank + 3)]
+    cuts = blank[~blank_after(padded, blank + 4)]
+    starts = np.sort(np.concatenate([at[:-1][np.diff(at) > 0], cuts]))
+    offsets = np.append(starts, len(body))
+    strings = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(body)])
+    return strings, np.searchsorted(starts, at)
+
+
+@lru_cache(maxsize=1)
 def read_ranks(data: bytes) -> dict[bytes, int]:
     """A rank file's tokens: lines of a base64 token and its rank."""
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line)}
 
 
-def replay(pieces: list[bytes], ranks: dict[bytes, int], texts: dict[int, bytes]) -> list[list[int]]:
-    """Token ids of every piece.  ``texts`` is the inverse of ``ranks``."""
-    out: list[list[int]] = [[]] * len(pieces)
-    rest: list[int] = []
-    for i, piece in enumerate(pieces):
-        whole = ranks.get(piece)
-        if whole is None:
-            rest.append(i)
-        else:
-            out[i] = [whole]
-    # all other pieces in one array, an end mark after each
-    token: list[int] = []
-    begin: list[int] = []
-    byte = [ranks.get(bytes([b]), -2 - b) for b in range(256)]
-    for i in rest:
-        begin.append(len(token))
-        token.extend([byte[b] for b in pieces[i]])
-        token.append(-1)
-    n = len(token)
-    after = list(range(1, n + 1))
-    before = list(range(-1, n - 1))
-    merged: dict[tuple[int, int], int] = {}
-
-    def rank_of(a: int, b: int) -> int:
-        pair = (a, b)
-        r = merged.get(pair)
+class Merges:
+    """The ranks, their inverse, and the rank that each pair of neighbouring tokens would merge to."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.texts = {rank: token for token, rank in ranks.items()}
+        self.byte = np.array([ranks.get(bytes([b]), -2 - b) for b in range(256)], np.int64)
+        self.of_bytes = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], np.int64)
+        self.pairs: dict[int, int] = {}
+
+    def pair(self, a: int, b: int) -> int:
+        """Rank of the merged pair, -1 if there is none or one of them is an end mark."""
+        key = a << 32 | b
+        r = self.pairs.get(key)
         if r is None:
-            r = merged[pair] = ranks.get(texts[a] + texts[b], -1) if a >= 0 and b >= 0 else -1
+            if a < 0 or b < 0:
+                return -1
+            if len(self.pairs) > REMEMBERED_PAIRS:
+                self.pairs.clear()
+            r = self.pairs[key] = self.ranks.get(self.texts[a] + self.texts[b], -1)
         return r
 
-    index: dict[int, list[int]] = {}
-    queue: list[int] = []
-
-    def enter(r: int, at: int) -> None:
-        if r in index:
-            index[r].append(at)
-        else:
-            index[r] = [at]
-            heapq.heappush(queue, r)
-
-    for at in range(n - 1):
-        r = rank_of(token[at], token[at + 1])
-        if r >= 0:
-            enter(r, at)
-    while queue:
-        rank = heapq.heappop(queue)
-        places = index.pop(rank)
-        places.sort()
-        for done, at in enumerate(places):
-            if token[at] < 0:
-                continue  # merged into its neighbour meanwhile
-            nxt = after[at]
-            if rank_of(token[at], token[nxt]) != rank:
-                continue
-            token[at] = rank
-            after[at] = far = after[nxt]
-            before[far] = at
-            token[nxt] = -1
-            lower = False
-            r = rank_of(rank, token[far])
-            if r >= 0:
-                enter(r, at)
-                lower = r < rank
-            left = before[at]
-            if left >= 0 and (a := token[left]) >= 0:
-                r = rank_of(a, rank)
-                if r >= 0:
-                    enter(r, left)
-                    lower = lower or r < rank
-            if lower:  # a pair of lower rank goes first; the other places wait for their turn
-                for later in places[done + 1 :]:
-                    enter(rank, later)
-                break
-    for k, i in enumerate(rest):
-        at, end, ids = begin[k], begin[k] + len(pieces[i]), []
-        while at < end:
-            ids.append(token[at])
-            at = after[at]
-        if min(ids, default=0) < 0:
-            raise ValueError("the rank file lacks a single byte")
-        out[i] = ids
-    return out
+    def replay(self, pieces: list[bytes]) -> list[list[int]]:
+        """Token ids of every piece."""
+        out: list[list[int]] = [[]] * len(pieces)
+        rest: list[int] = []
+        for i, piece in enumerate(pieces):
+            whole = self.ranks.get(piece)
+            if whole is None:
+                rest.append(i)
+            else:
+                out[i] = [whole]
+        # all other pieces in one array, an end mark (-1) after each
+        size = np.array([len(pieces[i]) for i in rest], np.int64)
+        raw = np.frombuffer(b"".join([pieces[i] + b"\0" for i in rest]), np.uint8)
+        ends = np.cumsum(size + 1) - 1
+        tokens = self.byte[raw]
+        tokens[ends] = -1
+        n = len(tokens)
+        index: dict[int, list[int]] = {}
+        if n:
+            if (tokens < -1).any():
+                raise ValueError("the rank file lacks a single byte")
+            first = self.of_bytes[raw[:-1], raw[1:]]
+            first[ends[:-1]] = -1
+            first[ends - 1] = -1
+            at = np.flatnonzero(first >= 0)
+            at = at[np.argsort(first[at], kind="stable")]
+            cuts = np.flatnonzero(np.diff(first[at])) + 1
+            for part in np.split(at, cuts):
+                if len(part):
+                    index[int(first[part[0]])] = part.tolist()
+        token = tokens.tolist()
+        after = list(range(1, n + 1))
+        before = list(range(-1, n - 1))
+        queue = list(index)
+        heapq.heapify(queue)
+        pairs, pair = self.pairs, self.pair
+        while queue:
+            rank = heapq.heappop(queue)
+            places = index.pop(rank)
+            places.sort()
+            for done, at in enumerate(places):
+                a = token[at]
+                if a < 0:
+                    continue  # merged into its neighbour meanwhile
+                nxt = after[at]
+                b = token[nxt]
+                r = pairs.get(a << 32 | b)
+                if (pair(a, b) if r is None else r) != rank:
+                    continue
+                token[at] = rank
+                after[at] = far = after[nxt]
+                before[far] = at
+                token[nxt] = -1
+                lower = False
+                b = token[far]
+                if b >= 0:
+                    r = pairs.get(rank << 32 | b)
+                    r = pair(rank, b) if r is None else r
+                    if r >= 0:
+                        lower = r < rank
+                        if r in index:
+                            index[r].append(at)
+                        else:
+                            index[r] = [at]
+                            heapq.heappush(queue, r)
+                left = before[at]
+                if left >= 0 and (a := token[left]) >= 0:
+                    r = pairs.get(a << 32 | rank)
+                    r = pair(a, rank) if r is None else r
+                    if r >= 0:
+                        lower = lower or r < rank
+                        if r in index:
+                            index[r].append(left)
+                        else:
+                            index[r] = [left]
+                            heapq.heappush(queue, r)
+                if lower:  # a pair of lower rank goes first; the other places wait for their turn
+                    if places[done + 1 :]:
+                        if rank in index:
+                            index[rank] += places[done + 1 :]
+                        else:
+                            index[rank] = places[done + 1 :]
+                            heapq.heappush(queue, rank)
+                    break
+        for i, end, length in zip(rest, ends.tolist(), size.tolist(), strict=True):
+            at, ids = end - length, []
+            while at < end:
+                ids.append(token[at])
+                at = after[at]
+            out[i] = ids
+        return out
+
+
+class Encoder:
+    """Ids, their decimal text and their bytes for every unit met so far."""
+
+    def __init__(self, data: bytes, pattern: str):
+        self.merges = Merges(read_ranks(data))
+        self.split = regex.compile(pattern)
+        self.known = Known(REMEMBERED)
 
+    def learn(self, new: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        number: dict[str, int] = {}
+        split, setdefault = self.split.findall, number.setdefault
+        rows = [[setdefault(p, len(number)) for p in split(unit)] for unit in new.to_pylist()]
+        ids = self.merges.replay([p.encode() for p in number])
+        flat = [t for row in rows for p in row for t in ids[p]]
+        return new, np.array(flat, np.uint32), np.array([sum([len(ids[p]) for p in row]) for row in rows], np.int64)
 
-def encode_block(texts: list[str | None], ranks: dict[bytes, int], inverse: dict[int, bytes], pattern: regex.Pattern):
-    """For every text its pieces' numbers; for every distinct piece its ids."""
-    number: dict[str, int] = {}
-    rows = [[number.setdefault(p, len(number)) for p in pattern.findall(text)] if text else [] for text in texts]
-    ids = replay([p.encode("utf-8", "surrogatepass") for p in number], ranks, inverse)
-    return rows, ids
+    def block(self, texts: pa.Array):
+        """Of a block of texts: distinct units' number in the store, the unit of each place, the row offsets."""
+        strings, offsets = units(texts)
+        coded = strings.dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        return self.known.numbers(coded.dictionary, self.learn), codes, offsets
+
+
+@lru_cache(maxsize=1)
+def _encoder(data: bytes, pattern: str) -> Encoder:
+    """One encoder for all tasks of a Python worker, so that frequent units stay known."""
+    return Encoder(data, pattern)
 
 
 def bpe_round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
@@ -144,25 +249,36 @@ def bpe_round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str =
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(shared.value)
-        inverse = {rank: token for token, rank in ranks.items()}
-        split = regex.compile(pattern)
+        encoder = _encoder(shared.value, pattern)
+        inverse = encoder.merges.texts
         for block in blocks(batches, limit=REPLAY_BYTES):
-            rows, of_piece = encode_block(block.column("text").to_pylist(), ranks, inverse, split)
-            decimal = [",".join(map(str, x)) for x in of_piece]
-            decoded = [b"".join([inverse[t] for t in x]) for x in of_piece]
-            count = [len(x) for x in of_piece]
+            number, codes, offsets = encoder.block(block.column("text"))
+            flat, at = encoder.known.of(number)  # ids of the distinct units
+            tokens = flat.tolist()
+            bounds = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+            decimal = pa.array([",".join(map(str, tokens[i:j])) for i, j in bounds], pa.large_string())
+            decoded = pa.array([b"".join([inverse[t] for t in tokens[i:j]]) for i, j in bounds], pa.large_binary())
+            size = np.diff(at)[codes] if len(codes) else codes
+            n_tokens = np.diff(np.concatenate([[0], np.cumsum(size)])[offsets])
             columns = [
                 block.column("doc_id"),
-                pa.array([sum([count[p] for p in row]) for row in rows], pa.int64()),
-                pa.array([hashlib.sha256(",".join([decimal[p] for p in row]).encode()).hexdigest() for row in rows]),
-                pa.array([hashlib.sha256(b"".join([decoded[p] for p in row])).hexdigest() for row in rows]),
+                pa.array(n_tokens, pa.int64()),
+                _digests(decimal, codes, offsets, ","),
+                _digests(decoded, codes, offsets, b""),
             ]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
-                columns.append(pa.array([[t for p in row for t in of_piece[p]] for row in rows], pa.list_(pa.int32())))
+                every = pa.array(gather(flat, at, codes).astype(np.int32))
+                columns.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n_tokens)]).astype(np.int32), every))
                 names.append("ids")
             yield pa.record_batch(columns, names=names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
     return keyed(docs, doc_id=id_col, text=text_col).mapInArrow(run, schema)
+
+
+def _digests(values: pa.Array, codes: np.ndarray, offsets: np.ndarray, separator: str | bytes) -> pa.Array:
+    """SHA-256 of each row's values joined."""
+    rows = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values.take(pa.array(codes)))
+    joined = pc.cast(pc.binary_join(rows, pa.scalar(separator, values.type)), pa.large_binary())
+    return pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in joined])

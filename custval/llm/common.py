@@ -77,15 +77,45 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def dense_rank(keys: np.ndarray) -> tuple[np.ndarray, int]:
-    """Ranks 0, 1, ... of the distinct keys, and how many there are."""
-    if not len(keys):
-        return np.zeros(0, np.int64), 0
-    order = np.argsort(keys, kind="stable")
-    step = np.concatenate([[0], np.cumsum(np.diff(keys[order]) != 0)])
-    rank = np.empty(len(keys), np.int64)
-    rank[order] = step
-    return rank, int(step[-1]) + 1
+def gather(flat: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The values ``flat[at[r]:at[r + 1]]`` of the given rows, one after another."""
+    size = np.diff(at)[rows]
+    inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    return flat[np.repeat(at[rows], size) + inner]
+
+
+class Known:
+    """Ids of the distinct strings met so far, in Arrow and numpy arrays: the bounded memory of a Python worker."""
+
+    def __init__(self, most: int, most_bytes: int = 64 << 20):
+        self.most, self.most_bytes = most, most_bytes
+        self.forget()
+
+    def forget(self) -> None:
+        self.strings = pa.array([], pa.large_string())
+        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def numbers(self, strings: pa.Array, learn) -> np.ndarray:
+        """The numbers of distinct strings in the store.
+
+        ``learn`` gets those that are new and returns them (in any order) with their
+        ids, one after another, and how many each has.
+        """
+        strings = pc.cast(strings, pa.large_string())
+        if len(self.strings) > self.most or self.strings.nbytes > self.most_bytes:
+            self.forget()
+        new = strings.filter(pc.invert(pc.is_in(strings, self.strings)))
+        if len(new):
+            ordered, flat, size = learn(new)
+            self.strings = pa.concat_arrays([self.strings, ordered])
+            self.flat = np.concatenate([self.flat, flat])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
+        return pc.index_in(strings, self.strings).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the numbered strings, one after another, and their offsets."""
+        size = np.diff(self.at)[numbers]
+        return gather(self.flat, self.at, numbers), np.concatenate([[0], np.cumsum(size)])
 
 
 def keyed(df: DataFrame, **columns: Column | str) -> DataFrame:

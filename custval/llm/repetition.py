@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from custval.llm.common import blocks, byte_lengths, dense_rank, keyed, rows_of, split_codes, text_bytes, word_codes
+from custval.llm.common import blocks, byte_lengths, keyed, rows_of, split_codes, text_bytes, word_codes
 
 #: Base rule: window of words, least words, largest percentage of words in repeated windows.
 WINDOW = 8

@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -62,12 +63,12 @@ def test_replay_equals_lowest_rank_first():
     """Ranks in which a merge makes pairs of lower rank, against a direct loop."""
     rnd = random.Random(2)
     for _ in range(200):
-        tokens = {bytes([b]) for b in b"abc"} | {"".join(rnd.choice("abc") for _ in range(rnd.randrange(2, 6))).encode() for _ in range(14)}
+        tokens = {bytes([b]) for b in range(256)} | {"".join(rnd.choice("abc") for _ in range(rnd.randrange(2, 6))).encode() for _ in range(14)}
         order = sorted(tokens)
         rnd.shuffle(order)
         ranks = {t: i for i, t in enumerate(order)}
         pieces = list({"".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 14))).encode() for _ in range(20)})
-        got = B.replay(pieces, ranks, {i: t for t, i in ranks.items()})
+        got = B.Merges(ranks).replay(pieces)
         for piece, ids in zip(pieces, got, strict=True):
             parts = [piece] if piece in ranks else [bytes([b]) for b in piece]
             while True:
@@ -85,3 +86,25 @@ def test_empty_table(spark):
 
 def test_blanks_of_the_pattern():
     assert regex.findall(r"\s", "\x1c\x85 ") == ["\x85", " "]
+
+
+def test_units_never_part_a_piece():
+    rnd = random.Random(1)
+    chars = ["a", "é", "字", " ", "  ", "\n", "\t", "\u00a0", "\u0085", "\u2003", "\u2028", "\u3000", "\u1680", "\u205f", "\u202f", "'", "s", ",", "1", "\x1c", "😀"]
+    split = regex.compile(P.PATTERN)
+    texts = [None, "", " ", "a b", " a", "b "] + ["".join(rnd.choice(chars) for _ in range(rnd.randrange(1, 30))) for _ in range(3000)]
+    strings, offsets = B.units(pa.array(texts))
+    strings = strings.to_pylist()
+    for text, i, j in zip(texts, offsets[:-1], offsets[1:], strict=True):
+        assert "".join(strings[i:j]) == (text or "")
+        assert [p for u in strings[i:j] for p in split.findall(u)] == split.findall(text or ""), text
+
+
+def test_forgetting_units_changes_nothing(spark, library, monkeypatch):
+    monkeypatch.setattr(B, "REMEMBERED", 10)
+    monkeypatch.setattr(B, "REMEMBERED_PAIRS", 5)
+    encoder = B.Encoder(open(RANKS, "rb").read(), P.PATTERN)
+    for text in ["some words and others", "other words again, some", "some", ""] * 3:
+        number, codes, _ = encoder.block(pa.array([text]))
+        flat, at = encoder.known.of(number)
+        assert [int(t) for c in codes for t in flat[at[c] : at[c + 1]]] == library.encode_ordinary(text)
