@@ -4,8 +4,8 @@
 result is written as Parquet to the shared checkpoint folder and read back as the
 next one's input, so a lost executor repeats only work of the running stage.
 
-1. language ID drops documents without a language (no letter, or no language ahead of the
-   others) and fills in missing labels;
+1. language ID drops documents without a language (no letter, or all languages need equally many
+   phrases) and fills in missing labels;
 2. MinHash near-dedup (SetSketch) keeps one document of each group, the one of smallest id;
 3. secret scans put a mark in the place of every secret;
 4. mixing draws the documents to the weights, and repeats those drawn more than once;
@@ -34,8 +34,6 @@ from custval.session import materialize
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Least share of the winning language among the languages' e**-phrases.
-MIN_LANGUAGE_SCORE = 0.5
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 
@@ -45,7 +43,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit_languages(docs.where(~held_out()))
     kept = {"given": "lang", "body": "text", "origin": "source", "chars": "n_chars"}
     found = identify(docs, model, keep=kept)
-    known = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    ahead = F.lit(True) if len(model) < 2 else F.col("score") > 1.0 / len(model) + 1e-9  # not all languages alike
+    known = found.where((F.col("lang_pred") != UNKNOWN) & ahead)
     return known.select(
         "doc_id",
         F.col("body").alias("text"),
