@@ -20,12 +20,12 @@ null languages teach nothing; other columns are never read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,14 +53,31 @@ def _sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([block.column("lang").take(pa.array(row)), letters(words).take(pa.array(code))], names=["lang", "word"])
 
 
+def _below(lang: str, limit: int | None) -> Column:
+    """Rows of a language whose hash is within its bound (none: all of them)."""
+    same = F.col("lang") == lang
+    return same if limit is None else same & (F.col("hash") <= limit)
+
+
 def fit_languages(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn the words of each language: those in most sampled texts (ties by code point).
 
-    The sample is the texts of smallest hash, so it does not depend on ids, order or partitions.
+    The sample is the distinct texts of smallest hash, so it does not depend on ids,
+    order, copies or partitions.  Which hashes are small enough is settled on hashes
+    alone (approximate counts of distinct ones, then the exact few below a bound), so
+    only the sampled texts leave the scan.
     """
     rows = keyed(labelled, text=text_col, lang=lang_col).where("lang is not null and text is not null")
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = rows.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= SAMPLE_DOCS).select("lang", "text")
+    rows = rows.withColumn("hash", F.shiftrightunsigned(F.xxhash64("text"), 1))  # 63 bits
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n"))
+    share = F.least(F.lit(4.0 * SAMPLE_DOCS) / F.col("n"), F.lit(1.0))
+    bound = counts.select("lang", F.when(F.col("n") > 4 * SAMPLE_DOCS, (share * 2.0**63).cast("long")).alias("bound"))
+    # one row per language: an upper bound that about four times the sample stays below
+    limits = {r.lang: r.bound for r in bound.collect()}
+    low = reduce(lambda a, b: a | b, [_below(lang, limit) for lang, limit in limits.items()], F.lit(False))
+    few = rows.where(low).groupBy("lang", "hash").agg(F.first("text").alias("text"))
+    by_hash = Window.partitionBy("lang").orderBy("hash")
+    sample = few.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= SAMPLE_DOCS).select("lang", "text")
     words = (
         sample.mapInArrow(_sample_words, "lang string, word string")
         .where(F.length("word").between(1, LONGEST_WORD))
