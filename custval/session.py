@@ -11,7 +11,9 @@ piece of work once its results are written, :func:`clear_materialized` all.
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from typing import ClassVar
@@ -71,6 +73,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
                 f"spark.checkpoint.dir is not set: on {sc.master} intermediate tables need a folder that all executors share"
             )
         configured = tempfile.mkdtemp(prefix="custval-checkpoint-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)  # nothing of a local run stays behind
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
