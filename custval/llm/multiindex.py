@@ -30,6 +30,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,8 +92,6 @@ def bounds(points: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def traverse(first: np.ndarray, second: np.ndarray, radius: float) -> list[tuple[int, int]]:
     """Cells (i, j) from the nearest outwards while the sum of the halves' bounds is within the squared radius."""
-    import heapq
-
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
     out, queue, seen = [], [(first[a[0]] + second[b[0]], 0, 0)], {(0, 0)}
     while queue:

@@ -36,7 +36,7 @@ def check(df, rows, shards, slack):
     return got
 
 
-def test_whole_small_table(spark, monkeypatch):
+def test_whole_small_table(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     largest = max(len(t.encode()) for _, t in rows)
@@ -46,10 +46,16 @@ def test_whole_small_table(spark, monkeypatch):
     for r in first:
         groups.setdefault(text[r.doc_id], set()).add(r.shard)
     assert all(len(s) == 1 for t, s in groups.items() if len(t) < 1000)  # copies stay together
+
+
+def test_small_ranges_and_bins(spark, monkeypatch):
     monkeypatch.setattr(K, "RANGE_ROWS", 16)
-    monkeypatch.setattr(K, "BINS", 4)
-    again = check(K.kd_shards(docs.repartition(5)), rows, 16, 2 * largest)
-    assert len({r.shard for r in again}) == 16
+    monkeypatch.setattr(K, "BINS", 16)
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    largest = max(len(t.encode()) for _, t in rows)
+    got = check(K.kd_shards(docs.repartition(5), shards=4), rows, 4, 2 * largest)
+    assert len({r.shard for r in got}) == 4
 
 
 def brute(points, shards):
@@ -84,10 +90,9 @@ def test_against_brute_force(spark, monkeypatch):
     dims = {i: (rnd.randrange(10**9), rnd.randrange(-500, 500) * 1000 + i) for i in range(150)}
     data = spark.createDataFrame([(i, *dims[i]) for i in range(150)], "doc_id long, x long, y long")
     docs = spark.createDataFrame(rows, SCHEMA).join(data, "doc_id")
-    for shards in (2, 5, 16):
-        got = K.kd_shards(docs, shards=shards, dimensions=[F.col("x"), F.col("y")]).collect()
-        want = brute([(len(t) + 1, dims[i], i) for i, t, *_ in rows], shards)
-        assert {r.doc_id: r.shard for r in got} == want
+    got = K.kd_shards(docs, shards=7, dimensions=[F.col("x"), F.col("y")]).collect()
+    want = brute([(len(t) + 1, dims[i], i) for i, t, *_ in rows], 7)
+    assert {r.doc_id: r.shard for r in got} == want
 
 
 def test_edges(spark):
