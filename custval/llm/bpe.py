@@ -28,17 +28,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from custval.llm.common import Known, blocks, gather, keyed, text_bytes
 
-#: Text bytes that are taken together.
-REPLAY_BYTES = 8 << 20
+#: Text bytes that are taken together, and distinct pieces that are merged together (their arrays stay in the cache).
+REPLAY_BYTES = 4 << 20
+REPLAY_PIECES = 4096
 #: Units whose ids a Python worker remembers, and token pairs whose rank it does.
-REMEMBERED = 1_500_000
-REMEMBERED_PAIRS = 1_000_000
+REMEMBERED = 1_000_000
+REMEMBERED_PAIRS = 300_000
 
 #: White space beyond ASCII, as UTF-8: two bytes, or three with the last in a range.  Fixed values.
 _WIDE_BLANKS = ((b"\xc2", 0x85, 0x85), (b"\xc2", 0xA0, 0xA0), (b"\xe1\x9a", 0x80, 0x80), (b"\xe2\x80", 0x80, 0x8A),
@@ -100,18 +100,21 @@ class Merges:
         self.texts = {rank: token for token, rank in ranks.items()}
         self.byte = np.array([ranks.get(bytes([b]), -2 - b) for b in range(256)], np.int64)
         self.of_bytes = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], np.int64)
-        self.pairs: dict[int, int] = {}
+        # rank of the merged pair by its left and by its right token (-1: none), as far as met
+        self.followed: dict[int, dict[int, int]] = {}
+        self.preceded: dict[int, dict[int, int]] = {}
+        self.met = 0
 
     def pair(self, a: int, b: int) -> int:
-        """Rank of the merged pair, -1 if there is none or one of them is an end mark."""
-        key = a << 32 | b
-        r = self.pairs.get(key)
-        if r is None:
-            if a < 0 or b < 0:
-                return -1
-            if len(self.pairs) > REMEMBERED_PAIRS:
-                self.pairs.clear()
-            r = self.pairs[key] = self.ranks.get(self.texts[a] + self.texts[b], -1)
+        """Rank of the merged pair, -1 if there is none; remembered under both tokens."""
+        if self.met > REMEMBERED_PAIRS:
+            for kept in (*self.followed.values(), *self.preceded.values()):
+                kept.clear()
+            self.met = 0
+        self.met += 1
+        r = self.ranks.get(self.texts[a] + self.texts[b], -1)
+        self.followed.setdefault(a, {})[b] = r
+        self.preceded.setdefault(b, {})[a] = r
         return r
 
     def replay(self, pieces: list[bytes]) -> list[list[int]]:
@@ -131,79 +134,84 @@ class Merges:
         tokens = self.byte[raw]
         tokens[ends] = -1
         n = len(tokens)
+        first = np.full(n, -1, np.int64)  # rank that the pair starting at each position merges to
         index: dict[int, list[int]] = {}
         if n:
             if (tokens < -1).any():
                 raise ValueError("the rank file lacks a single byte")
-            first = self.of_bytes[raw[:-1], raw[1:]]
-            first[ends[:-1]] = -1
+            first[:-1] = self.of_bytes[raw[:-1], raw[1:]]
+            first[ends] = -1
             first[ends - 1] = -1
             at = np.flatnonzero(first >= 0)
             at = at[np.argsort(first[at], kind="stable")]
-            cuts = np.flatnonzero(np.diff(first[at])) + 1
-            for part in np.split(at, cuts):
+            for part in np.split(at, np.flatnonzero(np.diff(first[at])) + 1):
                 if len(part):
                     index[int(first[part[0]])] = part.tolist()
-        token = tokens.tolist()
+        token, merges_to = tokens.tolist(), first.tolist()
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
         queue = list(index)
         heapq.heapify(queue)
-        pairs, pair = self.pairs, self.pair
         while queue:
             rank = heapq.heappop(queue)
             places = index.pop(rank)
             places.sort()
+            right = self.followed.setdefault(rank, {})
+            left_of = self.preceded.setdefault(rank, {})
+            lower = False
             for done, at in enumerate(places):
-                a = token[at]
-                if a < 0:
-                    continue  # merged into its neighbour meanwhile
+                if merges_to[at] != rank:
+                    continue  # a neighbour has merged meanwhile
                 nxt = after[at]
-                b = token[nxt]
-                r = pairs.get(a << 32 | b)
-                if (pair(a, b) if r is None else r) != rank:
-                    continue
+                far = after[nxt]
                 token[at] = rank
-                after[at] = far = after[nxt]
+                after[at] = far
                 before[far] = at
-                token[nxt] = -1
-                lower = False
+                token[nxt] = merges_to[nxt] = -1
                 b = token[far]
                 if b >= 0:
-                    r = pairs.get(rank << 32 | b)
-                    r = pair(rank, b) if r is None else r
+                    r = right.get(b)
+                    if r is None:
+                        r = self.pair(rank, b)
+                    merges_to[at] = r
                     if r >= 0:
                         lower = r < rank
-                        if r in index:
-                            index[r].append(at)
-                        else:
+                        if (waiting := index.get(r)) is None:
                             index[r] = [at]
                             heapq.heappush(queue, r)
+                        else:
+                            waiting.append(at)
+                else:
+                    merges_to[at] = -1
                 left = before[at]
                 if left >= 0 and (a := token[left]) >= 0:
-                    r = pairs.get(a << 32 | rank)
-                    r = pair(a, rank) if r is None else r
+                    r = left_of.get(a)
+                    if r is None:
+                        r = self.pair(a, rank)
+                    merges_to[left] = r
                     if r >= 0:
                         lower = lower or r < rank
-                        if r in index:
-                            index[r].append(left)
-                        else:
+                        if (waiting := index.get(r)) is None:
                             index[r] = [left]
                             heapq.heappush(queue, r)
+                        else:
+                            waiting.append(left)
                 if lower:  # a pair of lower rank goes first; the other places wait for their turn
-                    if places[done + 1 :]:
+                    if rest_places := places[done + 1 :]:
                         if rank in index:
-                            index[rank] += places[done + 1 :]
+                            index[rank] += rest_places
                         else:
-                            index[rank] = places[done + 1 :]
+                            index[rank] = rest_places
                             heapq.heappush(queue, rank)
                     break
-        for i, end, length in zip(rest, ends.tolist(), size.tolist(), strict=True):
-            at, ids = end - length, []
-            while at < end:
-                ids.append(token[at])
-                at = after[at]
-            out[i] = ids
+        left_over = np.array(token, np.int64)
+        kept = left_over >= 0
+        flat = left_over[kept].tolist()
+        upto = np.concatenate([[0], np.cumsum(kept)])
+        stops = upto[ends].tolist()
+        starts = upto[ends - size].tolist()
+        for i, start, stop in zip(rest, starts, stops, strict=True):
+            out[i] = flat[start:stop]
         return out
 
 
@@ -214,21 +222,27 @@ class Encoder:
         self.merges = Merges(read_ranks(data))
         self.split = regex.compile(pattern)
         self.known = Known(REMEMBERED)
+        most = max(self.merges.texts, default=0) + 1
+        self.decimal = pa.array([b"%d," % i for i in range(most)], pa.large_binary())
+        self.decoded = pa.array([self.merges.texts.get(i, b"") for i in range(most)], pa.large_binary())
 
-    def learn(self, new: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    def learn(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         number: dict[str, int] = {}
         split, setdefault = self.split.findall, number.setdefault
         rows = [[setdefault(p, len(number)) for p in split(unit)] for unit in new.to_pylist()]
-        ids = self.merges.replay([p.encode() for p in number])
+        pieces = [p.encode() for p in number]
+        ids = [x for i in range(0, len(pieces), REPLAY_PIECES) for x in self.merges.replay(pieces[i : i + REPLAY_PIECES])]
         flat = [t for row in rows for p in row for t in ids[p]]
-        return new, np.array(flat, np.uint32), np.array([sum([len(ids[p]) for p in row]) for row in rows], np.int64)
+        return np.array(flat, np.uint32), np.array([sum([len(ids[p]) for p in row]) for row in rows], np.int64)
 
-    def block(self, texts: pa.Array):
-        """Of a block of texts: distinct units' number in the store, the unit of each place, the row offsets."""
+    def block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of a block of texts, one after another, and the offsets of the texts."""
         strings, offsets = units(texts)
         coded = strings.dictionary_encode()
+        flat, at = self.known.of(self.known.numbers(coded.dictionary, self.learn))
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        return self.known.numbers(coded.dictionary, self.learn), codes, offsets
+        upto = np.concatenate([[0], np.cumsum(np.diff(at)[codes])])
+        return gather(flat, at, codes), upto[offsets]
 
 
 @lru_cache(maxsize=1)
@@ -250,26 +264,17 @@ def bpe_round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, pattern)
-        inverse = encoder.merges.texts
         for block in blocks(batches, limit=REPLAY_BYTES):
-            number, codes, offsets = encoder.block(block.column("text"))
-            flat, at = encoder.known.of(number)  # ids of the distinct units
-            tokens = flat.tolist()
-            bounds = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
-            decimal = pa.array([",".join(map(str, tokens[i:j])) for i, j in bounds], pa.large_string())
-            decoded = pa.array([b"".join([inverse[t] for t in tokens[i:j]]) for i, j in bounds], pa.large_binary())
-            size = np.diff(at)[codes] if len(codes) else codes
-            n_tokens = np.diff(np.concatenate([[0], np.cumsum(size)])[offsets])
+            tokens, at = encoder.block(block.column("text"))
             columns = [
                 block.column("doc_id"),
-                pa.array(n_tokens, pa.int64()),
-                _digests(decimal, codes, offsets, ","),
-                _digests(decoded, codes, offsets, b""),
+                pa.array(np.diff(at), pa.int64()),
+                _digests(encoder.decimal, tokens, at, 1),  # without the last comma
+                _digests(encoder.decoded, tokens, at, 0),
             ]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
-                every = pa.array(gather(flat, at, codes).astype(np.int32))
-                columns.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n_tokens)]).astype(np.int32), every))
+                columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(tokens.astype(np.int32))))
                 names.append("ids")
             yield pa.record_batch(columns, names=names)
 
@@ -277,8 +282,10 @@ def bpe_round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str =
     return keyed(docs, doc_id=id_col, text=text_col).mapInArrow(run, schema)
 
 
-def _digests(values: pa.Array, codes: np.ndarray, offsets: np.ndarray, separator: str | bytes) -> pa.Array:
-    """SHA-256 of each row's values joined."""
-    rows = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values.take(pa.array(codes)))
-    joined = pc.cast(pc.binary_join(rows, pa.scalar(separator, values.type)), pa.large_binary())
-    return pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in joined])
+def _digests(strings: pa.Array, tokens: np.ndarray, at: np.ndarray, less: int) -> pa.Array:
+    """SHA-256 of each row's tokens' strings, one after another, without the last ``less`` bytes."""
+    joined = strings.take(pa.array(tokens))
+    offsets = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1, joined.offset * 8)[at]
+    data = memoryview(joined.buffers()[2] or b"")
+    rows = zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+    return pa.array([hashlib.sha256(data[a : max(a, b - less)]).hexdigest() for a, b in rows])

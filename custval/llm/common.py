@@ -98,19 +98,23 @@ class Known:
     def numbers(self, strings: pa.Array, learn) -> np.ndarray:
         """The numbers of distinct strings in the store.
 
-        ``learn`` gets those that are new and returns them (in any order) with their
-        ids, one after another, and how many each has.
+        ``learn`` gets those that are new and returns their ids, one after another,
+        and how many each has.
         """
         strings = pc.cast(strings, pa.large_string())
         if len(self.strings) > self.most or self.strings.nbytes > self.most_bytes:
             self.forget()
-        new = strings.filter(pc.invert(pc.is_in(strings, self.strings)))
+        numbers = pc.index_in(strings, self.strings)
+        unknown = pc.is_null(numbers)
+        numbers = pc.fill_null(numbers, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = strings.filter(unknown)
         if len(new):
-            ordered, flat, size = learn(new)
-            self.strings = pa.concat_arrays([self.strings, ordered])
+            flat, size = learn(new)
+            numbers[numbers < 0] = np.arange(len(self.strings), len(self.strings) + len(new))
+            self.strings = pa.concat_arrays([self.strings, new])
             self.flat = np.concatenate([self.flat, flat])
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
-        return pc.index_in(strings, self.strings).to_numpy(zero_copy_only=False).astype(np.int64)
+        return numbers
 
     def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the numbered strings, one after another, and their offsets."""

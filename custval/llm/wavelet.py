@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from custval.llm.common import blocks, keyed, rows_of, word_codes
+from custval.llm.common import Known, blocks, gather, keyed, rows_of, word_codes
 from custval.session import checkpoint_dir, materialize
 
 #: Tokens of a shard, at about which a task starts the next one.
@@ -197,13 +197,7 @@ class WordEncoder:
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.forget()
-
-    def forget(self) -> None:
-        """Start with the empty word, the comma and the stop."""
-        self.known = pa.array([""])
-        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(2, np.int64)
-        self._learn(pa.array([",", "."]), plain=False)
+        self.known = Known(CACHED_WORDS)
 
     def _encode(self, words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after another, and how many each has."""
@@ -218,22 +212,21 @@ class WordEncoder:
         cuts = np.searchsorted(begins, np.cumsum([len(w) + 1 for w in words]))
         return np.array(found.ids, np.uint32), np.diff(cuts, prepend=0)
 
-    def _learn(self, new: pa.Array, plain: bool, step: int = 500) -> None:
-        words = new.to_pylist()
-        done = [self._encode(words[i : i + step], plain) for i in range(0, len(words), step)]
-        self.known = pa.concat_arrays([self.known, new])
-        self.flat = np.concatenate([self.flat, *[ids for ids, _ in done]])
-        self.at = np.concatenate([self.at, *([self.at[-1] + np.cumsum(np.concatenate([n for _, n in done]))] if done else [])])
-
-    def numbers(self, stems: pa.Array) -> np.ndarray:
-        """The numbers of distinct words in the store, after encoding those that are new."""
-        if len(self.known) > CACHED_WORDS:
-            self.forget()
-        new = stems.filter(pc.invert(pc.is_in(stems, self.known)))
-        letters = pc.match_substring_regex(new, r"^\p{L}+$")
-        self._learn(new.filter(letters), plain=True)
-        self._learn(new.filter(pc.invert(letters)), plain=False)
-        return pc.index_in(stems, self.known).to_numpy(zero_copy_only=False).astype(np.int64)
+    def learn(self, new: pa.Array, step: int = 500) -> tuple[np.ndarray, np.ndarray]:
+        letters = pc.match_substring_regex(new, r"^\p{L}+$").to_numpy(zero_copy_only=False).astype(bool)
+        size = np.zeros(len(new), np.int64)
+        parts, places = [], []
+        for plain in (True, False):
+            at = np.flatnonzero(letters == plain)
+            words = new.take(pa.array(at))
+            for i in range(0, len(at), step):
+                ids, size[at[i : i + step]] = self._encode(words[i : i + step].to_pylist(), plain)
+                parts.append(ids)
+            places.append(at)
+        order = np.concatenate(places)  # as the ids now stand
+        flat, ends = np.concatenate(parts), np.concatenate([[0], np.cumsum(size[order])])
+        back = np.argsort(order)
+        return gather(flat, ends, back), size
 
     def texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts, each closed by ``end_id``, and their offsets."""
@@ -241,20 +234,24 @@ class WordEncoder:
         lower = pc.if_else(pc.match_substring(words, "<"), words, pc.ascii_lower(words))
         comma = pc.match_substring_regex(lower, PLAIN + ",$").to_numpy(zero_copy_only=False).astype(bool)
         stop = pc.match_substring_regex(lower, PLAIN + "[.]$").to_numpy(zero_copy_only=False).astype(bool)
-        stems = pc.if_else(pa.array(comma | stop), pc.utf8_slice_codeunits(lower, 0, -1), lower).dictionary_encode()
-        number = self.numbers(stems.dictionary)[stems.indices.to_numpy(zero_copy_only=False)] if len(words) else codes
-        tail = np.where(comma, 1, np.where(stop, 2, 0))
-        size = np.diff(self.at)
-        stem_size, tail_size = size[number][codes], size[tail][codes]
+        stems = pc.if_else(pa.array(comma | stop), pc.utf8_slice_codeunits(lower, 0, -1), lower)
+        marks = pa.array(["", ",", "."])
+        distinct = pc.unique(pa.concat_arrays([marks, stems]))  # the marks come first
+        number = self.known.numbers(distinct, self.learn)
+        stem = number[pc.index_in(stems, distinct).to_numpy(zero_copy_only=False)] if len(stems) else codes
+        tail = number[np.where(comma, 1, np.where(stop, 2, 0))]
+        flat, at = self.known.flat, self.known.at
+        size = np.diff(at)
+        stem_size, tail_size = size[stem][codes], size[tail][codes]
         done = np.concatenate([[0], np.cumsum(stem_size + tail_size)])
         out_offsets = done[offsets] + np.arange(len(offsets))
         out = np.full(int(out_offsets[-1]), end_id, np.uint32)
         begin = done[:-1] + rows_of(offsets)  # one end id for each text before
-        for of, n, at in ((number, stem_size, begin), (tail, tail_size, begin + stem_size)):
-            some = np.flatnonzero(n) if of is tail else slice(None)
-            n, at, source = n[some], at[some], self.at[of][codes[some]]
+        for of, n, place in ((stem, stem_size, begin), (tail, tail_size, begin + stem_size)):
+            some = np.flatnonzero(n)
+            n, place = n[some], place[some]
             inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            out[np.repeat(at, n) + inner] = self.flat[np.repeat(source, n) + inner]
+            out[np.repeat(place, n) + inner] = flat[np.repeat(at[of][codes[some]], n) + inner]
         return out, out_offsets
 
 

@@ -105,6 +105,6 @@ def test_forgetting_units_changes_nothing(spark, library, monkeypatch):
     monkeypatch.setattr(B, "REMEMBERED_PAIRS", 5)
     encoder = B.Encoder(open(RANKS, "rb").read(), P.PATTERN)
     for text in ["some words and others", "other words again, some", "some", ""] * 3:
-        number, codes, _ = encoder.block(pa.array([text]))
-        flat, at = encoder.known.of(number)
-        assert [int(t) for c in codes for t in flat[at[c] : at[c + 1]]] == library.encode_ordinary(text)
+        tokens, at = encoder.block(pa.array([text, None, "x"]))
+        assert tokens.tolist() == library.encode_ordinary(text) + library.encode_ordinary("x")
+        assert at.tolist()[:3] == [0, len(tokens) - 1, len(tokens) - 1]
