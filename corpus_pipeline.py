@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custval.llm.bpe import bpe_round_trip
-from custval.llm.common import table
+from custval.llm.common import document_batches, table
 from custval.llm.language import UNKNOWN, fit_languages, held_out, identify
 from custval.llm.mixing import mix
 from custval.llm.secrets import redact
@@ -40,6 +40,7 @@ WEIGHTS = (5, 2, 1)
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a recognised language; label those that have no label."""
+    document_batches(spark)
     model = fit_languages(docs.where(~held_out()))
     kept = {"given": "lang", "body": "text", "origin": "source", "chars": "n_chars"}
     found = identify(docs, model, keep=kept)
@@ -56,6 +57,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, once."""
+    document_batches(spark)
     docs = docs.select(*COLUMNS).withColumn("tag", F.xxhash64("text"))
     kept = setsketch_groups(docs, tag=F.col("tag")).where("kept").select(F.col("doc_id").alias("id"), F.col("tag").alias("mark"))
     same = docs["doc_id"].eqNullSafe(kept["id"]) & (docs["tag"] == kept["mark"])
@@ -64,6 +66,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with every secret replaced by a mark."""
+    document_batches(spark)
     clean = redact(docs, keep={"language": "lang", "origin": "source"})
     return clean.select(
         "doc_id", "text", F.col("language").alias("lang"), F.col("origin").alias("source"), F.length("text").cast("long").alias("n_chars")
@@ -72,6 +75,7 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them (a part of a document counts as the nearest whole number)."""
+    document_batches(spark)
     docs = docs.select(*COLUMNS).withColumn("tag", F.xxhash64("text", "source"))
     taken = mix(docs, WEIGHTS, carry=[F.col("tag")]).where("taken > 0")
     times = (
@@ -87,6 +91,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document drawn, with the digests of ids and decoded bytes."""
+    document_batches(spark)
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe_round_trip(docs, ranks, public_tokenizers.PATTERN, ids=True)
 

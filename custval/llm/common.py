@@ -17,11 +17,24 @@ BLOCK_BYTES = 4 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch between Spark and its Python workers where the rows are documents: both sides
+#: hold whole batches, and documents are large rows.
+BATCH_ROWS = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A whole table of the data folder."""
+    """A whole table of the data folder, for a query; the session's Arrow batches become BATCH_ROWS at most."""
+    document_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def document_batches(spark: SparkSession) -> None:
+    """Limit the session's Arrow batches to BATCH_ROWS rows (queries and pipeline stages call this, operators do not)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slice Arrow batches so that each holds about ``limit`` bytes of ``column``, one row at least."""
     for batch in batches:
@@ -34,6 +47,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             end = max(at + 1, int(np.searchsorted(size, base + limit, side="right")))
             yield batch.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
 
 def byte_lengths(texts: pa.Array) -> np.ndarray:
