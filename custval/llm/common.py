@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step holds at a time in a task (a longer document is a step of its own).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 #: A word, in Java's and Python's regular expressions alike: six ASCII blanks separate words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows of an Arrow batch between Spark and its Python workers where the rows are documents: both sides
 #: hold whole batches, and documents are large rows.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +48,39 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             end = max(at + 1, int(np.searchsorted(size, base + limit, side="right")))
             yield batch.slice(at, end - at)
             at = end
-    pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
+
+
+def larger(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Put consecutive Arrow batches together until they hold ``limit`` bytes of ``column``."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += int(byte_lengths(batch.column(column)).sum())
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def give_back() -> None:
+    """Return Arrow's and, where it can (glibc), the C library's unused memory to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def released(run: Callable) -> Callable:
+    """A batch function that gives unused memory back when its task ends: the worker lives on for others."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
 
 
 def byte_lengths(texts: pa.Array) -> np.ndarray:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from custval.llm.common import keyed
+from custval.llm.common import keyed, released
 from custval.llm.graph import components
 from custval.session import materialize
 
@@ -237,7 +237,7 @@ def similar_vectors(
     element = "float" if kind is np.float32 else "double"
     radius = 2.0 - 2.0 * threshold + 1e-9
     rows = keyed(vectors, vec_id=id_col, vector=F.col(vector_col).cast(f"array<{element}>"), label=F.col(label_col).cast("string"))
-    known = materialize(rows.mapInArrow(_prepare(kind), "vec_id long, label string, node binary, vector binary"), "vectors")
+    known = materialize(rows.mapInArrow(released(_prepare(kind)), "vec_id long, label string, node binary, vector binary"), "vectors")
     nodes = materialize(
         known.where("node is not null")
         .groupBy("node")
@@ -248,7 +248,7 @@ def similar_vectors(
     books = fit_codebooks([np.frombuffer(r.vector, kind) for r in sample])
 
     schema = "node binary, label string, copies long, vector binary, length int, own int, visits array<int>"
-    placed = materialize(nodes.select("node", "label", "copies", "vector").mapInArrow(_visits(kind, books, radius), schema), "placed")
+    placed = materialize(nodes.select("node", "label", "copies", "vector").mapInArrow(released(_visits(kind, books, radius)), schema), "placed")
     place = ["label", "length", "code"]
     sent = placed.withColumn("code", F.explode("visits"))
     stored = placed.withColumn("code", F.col("own"))
@@ -265,7 +265,7 @@ def similar_vectors(
         .agg(F.collect_list("row").alias("rows"))
     )
     found = materialize(
-        blocks.select("length", "code", "rows").mapInArrow(_meet(kind, books, threshold, radius), "u binary, v binary, n long"), "links"
+        blocks.select("length", "code", "rows").mapInArrow(released(_meet(kind, books, threshold, radius)), "u binary, v binary, n long"), "links"
     )
 
     degree = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("degree"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from custval.llm.common import blocks, byte_lengths, keyed, rows_of, split_codes, text_bytes, word_codes
+from custval.llm.common import blocks, byte_lengths, keyed, released, rows_of, split_codes, text_bytes, word_codes
 
 #: Base rule: window of words, least words, largest percentage of words in repeated windows.
 WINDOW = 8
@@ -213,4 +213,4 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for block in blocks(batches):
             yield judge(block)
 
-    return keyed(docs, doc_id=id_col, text=text_col).mapInArrow(run, SCHEMA)
+    return keyed(docs, doc_id=id_col, text=text_col).mapInArrow(released(run), SCHEMA)

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from custval.llm.common import blocks, keyed, word_codes
+from custval.llm.common import blocks, keyed, released, word_codes
 from custval.llm.graph import components
 from custval.session import materialize
 
@@ -330,7 +330,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold, as links (u, v)."""
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "u binary, v binary")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(released(_verify), "u binary, v binary")
 
 
 def setsketch_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: Column | None = None) -> DataFrame:
@@ -340,7 +340,7 @@ def setsketch_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     rows = keyed(docs, doc_id=id_col, text=text_col, tag=(F.lit(None) if tag is None else tag).cast("long"))
     sketched = materialize(
-        rows.mapInArrow(_sketch, "doc_id long, tag long, n_shingles long, node binary, regs binary"), "sketches"
+        rows.mapInArrow(released(_sketch), "doc_id long, tag long, n_shingles long, node binary, regs binary"), "sketches"
     )
     nodes = materialize(
         sketched.where("node is not null")
@@ -365,7 +365,7 @@ def setsketch_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     nearest = materialize(
         chunks.select("members")
-        .mapInArrow(_nearest, "a binary, b binary, estimate double")
+        .mapInArrow(released(_nearest), "a binary, b binary, estimate double")
         .groupBy("a")
         .agg(F.max_by("b", F.when(F.col("b").isNotNull(), F.struct("estimate", "b"))).alias("b")),
         "nearest",
@@ -373,7 +373,7 @@ def setsketch_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     wanted = nodes.join(nearest.select(F.col("a").alias("node")), "node", "left_semi").select(F.col("first_id").alias("doc_id"))
     wanted_rows = rows.join(wanted.distinct(), rows["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
-    read = wanted_rows.mapInArrow(_sets, "node binary, shingles binary")
+    read = wanted_rows.mapInArrow(released(_sets), "node binary, shingles binary")
     sets = materialize(read.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
     first = nearest.where("b is not null").select("a", "b")
     links = materialize(verified(first, sets), "verified")
@@ -413,7 +413,7 @@ def setsketch_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.struct(*fields, F.lit(False).alias("rest")).alias("member"),
     )
     blocks_of = rest.union(every).groupBy("key", "band", "i", "j").agg(F.collect_list("member").alias("members"))
-    more = materialize(blocks_of.select("band", "members").mapInArrow(_across, "u binary, v binary"), "verified")
+    more = materialize(blocks_of.select("band", "members").mapInArrow(released(_across), "u binary, v binary"), "verified")
 
     final = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
     named = nodes.select("node", "first_id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from custval.llm.common import Known, blocks, gather, keyed, rows_of, word_codes
+from custval.llm.common import Known, blocks, gather, keyed, larger, released, rows_of, word_codes
 from custval.session import checkpoint_dir, materialize
 
 #: Tokens of a shard, at about which a task starts the next one.
@@ -65,9 +65,9 @@ class WaveletMatrix:
         for level in range(levels - 1, -1, -1):
             bit = (tokens & tokens.dtype.type(1 << level)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
-            low = tokens[~bit]
+            low = np.compress(~bit, tokens)  # several times faster than a mask on random bits
             zeros.append(len(low))
-            tokens = np.concatenate([low, tokens[bit]])
+            tokens = np.concatenate([low, np.compress(bit, tokens)])
         return cls(len(tokens), planes, zeros, [cls.count_ones(p) for p in planes])
 
     @staticmethod
@@ -142,8 +142,8 @@ class WaveletMatrix:
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             up = np.empty(self.n, kind)
             z = self.zeros[level]
-            up[~bit] = out[:z]
-            up[bit] = out[z:] | kind(1 << (len(self.planes) - 1 - level))
+            up[np.flatnonzero(~bit)] = out[:z]
+            up[np.flatnonzero(bit)] = out[z:] | kind(1 << (len(self.planes) - 1 - level))
             out = up
         return out
 
@@ -269,7 +269,7 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, end_id: int, i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
-        for block in blocks(batches, limit=ENCODE_BYTES):
+        for block in blocks(larger(batches, limit=ENCODE_BYTES), limit=ENCODE_BYTES):
             ids, at = encoder.texts(block.column("text"), end_id)
             narrow = ids.astype(np.uint16) if encoder.library.get_vocab_size() <= 1 << 16 else ids
             width = narrow.itemsize
@@ -305,11 +305,11 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, end_id: int, i
             yield image()
 
     rows = keyed(docs, doc_id=id_col, text=text_col)
-    encoded = materialize(rows.mapInArrow(encode, "doc_id long, n_tokens long, ids binary"), "encoded")
+    encoded = materialize(rows.mapInArrow(released(encode), "doc_id long, n_tokens long, ids binary"), "encoded")
     total = encoded.agg(F.sum("n_tokens")).first()[0] or 0
     order = ["doc_id", F.xxhash64("ids"), "ids"]
     dealt = encoded.repartitionByRange(-(-total // SHARD_TOKENS) or 1, *order[:2]).sortWithinPartitions(*order)
-    dealt.mapInArrow(shard, "part int, seq int, n_tokens long, image binary").write.mode("overwrite").parquet(path)
+    dealt.mapInArrow(released(shard), "part int, seq int, n_tokens long, image binary").write.mode("overwrite").parquet(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:
@@ -336,8 +336,7 @@ def read_tokens(spark, path: str) -> DataFrame:
     shards = spark.read.parquet(path)
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     offset = shards.select("part", "seq", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    docs = shards.select("part", "seq", "image").mapInArrow(
-        read, "part int, seq int, doc_id long, start long, n_tokens long, ids_crc32 long"
+    docs = shards.select("part", "seq", "image").mapInArrow(released(read), "part int, seq int, doc_id long, start long, n_tokens long, ids_crc32 long"
     )
     return docs.join(offset, ["part", "seq"]).select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
