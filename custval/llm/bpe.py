@@ -31,14 +31,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from custval.llm.common import Known, blocks, gather, keyed, text_bytes
+from custval.llm.common import Known, blocks, gather, keyed, released, text_bytes
 
 #: Text bytes that are taken together, and distinct pieces that are merged together (their arrays stay in the cache).
 REPLAY_BYTES = 4 << 20
 REPLAY_PIECES = 4096
 #: Units whose ids a Python worker remembers, and token pairs whose rank it does.
-REMEMBERED = 1_000_000
-REMEMBERED_PAIRS = 300_000
+REMEMBERED = 400_000
+REMEMBERED_PAIRS = 100_000
 
 #: White space beyond ASCII, as UTF-8: two bytes, or three with the last in a range.  Fixed values.
 _WIDE_BLANKS = ((b"\xc2", 0x85, 0x85), (b"\xc2", 0xA0, 0xA0), (b"\xe1\x9a", 0x80, 0x80), (b"\xe2\x80", 0x80, 0x8A),
@@ -279,7 +279,7 @@ def bpe_round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str =
             yield pa.record_batch(columns, names=names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
-    return keyed(docs, doc_id=id_col, text=text_col).mapInArrow(run, schema)
+    return keyed(docs, doc_id=id_col, text=text_col).mapInArrow(released(run), schema)
 
 
 def _digests(strings: pa.Array, tokens: np.ndarray, at: np.ndarray, less: int) -> pa.Array:

@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from custval.llm.common import blocks, keyed, rows_of, word_codes
+from custval.llm.common import blocks, keyed, released, rows_of, word_codes
 
 #: Bounds of the fit, for each language: sampled texts, words kept, and the longest word kept.
 SAMPLE_DOCS = 400
-SAMPLE_WORDS = 4000
+SAMPLE_WORDS = 2500
 LONGEST_WORD = 40
 UNKNOWN = "und"
 
@@ -79,7 +79,7 @@ def fit_languages(labelled: DataFrame, text_col: str = "text", lang_col: str = "
     by_hash = Window.partitionBy("lang").orderBy("hash")
     sample = few.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= SAMPLE_DOCS).select("lang", "text")
     words = (
-        sample.mapInArrow(_sample_words, "lang string, word string")
+        sample.mapInArrow(released(_sample_words), "lang string, word string")
         .where(F.length("word").between(1, LONGEST_WORD))
         .groupBy("lang", "word")
         .agg(F.count("*").alias("docs"))
@@ -123,7 +123,7 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
     return goto
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def tables(model: Model) -> tuple[np.ndarray, list[np.ndarray]]:
     """The model's characters (sorted code points, blank first) and each language's dense transitions (-1: none)."""
     texts = [" " + " ".join(words) + " " for _, words in model]
@@ -223,7 +223,7 @@ def identify(
     schema = T.StructType.fromDDL("doc_id long, lang_pred string, score double, n_letters long, phrase_rate double")
     for name in keep:
         schema = schema.add(name, rows.schema[name].dataType)
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
 def held_out(id_col: str = "doc_id"):
