@@ -14,8 +14,10 @@ the sets are similar.  Steps, all as Spark jobs:
 3. Estimate the similarity of nodes that meet jointly by maximum likelihood
    from the counts of larger, smaller and equal registers and the known set
    sizes.  Only pairs whose likelihood allows the threshold go on.
-4. First round: each node's most similar earlier node.  Verify on the full sets,
-   find components.  Second round: in every bucket that still holds several
+4. First round: each node's most similar earlier node of its chunk.  In buckets of
+   several chunks, a node without a likely partner so far then meets the members of
+   all chunks by registers alone, so that no node with a likely partner anywhere is
+   left out of what follows.  Verify on the full sets, find components.  Second round: in every bucket that still holds several
    components, the members outside the largest one meet all members, chunk by
    chunk with their full sets, and every likely pair of different components is
    verified there until a link joins the two; only such links leave the task.
@@ -253,6 +255,23 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([nodes.take(pa.array(some)), nodes.take(to), pa.array(value[some])], names=["a", "b", "estimate"])
 
 
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of likely pairs between a chunk of a bucket's lonely members and a chunk of all its members."""
+    for batch in batches:
+        offsets, nodes, size, regs, flat = _members(batch.column("members"))
+        node = nodes.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        lonely = flat.field("lonely").to_numpy(zero_copy_only=False).astype(bool)
+        found = np.zeros(len(size), bool)
+        for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            some, every = lo + np.flatnonzero(lonely[lo:hi]), lo + np.flatnonzero(~lonely[lo:hi])
+            for part in np.array_split(some, max(1, len(some) * len(every) >> 18)):
+                a, b = np.repeat(part, len(every)), np.tile(every, len(part))
+                other = node[a] != node[b]
+                x, y, _ = likely(regs, size, a[other], b[other])
+                found[x] = found[y] = True
+        yield pa.record_batch([nodes.filter(pa.array(found))], names=["node"])
+
+
 def _same(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether two sorted sets reach the threshold."""
     if len(x) > len(y):
@@ -371,7 +390,28 @@ def setsketch_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "nearest",
     )
 
-    wanted = nodes.join(nearest.select(F.col("a").alias("node")), "node", "left_semi").select(F.col("first_id").alias("doc_id"))
+    near = nearest.select(F.col("a").alias("node"))
+    crowd = members.where(F.col("n") > CHUNK).join(facts, "node")
+    lone = crowd.join(near, "node", "left_anti")
+    lone_keys = lone.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("lone_parts"))
+    spread = crowd.join(lone_keys, "key").withColumn("parts", F.ceil(F.col("n") / CHUNK).cast("long"))
+    some = lone.join(lone_keys, "key").select(
+        "key",
+        F.pmod(F.xxhash64("node"), "lone_parts").alias("i"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / CHUNK).cast("long") - 1)).alias("j"),
+        F.struct("node", "n_shingles", "regs", F.lit(True).alias("lonely")).alias("member"),
+    )
+    all_of = spread.select(
+        "key",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("lone_parts") - 1)).alias("i"),
+        F.pmod(F.xxhash64("node"), "parts").alias("j"),
+        F.struct("node", "n_shingles", "regs", F.lit(False).alias("lonely")).alias("member"),
+    )
+    meetings = some.union(all_of).groupBy("key", "i", "j").agg(F.collect_list("member").alias("members"))
+    late = meetings.select("members").mapInArrow(released(_meeting), "node binary")
+    near = materialize(near.union(late).distinct(), "near")
+
+    wanted = nodes.join(near, "node", "left_semi").select(F.col("first_id").alias("doc_id"))
     wanted_rows = rows.join(wanted.distinct(), rows["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
     read = wanted_rows.mapInArrow(released(_sets), "node binary, shingles binary")
     sets = materialize(read.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")

@@ -102,3 +102,15 @@ def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (4, 4), (3, 1), (20, 10), (30, 10), (30, 25), (None, 1)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 10: 10, 20: 10, 25: 10, 30: 10}
+
+
+def test_near_copies_in_different_chunks(spark, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK", 1)  # every member of a bucket is dealt at random among as many chunks
+    rnd = random.Random(5)
+    rows = []
+    for p in range(6):
+        passage = [f"p{p}_{i}" for i in range(120)]
+        for i in range(40):  # long texts that hold the passage and are far from each other
+            rows.append((1000 * p + 10 + i, " ".join(passage + [f"t{rnd.randrange(10**9)}" for _ in range(90)])))
+        rows += [(1000 * p + i, " ".join(passage + [f"e{p}_{i}_{k}" for k in range(8)])) for i in range(2)]
+    compare(S.setsketch_groups(spark.createDataFrame([(d, t, "") for d, t in rows], SCHEMA).repartition(4)), rows)
