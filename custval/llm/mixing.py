@@ -13,8 +13,9 @@ from the patterns to the sources:
 Because the cost depends on each pattern's total only, the flow of least cost is found
 level by level: all that can be routed at cost 0, then what more can be at cost 1, ...
 with flow re-routed between sources where that helps.  Only the patterns' sums reach
-the driver (one row per pattern and source, see ``MAX_PATTERNS``); every document
-step is a Spark job.
+the driver, in Arrow and numpy arrays of one element per pattern and source of it:
+every pattern is kept apart, so these arrays grow with the number of patterns.  Every
+document step is a Spark job.
 
 Each cell of pattern and source then takes whole passes of its documents, and the
 rest by documents in a seeded order, found by counting words in ranges of the seeded
@@ -33,15 +34,14 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from custval.llm.common import WORD, keyed
 from custval.session import materialize
 
-#: Patterns of several sources that the flow keeps apart, by words.  The documents of further ones count as
-#: their own source's alone: all of them still take part and the targets still hold; only the cost is then not the least.
-MAX_PATTERNS = 20_000
 #: Documents of the range that is put in order.
 RANGE_ROWS = 4096
 
@@ -66,43 +66,71 @@ def water_fill(sizes: Sequence[int], weights: Sequence[float], total: float, max
 
 
 def least_cost_flow(distinct: np.ndarray, capacity: np.ndarray, demand: np.ndarray) -> np.ndarray:
-    """Flow (patterns x sources) that meets the demands at least convex cost, as far as capacities allow.
+    """``cell_flow`` of a dense table of capacities (patterns x sources)."""
+    source, pattern = np.nonzero(capacity.T)
+    flow = np.zeros_like(capacity)
+    flow[pattern, source] = cell_flow(distinct, pattern, source, capacity[pattern, source], demand)
+    return flow
+
+
+def cell_flow(distinct: np.ndarray, pattern: np.ndarray, source: np.ndarray, capacity: np.ndarray, demand: np.ndarray) -> np.ndarray:
+    """Flow that meets the sources' demands at least convex cost, as far as capacities allow.
 
+    One element per cell of pattern and source, ordered by source, then pattern.
     ``distinct``: words of each pattern that one use covers.  At level k a pattern may
     have sent 2**k times these.
     """
-    flow = np.zeros_like(capacity)
+    flow = np.zeros(len(capacity), np.int64)
+    total = np.zeros(len(distinct), np.int64)
+    np.add.at(total, pattern, capacity)
+    start = np.searchsorted(source, np.arange(len(demand) + 1))
     level = 0
     while True:
         limit = distinct * 2**level
-        _saturate(flow, capacity, np.minimum(limit, capacity.sum(axis=1)), demand)
-        if (flow.sum(axis=0) >= demand).all() or (limit >= capacity.sum(axis=1)).all():
+        _saturate(flow, pattern, start, capacity, np.minimum(limit, total), demand)
+        if (_sums(flow, start) >= demand).all() or (limit >= total).all():
             return flow
         level += 1
 
 
-def _saturate(flow: np.ndarray, capacity: np.ndarray, limit: np.ndarray, demand: np.ndarray) -> None:
+def _sums(values: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Each source's sum over its cells."""
+    return np.diff(np.concatenate([[0], np.cumsum(values)])[start])
+
+
+def _saturate(flow: np.ndarray, pattern: np.ndarray, start: np.ndarray, capacity: np.ndarray, limit: np.ndarray, demand: np.ndarray) -> None:
     """Augment ``flow`` to a maximum one under the patterns' limits, along shortest paths between sources."""
+    cells = [slice(lo, hi) for lo, hi in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
 
     def fill(room: np.ndarray, amount: int) -> np.ndarray:
         before = np.cumsum(room) - room
         return np.clip(amount - before, 0, room)
 
-    sources = capacity.shape[1]
+    def spread(s: int, values: np.ndarray) -> np.ndarray:
+        """Values of a source's cells, by pattern."""
+        out = np.zeros(len(limit), np.int64)
+        out[pattern[cells[s]]] = values
+        return out
+
+    def unused() -> np.ndarray:
+        sent = np.zeros(len(limit), np.int64)
+        np.add.at(sent, pattern, flow)
+        return limit - sent
+
     while True:
-        need = demand - flow.sum(axis=0)
-        spare = limit - flow.sum(axis=1)
+        need = demand - _sums(flow, start)
+        spare = unused()
         if not (need > 0).any() or not (spare > 0).any():
             return
         # sources that unused words reach directly, then through words moved from one source to another
-        entry = np.minimum(spare[:, None], capacity - flow).clip(0).sum(axis=0)
-        came: dict[int, int] = {s: -1 for s in range(sources) if entry[s] > 0}
+        entry = _sums(np.minimum(spare[pattern], capacity - flow).clip(0), start)
+        came: dict[int, int] = {s: -1 for s in range(len(cells)) if entry[s] > 0}
         front, goal = list(came), next((s for s in came if need[s] > 0), None)
         while goal is None and front:
             reached = []
             for s in front:
-                moves = np.minimum(flow[:, s : s + 1], capacity - flow).sum(axis=0)
-                for t in range(sources):
+                moves = _sums(np.minimum(spread(s, flow[cells[s]])[pattern], capacity - flow), start)
+                for t in range(len(cells)):
                     if t not in came and moves[t] > 0:
                         came[t] = s
                         reached.append(t)
@@ -112,14 +140,21 @@ def _saturate(flow: np.ndarray, capacity: np.ndarray, limit: np.ndarray, demand:
         path = [goal]
         while came[path[-1]] >= 0:
             path.append(came[path[-1]])
+
+        def movable(s: int, t: int) -> np.ndarray:
+            """Words that each cell of t can take over from s."""
+            to = cells[t]
+            return np.minimum(spread(s, flow[cells[s]])[pattern[to]], capacity[to] - flow[to])
+
         amount = min(int(need[goal]), int(entry[path[-1]]))
         for t, s in zip(path, path[1:], strict=False):
-            amount = min(amount, int(np.minimum(flow[:, s], capacity[:, t] - flow[:, t]).sum()))
+            amount = min(amount, int(movable(s, t).sum()))
         for t, s in zip(path, path[1:], strict=False):  # from the goal backwards: each source passes on what it will get
-            moved = fill(np.minimum(flow[:, s], capacity[:, t] - flow[:, t]), amount)
-            flow[:, s] -= moved
-            flow[:, t] += moved
-        flow[:, path[-1]] += fill(np.minimum(limit - flow.sum(axis=1), capacity[:, path[-1]] - flow[:, path[-1]]).clip(0), amount)
+            moved = fill(movable(s, t), amount)
+            flow[cells[t]] += moved
+            flow[cells[s]] -= spread(t, moved)[pattern[cells[s]]]
+        first = cells[path[-1]]
+        flow[first] += fill(np.minimum(unused()[pattern[first]], capacity[first] - flow[first]).clip(0), amount)
 
 
 def _whole(targets: list[float]) -> np.ndarray:
@@ -169,32 +204,32 @@ def mix(
     held = placed.groupBy("text_key", "at").agg(F.sum("size").alias("words"), F.max("size").alias("distinct"))
     pattern = F.array_join(F.array_sort(F.collect_set("at")).cast("array<string>"), ",")
     texts = held.groupBy("text_key").agg(pattern.alias("pattern"), F.max("distinct").alias("distinct")).where("instr(pattern, ',') > 0")
-    weight = texts.groupBy("pattern").agg(F.sum("distinct").alias("distinct"), F.count("*").alias("texts"))
-    heavy = weight.orderBy(F.desc("distinct"), "pattern").limit(MAX_PATTERNS)
-    shared = materialize(texts.join(heavy.select("pattern"), "pattern").select("text_key", "pattern"), "patterns")
-    placed = placed.join(shared, "text_key", "left").withColumn("pattern", F.coalesce("pattern", F.col("at").cast("string")))
+    shared = materialize(texts.select("text_key", "pattern", "distinct"), "patterns")
+    placed = placed.join(shared.drop("distinct"), "text_key", "left").withColumn("pattern", F.coalesce("pattern", F.col("at").cast("string")))
     tagged = materialize(placed.drop("text_key"), "cells")
     alone = held.join(shared, "text_key", "left_anti").select(F.col("at").cast("string").alias("pattern"), "distinct")
-    distinct = (
-        alone.union(texts.join(shared.select("text_key"), "text_key", "left_semi").select("pattern", "distinct"))
-        .groupBy("pattern")
-        .agg(F.sum("distinct").alias("distinct"))
+    distinct = alone.union(shared.select("pattern", "distinct")).groupBy("pattern").agg(F.sum("distinct").alias("distinct"))
+    cells = tagged.groupBy("pattern", "at").agg(F.sum("size").alias("words")).join(distinct, "pattern").where("words > 0").toArrow()
+
+    encoded = cells["pattern"].combine_chunks().dictionary_encode()
+    by_name = pc.sort_indices(encoded.dictionary)
+    rank = np.empty(len(by_name), np.int64)
+    rank[by_name.to_numpy()] = np.arange(len(by_name))
+    pattern, source = rank[encoded.indices.to_numpy()], cells["at"].to_numpy()
+    order = np.lexsort((pattern, source))
+    pattern, source, words = pattern[order], source[order], cells["words"].to_numpy()[order]
+    once = np.zeros(len(rank), np.int64)
+    once[pattern] = cells["distinct"].to_numpy()[order]
+    flow = cell_flow(once, pattern, source, words * max_repeat, _whole(targets)) if names else words
+    plan = pa.table(
+        {
+            "pattern": encoded.dictionary.take(by_name).take(pa.array(pattern)),
+            "at": pa.array(source, pa.int32()),
+            "passes": pa.array(flow // words, pa.int64()),
+            "rest": pa.array(flow % words, pa.int64()),
+        }
     )
-    cells = tagged.groupBy("pattern", "at").agg(F.sum("size").alias("words")).join(distinct, "pattern").collect()
-
-    number = {p: i for i, p in enumerate(sorted({r.pattern for r in cells}))}
-    words = np.zeros((len(number), len(names)), np.int64)
-    once = np.zeros(len(number), np.int64)
-    for r in cells:
-        words[number[r.pattern], r["at"]] = r.words
-        once[number[r.pattern]] = r.distinct
-    flow = least_cost_flow(once, words * max_repeat, _whole(targets)) if names else words
-    plan = [
-        (p, s, int(flow[i, s] // words[i, s]), int(flow[i, s] % words[i, s]))
-        for p, i in number.items()
-        for s in np.flatnonzero(words[i]).tolist()
-    ]
-    passes = spark.createDataFrame(plan, "pattern string, at int, passes long, rest long")
+    passes = spark.createDataFrame(plan)
 
     # the rest, in the order of a seeded hash
     order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size"), 1)  # 63 bits

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,3 +117,24 @@ def test_sizes_in_a_row(spark):
     docs = spark.createDataFrame([(1, "a b", "x", "9")], SCHEMA)
     r = M.mix(docs, (1,), carry=(F.col("target"), F.length("text"))).first()
     assert (r["size"], r.taken, r.carry_0, r.carry_1) == (2, 2, "9", 3)
+
+
+def test_every_pattern_counts(spark):
+    """21,679 patterns of 2 to 5 of 20 sources, asked for no more than their distinct words: nothing is taken twice."""
+    groups = [g for k in range(2, 6) for g in itertools.combinations(range(20), k)]
+    rows = [(g, s) for g, group in enumerate(groups) for s in group]
+    docs = pa.table(
+        {
+            "doc_id": list(range(len(rows))),
+            "text": [f"text{g} of" if g < 20_000 else f"text{g}" for g, _ in rows],
+            "source": [f"s{s:02d}" for _, s in rows],
+        }
+    )
+    size = [2 if g < 20_000 else 1 for g in range(len(groups))]
+    whole = sum(size[g] for g, _ in rows)
+    once = sum(size)
+    taken = [0] * len(groups)
+    for r in M.mix(spark.createDataFrame(docs), (1,), share=0.95 * once / whole).select("doc_id", "taken").toLocalIterator():
+        taken[rows[r.doc_id][0]] += r.taken
+    assert abs(sum(taken) - 0.95 * once) <= 1
+    assert all(n <= most for n, most in zip(taken, size, strict=True))
