@@ -31,7 +31,8 @@ from pyspark.sql import types as T
 
 from custval.llm.common import blocks, keyed, released, rows_of, word_codes
 
-#: Bounds of the fit, for each language: sampled texts, words kept, and the longest word kept.
+#: Bounds of the fit, for each language: sampled texts, words kept, and the letters of a word; longer words
+#: (lines of scripts without blanks) are cut into pieces.
 SAMPLE_DOCS = 400
 SAMPLE_WORDS = 2500
 LONGEST_WORD = 40
@@ -45,12 +46,25 @@ def letters(words: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(pc.utf8_lower(words), r"\P{L}+", "")
 
 
+def _pieces(word: str) -> list[str]:
+    """A long word in lower case, cut where it has no letter and then at LONGEST_WORD letters."""
+    runs = pc.split_pattern_regex(pa.array([word.lower()]), r"\P{L}+").to_pylist()[0]
+    return sorted({run[i : i + LONGEST_WORD] for run in runs for i in range(0, len(run), LONGEST_WORD)})
+
+
 def _sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches):
         codes, offsets, words = word_codes(block.column("text"))
         pairs = np.unique(rows_of(offsets) * (len(words) + 1) + codes)
         row, code = pairs // (len(words) + 1), pairs % (len(words) + 1)
-        yield pa.record_batch([block.column("lang").take(pa.array(row)), letters(words).take(pa.array(code))], names=["lang", "word"])
+        plain = letters(words)
+        long = pc.utf8_length(plain).to_numpy(zero_copy_only=False) > LONGEST_WORD
+        cut = {c: _pieces(words[c].as_py()) for c in np.flatnonzero(long).tolist()}
+        more = sorted({(r, piece) for r, c in zip(row[long[code]].tolist(), code[long[code]].tolist(), strict=True) for piece in cut[c]})
+        row, code = row[~long[code]], code[~long[code]]
+        rows = np.concatenate([row, np.array([r for r, _ in more], np.int64)])
+        found = pa.concat_arrays([plain.take(pa.array(code)), pa.array([piece for _, piece in more], plain.type)])
+        yield pa.record_batch([block.column("lang").take(pa.array(rows)), found], names=["lang", "word"])
 
 
 def _below(lang: str, limit: int | None) -> Column:
@@ -80,7 +94,7 @@ def fit_languages(labelled: DataFrame, text_col: str = "text", lang_col: str = "
     sample = few.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= SAMPLE_DOCS).select("lang", "text")
     words = (
         sample.mapInArrow(released(_sample_words), "lang string, word string")
-        .where(F.length("word").between(1, LONGEST_WORD))
+        .where(F.length("word") > 0)
         .groupBy("lang", "word")
         .agg(F.count("*").alias("docs"))
     )
@@ -123,26 +137,56 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
     return goto
 
 
+class Transitions:
+    """An automaton's transitions in an open-addressing hash table, so that memory grows with them and not with the alphabet."""
+
+    def __init__(self, goto: list[dict[str, int]], place: dict[str, int]):
+        self.symbols = len(place) + 1  # one for characters that the model does not have
+        n = sum(map(len, goto))
+        keys = np.fromiter((state * self.symbols + place[c] for state, to in enumerate(goto) for c in to), np.int64, n)
+        values = np.fromiter((t for to in goto for t in to.values()), np.int32, n)
+        bits = max(4, (2 * n).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        left, slot = np.arange(n), self._slot(keys)
+        while len(left):
+            free = left[self.keys[slot[left]] < 0]
+            self.keys[slot[free]] = keys[free]  # of several that want a slot, one stays
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & self.mask
+        self.values[slot] = values
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def after(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Next states (-1: none)."""
+        keys = state * self.symbols + symbol
+        slot = self._slot(keys)
+        met = self.keys[slot]
+        out = np.where(met == keys, self.values[slot], -1)
+        left = np.flatnonzero((met != keys) & (met >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & self.mask
+            met = self.keys[slot[left]]
+            same = met == keys[left]
+            out[left[same]] = self.values[slot[left[same]]]
+            left = left[~same & (met >= 0)]
+        return out
+
+
 @lru_cache(maxsize=1)
-def tables(model: Model) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The model's characters (sorted code points, blank first) and each language's dense transitions (-1: none)."""
+def tables(model: Model) -> tuple[np.ndarray, list[Transitions]]:
+    """The model's characters (sorted code points, blank first) and each language's transitions."""
     texts = [" " + " ".join(words) + " " for _, words in model]
     alphabet = sorted(set("".join(texts)) | {" "})
     place = {c: i for i, c in enumerate(alphabet)}
-    dense = []
-    for text in texts:
-        goto = suffix_automaton(text)
-        table = np.full((len(goto), len(alphabet) + 1), -1, np.int32)
-        for state, to in enumerate(goto):
-            for c, t in to.items():
-                table[state, place[c]] = t
-        dense.append(table)
-    return np.array([ord(c) for c in alphabet], np.uint32), dense
+    return np.array([ord(c) for c in alphabet], np.uint32), [Transitions(suffix_automaton(text), place) for text in texts]
 
 
 def count_phrases(words: pa.Array, model: Model) -> np.ndarray:
     """Phrases that each word needs in each language, the blanks around it included."""
-    alphabet, dense = tables(model)
+    alphabet, automata = tables(model)
     length = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     points = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
     at = np.minimum(np.searchsorted(alphabet, points), len(alphabet) - 1)
@@ -152,14 +196,15 @@ def count_phrases(words: pa.Array, model: Model) -> np.ndarray:
     sorted_length = length[order]
     blank = int(np.searchsorted(alphabet, ord(" ")))
     out = np.zeros((len(words), len(model)), np.int64)
-    for k, table in enumerate(dense):
-        root = table[0]
+    every = np.arange(len(alphabet) + 1)
+    for k, table in enumerate(automata):
+        root = table.after(np.zeros(len(every), np.int64), every).astype(np.int64)
         state = np.full(len(words), max(int(root[blank]), 0))
         count = np.zeros(len(words), np.int64)
 
         def step(live: int, c: np.ndarray, state=state, count=count, table=table, root=root) -> None:
             now = state[:live]
-            to = table[now, c]
+            to = table.after(now, c)
             stuck = np.flatnonzero(to < 0)
             if len(stuck):  # the phrase ends before c; c starts the next, or is one by itself
                 fresh = root[c[stuck]]

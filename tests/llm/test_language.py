@@ -72,3 +72,16 @@ def test_empty_and_unlabelled(spark):
     assert L.label_languages(spark.createDataFrame([], SCHEMA)).collect() == []
     got = L.label_languages(spark.createDataFrame([(1, "abc", None, None)], SCHEMA)).collect()
     assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0)]
+
+
+def test_scripts_without_blanks(spark):
+    def line(first, i):  # 30 of 40 words of two letters, marks between some and no blank
+        return "".join(chr(first + 2 * w) + chr(first + 2 * w + 1) + ("、" if k % 25 == 24 else "") for k in range(30) for w in [(7 * i + k * k) % 40])
+
+    rows = [(i, line(0x4E00, i), "zh", None) for i in range(40)] + [(100 + i, line(0xAC00, i), "ko", None) for i in range(40)]
+    rows += [(200 + i, f"the and street word{i}", "en", None) for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = dict(L.fit_languages(docs))
+    assert set(model) == {"zh", "ko", "en"} and max(len(w) for words in model.values() for w in words) <= L.LONGEST_WORD
+    got = {r.doc_id: r for r in L.label_languages(docs).collect()}
+    assert all(got[d].lang_pred == lang and got[d].score > 0.5 for d, _, lang, _ in rows)
