@@ -43,15 +43,19 @@ CLASSES = (
     ("entropyhex", "0123456789abcdefABCDEF", 3.0),
     ("entropybase64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 3.9),
 )
+#: A word in a candidate: camel case or a single case.  A piece that says it is a sample has less than a window besides.
+_WORD = r"(?:[A-Za-z][a-z]{2,}(?:[A-Z][a-z]{2,})++|[A-Z]?[a-z]++|[A-Z]++)"
+_SAMPLE = r"(?i:example|sample|dummy|placeholder|changeme|xxxx)"
+_PIECE = rf"(?:(?=[A-Za-z0-9]{{0,19}}{_SAMPLE})[A-Za-z0-9]{{1,23}}+(?![A-Za-z0-9])|{_WORD}?[0-9]{{0,4}}+)"
 #: Candidates that match one of these are no secrets: single-case words, words joined by marks, camel case,
-#: numbers, UUIDs, and strings that say they are samples.
+#: numbers, UUIDs, and samples.  Each piece between marks must be a word (or a sample) by itself.
 ALLOW = (
     r"[A-Z]?[a-z]+|[A-Z]+",
-    r"[A-Za-z]+([_/+-]+[A-Za-z]*[0-9]{0,4})+",
+    rf"{_WORD}(?:[_/+-]++{_WORD}?[0-9]{{0,4}}+)++",
     r"[A-Za-z][a-z]{2,}([A-Z][a-z]{2,})+",
     r"[0-9]+([-/+_][0-9]+)*",
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r"(?i).*(example|sample|dummy|placeholder|changeme|xxxx).*",
+    rf"(?=.*{_SAMPLE}){_PIECE}(?:[_/+-]++{_PIECE})*+",
 )
 
 KINDS = tuple(k[0] for k in BASE) + tuple(c[0] for c in CLASSES)
