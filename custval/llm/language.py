@@ -34,7 +34,7 @@ from custval.llm.common import blocks, keyed, released, rows_of, word_codes
 #: Bounds of the fit, for each language: sampled texts, words kept, and the letters of a word; longer words
 #: (lines of scripts without blanks) are cut into pieces.
 SAMPLE_DOCS = 400
-SAMPLE_WORDS = 2500
+SAMPLE_WORDS = 4000
 LONGEST_WORD = 40
 UNKNOWN = "und"
 

@@ -85,3 +85,11 @@ def test_scripts_without_blanks(spark):
     assert set(model) == {"zh", "ko", "en"} and max(len(w) for words in model.values() for w in words) <= L.LONGEST_WORD
     got = {r.doc_id: r for r in L.label_languages(docs).collect()}
     assert all(got[d].lang_pred == lang and got[d].score > 0.5 for d, _, lang, _ in rows)
+
+
+def test_many_words_are_learned(spark):
+    rows = [(i, " ".join("w" + "abcdefghij"[k // 100 % 10] * 2 + "klmnopqrst"[k // 10 % 10] + "uvwxyzabcd"[k % 10] + "efgh"[k // 1000] for k in range(36 * i, 36 * i + 36)), "en", None) for i in range(100)]
+    model = dict(L.fit_languages(spark.createDataFrame(rows, SCHEMA)))
+    assert len(model["en"]) == 3600
+    _, automata = L.tables(tuple(model.items()))
+    assert sum(t.keys.nbytes + t.values.nbytes for t in automata) < 4 << 20
