@@ -48,12 +48,13 @@ _WORD = r"(?:[A-Za-z][a-z]{2,}(?:[A-Z][a-z]{2,})++|[A-Z]?[a-z]++|[A-Z]++)"
 _SAMPLE = r"(?i:example|sample|dummy|placeholder|changeme|xxxx)"
 _PIECE = rf"(?:(?=[A-Za-z0-9]{{0,19}}{_SAMPLE})[A-Za-z0-9]{{1,23}}+(?![A-Za-z0-9])|{_WORD}?[0-9]{{0,4}}+)"
 #: Candidates that match one of these are no secrets: single-case words, words joined by marks, camel case,
-#: numbers, UUIDs, and samples.  Each piece between marks must be a word (or a sample) by itself.
+#: numbers, UUIDs, and samples.  Each piece between marks must be a word (or a sample) by itself.  Repeated groups are
+#: possessive: the regular expressions of the JVM recurse for every repeat of a group that may be given back.
 ALLOW = (
     r"[A-Z]?[a-z]+|[A-Z]+",
     rf"{_WORD}(?:[_/+-]++{_WORD}?[0-9]{{0,4}}+)++",
-    r"[A-Za-z][a-z]{2,}([A-Z][a-z]{2,})+",
-    r"[0-9]+([-/+_][0-9]+)*",
+    r"[A-Za-z][a-z]{2,}+(?:[A-Z][a-z]{2,}+)++",
+    r"[0-9]++(?:[-/+_][0-9]++)*+",
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
     rf"(?=.*{_SAMPLE}){_PIECE}(?:[_/+-]++{_PIECE})*+",
 )
@@ -62,6 +63,15 @@ KINDS = tuple(k[0] for k in BASE) + tuple(c[0] for c in CLASSES)
 _SPAN = "array<struct<start:int,kind:int,end:int,piece:string>>"
 
 
+#: Pieces of a text that are put together at a time, and characters of the blocks in which a text is rewritten.
+STEP = 256
+BLOCK = 4096
+
+
+def _moved(span: Column, by: Column) -> Column:
+    return F.struct((span["start"] + by).alias("start"), span["kind"].alias("kind"), (span["end"] + by).alias("end"), span["piece"].alias("piece"))
+
+
 def matches(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
     """Spans of a pattern's matches whose ``group`` has ``least`` characters, in order."""
     p = F.lit(pattern)
@@ -70,16 +80,32 @@ def matches(text: Column, pattern: str, kind: int, group: int = 0, least: int =
         F.split(text, pattern, -1).alias("gap"),
         F.regexp_extract_all(text, p, F.lit(group)).alias("part"),
     )
+    none = F.array().cast(_SPAN)
     start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(_SPAN).alias("found"))
 
     def merge(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
         end = begin + F.length(x["whole"])
         span = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["whole"].alias("piece")))
-        found = F.when(F.length(x["part"]) >= least, F.concat(F.coalesce(acc["found"], F.array().cast(_SPAN)), span))
+        found = F.when(F.length(x["part"]) >= least, F.concat(F.coalesce(acc["found"], none), span))
         return F.struct(F.coalesce(end, begin).alias("at"), F.coalesce(found, acc["found"]).alias("found"))
 
-    spans = F.aggregate(piece, start, merge, lambda acc: F.coalesce(acc["found"], F.array().cast(_SPAN)))
+    def part(pieces: Column, k: Column) -> Column:
+        return F.aggregate(F.slice(pieces, k * STEP + 1, STEP), start, merge)
+
+    def placed(parts: Column) -> Column:
+        """The spans of all parts, each moved by the lengths of those before it."""
+        before = F.aggregate(
+            parts,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("base")),
+            lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["base"], F.array(acc["at"])).alias("base")),
+            lambda acc: acc["base"],
+        )
+        return F.flatten(F.zip_with(parts, before, lambda x, base: F.transform(F.coalesce(x["found"], none), lambda s: _moved(s, base))))
+
+    # arrays grow by copying, so the pieces are taken STEP at a time
+    parts = F.transform(F.array(piece), lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / STEP).cast("int")), lambda k: part(p, k)))
+    spans = F.transform(parts, placed)[0]
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
 
 
@@ -96,7 +122,8 @@ def entropy_spans(candidate: Column, kind: int, alphabet: str, least: float) ->
         F.lit(0).alias("n"),
         F.lit(None).cast("int").alias("begin"),
         F.lit(0).alias("end"),
-        F.lit(None).cast(_SPAN).alias("found"),
+        F.array().cast(_SPAN).alias("found"),
+        F.array().cast(f"array<{_SPAN}>").alias("full"),  # parts of STEP spans: arrays grow by copying
     )
 
     def span(acc: Column) -> Column:
@@ -106,7 +133,7 @@ def entropy_spans(candidate: Column, kind: int, alphabet: str, least: float) ->
             (candidate["start"] + acc["end"]).alias("end"),
             F.lit("").alias("piece"),
         )
-        return F.concat(F.coalesce(acc["found"], F.array().cast(_SPAN)), F.array(one))
+        return F.array(one)
 
     def merge(acc: Column, x: Column) -> Column:
         enters, leaves = _place(x["enters"], alphabet), _place(x["leaves"], alphabet)
@@ -120,6 +147,7 @@ def entropy_spans(candidate: Column, kind: int, alphabet: str, least: float) ->
         total, n = acc["sum"] + change, acc["n"] + 1
         high = (n >= WINDOW) & (total <= most)
         apart = acc["begin"].isNotNull() & (n - WINDOW > acc["end"])
+        filled = F.size(acc["found"]) >= STEP
         return F.when(x["enters"].isNull(), acc).otherwise(
             F.struct(
                 moved.alias("counts"),
@@ -127,12 +155,14 @@ def entropy_spans(candidate: Column, kind: int, alphabet: str, least: float) ->
                 n.alias("n"),
                 F.when(high & (acc["begin"].isNull() | apart), n - WINDOW).otherwise(acc["begin"]).alias("begin"),
                 F.when(high, n).otherwise(acc["end"]).alias("end"),
-                F.when(high & apart, span(acc)).otherwise(acc["found"]).alias("found"),
+                F.when(high & apart, F.when(filled, span(acc)).otherwise(F.concat(acc["found"], span(acc)))).otherwise(acc["found"]).alias("found"),
+                F.when(high & apart & filled, F.concat(acc["full"], F.array(acc["found"]))).otherwise(acc["full"]).alias("full"),
             )
         )
 
     def finish(acc: Column) -> Column:
-        return F.when(acc["begin"].isNotNull(), span(acc)).otherwise(F.array().cast(_SPAN))
+        last = F.when(acc["begin"].isNotNull(), F.concat(acc["found"], span(acc))).otherwise(F.array().cast(_SPAN))
+        return F.flatten(F.concat(acc["full"], F.array(last)))
 
     return F.aggregate(steps, start, merge, finish)
 
@@ -190,20 +220,27 @@ def redact(
     docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", keep: dict[str, str] | None = None
 ) -> DataFrame:
     """doc_id, text with every union of overlapping spans replaced by ``mark``, how many were, and ``keep``."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(0).alias("n"))
-
-    def merge(acc: Column, s: Column) -> Column:
-        fresh = F.struct(
-            F.concat(acc["out"], F.substring(s["text"], acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"),
-            s["end"].alias("at"),
-            (acc["n"] + 1).alias("n"),
-        )
-        inside = F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"), acc["n"].alias("n"))
-        return F.when((acc["n"] > 0) & (s["start"] < acc["at"]), inside).otherwise(fresh)
-
-    text = F.col("text")
-    steps = F.transform(F.col("found"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), text.alias("text")))
-    done = F.aggregate(steps, start, merge)
-    clean = F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
-    redacted = F.when(F.size("found") > 0, clean).otherwise(text)
-    return scan(docs, id_col, text_col, keep).select("doc_id", redacted.alias("text"), done["n"].cast("long").alias("n_secrets"), *(keep or {}))
+    text, found = F.col("text"), F.col("found")
+
+    def block(body: Column, k: Column) -> Column:
+        """A block of the text without its secrets, and how many unions of spans begin in it."""
+        low = k * BLOCK
+        start = F.struct(F.lit("").alias("out"), low.alias("at"), F.lit(0).alias("n"))
+
+        def merge(acc: Column, s: Column) -> Column:
+            before = F.substring(body, acc["at"] - low + 1, s["start"] - acc["at"])
+            fresh = F.struct(F.concat(acc["out"], before, F.lit(mark)).alias("out"), s["end"].alias("at"), (acc["n"] + 1).alias("n"))
+            inside = F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"), acc["n"].alias("n"))
+            return F.when(s["start"] < acc["at"], inside).otherwise(fresh)
+
+        here = F.filter(found, lambda s: (s["end"] > low) & (s["start"] < low + BLOCK))
+        rest = F.aggregate(here, start, merge, lambda acc: F.struct(acc["out"].alias("out"), F.substring(body, acc["at"] - low + 1, F.lit(BLOCK)).alias("rest"), acc["n"].alias("n")))
+        return F.when(F.size(here) > 0, rest).otherwise(F.struct(F.lit("").alias("out"), body.alias("rest"), F.lit(0).alias("n")))
+
+    blocks = F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), block)
+    done = scan(docs, id_col, text_col, keep).withColumn("_blocks", F.when(F.size(found) > 0, blocks))
+    clean = F.array_join(F.transform("_blocks", lambda b: F.concat(b["out"], b["rest"])), "")
+    count = F.aggregate(F.transform("_blocks", lambda b: b["n"]), F.lit(0), lambda acc, n: acc + n)
+    return done.select(
+        "doc_id", F.coalesce(clean, text).alias("text"), F.coalesce(count, F.lit(0)).cast("long").alias("n_secrets"), *(keep or {})
+    )

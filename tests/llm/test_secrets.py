@@ -133,3 +133,44 @@ def test_planted_between_marks(spark):
     assert all("entropybase64" in got[i] for i in range(len(secret)))
     assert all("entropybase64" not in got[i] for i in range(len(secret), len(rows)))
     assert all(k not in r.text for r in S.redact(spark.createDataFrame(rows, SCHEMA)).where(f"doc_id < {len(secret)}").collect() for k in keys + mixed)
+
+
+MEGABYTE = 1_000_000
+
+
+@pytest.mark.parametrize(
+    "unit",
+    ["1-", "Abc", "foo_bar/", "AbcDef_12/", "A", "x", "example/", "123e4567-e89b-12d3-a456-426614174000-", "password ", "password: ", "AKIA", "0f "],
+)
+def test_runs_of_a_megabyte(spark, unit):
+    """Long repetitive texts end, with the spans of brute force; the rewritten text joins without a seam."""
+    size = MEGABYTE if unit[:3] != "123" else MEGABYTE // 10
+    text = unit * (size // len(unit)) + unit[0]
+    docs = spark.createDataFrame([(1, text, "")], SCHEMA)
+    row = S.secret_report(docs).first()
+    b = base(text)
+    assert row.base_sha256 == hashlib.sha256(joined(b).encode()).hexdigest()
+    if row.spans == "":
+        assert S.redact(docs).first().text == text
+
+
+def test_very_many_secrets(spark):
+    text = "é token=abcdefghij12 " * 50_000
+    row = S.redact(spark.createDataFrame([(1, text, "")], SCHEMA)).first()
+    assert row.n_secrets == 50_000 and row.text == "é [SECRET] " * 50_000
+
+
+def test_rewritten_across_blocks(spark):
+    rnd = random.Random(6)
+    pieces = ["token=abcdefghij12", "é😀", " ", "word ", "0123456789abcdef" * 300, "a" * 3000 + " ", "AKIA" + "Q1" * 20]
+    rows = [(i, "".join(rnd.choice(pieces) for _ in range(60)), "") for i in range(40)]
+    for r in S.redact(spark.createDataFrame(rows, SCHEMA)).collect():
+        text, merged = rows[r.doc_id][1], []
+        for a, _, b in sorted(base(text) + method(text)):
+            if merged and a < merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        ends = [0, *[b for _, b in merged]]
+        want = "[SECRET]".join(text[e:a] for e, a in zip(ends, [*[a for a, _ in merged], len(text)]))
+        assert (r.text, r.n_secrets) == (want, len(merged))
