@@ -18,6 +18,7 @@ from custval.llm.multiindex import similar_vectors
 from custval.llm.repetition import repetition_rules
 from custval.llm.secrets import secret_report
 from custval.llm.setsketch import setsketch_groups
+from custval.llm.spelling import spelling_variants, word_counts
 from custval.llm.wavelet import token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +111,49 @@ def op6_kd_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_bloom_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents"), least=7, occurrences=2, typo=31), ratio=10)
+
+
+#: Words by their deletions: two words are one edit apart if one is the other less a letter, or both less the same place agree.
+ORACLE["op13_bloom_spelling"] = r"""
+WITH RECURSIVE crc_table AS (
+    SELECT list(c ORDER BY i) AS t FROM (
+        SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, s: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM range(256) AS r(i))
+), runs AS (
+    SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+    WHERE length(run) >= 7 GROUP BY ALL
+), bytes AS (
+    SELECT run, times, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+        lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) AS b
+    FROM runs
+), hashed AS (
+    SELECT run, times, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(b, lambda x: CAST(x AS BIGINT))),
+        lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)]))) AS h
+    FROM bytes, crc_table
+), vocabulary AS (
+    SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, CAST(sum(times) AS BIGINT) AS n
+    FROM hashed GROUP BY 1 HAVING length(word) >= 7 AND n >= 2
+), less AS (
+    SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM vocabulary, unnest(range(1, length(word) + 1)) AS u(i)
+), near AS (
+    SELECT a.word, b.word AS other, b.n AS other_n FROM less AS a JOIN less AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM less AS a JOIN vocabulary AS b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM less AS a JOIN vocabulary AS b ON a.rest = b.word
+), best AS (
+    SELECT word, count(*) AS n_near, max(other_n) AS most, arg_min(other, (-other_n, other)) AS other FROM near GROUP BY word
+), formed AS (
+    SELECT v.word, CASE WHEN most >= 10 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * n THEN most END AS form_n
+    FROM vocabulary AS v LEFT JOIN best USING (word)
+), walk AS (
+    SELECT word, word AS root FROM formed
+    UNION ALL SELECT walk.word, formed.form FROM walk JOIN formed ON walk.root = formed.word WHERE formed.form IS NOT NULL
+)
+SELECT f.word, f.form, walk.root, f.n, f.n_near, f.form_n
+FROM formed AS f JOIN walk USING (word) JOIN formed AS last ON walk.root = last.word AND last.form IS NULL
+"""
