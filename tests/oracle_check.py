@@ -34,6 +34,8 @@ def duck(sf_dir: str):
 def normal(v):
     if v is None:
         return None
+    if v is pd.NA:
+        return None
     if isinstance(v, float):
         if math.isnan(v):
             return None
@@ -57,7 +59,8 @@ def compare(name, spark_df, duck_df):
     if sc != dc:
         return f"columns differ: {sc} vs {dc}"
     st = {c: str(spark_df[c].dtype) for c in sc}
-    dt_ = {c: str(duck_df[c].dtype) for c in dc}
+    # integers with nulls come as floats from one side
+    dt_ = {c: "float64" if str(duck_df[c].dtype) == "Int64" and st[c] == "float64" else str(duck_df[c].dtype) for c in dc}
     if st != dt_ and len(spark_df):
         diff = {c: (st[c], dt_[c]) for c in sc if st[c] != dt_[c]}
         return f"dtypes differ: {diff}"
