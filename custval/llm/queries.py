@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from custval.llm.bpe import bpe_round_trip
 from custval.llm.chat import chat_digests
 from custval.llm.common import table
+from custval.llm.curve import pack
 from custval.llm.kdtree import kd_shards
 from custval.llm.language import label_languages
 from custval.llm.mixing import mix
@@ -113,6 +114,11 @@ def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op12_hilbert_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, capacity=2048)
+
+
 @query
 def op13_bloom_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(word_counts(table(spark, sf_dir, "documents"), least=7, occurrences=2, typo=31), ratio=10)
