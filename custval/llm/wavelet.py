@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from custval.llm.common import Known, blocks, gather, keyed, larger, released, rows_of, word_codes
+from custval.llm.ranked import WordRanks
 from custval.session import checkpoint_dir, materialize
 
 #: Tokens of a shard, at about which a task starts the next one.
@@ -183,10 +184,9 @@ class WordEncoder:
 
     A lower-cased word (unless it may hold a special token) and a final comma or
     stop after a plain letter are encoded by themselves: the tokenizer lower-cases
-    and splits there.  Words go to the library joined by blanks.  A word of letters
-    ends with its only token that has the end-of-word mark; if these do not number as
-    the words do, and for other words, the library's offsets tell them apart.
-    ``tests/llm/test_wavelet.py`` compares with whole texts.
+    and splits there.  Words of plain letters are single pieces for the tokenizer, and
+    encoded by ranks; all others go to the library joined by blanks, and its offsets tell
+    them apart.  ``tests/llm/test_wavelet.py`` compares with whole texts.
     """
 
     def __init__(self, data: bytes):
@@ -194,36 +194,26 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(data.decode())
-        vocabulary = self.library.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.ranks = WordRanks(data)
         self.known = Known(CACHED_WORDS)
 
-    def _encode(self, words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after another, and how many each has."""
-        joined = " ".join(words)
-        if plain:
-            ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-            last = np.flatnonzero(self.ends[ids])
-            if len(last) == len(words):
-                return ids, np.diff(last, prepend=-1)
-        found = self.library.encode(joined, add_special_tokens=False)
+        found = self.library.encode(" ".join(words), add_special_tokens=False)
         begins = np.array([o[0] for o in found.offsets], np.int64)
         cuts = np.searchsorted(begins, np.cumsum([len(w) + 1 for w in words]))
         return np.array(found.ids, np.uint32), np.diff(cuts, prepend=0)
 
     def learn(self, new: pa.Array, step: int = 500) -> tuple[np.ndarray, np.ndarray]:
-        letters = pc.match_substring_regex(new, r"^\p{L}+$").to_numpy(zero_copy_only=False).astype(bool)
+        plain = pc.match_substring_regex(new, f"^{PLAIN}+$").to_numpy(zero_copy_only=False).astype(bool)
+        quick, slow = np.flatnonzero(plain), np.flatnonzero(~plain)
         size = np.zeros(len(new), np.int64)
-        parts, places = [], []
-        for plain in (True, False):
-            at = np.flatnonzero(letters == plain)
-            words = new.take(pa.array(at))
-            for i in range(0, len(at), step):
-                ids, size[at[i : i + step]] = self._encode(words[i : i + step].to_pylist(), plain)
-                parts.append(ids)
-            places.append(at)
-        order = np.concatenate(places)  # as the ids now stand
+        ids, size[quick] = self.ranks.encode(new.take(pa.array(quick)))
+        parts, words = [ids], new.take(pa.array(slow))
+        for i in range(0, len(slow), step):
+            ids, size[slow[i : i + step]] = self._encode(words[i : i + step].to_pylist())
+            parts.append(ids)
+        order = np.concatenate([quick, slow])  # as the ids now stand
         flat, ends = np.concatenate(parts), np.concatenate([[0], np.cumsum(size[order])])
         back = np.argsort(order)
         return gather(flat, ends, back), size

@@ -82,3 +82,16 @@ def test_rank_select_access():
         assert matrix.count(top + 70_000) == 0
         with pytest.raises(IndexError):
             matrix.select(top + 70_000, 0)
+
+
+def test_words_by_ranks_equal_the_library(library):
+    """Every plain word of the vocabulary, their joins, and random letters."""
+    rnd = random.Random(3)
+    plain = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+    known = [w for w in (t.removesuffix("</w>") for t in library.get_vocab()) if w.isascii() and w.isalpha()]
+    words = known + ["".join(rnd.sample(known, 2)) for _ in range(20_000)]
+    words += ["".join(rnd.choice(plain) for _ in range(rnd.randrange(1, 25))) for _ in range(20_000)]
+    words += ["".join(rnd.choice("aen") for _ in range(rnd.randrange(1, 60))) for _ in range(5000)] + ["z" * 5000]
+    ids, size = V.WordRanks(open(FILE, "rb").read()).encode(V.pa.array(words))
+    want = [x.ids for x in library.encode_batch(words, add_special_tokens=False)]
+    assert size.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
