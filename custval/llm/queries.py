@@ -16,6 +16,7 @@ from custval.llm.kdtree import kd_shards
 from custval.llm.language import label_languages
 from custval.llm.mixing import mix
 from custval.llm.multiindex import similar_vectors
+from custval.llm.phrases import collocations
 from custval.llm.repetition import repetition_rules
 from custval.llm.secrets import secret_report
 from custval.llm.setsketch import setsketch_groups
@@ -114,6 +115,46 @@ def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op11_era_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=10, top=2000)
+
+
+ORACLE["op11_era_phrases"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^ \t]+') AS w
+    FROM (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\n\x0b\f\r]')) AS piece FROM documents)
+), grams AS (
+    SELECT lang, size, phrase, count(*) AS f FROM (
+        SELECT lang, 1 AS size, unnest(w) AS phrase FROM pieces
+        UNION ALL SELECT lang, 2, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda x: x[1] || ' ' || x[2])) FROM pieces WHERE len(w) > 1
+        UNION ALL SELECT lang, 3, unnest(list_transform(list_zip(w[:-3], w[2:-2], w[3:]), lambda x: x[1] || ' ' || x[2] || ' ' || x[3])) FROM pieces WHERE len(w) > 2
+    ) GROUP BY ALL
+), total AS (
+    SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE size = 1 GROUP BY lang
+), candidates AS (
+    SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE size > 1 AND f >= 10
+), halves AS (
+    SELECT lang, phrase, a, k, array_to_string(w[:k], ' ') AS one, array_to_string(w[k + 1:], ' ') AS two
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)
+), cuts AS (
+    SELECT h.*, l.f AS l, r.f AS r, (CAST(1000000 AS HUGEINT) * h.a * h.a) // (CAST(l.f AS HUGEINT) * r.f) AS score
+    FROM halves AS h JOIN grams AS l ON l.lang = h.lang AND l.phrase = h.one JOIN grams AS r ON r.lang = h.lang AND r.phrase = h.two
+), best AS (
+    SELECT lang, phrase, a, arg_min(struct_pack(l, r, score), (score, k)) AS cut FROM cuts GROUP BY ALL
+), parts AS (
+    SELECT lang, phrase, max(a) AS most FROM (
+        SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM candidates WHERE size = 3) GROUP BY ALL
+), kept AS (
+    SELECT best.* FROM best LEFT JOIN parts USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY cut.score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, cut.l AS l, cut.r AS r, n, CAST(cut.score AS BIGINT) AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
 @query
 def op12_hilbert_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, capacity=2048)
