@@ -39,6 +39,11 @@ def top_k(df: DataFrame, col: str, k: int, key: str, ascending: bool = False) ->
     return rows.orderBy(order, F.col(key)).limit(k)
 
 
+def first_rows(df: DataFrame, n: int = 5) -> DataFrame:
+    """Any ``n`` rows, for a look at a table: no order is implied, and no more partitions are read than needed."""
+    return df.limit(n)
+
+
 def invoice_totals(lines: DataFrame, invoice: str = "Invoice", amount: str = "TotalPrice") -> DataFrame:
     """Total amount per invoice (null invoices dropped)."""
     return (

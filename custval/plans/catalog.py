@@ -44,6 +44,7 @@ from custval.operators.profile import (
 from custval.operators.quantiles import qcut
 from custval.operators.reports import (
     channel_rollup,
+    first_rows,
     group_report,
     invoice_bills,
     top_k,
@@ -73,6 +74,7 @@ from custval.plans.predict import (
     clv_predict_omni,
     clv_predict_retail,
     fit_table,
+    merge_by_key,
     score_customers,
     split_top_segment,
 )
@@ -380,16 +382,14 @@ def bgnbd_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_rounded(scored.select("customer_id", *RETAIL_HORIZONS))
 
 
-def gg_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _gg_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs = _retail_inputs(spark, sf_dir)
-    return model_rounded(
-        inputs.select(
-            "customer_id",
-            expected_average_profit(CDNOW_GAMMA_GAMMA, "frequency", "monetary").alias(
-                "expected_average_profit"
-            ),
-        )
-    )
+    profit = expected_average_profit(CDNOW_GAMMA_GAMMA, "frequency", "monetary")
+    return inputs.select("customer_id", profit.alias("expected_average_profit"))
+
+
+def gg_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model_rounded(_gg_profit(spark, sf_dir))
 
 
 def clv_discounted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,6 +400,19 @@ def clv_discounted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_rounded(inputs.select("customer_id", clv.alias("clv")))
 
 
+def clv_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted CLV of customers with three transactions or more, merged onto all customers."""
+    inputs = _retail_inputs(spark, sf_dir)
+    clv = discounted_clv(CDNOW_BGNBD, CDNOW_GAMMA_GAMMA, "frequency", "recency", "T", "monetary", 3, 0.01, "W")
+    some = inputs.where("frequency >= 3").select("customer_id", clv.alias("clv"))
+    return model_rounded(merge_by_key(inputs.select("customer_id", "frequency"), some, "customer_id"))
+
+
+def preview_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows a preview of the invoice lines holds (which rows it shows is left open)."""
+    return first_rows(invoice_lines(spark, sf_dir, ["Invoice"]), 5).agg(F.count("*").alias("rows"))
+
+
 def expected_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs = _retail_inputs(spark, sf_dir)
     scored = score_customers(inputs, CDNOW_BGNBD, CDNOW_GAMMA_GAMMA)
@@ -428,15 +441,14 @@ def sub_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def top_expected_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 customers with the most expected purchases in 3 months (omni inputs)."""
-    scored = _omni_scored(spark, sf_dir)
-    scored = model_rounded(scored.select("customer_id", "exp_sales_3_month"))
-    return top_k(scored, "exp_sales_3_month", 10, "customer_id")
+    scored = _omni_scored(spark, sf_dir).select("customer_id", "exp_sales_3_month")
+    return model_rounded(top_k(scored, "exp_sales_3_month", 10, "customer_id"))
 
 
 def top_expected_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 customers with the highest expected average profit (retail inputs)."""
-    profit = gg_profit(spark, sf_dir)
-    return top_k(profit, "expected_average_profit", 10, "customer_id")
+    profit = _gg_profit(spark, sf_dir)
+    return model_rounded(top_k(profit, "expected_average_profit", 10, "customer_id"))
 
 
 PREDICTION_MEASURES = [
@@ -614,6 +626,8 @@ QUERIES: dict[str, Query] = {
     "bgnbd_score": bgnbd_score,
     "gg_profit": gg_profit,
     "clv_discounted": clv_discounted,
+    "clv_merged": clv_merged,
+    "preview_size": preview_size,
     "expected_total": expected_total,
     "sub_segments": sub_segments,
     "omni_clv_segment_report": omni_clv_segment_report,

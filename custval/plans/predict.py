@@ -54,21 +54,18 @@ def score_customers(
 ) -> DataFrame:
     """Add expected purchases per horizon, expected profit and discounted CLV.
 
-    What a live customer is expected to buy depends on (frequency, T) only: it is
-    evaluated once for each distinct pair and joined back (the pairs are few where
-    customers are many; the strategy is left to Spark), recency enters row by row.
+    One narrow step over the customers (no distinct, no join): what a live customer is expected to buy depends on
+    (frequency, T) only and is evaluated once for each distinct pair of an Arrow batch; recency enters row by row.
     """
     x, tx, age, m = cols
     horizons = RETAIL_HORIZONS if horizons is None else horizons
     times = [*map(float, horizons.values()), *purchase_horizons(months, freq)]
-    pairs = inputs.select(F.col(x).alias("_x"), F.col(age).alias("_T")).distinct()
-    gains = pairs.withColumn("_gains", expected_if_alive(bg, times, "_x", "_T"))
-    joined = inputs.join(gains, (F.col(x) == F.col("_x")) & (F.col(age) == F.col("_T")), "left")
+    gained = inputs.withColumn("_gains", expected_if_alive(bg, times, x, age))
     odds = alive_odds(bg, x, tx, age)
     profit = expected_average_profit(gg, x, m)
     monthly = F.slice("_gains", len(horizons) + 1, months)
     clv = profit * discounted_gain(monthly, discount_weights(months, discount_rate, freq)) / odds
-    return joined.select(
+    return gained.select(
         *inputs.columns,
         *[(F.col("_gains")[i] / odds).alias(name) for i, name in enumerate(horizons)],
         profit.alias(profit_col),

@@ -635,6 +635,11 @@ ORACLE.update(
         "clv_discounted": RETAIL_INPUTS
         + f""" SELECT customer_id, {sig(clv_sql(3, "frequency", "recency", '"T"', "monetary"), MODEL_DIGITS)} AS clv
              FROM inputs""",
+        "clv_merged": RETAIL_INPUTS
+        + f""" SELECT customer_id, i.frequency, some.clv FROM inputs AS i LEFT JOIN (
+               SELECT customer_id, {sig(clv_sql(3, "frequency", "recency", '"T"', "monetary"), MODEL_DIGITS)} AS clv
+               FROM inputs WHERE frequency >= 3) AS some USING (customer_id)""",
+        "preview_size": "WITH " + INVOICE_LINES + " SELECT count(*) AS rows FROM (SELECT * FROM invoice_lines LIMIT 5)",
         "expected_total": RETAIL_INPUTS
         + f""" SELECT count(*) AS customers,
                {sig(f'sum({RETAIL_E["expected_purc_1_month"]})', MODEL_DIGITS)} AS expected_purc_1_month_total,
@@ -769,18 +774,14 @@ ORACLE.update(
         + """ SELECT master_id, order_num_total, customer_value_total FROM prep
              ORDER BY order_num_total DESC, master_id LIMIT 10""",
         "top_expected_sales": OMNI_CAPPED_FULL
-        + f""" SELECT * FROM (
-               SELECT customer_id,
-                      {sig(expected_sql(12.0, "frequency", "recency_clv_weekly", '"T_weekly"'), MODEL_DIGITS)}
-                        AS exp_sales_3_month
+        + f""" SELECT customer_id, {sig("value", MODEL_DIGITS)} AS exp_sales_3_month FROM (
+               SELECT customer_id, {expected_sql(12.0, "frequency", "recency_clv_weekly", '"T_weekly"')} AS value
                FROM omni_inputs)
-             ORDER BY exp_sales_3_month DESC, customer_id LIMIT 10""",
+             ORDER BY value DESC, customer_id LIMIT 10""",
         "top_expected_profit": RETAIL_INPUTS
-        + f""" SELECT * FROM (
-               SELECT customer_id,
-                      {sig(profit_sql('frequency', 'monetary'), MODEL_DIGITS)} AS expected_average_profit
-               FROM inputs)
-             ORDER BY expected_average_profit DESC, customer_id LIMIT 10""",
+        + f""" SELECT customer_id, {sig("value", MODEL_DIGITS)} AS expected_average_profit FROM (
+               SELECT customer_id, {profit_sql('frequency', 'monetary')} AS value FROM inputs)
+             ORDER BY value DESC, customer_id LIMIT 10""",
     }
 )
 
