@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from custval.llm.common import blocks, keyed, larger, released, text_bytes
+from custval.llm.common import blocks, give_back, keyed, larger, released, text_bytes
 from custval.llm.spelling import places, powers
 from custval.session import materialize
 
@@ -37,7 +37,7 @@ from custval.session import materialize
 BLANKS = b" \t"
 STOPS = b".,;:!?\n\v\f\r"
 #: Text bytes whose suffixes are counted together in a task.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Suffixes of a group, about; a prefix with more than an eighth of them is extended.
 GROUP_SUFFIXES = 2 << 20
 #: No more prefixes than this are extended: those with the most suffixes.
@@ -79,12 +79,14 @@ class Block:
         starts[1:] |= inner[1:] & ~inner[:-1]
         starts[0] = inner[0]
         begin = np.flatnonzero(starts)
-        upto = np.concatenate([[0], np.cumsum(inner[:-1])])
         row = np.searchsorted(at, begin, side="right") - 1
-        piece = np.concatenate([[0], np.cumsum(kind == 2)])[begin] + row  # grows at stops and at texts
-        words = pa.Array.from_buffers(
-            pa.large_string(), len(begin), [None, pa.py_buffer(np.append(upto[begin], upto[-1])), pa.py_buffer(body[inner[:-1]])]
-        ).dictionary_encode()
+        piece = np.searchsorted(np.flatnonzero(kind == 2), begin) + row  # grows at stops and at texts
+        inner = inner[:-1]
+        letters = body[inner]
+        size = np.diff(np.append(np.cumsum(inner, dtype=np.int32)[begin], len(letters) + 1)).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(size)]) if len(begin) else np.zeros(1, np.int64)
+        del kind, edge, starts, inner
+        words = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(letters)]).dictionary_encode()
         lang = pc.fill_null(langs, "und").dictionary_encode()
         code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         width = max(len(words.dictionary), 1)
@@ -157,6 +159,8 @@ def word_counts(rows: DataFrame) -> DataFrame:
         for block in blocks(larger(batches, limit=BLOCK_BYTES), limit=BLOCK_BYTES):
             names, times = Block(block.column("text"), block.column("lang")).counts()
             yield from parts(pa.record_batch([names, pa.array(times)], names=["name", "n"]))
+            del names, times
+            give_back()
 
     counted = rows.mapInArrow(released(run), "name string, n long")
     return counted.groupBy("name").agg(F.sum("n").alias("n"))
@@ -219,6 +223,8 @@ def subtrees(rows: DataFrame, plan: Partition) -> DataFrame:
                 data = _packed([node, last, pa.array(count[some]), pa.array(spread[some])])
                 yield pa.record_batch([pa.array([group[some[0]]], pa.int64()), pa.array([data], pa.binary())], names=["grp", "leaves"])
                 begin = end
+            del block, hashed, first, second, third, count, group, spread, order
+            give_back()
 
     return rows.mapInArrow(released(run), "grp long, leaves binary")
 
@@ -264,6 +270,7 @@ def phrase_counts(rows: DataFrame, plan: Partition, least: int) -> DataFrame:
                 if group != now and trees:
                     yield from done()
                     trees = []
+                    give_back()
                 now = group
                 trees.append(pa.ipc.open_stream(leaves.as_buffer()).read_all())
         if trees:
