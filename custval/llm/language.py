@@ -5,7 +5,8 @@ labelled words.  A text is parsed into phrases, each the longest match in the
 language's automaton from where the last one ended; a text in the language needs
 few, long phrases.  The language with the fewest phrases per character wins.
 Phrases do not cross words, so equal words need equal numbers of phrases and each
-distinct word of a block is parsed once, all of them in step (numpy).
+distinct word of a block is parsed once, all of them in step (numpy); a long word (a line
+of a script without blanks) by the matches of all its places.
 
 The fit gathers at most ``SAMPLE_WORDS`` words for each language, from at most
 ``SAMPLE_DOCS`` labelled texts of each; these bounds do not depend on the size of
@@ -36,6 +37,8 @@ from custval.llm.common import blocks, keyed, released, rows_of, word_codes
 SAMPLE_DOCS = 400
 SAMPLE_WORDS = 4000
 LONGEST_WORD = 40
+#: Words of more letters are parsed by the matches of all their places, shorter ones letter by letter in step.
+STEPPED = 100
 UNKNOWN = "und"
 
 Model = tuple[tuple[str, tuple[str, ...]], ...]
@@ -184,6 +187,31 @@ def tables(model: Model) -> tuple[np.ndarray, list[Transitions]]:
     return np.array([ord(c) for c in alphabet], np.uint32), [Transitions(suffix_automaton(text), place) for text in texts]
 
 
+def phrases_of(symbols: np.ndarray, table: Transitions) -> int:
+    """Phrases of one long string.
+
+    The longest match from every place, all places in step (no match is longer than the model's
+    words), then the places from phrase to phrase: as many phrases as letter by letter.
+    """
+    n = len(symbols)
+    live, state, match = np.arange(n), np.zeros(n, np.int64), np.ones(n, np.int64)
+    size = 0
+    while len(live):
+        to = table.after(state, symbols[live + size])
+        size += 1
+        met = to >= 0
+        live, state = live[met], to[met].astype(np.int64)
+        match[live] = size
+        inside = live + size < n
+        live, state = live[inside], state[inside]
+    ends = (np.arange(n) + match).tolist()
+    count = at = 0
+    while at < n:
+        at = ends[at]
+        count += 1
+    return count
+
+
 def count_phrases(words: pa.Array, model: Model) -> np.ndarray:
     """Phrases that each word needs in each language, the blanks around it included."""
     alphabet, automata = tables(model)
@@ -191,9 +219,11 @@ def count_phrases(words: pa.Array, model: Model) -> np.ndarray:
     points = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
     at = np.minimum(np.searchsorted(alphabet, points), len(alphabet) - 1)
     symbols = np.where(alphabet[at] == points, at, len(alphabet))
-    order = np.argsort(-length, kind="stable")
-    start = (np.cumsum(length) - length)[order]
-    sorted_length = length[order]
+    begin = np.cumsum(length) - length
+    stepped = np.where(length > STEPPED, 0, length)
+    order = np.argsort(-stepped, kind="stable")
+    start = begin[order]
+    sorted_length = stepped[order]
     blank = int(np.searchsorted(alphabet, ord(" ")))
     out = np.zeros((len(words), len(model)), np.int64)
     every = np.arange(len(alphabet) + 1)
@@ -217,6 +247,9 @@ def count_phrases(words: pa.Array, model: Model) -> np.ndarray:
             step(live, symbols[start[:live] + i])
         step(len(words), np.full(len(words), blank))
         out[order, k] = count + (state > 0)
+    for i in np.flatnonzero(length > STEPPED):
+        whole = np.concatenate([[blank], symbols[begin[i] : begin[i] + length[i]], [blank]])
+        out[i] = [phrases_of(whole, table) for table in automata]
     return out
 
 

@@ -93,3 +93,39 @@ def test_many_words_are_learned(spark):
     assert len(model["en"]) == 3600
     _, automata = L.tables(tuple(model.items()))
     assert sum(t.keys.nbytes + t.values.nbytes for t in automata) < 4 << 20
+
+
+def chinese(rnd, n):
+    return "".join(chr(rnd.randrange(0x4E00, 0x4E00 + 800)) for _ in range(n))
+
+
+def test_long_words_against_brute_force(monkeypatch):
+    """The two ways of parsing give the same counts; the words straddle the bound."""
+    import random
+
+    rnd = random.Random(3)
+    words = tuple(sorted({chinese(rnd, rnd.randrange(1, 41)) for _ in range(60)}))
+    model = (*MODEL, ("zh", words))
+    text = ["".join(rnd.choice([*words, "щ", "the", "ы"]) for _ in range(40))[:n] for n in (1, 5, 99, 100, 101, 102, 400, 900)]
+    text += ["d" * 300, "щ" * 301, "ab" * 150, "derdieund" * 40]
+    want = [[brute(w, known) for _, known in model] for w in text]
+    assert L.count_phrases(pa.array(text), model).tolist() == want
+    for bound in (0, 10_000):
+        monkeypatch.setattr(L, "STEPPED", bound)
+        assert L.count_phrases(pa.array(text), model).tolist() == want
+
+
+def test_a_megabyte_without_blanks_is_quick():
+    import random
+    import time
+
+    rnd = random.Random(4)
+    model = tuple((lang, tuple(sorted({chinese(rnd, 40) for _ in range(1500)}))) for lang in ("a", "b", "c", "d"))
+    L.tables(model)
+    sample = model[2][1]
+    body = "".join(rnd.choice(sample)[rnd.randrange(20) :] for _ in range(12_000))
+    block = pa.record_batch([pa.array([1, 2]), pa.array([body, "щ" * 500_000])], names=["doc_id", "text"])
+    assert len(body.encode()) > 1_000_000
+    began = time.process_time()
+    got = L.predict(block, model)
+    assert got.column("lang_pred").to_pylist()[0] == "c" and time.process_time() - began < 6
