@@ -79,6 +79,11 @@ def _model_options(args: argparse.Namespace) -> dict:
     }
 
 
+def _tell(remarks: list[str]) -> None:
+    for remark in remarks:
+        print(f"note: {remark}", file=sys.stderr)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     from custval.plans import omni, predict, retail
@@ -103,6 +108,7 @@ def main(argv: list[str] | None = None) -> int:
             else:
                 pred = predict.clv_predict_retail(lines, args.months, repeat_only=not args.all_customers, **_model_options(args))
                 write_table(pred.table, f"{out}/clv_prediction")
+                _tell(pred.remarks())
         else:
             summary = read_customer_summary(spark, args.summary, fmt=args.format)
             if args.command == "omni-rfm":
@@ -115,6 +121,7 @@ def main(argv: list[str] | None = None) -> int:
                     summary, args.months, split_top=args.split_top, repeat_only=not args.all_customers, **_model_options(args)
                 )
                 write_table(pred.table, f"{out}/clv")
+                _tell(pred.remarks())
     return 0
 
 

@@ -42,14 +42,17 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from custval.functions.numeric import col_of
 from custval.operators.optim import bfgs, digamma
@@ -69,23 +72,24 @@ BOUNDARY = (1e-4, 1e6)
 
 @dataclass
 class FitResult:
-    """``objective`` is the penalised mean negative log-likelihood (of the scaled times)."""
+    """``objective`` is the penalised mean negative log-likelihood (of the scaled times), ``rows`` the number of customers."""
 
     params: object
     objective: float
     iterations: int
     converged: bool
     boundary: bool = False
+    rows: int | None = None
 
 
-def fit_result(model: str, params, res) -> FitResult:
+def fit_result(model: str, params, res, rows: int | None = None) -> FitResult:
     """The result of a fit; warns if it should not be trusted."""
     boundary = [k for k, v in vars(params).items() if not BOUNDARY[0] < v < BOUNDARY[1]]
     if not res.converged:
         warnings.warn(f"the {model} fit did not converge in {res.iterations} iterations", stacklevel=3)
     if boundary:
         warnings.warn(f"the {model} fit ended at the boundary for {', '.join(boundary)}", stacklevel=3)
-    return FitResult(params, res.fun, res.iterations, res.converged, bool(boundary))
+    return FitResult(params, res.fun, res.iterations, res.converged, bool(boundary), rows)
 
 
 #: Relative error that the rules keep to, and the most Gauss nodes (more: the double-exponential rule).
@@ -213,6 +217,26 @@ def expected_if_alive(params: BetaGeoParams, times: Sequence[float | Column], fr
     return evaluate(col_of(frequency).cast("double"), col_of(T).cast("double"), until)
 
 
+def expected_of_pairs(params: BetaGeoParams, times: Sequence[float], pairs: DataFrame, tasks: int) -> DataFrame:
+    """The pairs (x, T) with ``gains``, the expected purchases of a live customer within each of ``times``.
+
+    The rows are small and dear, so they are dealt to ``tasks`` tasks: by their bytes all would come into one.
+    """
+    x, age = pairs.columns
+    horizons = np.array(times, np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, since = (pc.fill_null(pc.cast(c, pa.float64()), math.nan).to_numpy(zero_copy_only=False) for c in batch.columns)
+            s = horizons[None, :] / (params.alpha + since)[:, None]
+            mean = mean_gain(params, np.repeat(of, len(horizons)), s.ravel()).reshape(s.shape)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(mean.ravel()), len(horizons)).cast(pa.list_(pa.float64()))
+            yield pa.record_batch([*batch.columns, lists], names=[x, age, "gains"])
+
+    schema = T.StructType([*pairs.schema.fields, T.StructField("gains", T.ArrayType(T.DoubleType()))])
+    return pairs.repartition(tasks, x, age).mapInArrow(run, schema)
+
+
 def alive_odds(params: BetaGeoParams, frequency: Column | str, recency: Column | str, T: Column | str) -> Column:
     """1 + odds of having dropped out: what the expectation of a live customer is divided by."""
     x, tx, age = (col_of(v).cast("double") for v in (frequency, recency, T))
@@ -456,7 +480,8 @@ def fit_bgnbd(
     A fit that did not converge, or ended at the boundary of the parameter space,
     says so in the result and in a warning.
     """
-    scale = 1.0 / check_inputs(df, frequency, recency, T)["max_t"] if scale_times else 1.0
+    checked = check_inputs(df, frequency, recency, T)
+    scale = 1.0 / checked["max_t"] if scale_times else 1.0
     grouped = materialize(grouped_inputs(df, frequency, recency, T, scale), "bgnbd_grouped")
 
     def evaluate(thetas):
@@ -465,7 +490,7 @@ def fit_bgnbd(
     start, h0 = _warm_start(grouped, penalizer) if warm_start else (np.full(4, 0.1), None)
     res = bfgs(evaluate, start, gtol=tol, max_iter=max_iter, h0=h0)
     r, alpha, a, b = np.exp(res.x).tolist()
-    return fit_result("BG/NBD", BetaGeoParams(r, alpha / scale, a, b), res)
+    return fit_result("BG/NBD", BetaGeoParams(r, alpha / scale, a, b), res, checked["n"])
 
 
 class BetaGeoModel:

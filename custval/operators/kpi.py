@@ -8,10 +8,10 @@
 * conversion: users with a target event (a purchase) over users with any
   event in the month.
 
-Activity is first reduced to distinct (customer, month) pairs - bounded by the
-number of months per customer - so the per-customer window that finds the
-previous active month never sees more than that many rows, however many
-purchases a customer makes.  The month-level tables have one row per month.
+Activity is reduced to one bitmap of months per customer and era of 62 months in
+one aggregate; a month's customers and those retained from the month before are
+bits of it, without a window over each customer's months.  The month-level tables
+have one row per month.
 """
 
 from __future__ import annotations
@@ -34,6 +34,38 @@ def monthly_activity(df: DataFrame, customer: str, date: str) -> DataFrame:
     )
 
 
+#: Months of an era: bits 1 to ERA_MONTHS of a bitmap; bit 0 is the last month of the era before.
+ERA_MONTHS = 62
+
+
+def activity_bitmaps(df: DataFrame, customer: str, date: str) -> DataFrame:
+    """customer_id, era, months: which months of each era a customer bought in, as the bits of a long.
+
+    One aggregate; every task combines its rows to one long per customer and era before the
+    exchange.  A purchase in the last month of an era also sets bit 0 of the next.
+    """
+    day = F.col(date)
+    number = F.year(day) * 12 + F.month(day) - 1
+    bought = df.filter(F.col(customer).isNotNull() & day.isNotNull()).select(F.col(customer).alias("customer_id"), number.alias("number"))
+    era, place = F.floor(F.col("number") / ERA_MONTHS), F.pmod(F.col("number"), F.lit(ERA_MONTHS)) + 1
+
+    def mark(era: Column, place: Column) -> Column:
+        return F.struct(era.cast("long").alias("era"), F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int")).alias("bit"))
+
+    twice = F.when(place == ERA_MONTHS, F.array(mark(era, place), mark(era + 1, F.lit(0)))).otherwise(F.array(mark(era, place)))
+    marks = bought.select("customer_id", F.inline(twice))
+    return marks.groupBy("customer_id", "era").agg(F.bit_or("bit").alias("months"))
+
+
+def active_months(bitmaps: DataFrame) -> DataFrame:
+    """customer_id, month, retained: every month a customer was active in, and whether in the month before too (b & b << 1)."""
+    places = F.filter(F.sequence(F.lit(1), F.lit(ERA_MONTHS)), lambda i: F.getbit("months", i) == 1)
+    rows = bitmaps.select("customer_id", "era", "months", F.explode(places).alias("place"))
+    number = F.col("era") * ERA_MONTHS + F.col("place") - 1
+    first = F.make_date((number / 12).cast("int"), (F.pmod(number, F.lit(12)) + 1).cast("int"), F.lit(1))
+    return rows.select("customer_id", first.alias("month"), (F.getbit("months", F.col("place") - 1) == 1).alias("retained"))
+
+
 def _period(month: str = "month") -> Column:
     return F.date_format(F.col(month), "yyyy-MM").alias("period")
 
@@ -68,19 +100,18 @@ def retention(df: DataFrame, customer: str, date: str) -> DataFrame:
     with the previous month: a month without activity after an active one has
     churn 1; the first month, and a month after an inactive one, has no rates.
     """
-    active = monthly_activity(df, customer, date)
-    by_customer = Window.partitionBy("customer_id").orderBy("month")
-    flagged = active.withColumn(
-        "retained", F.lag("month").over(by_customer) == F.add_months(F.col("month"), -1)
-    )
-    counted = flagged.groupBy("month").agg(
-        F.count("*").alias("active"), F.count_if(F.coalesce("retained", F.lit(False))).alias("retained")
+    counted = active_months(activity_bitmaps(df, customer, date)).groupBy("month").agg(
+        F.count("*").alias("active"), F.count_if("retained").alias("retained")
     )
-    # one row per month from here on
-    per_month = calendar(counted).join(counted, "month", "left").select(
-        "month",
-        F.coalesce("active", F.lit(0)).alias("active_customers"),
-        F.coalesce("retained", F.lit(0)).alias("retained_customers"),
+    # one row per month from here on; the months up to the next active one have no customers
+    following = F.lead("month").over(Window.orderBy("month"))
+    spans = counted.withColumn("until", F.coalesce(F.add_months(following, -1), F.col("month")))
+    every = spans.withColumn("of", F.explode(F.sequence("month", "until", F.expr("INTERVAL 1 MONTH"))))
+    here = F.col("of") == F.col("month")
+    per_month = every.select(
+        F.col("of").alias("month"),
+        F.when(here, F.col("active")).otherwise(0).alias("active_customers"),
+        F.when(here, F.col("retained")).otherwise(0).alias("retained_customers"),
     )
     before = F.lag("active_customers").over(Window.orderBy("month")).cast("double")
     rate = F.try_divide(F.col("retained_customers").cast("double"), F.col("previous"))

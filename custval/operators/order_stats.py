@@ -24,7 +24,9 @@ range-partitioned on its (unique) key.
 Very large value-only requests (a quantile of a line-level column, say) are
 first narrowed to brackets by an approximate quantile sketch; exact counts
 verify each bracket and only its rows are ordered, so the whole column is
-never shuffled.
+never shuffled.  Quantiles of several columns of a table share their reads
+(:func:`sketch_columns`, :func:`column_values`): one for counts and sketches, one for
+all brackets' counts, one for the few rows inside them.
 
 The partition count grows with the row count (``ROWS_PER_PARTITION`` rows
 each).  With more than one partition the ranged table is persisted between the
@@ -43,7 +45,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custval.session import materialize
@@ -108,7 +110,7 @@ _DECODERS = {
 }
 
 
-_NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
+NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
 def _decoder(dtype: str):
@@ -169,9 +171,9 @@ def fetch_positions(
             and r.value_only
             and r.positions
             and r.n > BRACKET_MIN_ROWS
-            and dict(r.df.dtypes)[r.order_cols[0]] in _NUMERIC
+            and dict(r.df.dtypes)[r.order_cols[0]] in NUMERIC
         ):
-            results[i] = _from_brackets(r, rows_per_partition, limit)
+            results[i] = _from_brackets(r, rows_per_partition)
     rest = [i for i, r in enumerate(results) if r is None]
     ranged = _fetch_ranged([requests[i] for i in rest], rows_per_partition)
     for i, r in zip(rest, ranged):
@@ -242,75 +244,121 @@ def _from_histogram(
     return found
 
 
-def _from_brackets(
-    req: PositionRequest, rows_per_partition: int | None, limit: int
-) -> dict[int, tuple] | None:
-    """Exact values at positions via approximate brackets; None if a bracket fails.
+def _from_brackets(req: PositionRequest, rows_per_partition: int | None) -> dict[int, tuple] | None:
+    """Exact values at positions through :func:`column_values`; None if the sketch misses."""
+    x = F.col(req.order_cols[0])
+    _, (sketch,) = sketch_columns(req.df, [x])
+    (values,) = column_values(req.df, req.order_cols[-1], [ColumnRequest(x, req.n, sketch, req.positions)], rows_per_partition)
+    rest = (None,) * (len(req.order_cols) - 1)
+    decode = _decoder(dict(req.df.dtypes)[req.order_cols[0]])
+    return None if values is None else {p: (decode(v), *rest) for p, v in values.items()}
 
-    For position p the sketch gives values lo <= hi around ranks p -/+ slack.
-    Exact counts then check count(x < lo) <= p < count(x <= hi); if so, the
-    answer is the (p - count(x < lo))-th value among the rows in [lo, hi] -
-    a small fraction of the table, fetched with the usual exact machinery.
+
+def sketch_columns(base: DataFrame, values: list[Column]) -> tuple[list[int], list[bytes]]:
+    """Non-null counts and KLL sketches of several numeric columns, in one read of ``base``.
+
+    Every scan task sketches its rows; tasks' sketches merge in SKETCH_GROUPS groups,
+    so that no task reads more than a share of them, and the groups' sketches at the end.
+    One sketch per column, a few hundred KB at most, reaches the driver.
     """
-    col = req.order_cols[0]
-    x = F.col(col)
-    n = req.n
-    positions = sorted(set(req.positions))
-    slack = int(n * 2.3 / SKETCH_K**0.9) + 2
-    ranks = [r for p in positions for r in (max(0.0, (p - slack) / n), min(1.0, (p + slack + 1) / n))]
-    bounds = sketch_quantiles(req.df, col, ranks)
-    lows, highs = bounds[0::2], bounds[1::2]
-    k = len(positions)
-    counts = req.df.agg(
-        *[
-            agg
-            for i in range(k)
-            for agg in (
-                F.count_if(x < F.lit(lows[i])).alias(f"below{i}"),
-                F.count_if((x >= F.lit(lows[i])) & (x <= F.lit(highs[i]))).alias(f"inside{i}"),
-            )
-        ]
-    ).collect()[0]
-    found: dict[int, tuple] = {}
-    todo = []
-    rest_none = (None,) * (len(req.order_cols) - 1)
-    for i, p in enumerate(positions):
-        below, inside = counts[f"below{i}"], counts[f"inside{i}"]
-        if not below <= p < below + inside:
-            return None  # the sketch missed: use an exact path for this request
-        if lows[i] == highs[i]:
-            found[p] = (lows[i],) + rest_none
-            continue
-        if inside * 4 > n:
-            return None  # no real narrowing (heavy ties inside): exact path instead
-        todo.append((p, lows[i], highs[i], p - below, inside))
-    if todo:
-        # one more read: the rows of all brackets, a small part of the column, are written once
-        inside_any = reduce(lambda a, b: a | b, [x.between(F.lit(lo), F.lit(hi)) for _, lo, hi, _, _ in todo])
-        near = materialize(req.df.filter(inside_any).select(*req.order_cols), "brackets")
-        subs = [
-            PositionRequest(near.filter(x.between(F.lit(lo), F.lit(hi))), req.order_cols, [at], size, True)
-            for _, lo, hi, at, size in todo
-        ]
-        for (p, _, _, at, _), res in zip(todo, fetch_positions(subs, rows_per_partition, limit)):
-            found[p] = res[at]
-    return found
+    group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g")
+    rows = base.select(*[v.cast("double").alias(f"x{i}") for i, v in enumerate(values)], group)
+    many = range(len(values))
+    level = rows.groupBy("g").agg(
+        *[F.count(f"x{i}").alias(f"n{i}") for i in many], *[F.kll_sketch_agg_double(f"x{i}", F.lit(SKETCH_K)).alias(f"s{i}") for i in many]
+    )
+    row = level.agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in many], *[F.kll_merge_agg_double(f"s{i}", F.lit(SKETCH_K)).alias(f"s{i}") for i in many]).first()
+    return [row[f"n{i}"] or 0 for i in many], [row[f"s{i}"] for i in many]
+
+
+def quantiles_of(spark: SparkSession, sketches: list[bytes], ranks: list[list[float]]) -> list[list[float]]:
+    """Values at the ranks (0 to 1) of each sketch; a local relation, no job."""
+    if not sketches:
+        return []
+    one = spark.createDataFrame([tuple(map(bytearray, sketches))], ", ".join(f"s{i} binary" for i in range(len(sketches))))
+    parts = [F.kll_sketch_get_quantile_double(f"s{i}", F.array(*[F.lit(float(r)) for r in rs])).alias(f"v{i}") for i, rs in enumerate(ranks)]
+    return [list(v) for v in one.select(*parts).first()]
 
 
 def sketch_quantiles(df: DataFrame, col: str, ranks: list[float]) -> list[float]:
-    """Approximate values at the ranks (0 to 1), by a KLL sketch merged in two levels.
+    """Approximate values of one column at the ranks (0 to 1)."""
+    _, sketches = sketch_columns(df, [F.col(col)])
+    return quantiles_of(df.sparkSession, sketches, [ranks])[0]
 
-    Every scan task sketches its rows; tasks' sketches merge in SKETCH_GROUPS groups,
-    so that no task reads more than a share of them, and the groups' sketches at the end.
+
+@dataclass
+class ColumnRequest:
+    """The values at 0-based ``positions`` of the ascending non-null values of ``value``, of which there are ``n``."""
+
+    value: Column
+    n: int
+    sketch: bytes
+    positions: list[int]
+
+
+def column_values(base: DataFrame, tie: str, requests: list[ColumnRequest], rows_per_partition: int | None = None) -> list[dict[int, float] | None]:
+    """Exact values at positions of several columns of ``base``, with at most two reads for all of them.
+
+    For neighbouring positions a sketch gives values lo <= hi around their ranks.  One aggregate counts, for every
+    such bracket, the rows below lo, at lo, between, and at hi: positions at lo or hi are settled, however many
+    rows share the value.  Few rows lie strictly between; those of all brackets and columns are written in one tagged
+    read and ordered by (value, ``tie``).  None for a column whose sketch missed (to be ordered in full).
     """
-    x = F.col(col).cast("double")
-    group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS))
-    level = (
-        df.select(x.alias("x"), group.alias("g")).groupBy("g").agg(F.kll_sketch_agg_double("x", F.lit(SKETCH_K)).alias("s"))
+    spark = base.sparkSession
+    brackets = [_joined_positions(r.positions, r.n) for r in requests]
+    bounds = quantiles_of(
+        spark, [r.sketch for r in requests], [[q for _, low, high in bs for q in (low, high)] or [0.0] for bs in brackets]
     )
-    merged = level.agg(F.kll_merge_agg_double("s", F.lit(SKETCH_K)).alias("s"))
-    values = F.kll_sketch_get_quantile_double("s", F.array(*[F.lit(float(r)) for r in ranks]))
-    return list(merged.select(values.alias("v")).first()["v"])
+    todo = [(i, ps, v[2 * j], v[2 * j + 1]) for i, (bs, v) in enumerate(zip(brackets, bounds, strict=True)) for j, (ps, _, _) in enumerate(bs)]
+    if not todo:
+        return [{} for _ in requests]
+    value = [r.value.cast("double") for r in requests]
+    between = [(value[i] > F.lit(lo)) & (value[i] < F.lit(hi)) for i, _, lo, hi in todo]
+    counts = base.agg(
+        *[
+            F.count_if(test).alias(f"c{j}_{k}")
+            for j, (i, _, lo, hi) in enumerate(todo)
+            for k, test in enumerate((value[i] < F.lit(lo), value[i] == F.lit(lo), between[j], (value[i] == F.lit(hi)) & F.lit(lo < hi)))
+        ]
+    ).first()
+    found: list[dict[int, float] | None] = [{} for _ in requests]
+    inner: dict[int, list[tuple[int, int]]] = {}
+    for j, (i, positions, lo, hi) in enumerate(todo):
+        below, low, mid, high = (counts[f"c{j}_{k}"] for k in range(4))
+        for p in positions:
+            if found[i] is None:
+                continue
+            at = p - below
+            if not 0 <= at < low + mid + high:
+                found[i] = None
+            elif at < low:
+                found[i][p] = lo
+            elif at >= low + mid:
+                found[i][p] = hi
+            else:
+                inner.setdefault(j, []).append((p, at - low))
+    inner = {j: ps for j, ps in inner.items() if found[todo[j][0]] is not None}
+    if inner:
+        tagged = [F.when(between[j], F.struct(F.lit(j).alias("tag"), value[todo[j][0]].alias("x"), F.col(tie).alias("k"))) for j in inner]
+        near = materialize(base.select(F.inline(F.array_compact(F.array(*tagged)))), "brackets")
+        subs = [PositionRequest(near.where(F.col("tag") == j), ["x", "k"], [at for _, at in ps], counts[f"c{j}_2"], True) for j, ps in inner.items()]
+        for (j, ps), res in zip(inner.items(), fetch_positions(subs, rows_per_partition), strict=True):
+            for p, at in ps:
+                found[todo[j][0]][p] = res[at][0]
+    return found
+
+
+def _joined_positions(positions: list[int], n: int) -> list[tuple[list[int], float, float]]:
+    """(positions, lowest rank, highest rank) of brackets: neighbours share one."""
+    slack = int(n * 2.3 / SKETCH_K**0.9) + 2
+    out: list[tuple[list[int], float, float]] = []
+    for p in sorted(set(positions)):
+        high = min(1.0, (p + slack + 1) / n)
+        if out and p - out[-1][0][-1] <= 1:
+            out[-1] = ([*out[-1][0], p], out[-1][1], high)
+        else:
+            out.append(([p], max(0.0, (p - slack) / n), high))
+    return out
 
 
 def _fetch_ranged(

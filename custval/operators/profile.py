@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from custval.operators.quantiles import quantiles_many
+from custval.operators.quantiles import quantiles_and_metrics
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -41,18 +41,12 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def describe(df: DataFrame, cols: Sequence[str] | None = None, key: str | None = None) -> DataFrame:
     """count, mean, std (sample), min, 25/50/75 % (exact, linear), max per column."""
     cols = list(cols or numeric_columns(df))
-    aggs = []
+    df = df.select(*dict.fromkeys([*cols, key] if key else cols))  # observed rows are not pruned by the optimizer
+    metrics = {}
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        aggs += [
-            F.count(x).alias(f"n{i}"),
-            F.avg(x).alias(f"mean{i}"),
-            F.stddev_samp(x).alias(f"std{i}"),
-            F.min(x).alias(f"min{i}"),
-            F.max(x).alias(f"max{i}"),
-        ]
-    moments = df.agg(*aggs).collect()[0]
-    quartiles = quantiles_many(df, [(c, [0.25, 0.5, 0.75]) for c in cols], key)
+        metrics |= {f"n{i}": F.count(x), f"mean{i}": F.avg(x), f"std{i}": F.stddev_samp(x), f"min{i}": F.min(x), f"max{i}": F.max(x)}
+    quartiles, moments = quantiles_and_metrics(df, [(c, [0.25, 0.5, 0.75]) for c in cols], metrics, key)
     rows = []
     for i, c in enumerate(cols):
         p25, p50, p75 = quartiles[i]

@@ -21,10 +21,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from custval.operators.order_stats import PositionRequest, fetch_positions
+from custval.operators.order_stats import NUMERIC, ColumnRequest, PositionRequest, column_values, fetch_positions, sketch_columns
 
 _TIE = "__tie"
 
@@ -138,8 +138,43 @@ def quantiles_many(
 
     ``requests`` holds (column, probabilities) pairs; nulls and NaN are ignored.
     ``key`` (a unique column) breaks ties so range partitions stay balanced.
+    Numeric columns take three reads of ``df`` at most, however many they are.
     """
+    return quantiles_and_metrics(df, requests, {}, key, rows_per_partition)[0]
+
+
+def quantiles_and_metrics(
+    df: DataFrame,
+    requests: Sequence[tuple[str, Sequence[float]]],
+    metrics: dict[str, Column],
+    key: str | None = None,
+    rows_per_partition: int | None = None,
+) -> tuple[list[list[float]], dict]:
+    """:func:`quantiles_many`, and aggregates of ``df`` that are observed in its first read."""
+    observation = Observation() if metrics else None
     base, tie = _tie_frame(df, key)
+    seen = base.observe(observation, *[m.alias(name) for name, m in metrics.items()]) if metrics else base
+    if any(dict(df.dtypes)[c] not in NUMERIC for c, _ in requests):
+        return _quantiles_ranged(seen, df, requests, tie, rows_per_partition), observation.get if metrics else {}
+    values = [F.when(_valid(df, c), F.col(c)) for c, _ in requests]
+    counts, sketches = sketch_columns(seen, values)
+    plans = [_quantile_points(n, probs) if n else [] for n, (_, probs) in zip(counts, requests, strict=True)]
+    some = [i for i, n in enumerate(counts) if n]
+    needed = [[j for a, b, _ in plans[i] for j in (a, b)] for i in some]
+    found = column_values(
+        base, tie, [ColumnRequest(values[i], counts[i], sketches[i], ps) for i, ps in zip(some, needed, strict=True)], rows_per_partition
+    )
+    out: list[list[float]] = [[math.nan] * len(probs) for _, probs in requests]
+    for i, st in zip(some, found, strict=True):
+        if st is None:
+            out[i] = _quantiles_ranged(base, df, [requests[i]], tie, rows_per_partition)[0]
+        else:
+            out[i] = [_lerp(st[a], st[b], g) for a, b, g in plans[i]]
+    return out, observation.get if metrics else {}
+
+
+def _quantiles_ranged(base: DataFrame, df: DataFrame, requests: Sequence[tuple[str, Sequence[float]]], tie: str, rows_per_partition: int | None):
+    """:func:`quantiles_many` by ordering each column by itself."""
     counts = _counts(base, df, [c for c, _ in requests])
     plans, position_requests = [], []
     for i, (c, probs) in enumerate(requests):
@@ -148,9 +183,7 @@ def quantiles_many(
         plans.append(points)
         needed = sorted({j for a, b, _ in points for j in (a, b)})
         values = base.filter(_valid(df, c)).select(c, tie)
-        position_requests.append(
-            PositionRequest(values, [c, tie], needed, n, True, counts[f"d{i}"])
-        )
+        position_requests.append(PositionRequest(values, [c, tie], needed, n, True, counts[f"d{i}"]))
     stats = fetch_positions(position_requests, rows_per_partition)
     out = []
     for (c, probs), points, st in zip(requests, plans, stats):
@@ -197,16 +230,23 @@ def qcut_many(
     cuts: Sequence[Cut],
     key: str | None = None,
     rows_per_partition: int | None = None,
+    counts: dict[str, tuple[int, int]] | None = None,
 ) -> DataFrame:
-    """Add one bin column per :class:`Cut`; all edges found in two jobs."""
+    """Add one bin column per :class:`Cut`; all edges found in two jobs.
+
+    ``counts`` holds, where the caller knows them, each column's number of values (neither null nor NaN)
+    and its approximate number of distinct values; otherwise a job counts them.
+    """
     if any(c.by_rank for c in cuts) and key is None:
         raise ValueError("rank cuts need a unique key column")
     base, tie = _tie_frame(df, key)
-    counts = _counts(base, df, [c.col for c in cuts])
+    if counts is None:
+        row = _counts(base, df, [c.col for c in cuts])
+        counts = {c.col: (row[f"n{i}"], row[f"d{i}"]) for i, c in enumerate(cuts)}
     probs = {c.q: np.linspace(0, 1, c.q + 1) for c in cuts}
     plans, position_requests = [], []
-    for i, c in enumerate(cuts):
-        n = counts[f"n{i}"]
+    for c in cuts:
+        n, distinct = counts[c.col]
         if n == 0:
             # nothing to cut: every bin is null (e.g. a CLV that is null throughout)
             plans.append(None)
@@ -223,7 +263,7 @@ def qcut_many(
             plans.append((points, None, needed))
         values = base.filter(_valid(df, c.col)).select(c.col, tie)
         position_requests.append(
-            PositionRequest(values, [c.col, tie], needed, n, not c.by_rank, counts[f"d{i}"])
+            PositionRequest(values, [c.col, tie], needed, n, not c.by_rank, distinct)
         )
     stats = iter(fetch_positions(position_requests, rows_per_partition))
 

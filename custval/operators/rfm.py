@@ -82,9 +82,12 @@ def rfm_scores(
     q: int = 5,
     mapping: dict[str, str] | None = None,
     rows_per_partition: int | None = None,
+    counts: dict[str, tuple[int, int]] | None = None,
 ) -> DataFrame:
     """Add 1..5 scores, the RF/RFM score strings and the segment.
 
+    ``counts`` (see :func:`~custval.operators.quantiles.qcut_many`) saves the job that counts the rows.
+
     recency: qcut with reversed labels (recent = 5); frequency: qcut of the
     unique rank (ties broken by ``key``); monetary: qcut.
     """
@@ -93,7 +96,7 @@ def rfm_scores(
         Cut("frequency", q, list(range(1, q + 1)), "frequency_score", by_rank=True),
         Cut("monetary", q, list(range(1, q + 1)), "monetary_score"),
     ]
-    scored = qcut_many(rfm, cuts, key, rows_per_partition)
+    scored = qcut_many(rfm, cuts, key, rows_per_partition, counts)
     return scored.withColumns(
         {
             "RF_SCORE": score_string("recency_score", "frequency_score"),

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custval.operators.bgnbd import (
     BetaGeoParams,
     FitResult,
     alive_odds,
-    expected_if_alive,
+    expected_of_pairs,
     fit_bgnbd,
     probability_of_n_purchases,
 )
@@ -40,6 +41,33 @@ class Prediction:
     bgnbd: FitResult | None
     gamma_gamma: FitResult | None
 
+    @property
+    def boundary(self) -> bool:
+        """Whether a fit ended at the boundary of its parameters: the predictions then hang on the penalty."""
+        return any(fit is not None and fit.boundary for fit in (self.bgnbd, self.gamma_gamma))
+
+    @property
+    def q_at_most_1(self) -> bool:
+        """Whether the population mean of the spend does not exist: expected profits are then no shrunk means."""
+        return self.gamma_gamma is not None and self.gamma_gamma.params.q <= 1
+
+    def remarks(self) -> list[str]:
+        """What a reader of the table should know about the fits."""
+        fits = (("BG/NBD", self.bgnbd), ("Gamma-Gamma", self.gamma_gamma))
+        out = [f"the {name} fit did not converge" for name, fit in fits if fit is not None and not fit.converged]
+        out += [f"the {name} fit ended at the boundary of its parameters" for name, fit in fits if fit is not None and fit.boundary]
+        return out + ["Gamma-Gamma q <= 1: expected profits are no shrunk means"] * self.q_at_most_1
+
+
+#: What the expected purchases of a pair cost within one time, and what a task should take, in seconds.
+PAIR_SECONDS = 20e-6
+TASK_SECONDS = 10.0
+
+
+def scoring_tasks(spark: SparkSession, rows: int | None, times: int) -> int:
+    """Tasks for the pairs: as many as run at once, more if ``rows`` pairs would keep them longer than TASK_SECONDS."""
+    return max(2, spark.sparkContext.defaultParallelism, math.ceil((rows or 0) * times * PAIR_SECONDS / TASK_SECONDS))
+
 
 def score_customers(
     inputs: DataFrame,
@@ -51,16 +79,21 @@ def score_customers(
     months: int = 3,
     discount_rate: float = 0.01,
     freq: str = "W",
+    rows: int | None = None,
 ) -> DataFrame:
     """Add expected purchases per horizon, expected profit and discounted CLV.
 
-    One narrow step over the customers (no distinct, no join): what a live customer is expected to buy depends on
-    (frequency, T) only and is evaluated once for each distinct pair of an Arrow batch; recency enters row by row.
+    What a live customer is expected to buy depends on (frequency, T) only: it is
+    evaluated once for each distinct pair and joined back (the pairs are few where
+    customers are many; the strategy is left to Spark), recency enters row by row.
+    ``rows`` bounds the number of pairs, if known: the pairs are dealt to tasks by what they cost.
     """
     x, tx, age, m = cols
     horizons = RETAIL_HORIZONS if horizons is None else horizons
     times = [*map(float, horizons.values()), *purchase_horizons(months, freq)]
-    gained = inputs.withColumn("_gains", expected_if_alive(bg, times, x, age))
+    pairs = inputs.select(F.col(x).alias("_x"), F.col(age).alias("_T")).distinct()
+    gains = expected_of_pairs(bg, times, pairs, scoring_tasks(inputs.sparkSession, rows, len(times))).withColumnRenamed("gains", "_gains")
+    gained = inputs.join(gains, (F.col(x) == F.col("_x")) & (F.col(age) == F.col("_T")), "left")
     odds = alive_odds(bg, x, tx, age)
     profit = expected_average_profit(gg, x, m)
     monthly = F.slice("_gains", len(horizons) + 1, months)
@@ -91,7 +124,7 @@ def clv_predict(
     bg = fit_bgnbd(inputs, x, tx, age, bg_penalizer)
     gg = fit_gamma_gamma(inputs, x, m, gg_penalizer)
     scored = materialize(
-        score_customers(inputs, bg.params, gg.params, cols, horizons, profit_col, months, discount_rate, freq),
+        score_customers(inputs, bg.params, gg.params, cols, horizons, profit_col, months, discount_rate, freq, bg.rows),
         "clv_scored",
     )
     segmented = qcut(scored, "clv", len(labels), list(labels), segment_col, "customer_id")

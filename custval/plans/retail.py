@@ -13,9 +13,9 @@ from custval.operators.outliers import cap_upper
 from custval.operators.quantiles import qcut
 from custval.functions.dates import days_between, ntz_literal
 from custval.operators.rfm import customer_activity, rfm_scores, with_line_total, with_recency
-from custval.session import materialize
+from custval.session import materialize, materialize_observed
 from custval.sources.sinks import write_table
-from custval.sources.tables import default_analysis_date
+from custval.sources.tables import date_after
 
 
 def rfm_retail(
@@ -30,15 +30,21 @@ def rfm_retail(
 
     line total -> drop rows with any null -> drop cancelled invoices ->
     per-customer metrics -> keep monetary > 0 -> scores -> segment.
-    The per-customer table is materialised once (the analysis date and the
-    quantile cuts read it again; the raw lines are scanned once).
+    The per-customer table is materialised once (the quantile cuts read it again; the
+    raw lines are scanned once); the analysis date and the cuts' counts are observed
+    while it is written.
     """
     prepared = drop_cancelled(drop_nulls(with_line_total(lines)))
-    activity = materialize(customer_activity(prepared), "customer_activity")
+    paid = F.col("monetary") > 0
+    measured = {"recency": F.to_date("last_date"), "frequency": F.col("frequency"), "monetary": F.col("monetary")}
+    seen = {f"n_{c}": F.count_if(paid & x.isNotNull()) for c, x in measured.items()}
+    seen |= {f"d_{c}": F.approx_count_distinct(F.when(paid, x)) for c, x in measured.items()}
+    activity, found = materialize_observed(customer_activity(prepared), "customer_activity", latest=F.max("last_date"), **seen)
     if analysis_date is None:
-        analysis_date = default_analysis_date(activity, "last_date")
+        analysis_date = date_after(found["latest"], "last_date")
     metrics = with_recency(activity, analysis_date).filter("monetary > 0")
-    scored = rfm_scores(metrics, mapping=mapping, rows_per_partition=rows_per_partition)
+    counts = {c: (found[f"n_{c}"], found[f"d_{c}"]) for c in measured}
+    scored = rfm_scores(metrics, mapping=mapping, rows_per_partition=rows_per_partition, counts=counts)
     if not keep_scores:
         scored = scored.select("customer_id", "recency", "frequency", "monetary", "segment")
     if output_path is not None:
@@ -112,7 +118,7 @@ def model_inputs_retail(
     total = F.sum("TotalPrice")
     if money_decimals is not None:
         total = F.round(total, money_decimals)
-    per_customer = materialize(
+    per_customer, found = materialize_observed(
         kept.groupBy(F.col("Customer ID").alias("customer_id")).agg(
             F.min("InvoiceDate").alias("first_date"),
             F.max("InvoiceDate").alias("last_date"),
@@ -120,9 +126,10 @@ def model_inputs_retail(
             total.alias("total"),
         ),
         "model_customers",
+        latest=F.max("last_date"),
     )
     if analysis_date is None:
-        analysis_date = default_analysis_date(per_customer, "last_date")
+        analysis_date = date_after(found["latest"], "last_date")
     inputs = per_customer.select(
         "customer_id",
         (days_between("last_date", "first_date") / F.lit(7.0)).alias("recency"),

@@ -18,7 +18,7 @@ import tempfile
 import uuid
 from typing import ClassVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -105,6 +105,13 @@ class Scratch:
             cls._open[-1].paths.append(path)
 
 
+def materialize_observed(df: DataFrame, label: str = "table", **metrics: Column) -> tuple[DataFrame, dict]:
+    """:func:`materialize`, and aggregates of the rows that are collected while they are written, without a job of their own."""
+    observation = Observation(label)
+    kept = materialize(df.observe(observation, *[metric.alias(name) for name, metric in metrics.items()]), label)
+    return kept, observation.get
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and read it back."""
     spark = df.sparkSession

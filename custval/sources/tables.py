@@ -94,7 +94,11 @@ def default_analysis_date(df: DataFrame, date_col: str, days_after: int = 2) ->
     The reference picks its analysis date by hand as "two days after the
     latest invoice"; this is that rule.  One scalar reaches the driver.
     """
-    latest = df.agg(F.max(date_col).alias("d")).collect()[0]["d"]
+    return date_after(df.agg(F.max(date_col).alias("d")).collect()[0]["d"], date_col, days_after)
+
+
+def date_after(latest: dt.date | None, date_col: str, days_after: int = 2) -> dt.datetime:
+    """Midnight ``days_after`` days after the latest date of a column."""
     if latest is None:
         raise ValueError(f"{date_col} has no values")
     day = dt.datetime(latest.year, latest.month, latest.day)

@@ -636,9 +636,9 @@ ORACLE.update(
         + f""" SELECT customer_id, {sig(clv_sql(3, "frequency", "recency", '"T"', "monetary"), MODEL_DIGITS)} AS clv
              FROM inputs""",
         "clv_merged": RETAIL_INPUTS
-        + f""" SELECT customer_id, i.frequency, some.clv FROM inputs AS i LEFT JOIN (
+        + f""" SELECT customer_id, i.frequency, kept.clv FROM inputs AS i LEFT JOIN (
                SELECT customer_id, {sig(clv_sql(3, "frequency", "recency", '"T"', "monetary"), MODEL_DIGITS)} AS clv
-               FROM inputs WHERE frequency >= 3) AS some USING (customer_id)""",
+               FROM inputs WHERE frequency >= 3) AS kept USING (customer_id)""",
         "preview_size": "WITH " + INVOICE_LINES + " SELECT count(*) AS rows FROM (SELECT * FROM invoice_lines LIMIT 5)",
         "expected_total": RETAIL_INPUTS
         + f""" SELECT count(*) AS customers,
