@@ -29,20 +29,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from custval.llm.common import keyed
+from custval.operators.order_stats import global_rank
 from custval.session import materialize
 
 #: Ranges that one pass of the search tells apart in each node.
 BINS = 1024
-#: Share of a leaf: points above it are dealt into pieces; a cut closer than a tenth of it is good enough.
+#: Share of a leaf: groups of copies above it are placed before the tree; a cut closer than a tenth of it is good enough.
 SPLIT = 0.005
 #: Documents of a hash range that are numbered together.
 RANGE_ROWS = 4096
 
 
-def text_order(value: Column) -> Column:
-    """An integer that orders strings by their first seven bytes; null first."""
-    head = F.rpad(F.hex(F.substring(F.encode(value, "utf-8"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1).cast("long"))
+def value_ranks(docs: DataFrame, column: str) -> DataFrame:
+    """value, rank: the distinct values of a text column, numbered in the order of their bytes (whole values, no prefix)."""
+    values = docs.select(F.col(column).cast("string").alias("value")).where("value is not null").distinct()
+    return global_rank(values, ["value"], "rank")
+
+
+def place_groups(sizes: list[tuple[int, int]], shards: int, leaf: float) -> tuple[dict[int, int], list[float]]:
+    """Shard of each group of copies (hash, bytes) that fits whole, and what every shard has left then.
+
+    The largest first, each into the shard with the most room; a group beyond the room of every shard gets none.
+    """
+    room = [leaf] * shards
+    placed = {}
+    for key, size in sorted(sizes, key=lambda g: (-g[1], g[0])):
+        best = max(range(shards), key=lambda s: room[s])
+        if size <= room[best]:
+            placed[key] = best
+            room[best] -= size
+    return placed, room
 
 
 def _case(values: dict[int, Column], of: Column) -> Column:
@@ -143,12 +159,16 @@ def kd_shards(
     """One row per document: doc_id, size, text_crc32, shard, slot.
 
     ``shards`` leaves, or as many as reach ``target_bytes``.  ``dimensions`` are integer
-    columns of ``docs`` (default: the text's length, source, language); a text takes the
-    least value over its copies.
+    columns of ``docs`` (default: the text's length, and the ranks of source and language among
+    their values); a text takes the least value over its copies.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     if dimensions is None:
-        dimensions = [F.length(text), text_order(F.col("source")), text_order(F.col("lang"))]
+        dimensions = [F.length(text)]
+        for i, column in enumerate(("source", "lang")):
+            ranks = value_ranks(docs, column).select(F.col("value").alias(f"__value_{i}"), F.col("rank").alias(f"__rank_{i}"))
+            docs = docs.join(ranks, docs[column].cast("string") == F.col(f"__value_{i}"), "left")
+            dimensions.append(F.col(f"__rank_{i}"))
     dims = [f"dim_{i}" for i in range(len(dimensions))]
     columns = {d: F.coalesce(c.cast("long"), F.lit(-1).cast("long")) for d, c in zip(dims, dimensions, strict=True)}
     body = text.cast("binary")
@@ -160,17 +180,20 @@ def kd_shards(
     leaves = shards if shards else max(1, -(-total // target_bytes))
     leaf = total / leaves
 
-    texts = rows.groupBy("hash").agg(F.sum("size").alias("text_bytes"), *[F.min(d).alias(d) for d in dims])
-    large = texts.where(F.col("text_bytes") > SPLIT * leaf)
-    pieces = F.ceil(F.col("text_bytes") / F.lit(max(SPLIT * leaf, 1.0))).cast("int")
-    split = large.select("hash", pieces.alias("pieces"))
-    rows = rows.join(split, "hash", "left").withColumn(
+    texts = rows.groupBy("hash").agg(F.sum("size").alias("text_bytes"), F.count("*").alias("copies"), *[F.min(d).alias(d) for d in dims])
+    # groups of copies that would unbalance a cut: at most leaves / SPLIT of them
+    large = [(r.hash, r.text_bytes) for r in texts.where((F.col("text_bytes") > SPLIT * leaf) & (F.col("copies") > 1)).select("hash", "text_bytes").collect()]
+    whole_groups, room = place_groups(large, leaves, leaf)
+    of_group = [(key, whole_groups.get(key), None if key in whole_groups else math.ceil(size / max(SPLIT * leaf, 1.0))) for key, size in large]
+    split = rows.sparkSession.createDataFrame(of_group, "hash long, fixed int, pieces int")
+    rows = rows.join(F.broadcast(split), "hash", "left").withColumn(
         "piece", F.when(F.col("pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), "pieces")).cast("int")
     )
     points = materialize(
-        rows.groupBy("hash", "piece")
+        rows.where("fixed is null")
+        .groupBy("hash", "piece")
         .agg(F.sum("size").alias("bytes"))
-        .join(texts.drop("text_bytes"), "hash")
+        .join(texts.drop("text_bytes", "copies"), "hash")
         .withColumn("node", F.lit(0)),
         "points",
     )
@@ -188,7 +211,8 @@ def kd_shards(
             if k > 1:
                 wide = [(r[f"b{d}"] - r[f"a{d}"]) / w if w else 0.0 for d, w in zip(dims, whole, strict=True)]
                 keys[r.node] = F.col(dims[wide.index(max(wide))])
-                shares[r.node] = (r.bytes * (k // 2) / k, SPLIT * leaf / 10)
+                left, both = sum(room[r.node : r.node + k // 2]), sum(room[r.node : r.node + k])
+                shares[r.node] = (r.bytes * (left / both if both > 0 else k // 2 / k), SPLIT * leaf / 10)
         side = F.lit(0)
         for node, (prefix, last) in _cuts(points, keys, shares).items():
             order = [keys[node], F.col("hash"), F.col("piece").cast("long")]
@@ -199,7 +223,9 @@ def kd_shards(
         points = materialize(points.withColumn("node", F.col("node") + side), "points")
         nodes = {first: k for node, count in nodes.items() for first, k in _halves(node, count)}
 
-    placed = rows.join(points.select("hash", "piece", F.col("node").alias("shard")), ["hash", "piece"])
+    of_tree = rows.where("fixed is null").join(points.select("hash", "piece", F.col("node").alias("shard")), ["hash", "piece"])
+    columns = ["doc_id", "size", "text_crc32", "hash", "shard"]
+    placed = of_tree.select(*columns).union(rows.where("fixed is not null").withColumn("shard", F.col("fixed")).select(*columns))
     order = F.shiftrightunsigned(F.xxhash64("doc_id", "hash"), 1)  # 63 bits
     bits = max(0, math.ceil(math.log2(max(1, n) / leaves / RANGE_ROWS)))
     part = F.shiftright(order, 63 - bits) if bits else F.lit(0).cast("long")

@@ -108,3 +108,41 @@ def test_edges(spark):
 
 def test_empty_table(spark):
     assert K.kd_shards(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_values_with_a_common_start(spark):
+    """source_01 to source_20 are twenty values: the tree splits by source where nothing else differs."""
+    rows = [(i, f"text {i:05}", "en", f"source_{i % 20 + 1:02}", "") for i in range(2000)]
+    got = check(K.kd_shards(spark.createDataFrame(rows, SCHEMA), shards=4), rows, 4, 60)
+    shards = {}
+    for r in got:
+        shards.setdefault(r.doc_id % 20, set()).add(r.shard)
+    assert sum(len(s) == 1 for s in shards.values()) >= 17
+    ranks = {r.value: r["rank"] for r in K.value_ranks(spark.createDataFrame(rows, SCHEMA), "source").collect()}
+    assert [ranks[v] for v in sorted(ranks, key=str.encode)] == list(range(1, 21))
+
+
+def test_copies_share_a_shard_unless_it_is_too_small(spark):
+    """Groups of a tenth to nine tenths of a shard stay whole, and the shards stay even; one of two shards' size is split."""
+    rnd = random.Random(6)
+    rows, i = [], 0
+    for size in (9000, 7000, 6000, 5000, 3000, 2000, 1500, 1000, 20_000):
+        text = "".join(rnd.choice("abcdef ") for _ in range(99))
+        for _ in range(size // 100):
+            rows.append((i, text, "en", "s", ""))
+            i += 1
+    while i * 100 < 80_000:
+        rows.append((i, "".join(rnd.choice("abcdef ") for _ in range(99)), rnd.choice(["en", "de"]), f"s{i % 7}", ""))
+        i += 1
+    got = check(K.kd_shards(spark.createDataFrame(rows, SCHEMA).repartition(3), shards=8), rows, 8, 250)
+    text, groups = {r[0]: r[1] for r in rows}, {}
+    for r in got:
+        groups.setdefault(text[r.doc_id], set()).add(r.shard)
+    apart = [t for t, s in groups.items() if len(s) > 1]
+    assert len(apart) == 1 and sum(t == apart[0] for t in text.values()) == 200
+
+
+def test_whole_table_keeps_its_groups(spark):
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    apart = K.kd_shards(docs).groupBy("text_crc32", "size").agg(F.count_distinct("shard").alias("n")).where("n > 1").count()
+    assert apart == 0
