@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from custval.llm.common import keyed
 
 BEGIN, AFTER_ROLE, END = "### ", ": ", "</turn>\n"
+#: Turns whose places are summed up together.
+STEP = 256
 #: One turn of a formatted conversation, starting where the last one ended.
 TURN = r"(?s)\G### (.*?): (.*?)</turn>\n"
 
@@ -56,14 +58,38 @@ def parse(formatted: Column) -> Column:
         F.regexp_extract_all(formatted, F.lit(TURN), F.lit(2)).alias("text"),
     )
     fixed = len(BEGIN) + len(AFTER_ROLE)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<role:string,text:string,start:int>>").alias("turns"))
 
-    def merge(acc: Column, t: Column) -> Column:
-        begin = acc["at"] + fixed + F.length(t["role"])
-        one = F.struct(t["role"].alias("role"), t["text"].alias("text"), begin.alias("start"))
-        return F.struct((begin + F.length(t["text"]) + len(END)).alias("at"), F.concat(acc["turns"], F.array(one)).alias("turns"))
+    def taken(t: Column) -> Column:
+        return F.length(t["role"]) + F.length(t["text"]) + fixed + len(END)
 
-    return F.aggregate(turns, start, merge, lambda acc: acc["turns"])
+    def running(values: Column) -> Column:
+        """Sums of the elements before each; arrays grow by copying, so STEP at a time."""
+        nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("sums"))
+        return F.aggregate(
+            values, nothing, lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["sums"], F.array(acc["at"])).alias("sums"))
+        )
+
+    def part(turns: Column, k: Column) -> Column:
+        some = F.slice(turns, k * STEP + 1, STEP)
+        return F.struct(some.alias("turns"), running(F.transform(some, taken)).alias("before"))
+
+    def placed(parts: Column) -> Column:
+        bases = running(F.transform(parts, lambda p: p["before"]["at"]))["sums"]
+
+        def starts(p: Column, base: Column) -> Column:
+            return F.zip_with(
+                p["turns"],
+                p["before"]["sums"],
+                lambda t, at: F.struct(t["role"].alias("role"), t["text"].alias("text"), (base + at + fixed + F.length(t["role"])).alias("start")),
+            )
+
+        return F.flatten(F.zip_with(parts, bases, starts))
+
+    def numbers(turns: Column) -> Column:
+        return F.sequence(F.lit(0), F.floor(F.size(turns) / STEP).cast("int"))
+
+    parts = F.transform(F.array(turns), lambda ts: F.transform(numbers(ts), lambda k: part(ts, k)))
+    return F.transform(parts, placed)[0]
 
 
 def _same(rendered: Column, role: Column, text: Column) -> Column:
@@ -99,7 +125,7 @@ def read_chats(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """What the parser recovers: the columns of ``formatted``, turns (role, text), and the loss mask.
 
     ``loss`` holds the spans (start, end) of the texts of ``loss_role`` in the formatted
-    string, in code points; ``loss_text`` their unescaped content.
+    string, in code points; ``loss_text`` their unescaped content, as the parser read it there.
     """
     found = formatted.withColumn("parsed", parse(F.col("formatted")))
     of_loss = F.filter("parsed", lambda t: t["role"] == loss_role)
@@ -107,11 +133,7 @@ def read_chats(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
         "*",
         F.transform("parsed", lambda t: F.struct(unescape(t["role"]).alias("role"), unescape(t["text"]).alias("text"))).alias("turns"),
         F.transform(of_loss, lambda t: F.struct(t["start"].alias("start"), (t["start"] + F.length(t["text"])).alias("end"))).alias("loss"),
-    ).withColumn(
-        "loss_text",
-        F.array_join(
-            F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), ""
-        ),
+        F.array_join(F.transform(of_loss, lambda t: unescape(t["text"])), "").alias("loss_text"),
     )
 
 

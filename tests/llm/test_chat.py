@@ -87,3 +87,28 @@ def test_sql_on_hard_texts(spark, tmp_path):
 
 def test_empty_table(spark):
     assert C.chat_digests(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_spans_are_where_the_texts_stand(spark):
+    df = spark.createDataFrame(rows(), SCHEMA)
+    for r in C.read_chats(C.format_chats(df)).collect():
+        texts = [t.text for t in r.turns if t.role == "assistant"]
+        for span, text in zip(r.loss, texts, strict=True):
+            held = r.formatted[span.start : span.end]
+            assert held == text if "\\" not in held else len(held) >= len(text)
+            assert r.formatted[span.end :].startswith("</turn>\n") and r.formatted[: span.start].endswith(": ")
+
+
+def test_very_many_turns(spark):
+    """Tens of thousands of turns in one conversation, in seconds."""
+    import time
+
+    n = 40_000
+    df = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "concat('text ', id, IF(id % 7 = 0, ' ###', '')) AS text")
+    C.chat_digests(df.where("turn < 10")).collect()
+    began = time.time()
+    row = C.chat_digests(df).first()
+    took = time.time() - began
+    texts = [f"text {i}" + " ###" * (i % 7 == 0) for i in range(n)]
+    assert row.n_turns == n and row.loss_sha256 == hashlib.sha256("".join(texts[1::2]).encode()).hexdigest()
+    assert took < 30, took
