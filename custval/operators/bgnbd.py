@@ -12,9 +12,10 @@ Fit.  The log-likelihood of one customer is
     A3 = -(r+x) ln(alpha+T)
     A4 = ln a - ln(b + max(x,1) - 1) - (r+x) ln(alpha+tx)
 
-All terms and their gradients are column arithmetic (the gamma functions by
-Stirling's series after a shift by 8), summed by one Spark aggregate over the
-table pre-grouped by (x, tx, T); five numbers reach the driver.  The objective is
+Its sum over the table pre-grouped by (x, tx, T), with gradient and Hessian, is made
+batch by batch (``likelihood_terms``; the gamma functions by Stirling's series after a
+shift by 8); fifteen numbers reach the driver.  The objective alone is also there as
+column arithmetic (``objective_values``).  It is
 the weighted mean negative log-likelihood plus ``penalizer * sum(params**2)``,
 minimised over log parameters from 0.1 with the times scaled so that max(T) = 1
 (``scale_times``; alpha is scaled back afterwards) - the conventions of the common
@@ -44,7 +45,7 @@ import math
 import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -55,7 +56,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from custval.functions.numeric import col_of
-from custval.operators.optim import bfgs, digamma
+from custval.operators.optim import bfgs, digamma, newton, trigamma
 from custval.session import materialize
 
 @dataclass(frozen=True)
@@ -72,7 +73,8 @@ BOUNDARY = (1e-4, 1e6)
 
 @dataclass
 class FitResult:
-    """``objective`` is the penalised mean negative log-likelihood (of the scaled times), ``rows`` the number of customers."""
+    """``objective`` is the penalised mean negative log-likelihood (of the scaled times), ``rows`` the number of customers,
+    ``errors`` the parameters' standard errors (None each where the objective does not curve upwards: no optimum inside)."""
 
     params: object
     objective: float
@@ -80,6 +82,7 @@ class FitResult:
     converged: bool
     boundary: bool = False
     rows: int | None = None
+    errors: dict[str, float | None] | None = None
 
 
 def fit_result(model: str, params, res, rows: int | None = None) -> FitResult:
@@ -89,7 +92,8 @@ def fit_result(model: str, params, res, rows: int | None = None) -> FitResult:
         warnings.warn(f"the {model} fit did not converge in {res.iterations} iterations", stacklevel=3)
     if boundary:
         warnings.warn(f"the {model} fit ended at the boundary for {', '.join(boundary)}", stacklevel=3)
-    return FitResult(params, res.fun, res.iterations, res.converged, bool(boundary), rows)
+    errors = standard_errors(list(vars(params)), np.array(list(vars(params).values())), res.hessian, rows) if rows else None
+    return FitResult(params, res.fun, res.iterations, res.converged, bool(boundary), rows, errors)
 
 
 #: Relative error that the rules keep to, and the most Gauss nodes (more: the double-exponential rule).
@@ -346,6 +350,13 @@ def np_digamma(z: np.ndarray) -> np.ndarray:
     return np.log(y) - 0.5 / y - series - sum(1.0 / (z + j) for j in range(_SHIFT))
 
 
+def np_trigamma(z: np.ndarray) -> np.ndarray:
+    y = z + _SHIFT
+    # the derivative of the digamma series, term by term
+    series = sum((2 * i + 1) * (2 * i + 2) * c / y ** (2 * i + 3) for i, c in enumerate(_STIRLING))
+    return 1.0 / y + 0.5 / y**2 + series + sum(1.0 / (z + j) ** 2 for j in range(_SHIFT))
+
+
 def _row_terms(p: BetaGeoParams, x: str = "x", tx: str = "tx", age: str = "T") -> list[str]:
     """Log-likelihood of a row and its gradient in (r, alpha, a, b), as SQL.
 
@@ -397,6 +408,84 @@ def _np_row_sums(p: BetaGeoParams, x, tx, age, w) -> tuple[float, np.ndarray]:
     return float(np.sum(w * ll)), np.array([float(np.sum(w * g)) for g in grads])
 
 
+def likelihood_terms(p: BetaGeoParams, x, tx, age) -> list[np.ndarray]:
+    """Log-likelihood of every row, its gradient in (r, alpha, a, b), and the upper triangle of its Hessian.
+
+    With w the share of A4 in exp(A3) + exp(A4), their logarithm has the Hessian
+    (1 - w) A3'' + w A4'' + w (1 - w) (A4' - A3') (A4' - A3')^T.
+    """
+    r, alpha, a, b = p.r, p.alpha, p.a, p.b
+    rx, at, ax = r + x, alpha + age, alpha + tx
+    b_x = b + np.maximum(x, 1.0) - 1.0
+    ln_at, ln_ax = np.log(at), np.log(ax)
+    a3, a4 = -rx * ln_at, np.log(a) - np.log(b_x) - rx * ln_ax
+    m = np.maximum(a3, a4)
+    e3, e4 = np.exp(a3 - m), np.exp(a4 - m)
+    w = np.where(x > 0, e4 / (e3 + e4), 0.0)
+    fixed = math.lgamma(a + b) - math.lgamma(b) - math.lgamma(r) + r * math.log(alpha)
+    ll = fixed + np_lgamma(rx) + np_lgamma(b + x) - np_lgamma(a + b + x) + np.where(x > 0, m + np.log(e3 + e4), a3)
+    ends, more = np_digamma(a + b + x), np_trigamma(a + b + x)
+    both, twice = digamma(a + b), trigamma(a + b)
+    grad = [
+        math.log(alpha) - digamma(r) + np_digamma(rx) - (1.0 - w) * ln_at - w * ln_ax,
+        r / alpha - rx * ((1.0 - w) / at + w / ax),
+        both - ends + w / a,
+        both - digamma(b) + np_digamma(b + x) - ends - w / b_x,
+    ]
+    apart = w * (1.0 - w)
+    d = [ln_at - ln_ax, rx / at - rx / ax, 1.0 / a, -1.0 / b_x]  # A4' - A3'
+    second = {
+        (0, 0): np_trigamma(rx) - trigamma(r),
+        (0, 1): 1.0 / alpha - (1.0 - w) / at - w / ax,
+        (1, 1): -r / alpha**2 + rx * ((1.0 - w) / at**2 + w / ax**2),
+        (2, 2): twice - more - w / a**2,
+        (2, 3): twice - more,
+        (3, 3): twice - trigamma(b) + np_trigamma(b + x) - more + w / b_x**2,
+    }
+    hess = [apart * d[i] * d[j] + second.get((i, j), 0.0) for i in range(4) for j in range(i, 4)]
+    return [ll, *grad, *hess]
+
+
+def likelihood_sums(grouped: DataFrame, terms, k: int) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Sums over a table whose last column is the weight: weights, log-likelihood, gradient and Hessian in ``k`` parameters.
+
+    ``terms`` maps the other columns (arrays) to the terms of every row.  A task adds up its rows, one row each
+    goes on to the final sum.
+    """
+    n = 2 + k + k * (k + 1) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n)
+        for batch in batches:
+            *columns, weight = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            with np.errstate(all="ignore"):
+                total += [weight.sum(), *[float(np.sum(weight * t)) for t in terms(*columns)]]
+        yield pa.record_batch([pa.array([v]) for v in total], names=[f"s{i}" for i in range(n)])
+
+    parts = grouped.mapInArrow(run, ", ".join(f"s{i} double" for i in range(n)))
+    row = list(parts.agg(*[F.sum(f"s{i}") for i in range(n)]).first())
+    hess = np.zeros((k, k))
+    hess[np.triu_indices(k)] = row[2 + k :]
+    return row[0], row[1], np.array(row[2 : 2 + k]), hess + np.triu(hess, 1).T
+
+
+def penalised_newton(theta, sums, penalizer: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Penalised mean negative log-likelihood, gradient and Hessian in log parameters."""
+    weight, ll, grad, hess = sums
+    pv = np.exp(theta)
+    f, g = penalised(theta, ll, grad, weight, penalizer)
+    slope = (-grad / weight + 2 * penalizer * pv) * pv
+    return f, g, np.diag(slope + 2 * penalizer * pv**2) - hess / weight * np.outer(pv, pv)
+
+
+def standard_errors(names: Sequence[str], values: np.ndarray, hessian: np.ndarray | None, rows: float) -> dict[str, float | None]:
+    """Of the parameters, from the Hessian in log parameters at the optimum; None where it does not curve upwards."""
+    if hessian is None or not np.all(np.isfinite(hessian)) or np.linalg.eigvalsh(hessian)[0] <= 1e-12:
+        return dict.fromkeys(names)
+    spread = np.sqrt(np.diag(np.linalg.inv(hessian)) / rows)
+    return {name: float(v * s) for name, v, s in zip(names, values, spread, strict=True)}
+
+
 def penalised(theta, ll: float, grad: np.ndarray, total_w: float, penalizer: float) -> tuple[float, np.ndarray]:
     """Penalised mean negative log-likelihood and its gradient in log parameters."""
     pv = np.exp(theta)
@@ -476,7 +565,7 @@ def fit_bgnbd(
 
     With ``warm_start`` the optimisation starts from a fit to a binned table of
     bounded size (driver-side); the result is the optimum of the full objective,
-    reached in fewer Spark jobs.  ``scale_times=False`` fits the times as they are.
+    reached in fewer Spark jobs; every Newton iteration is one.  ``scale_times=False`` fits the times as they are.
     A fit that did not converge, or ended at the boundary of the parameter space,
     says so in the result and in a warning.
     """
@@ -484,11 +573,12 @@ def fit_bgnbd(
     scale = 1.0 / checked["max_t"] if scale_times else 1.0
     grouped = materialize(grouped_inputs(df, frequency, recency, T, scale), "bgnbd_grouped")
 
-    def evaluate(thetas):
-        return objective_values(grouped, [BetaGeoParams(*np.exp(th).tolist()) for th in thetas], penalizer)
+    def evaluate(theta):
+        params = BetaGeoParams(*np.exp(theta).tolist())
+        return penalised_newton(theta, likelihood_sums(grouped, partial(likelihood_terms, params), 4), penalizer)
 
-    start, h0 = _warm_start(grouped, penalizer) if warm_start else (np.full(4, 0.1), None)
-    res = bfgs(evaluate, start, gtol=tol, max_iter=max_iter, h0=h0)
+    start = _warm_start(grouped, penalizer)[0] if warm_start else np.full(4, 0.1)
+    res = newton(evaluate, start, gtol=tol, max_iter=max_iter)
     r, alpha, a, b = np.exp(res.x).tolist()
     return fit_result("BG/NBD", BetaGeoParams(r, alpha / scale, a, b), res, checked["n"])
 

@@ -6,8 +6,8 @@ transaction value (> 0).  Per-customer log-likelihood:
     LL = lnG(px+q) - lnG(px) - lnG(q) + q ln v + (px-1) ln m + px ln x
          - (px+q) ln(xm+v)
 
-Everything is column arithmetic (the gamma functions as in ``bgnbd``), summed by one
-Spark aggregate per BFGS iteration over the table grouped by (x, m).
+Its sum over the table grouped by (x, m), with gradient and Hessian, is one job per Newton
+iteration (as in ``bgnbd``).
 Objective: mean negative log-likelihood + ``penalizer * sum(params**2)`` over
 log parameters starting at 0.1.
 
@@ -26,6 +26,7 @@ import math
 import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -38,14 +39,17 @@ from custval.operators.bgnbd import (
     alive_odds,
     expected_if_alive,
     fit_result,
+    likelihood_sums,
     np_digamma,
     np_lgamma,
+    np_trigamma,
     penalised,
+    penalised_newton,
     sql_digamma,
     sql_double,
     sql_lgamma,
 )
-from custval.operators.optim import bfgs, digamma
+from custval.operators.optim import bfgs, digamma, newton, trigamma
 from custval.session import materialize
 
 # Model time units per month for each period code.
@@ -119,6 +123,21 @@ def _np_row_sums(pr: GammaGammaParams, x, m, w) -> tuple[float, np.ndarray]:
     return float(np.sum(w * ll)), np.array([float(np.sum(w * g)) for g in grads])
 
 
+def likelihood_terms(pr: GammaGammaParams, x, m) -> list[np.ndarray]:
+    """Log-likelihood of every row, its gradient in (p, q, v), and the upper triangle of its Hessian."""
+    p, q, v = pr.p, pr.q, pr.v
+    px, pxq, xmv = p * x, p * x + q, x * m + v
+    ln_xmv, more = np.log(xmv), np_trigamma(pxq)
+    ll = q * math.log(v) - math.lgamma(q) + np_lgamma(pxq) - np_lgamma(px) + (px - 1) * np.log(m) + px * np.log(x) - pxq * ln_xmv
+    grad = [
+        x * (np_digamma(pxq) - np_digamma(px) + np.log(m) + np.log(x) - ln_xmv),
+        math.log(v) - digamma(q) + np_digamma(pxq) - ln_xmv,
+        q / v - pxq / xmv,
+    ]
+    hess = [x**2 * (more - np_trigamma(px)), x * more, -x / xmv, more - trigamma(q), 1.0 / v - 1.0 / xmv, -q / v**2 + pxq / xmv**2]
+    return [ll, *grad, *hess]
+
+
 def objective_values(grouped: DataFrame, params: Sequence[GammaGammaParams], penalizer: float) -> list[tuple[float, np.ndarray]]:
     """The fit's objective and gradient at each of ``params``, by one aggregate over (x, m, w)."""
     aggs = ["sum(w) AS n"]
@@ -179,18 +198,19 @@ def fit_gamma_gamma(
     The input is read twice: for the checks, and to write the grouped table that
     all iterations read.  Warns for q <= 1, no convergence, or a boundary.
     """
-    check_inputs(df, frequency, monetary)
+    rows = check_inputs(df, frequency, monetary)["n"]
     grouped = materialize(grouped_inputs(df, frequency, monetary), "gamma_gamma_grouped")
 
-    def evaluate(thetas):
-        return objective_values(grouped, [GammaGammaParams(*np.exp(th).tolist()) for th in thetas], penalizer)
+    def evaluate(theta):
+        params = GammaGammaParams(*np.exp(theta).tolist())
+        return penalised_newton(theta, likelihood_sums(grouped, partial(likelihood_terms, params), 3), penalizer)
 
-    start, h0 = _warm_start(grouped, penalizer) if warm_start else (np.full(3, 0.1), None)
-    res = bfgs(evaluate, start, gtol=tol, max_iter=max_iter, h0=h0)
+    start = _warm_start(grouped, penalizer)[0] if warm_start else np.full(3, 0.1)
+    res = newton(evaluate, start, gtol=tol, max_iter=max_iter)
     params = GammaGammaParams(*np.exp(res.x).tolist())
     if params.q <= 1:
         warnings.warn(f"Gamma-Gamma q = {params.q:.4g} <= 1: the expected average profit is no shrunk mean", stacklevel=2)
-    return fit_result("Gamma-Gamma", params, res)
+    return fit_result("Gamma-Gamma", params, res, rows)
 
 
 def purchase_horizons(time: int, freq: str = "W") -> list[float]:

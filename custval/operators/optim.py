@@ -1,9 +1,10 @@
-"""Driver-side helpers for the model fits: digamma and a small BFGS loop.
+"""Driver-side helpers for the model fits: digamma, a trust-region Newton loop and a small BFGS loop.
 
-The objective and its gradient are evaluated by Spark aggregates; this
-module only moves a parameter vector of 3-4 numbers.  Every BFGS iteration
-tries the full step first and, only if it fails, a whole batch of shorter
-steps at once, so an iteration is one Spark job (rarely two).
+The objective, its gradient and its Hessian are sums over the customers, made by Spark;
+this module only moves a parameter vector of 3-4 numbers.  A Newton iteration is one
+evaluation (one Spark job).  BFGS, which needs no Hessian, fits the binned tables of the
+warm starts: every iteration tries the full step first and, only if it fails, a whole
+batch of shorter steps at once.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ class OptimResult:
     iterations: int
     converged: bool
     inverse_hessian: np.ndarray | None = None
+    hessian: np.ndarray | None = None
 
 
 STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 1e-3, 1e-4, 1e-6)
@@ -96,3 +98,71 @@ def bfgs(
             return OptimResult(x_new, f_new, g_new, it, True, h)
         x, f, g = x_new, f_new, g_new
     return OptimResult(x, f, g, max_iter, bool(np.max(np.abs(g)) < gtol), h)
+
+
+def trust_step(g: np.ndarray, h: np.ndarray, radius: float) -> np.ndarray:
+    """The step of least g p + p h p / 2 with |p| <= radius (h of any sign)."""
+    values, vectors = np.linalg.eigh(h)
+    c = vectors.T @ g
+    floor = max(0.0, -float(values[0]))
+
+    def step(shift: float) -> np.ndarray:
+        return -c / (values + shift)
+
+    tiny = 1e-12 * max(1.0, float(np.abs(values).max()))
+    if values[0] > tiny and np.linalg.norm(step(0.0)) <= radius:
+        return vectors @ step(0.0)
+    low, high = floor + tiny, floor + tiny + float(np.linalg.norm(c)) / radius + 1.0
+    if np.linalg.norm(step(low)) < radius:  # the gradient has no part along the lowest direction: go that way to the rim
+        p = step(low)
+        p[0] += math.copysign(math.sqrt(max(radius**2 - float(p @ p), 0.0)), -c[0] or 1.0)
+        return vectors @ p
+    for _ in range(200):
+        middle = (low + high) / 2.0
+        low, high = (middle, high) if np.linalg.norm(step(middle)) > radius else (low, middle)
+    return vectors @ step(high)
+
+
+def newton(
+    evaluate: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]],
+    x0: Sequence[float],
+    gtol: float = 1e-7,
+    max_iter: int = 200,
+    radius: float = 1.0,
+) -> OptimResult:
+    """Minimise with Newton steps inside a trust region; ``evaluate`` gives f, gradient and Hessian at a point."""
+    x = np.asarray(x0, dtype=float)
+    f, g, h = evaluate(x)
+    it = 0
+    while it < max_iter and np.all(np.isfinite(g)) and np.all(np.isfinite(h)) and np.max(np.abs(g)) >= gtol and radius > 1e-14:
+        it += 1
+        p = trust_step(g, h, radius)
+        expected = -float(g @ p + 0.5 * p @ h @ p)
+        f_new, g_new, h_new = evaluate(x + p)
+        whole = math.isfinite(f_new) and np.all(np.isfinite(g_new)) and np.all(np.isfinite(h_new))
+        # where f cannot be told apart any more, the gradient says whether the step is good
+        flat = whole and abs(f_new - f) <= 1e-13 * max(1.0, abs(f)) and np.max(np.abs(g_new)) < np.max(np.abs(g))
+        gained = (f - f_new) / expected if whole and expected > 0 else -1.0
+        if gained > 0.75 and np.linalg.norm(p) > 0.9 * radius:
+            radius = min(2.0 * radius, 16.0)
+        elif gained < 0.25 and not flat:
+            radius = 0.25 * float(np.linalg.norm(p))
+        if gained > 1e-4 or flat:
+            x, f, g, h = x + p, f_new, g_new, h_new
+    converged = bool(np.all(np.isfinite(g)) and np.max(np.abs(g)) < gtol)
+    return OptimResult(x, f, g, it, converged, None, h)
+
+
+def trigamma(x: float) -> float:
+    """The derivative of psi(x), x > 0."""
+    if x <= 0:
+        raise ValueError("trigamma needs x > 0")
+    acc = 0.0
+    while x < 8.0:
+        acc += 1.0 / (x * x)
+        x += 1.0
+    inv = 1.0 / x
+    inv2 = inv * inv
+    # 1/x + 1/2x**2 + B2/x**3 + B4/x**5 + ..., Bernoulli numbers
+    series = inv2 * (1.0 / 6 - inv2 * (1.0 / 30 - inv2 * (1.0 / 42 - inv2 * (1.0 / 30 - inv2 * (5.0 / 66 - inv2 * 691.0 / 2730)))))
+    return acc + inv + 0.5 * inv2 + inv * series

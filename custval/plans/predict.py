@@ -235,6 +235,7 @@ def fit_table(spark, result: FitResult, model: str) -> DataFrame:
     """Parameters of a fit as rows (parameter, value) plus fit diagnostics."""
     params = vars(result.params)
     rows = [(model, k, float(v)) for k, v in params.items()]
+    rows += [(model, f"{k}_se", None if v is None else float(v)) for k, v in (result.errors or {}).items()]
     rows.append((model, "objective", float(result.objective)))
     rows.append((model, "iterations", float(result.iterations)))
     rows.append((model, "converged", 1.0 if result.converged else 0.0))
