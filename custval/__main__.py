@@ -31,6 +31,7 @@ def _parser() -> argparse.ArgumentParser:
         s = sub.add_parser(name)
         if source == "invoices":
             s.add_argument("--invoices", nargs="+", required=True, help="invoice-line files or folders")
+            s.add_argument("--year", type=int, action="append", help="read this period only (folders year=...; repeatable)")
         else:
             s.add_argument("--summary", required=True, help="customer-summary file or folder")
         s.add_argument("--format", default="csv", choices=["csv", "parquet"])
@@ -95,7 +96,7 @@ def main(argv: list[str] | None = None) -> int:
     out = args.out.rstrip("/")
     with Scratch(spark):  # intermediate tables go when the results are written, or on failure
         if args.command in ("rfm", "clv", "clv-predict"):
-            lines = read_invoices(spark, args.invoices, fmt=args.format)
+            lines = read_invoices(spark, args.invoices, fmt=args.format, years=args.year)
             if args.command == "rfm":
                 rfm = retail.rfm_retail(lines, args.analysis_date, keep_scores=not args.drop_scores)
                 write_table(rfm, f"{out}/rfm")

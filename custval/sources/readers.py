@@ -1,9 +1,10 @@
 """Readers for the two input shapes, with declared schemas (no inference pass).
 
 Invoice lines come one file (or one directory) per period, e.g. one per yearly
-sheet; reading a list of paths, or a directory partitioned by ``year``, lets
-Spark prune whole periods.  Spreadsheet workbooks are not read directly:
-export each sheet to CSV or Parquet first.
+sheet; reading a list of paths, or a directory with a folder ``year=2010`` for each
+period, lets Spark leave out whole periods: the column ``year`` of such a layout is
+kept, and filters on it (``years``, or a later ``where``) open only its folders.
+Spreadsheet workbooks are not read directly: export each sheet to CSV or Parquet first.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ INVOICE_SCHEMA = T.StructType(
     ]
 )
 
+#: The partition column of invoice lines that are stored by period.
+PERIOD = "year"
+
 SUMMARY_SCHEMA = T.StructType(
     [
         T.StructField("master_id", T.StringType()),
@@ -73,18 +77,31 @@ def _read_csv(spark: SparkSession, paths: Sequence[str], schema: T.StructType, m
             else:
                 value = value.cast(f.dataType)  # fails on text that is no number or date (ANSI cast)
             columns.append(value.alias(f.name))
+        if PERIOD in text.columns and PERIOD not in schema.names:
+            columns.append(F.col(PERIOD).cast("int").alias(PERIOD))
         frames.append(text.select(*columns))
     return reduce(DataFrame.unionByName, frames)
 
 
 def read_invoices(
-    spark: SparkSession, paths: str | Sequence[str], fmt: str = "csv", multi_line: bool = False
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    fmt: str = "csv",
+    multi_line: bool = False,
+    years: Sequence[int] | None = None,
 ) -> DataFrame:
-    """Invoice lines from CSV or Parquet with :data:`INVOICE_SCHEMA`; every row of the files is kept."""
+    """Invoice lines from CSV or Parquet with :data:`INVOICE_SCHEMA`; every row of the files is kept.
+
+    A folder with one subfolder ``year=...`` per period adds the column ``year``; ``years`` reads these
+    periods only (an error for files without the layout).
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    if fmt == "csv":
-        return _read_csv(spark, paths, INVOICE_SCHEMA, multi_line)
-    return spark.read.schema(INVOICE_SCHEMA).format(fmt).load(paths)
+    lines = _read_csv(spark, paths, INVOICE_SCHEMA, multi_line) if fmt == "csv" else spark.read.schema(INVOICE_SCHEMA).format(fmt).load(paths)
+    if years is None:
+        return lines
+    if PERIOD not in lines.columns:
+        raise ValueError(f"{paths} have no folders {PERIOD}=...")
+    return lines.where(F.col(PERIOD).isin([int(y) for y in years]))
 
 
 def read_customer_summary(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
