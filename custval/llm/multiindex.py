@@ -10,12 +10,12 @@ between that codeword and its own one, and the squares of both halves' distances
 up.  The traversal stops where this bound passes the radius that the threshold
 leaves (|x - y|**2 = 2 - 2 cos), so its target recall is 1: no cell that could hold
 a link is left out, whatever the codebooks.  Visited cells are verified in double precision.
-``traverse`` lists the cells of one search in order; the batch join below visits the same
-set of cells for all vectors at once, by comparing the bounds with the radius.
+``traverse`` lists the cells of one search in order.
 
 On Spark, the first half's codeword is the partition: a vector is sent to the
-codewords at or after its own that the bound allows, and there the task walks the
-second half's codewords.  Members and visitors of a codeword are dealt into chunks of
+codewords at or after its own that the bound allows, and there all searches of a block
+go through the grid's cells in step, each from its nearest outwards until its bound stops it
+(``nearest_first``).  Members and visitors of a codeword are dealt into chunks of
 bounded size that meet block by block, so no group gathers in one task.  A block
 emits a degree and a link or two per vector, never its pairs.
 
@@ -106,6 +106,24 @@ def traverse(first: np.ndarray, second: np.ndarray, radius: float) -> list[tuple
     return out
 
 
+def nearest_first(first: np.ndarray, second: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, int]]:
+    """The traversal of many searches in step, within one codeword of the first half: (searches, cell) of every step.
+
+    Each search goes to its next nearest cell, and ends at the first whose bound passes the squared radius.
+    """
+    order = np.argsort(second, axis=1, kind="stable")
+    live = np.arange(len(first))
+    for step in range(second.shape[1]):
+        cell = order[live, step]
+        within = first[live] + second[live, cell] <= radius
+        live, cell = live[within], cell[within]
+        if not len(live):
+            return
+        by_cell = np.argsort(cell, kind="stable")
+        for some in np.split(by_cell, np.flatnonzero(np.diff(cell[by_cell])) + 1):
+            yield live[some], int(cell[some[0]])
+
+
 def fit_codebooks(sample: list[np.ndarray]) -> Codebooks:
     """Two codebooks for each vector length in the sample."""
     by_length: dict[int, list[np.ndarray]] = {}
@@ -207,10 +225,10 @@ def _block(kind, books, threshold, radius, code, members, visitors, vector, node
             i = label[i]
         return i
 
-    for j in np.unique(cell).tolist():
-        of = np.flatnonzero(cell == j)
-        near = np.flatnonzero(first + second[:, j] <= radius)
-        if not len(near):
+    held = {j: np.flatnonzero(cell == j) for j in np.unique(cell).tolist()}
+    for near, j in nearest_first(first, second, radius):
+        of = held.get(j)
+        if of is None:
             continue
         a, b = np.nonzero(y[near] @ x[of].T >= threshold)
         a, b = visitors[near[a]], members[of[b]]

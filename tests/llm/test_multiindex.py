@@ -94,3 +94,24 @@ def test_no_link_lies_beyond_the_bound():
         assert bound == sorted(bound)
         assert len(visited) == int((first[:, None] + second[None] <= radius).sum())
     assert checked > 300
+
+
+def test_searches_in_step_visit_what_one_search_does():
+    """Nearest first, and for each codeword of the first half the cells of the single traversal."""
+    rng = np.random.default_rng(3)
+    points = X.unit(rng.normal(size=(200, 12)))
+    first_book, second_book = X.fit_codebooks(list(points))[12]
+    radius = 2 - 2 * X.THRESHOLD + 1e-9
+    first, second = X.bounds(points[:, :6], first_book)[1], X.bounds(points[:, 6:], second_book)[1]
+    visited = [[] for _ in points]
+    for code in range(len(first_book)):
+        bound = np.zeros(len(points))
+        for searches, cell in X.nearest_first(first[:, code], second, radius):
+            now = first[searches, code] + second[searches, cell]
+            assert (now <= radius).all() and (now >= bound[searches]).all()
+            bound[searches] = now
+            for i in searches.tolist():
+                visited[i].append((code, cell))
+    for i in range(len(points)):
+        want = X.traverse(first[i], second[i], radius)
+        assert len(visited[i]) == len(want) and set(visited[i]) == set(want)
