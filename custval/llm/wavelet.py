@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from custval.llm.common import Known, blocks, gather, keyed, larger, released, rows_of, word_codes
 from custval.llm.ranked import WordRanks
-from custval.session import checkpoint_dir, materialize
+from custval.session import Scratch, materialize, materialized_root
 
 #: Tokens of a shard, at about which a task starts the next one.
 SHARD_TOKENS = 4 << 20
@@ -324,8 +324,13 @@ def read_tokens(spark, path: str) -> DataFrame:
                 )
 
     shards = spark.read.parquet(path)
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
-    offset = shards.select("part", "seq", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    # the tokens before a shard: those of the parts before its own (one row per part), and those before it in its part
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    offset = shards.select("part", "seq", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("inner")).join(parts, "part")
+    offset = offset.select("part", "seq", (F.col("inner") + F.col("before")).alias("base"))
     docs = shards.select("part", "seq", "image").mapInArrow(released(read), "part int, seq int, doc_id long, start long, n_tokens long, ids_crc32 long"
     )
     return docs.join(offset, ["part", "seq"]).select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
@@ -334,6 +339,7 @@ def read_tokens(spark, path: str) -> DataFrame:
 def token_files(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
     """Write the token files of ``docs`` to the shared checkpoint folder and read them back."""
     spark = docs.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tokens-{os.urandom(8).hex()}"
+    path = f"{materialized_root(spark)}/tokens-{os.urandom(8).hex()}"
+    Scratch.note(path)
     write_tokens(docs, tokenizer_file, path, end_id)
     return read_tokens(spark, path)
