@@ -114,3 +114,61 @@ def test_near_copies_in_different_chunks(spark, monkeypatch):
             rows.append((1000 * p + 10 + i, " ".join(passage + [f"t{rnd.randrange(10**9)}" for _ in range(90)])))
         rows += [(1000 * p + i, " ".join(passage + [f"e{p}_{i}_{k}" for k in range(8)])) for i in range(2)]
     compare(S.setsketch_groups(spark.createDataFrame([(d, t, "") for d, t in rows], SCHEMA).repartition(4)), rows)
+
+
+def brute_of(rows, size, percent):
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set())
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a and 100 * both >= percent * (len(a) + len(sets[j]) - both):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), d), d)
+    return sorted((d, len(sets[i]), least[root(i)]) for i, (d, _) in enumerate(rows))
+
+
+def test_five_words_and_four_fifths(spark):
+    """The rule of callers without a contract: a 100-word text and one with 20 more words are near, by 96 of 116 shingles."""
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rnd.choice(words) for _ in range(100)]
+    rows = [(0, " ".join(base)), (1, " ".join(base + [rnd.choice(words) for _ in range(20)])), (2, " ".join(base + [rnd.choice(words) for _ in range(30)]))]
+    rows += [(3, "a b c d"), (4, "A b c d"), (5, "a b c d e"), (6, ""), (7, "a")]
+    for i in range(60):  # copies with more and more words replaced, on both sides of the threshold
+        w = [rnd.choice(words) for _ in range(rnd.randrange(60, 200))]
+        rows.append((100 + 10 * i, " ".join(w)))
+        for k in range(1, 5):
+            v = list(w)
+            for _ in range(k * len(w) // 90):
+                v[rnd.randrange(len(v))] = rnd.choice(words)
+            rows.append((100 + 10 * i + k, " ".join(v)))
+    docs = spark.createDataFrame([(d, t, "") for d, t in rows], SCHEMA).repartition(4)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in S.setsketch_groups(docs, shingle=5, percent=80).collect())
+    want = brute_of(rows, 5, 80)
+    assert got == want and got[1][2] == 0 and got[2][2] == 2
+    assert len({c for *_, c in want}) > 70 and sum(d != c for d, _, c in want) > 60
+
+
+def test_whole_small_table_with_five_words(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in S.setsketch_groups(docs, shingle=5, percent=80).collect())
+    assert got == brute_of(rows, 5, 80)
+
+
+def test_bands_follow_from_the_threshold():
+    assert (S.Rule().bands, S.Rule(5, 80).bands, S.Rule(5, 90).bands) == (16, 22, 16)
+    for percent in (70, 75, 80, 85, 95):
+        assert (1 - (percent / 100) ** S.ROWS) ** S.Rule(5, percent).bands <= 1e-5
