@@ -148,3 +148,30 @@ def test_prediction_says_what_its_fits_are():
     assert not good.boundary and not good.q_at_most_1 and good.remarks() == []
     bad = Prediction(None, FitResult(BetaGeoParams(1, 1, 1e-9, 1), 1.0, 3, False, True), FitResult(GammaGammaParams(1, 0.5, 1), 1.0, 3, True))
     assert bad.boundary and bad.q_at_most_1 and len(bad.remarks()) == 3
+
+
+def test_distinct_counts_of_integers_in_one_read(spark):
+    """Dense, sparse, negative, extreme and null integers; the text column takes a read of its own."""
+    from custval.operators.profile import distinct_counts
+
+    rng = np.random.default_rng(9)
+    n = 4000
+    frame = pd.DataFrame(
+        {
+            "dense": rng.integers(0, 1000, n),
+            "sparse": rng.integers(-(2**63), 2**63 - 1, n),
+            "edges": rng.choice([-(2**63), 2**63 - 1, -1, 0, 63, 64, -64, -65], n),
+            "small": rng.integers(-5, 5, n).astype(np.int8),
+            "text": rng.choice(list("abcdef"), n),
+        }
+    )
+    df, read = _counted(spark, frame)
+    df = df.withColumn("none", F.lit(None).cast("int")).withColumn("some", F.when(F.col("dense") % 2 == 0, F.col("dense")))
+    whole = ["dense", "sparse", "edges", "small", "none", "some"]
+    got = {r.column_name: r.distinct_count for r in distinct_counts(df, whole).collect()}
+    assert read.value == n
+    want = {c: frame[c].nunique() for c in whole[:4]} | {"none": 0, "some": frame.loc[frame["dense"] % 2 == 0, "dense"].nunique()}
+    assert got == want
+    both = {r.column_name: r.distinct_count for r in distinct_counts(df, ["text", "dense"]).collect()}
+    assert both == {"text": 6, "dense": want["dense"]}
+    assert distinct_counts(df.where("dense < 0"), ["dense", "small"]).toPandas()["distinct_count"].tolist() == [0, 0]
