@@ -43,7 +43,7 @@ RANGE_ROWS = 4096
 def value_ranks(docs: DataFrame, column: str) -> DataFrame:
     """value, rank: the distinct values of a text column, numbered in the order of their bytes (whole values, no prefix)."""
     values = docs.select(F.col(column).cast("string").alias("value")).where("value is not null").distinct()
-    return global_rank(values, ["value"], "rank")
+    return materialize(global_rank(values, ["value"], "rank"), "values")  # its size is known then: joined by broadcast if small
 
 
 def place_groups(sizes: list[tuple[int, int]], shards: int, leaf: float) -> tuple[dict[int, int], list[float]]:
@@ -163,19 +163,19 @@ def kd_shards(
     their values); a text takes the least value over its copies.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    if dimensions is None:
-        dimensions = [F.length(text)]
-        for i, column in enumerate(("source", "lang")):
-            ranks = value_ranks(docs, column).select(F.col("value").alias(f"__value_{i}"), F.col("rank").alias(f"__rank_{i}"))
-            docs = docs.join(ranks, docs[column].cast("string") == F.col(f"__value_{i}"), "left")
-            dimensions.append(F.col(f"__rank_{i}"))
-    dims = [f"dim_{i}" for i in range(len(dimensions))]
-    columns = {d: F.coalesce(c.cast("long"), F.lit(-1).cast("long")) for d, c in zip(dims, dimensions, strict=True)}
+    named = ["source", "lang"] if dimensions is None else []
+    dimensions = [F.length(text)] if dimensions is None else dimensions
+    columns = {f"dim_{i}": F.coalesce(c.cast("long"), F.lit(-1).cast("long")) for i, c in enumerate(dimensions)}
+    values = {f"value_{i}": F.col(column).cast("string") for i, column in enumerate(named, len(columns))}
     body = text.cast("binary")
     size = (F.octet_length(text) + 1).cast("long")
-    rows = materialize(
-        keyed(docs, doc_id=id_col, size=size, text_crc32=F.crc32(body).cast("long"), hash=F.xxhash64(text), **columns), "sizes"
-    )
+    # narrow rows from here on: no text is shuffled
+    rows = keyed(docs, doc_id=id_col, size=size, text_crc32=F.crc32(body).cast("long"), hash=F.xxhash64(text), **columns, **values)
+    for i, column in enumerate(named, len(columns)):
+        ranks = value_ranks(docs, column).select(F.col("value").alias(f"value_{i}"), F.col("rank").cast("long").alias(f"dim_{i}"))
+        rows = rows.join(ranks, f"value_{i}", "left").fillna(-1, f"dim_{i}")
+    dims = [f"dim_{i}" for i in range(len(columns) + len(named))]
+    rows = materialize(rows.select("doc_id", "size", "text_crc32", "hash", *dims), "sizes")
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     leaves = shards if shards else max(1, -(-total // target_bytes))
     leaf = total / leaves
