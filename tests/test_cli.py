@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from conftest import SF_SMALL
 
 from custval.__main__ import main
@@ -15,8 +13,8 @@ def _csv(spark, path):
     return spark.read.option("header", True).csv(path)
 
 
-def test_rfm_command(spark):
-    work = tempfile.mkdtemp(prefix="custval-cli-")
+def test_rfm_command(spark, tmp_path):
+    work = str(tmp_path)
     write_table(invoice_lines(spark, SF_SMALL), f"{work}/invoices")
     assert main(["rfm", "--invoices", f"{work}/invoices", "--out", f"{work}/out", "--drop-scores"]) == 0
     rfm = _csv(spark, f"{work}/out/rfm")
@@ -27,8 +25,8 @@ def test_rfm_command(spark):
     assert new.count() == rfm.filter("segment = 'new_customers'").count()
 
 
-def test_omni_rfm_command(spark):
-    work = tempfile.mkdtemp(prefix="custval-cli-")
+def test_omni_rfm_command(spark, tmp_path):
+    work = str(tmp_path)
     write_table(customer_summary(spark, SF_SMALL), f"{work}/summary")
     assert main(["omni-rfm", "--summary", f"{work}/summary", "--out", f"{work}/out"]) == 0
     assert _csv(spark, f"{work}/out/rfm").count() == 150
@@ -36,8 +34,8 @@ def test_omni_rfm_command(spark):
         assert _csv(spark, f"{work}/out/{name}").columns == ["master_id"]
 
 
-def test_clv_predict_command_options(spark):
-    work = tempfile.mkdtemp(prefix="custval-cli-")
+def test_clv_predict_command_options(spark, tmp_path):
+    work = str(tmp_path)
     write_table(invoice_lines(spark, SF_SMALL), f"{work}/invoices")
     args = ["clv-predict", "--invoices", f"{work}/invoices", "--out", f"{work}/out", "--months", "2", "--analysis-date", "2002-01-01"]
     assert main([*args, "--horizon", "in_2_weeks=2", "--discount-rate", "0.02", "--gg-penalizer", "0.02"]) == 0

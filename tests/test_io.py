@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,8 +30,8 @@ def test_invoice_bill(spark):
     assert invoice_bill(_lines(spark), "489434") == round(12 * 6.95 + 12 * 6.75, 2)
 
 
-def test_invoice_roundtrip_csv_and_parquet(spark):
-    out = tempfile.mkdtemp(prefix="custval-io-")
+def test_invoice_roundtrip_csv_and_parquet(spark, tmp_path):
+    out = str(tmp_path)
     lines = _lines(spark)
     write_table(lines, f"{out}/csv", "csv")
     write_table(lines, f"{out}/pq", "parquet")
@@ -43,8 +41,8 @@ def test_invoice_roundtrip_csv_and_parquet(spark):
         assert sorted(back.collect()) == sorted(lines.collect())
 
 
-def test_summary_reader_and_date_parsing(spark):
-    out = tempfile.mkdtemp(prefix="custval-io-")
+def test_summary_reader_and_date_parsing(spark, tmp_path):
+    out = str(tmp_path)
     path = f"{out}/summary.csv"
     with open(path, "w") as fh:
         fh.write(
@@ -61,8 +59,8 @@ def test_summary_reader_and_date_parsing(spark):
     assert row["customer_value_total"] == 139.99 + 799.38
 
 
-def test_id_list_has_one_column(spark):
-    out = tempfile.mkdtemp(prefix="custval-io-")
+def test_id_list_has_one_column(spark, tmp_path):
+    out = str(tmp_path)
     ids = spark.range(5).select(F.col("id").alias("new_customer_id"))
     write_ids(ids, f"{out}/ids")
     back = spark.read.option("header", True).csv(f"{out}/ids")
@@ -76,13 +74,13 @@ def test_targets_by_ids_semi_join(spark):
     assert got == ["a", "c"]
 
 
-def test_rfm_written_as_csv(spark):
+def test_rfm_written_as_csv(spark, tmp_path):
     from conftest import SF_SMALL
 
     from custval.plans.retail import rfm_retail
     from custval.sources.tables import invoice_lines
 
-    out = tempfile.mkdtemp(prefix="custval-io-") + "/rfm"
+    out = str(tmp_path) + "/rfm"
     rfm = rfm_retail(invoice_lines(spark, SF_SMALL), keep_scores=False, output_path=out)
     back = spark.read.option("header", True).csv(out)
     assert back.columns == ["customer_id", "recency", "frequency", "monetary", "segment"]
