@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from custval.operators.order_stats import NUMERIC, ColumnRequest, PositionRequest, column_values, fetch_positions, sketch_columns
+from custval.session import observed
 
 _TIE = "__tie"
 
@@ -155,7 +156,7 @@ def quantiles_and_metrics(
     base, tie = _tie_frame(df, key)
     seen = base.observe(observation, *[m.alias(name) for name, m in metrics.items()]) if metrics else base
     if any(dict(df.dtypes)[c] not in NUMERIC for c, _ in requests):
-        return _quantiles_ranged(seen, df, requests, tie, rows_per_partition), observation.get if metrics else {}
+        return _quantiles_ranged(seen, df, requests, tie, rows_per_partition), observed(observation, base, metrics) if metrics else {}
     values = [F.when(_valid(df, c), F.col(c)) for c, _ in requests]
     counts, sketches = sketch_columns(seen, values)
     plans = [_quantile_points(n, probs) if n else [] for n, (_, probs) in zip(counts, requests, strict=True)]
@@ -170,7 +171,7 @@ def quantiles_and_metrics(
             out[i] = _quantiles_ranged(base, df, [requests[i]], tie, rows_per_partition)[0]
         else:
             out[i] = [_lerp(st[a], st[b], g) for a, b, g in plans[i]]
-    return out, observation.get if metrics else {}
+    return out, observed(observation, base, metrics) if metrics else {}
 
 
 def _quantiles_ranged(base: DataFrame, df: DataFrame, requests: Sequence[tuple[str, Sequence[float]]], tie: str, rows_per_partition: int | None):

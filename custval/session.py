@@ -18,6 +18,7 @@ import tempfile
 import uuid
 from typing import ClassVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 DEFAULT_CONF = {
@@ -109,7 +110,15 @@ def materialize_observed(df: DataFrame, label: str = "table", **metrics: Column)
     """:func:`materialize`, and aggregates of the rows that are collected while they are written, without a job of their own."""
     observation = Observation(label)
     kept = materialize(df.observe(observation, *[metric.alias(name) for name, metric in metrics.items()]), label)
-    return kept, observation.get
+    return kept, observed(observation, kept, metrics)
+
+
+def observed(observation: Observation, df: DataFrame, metrics: dict[str, Column]) -> dict:
+    """What was observed; of ``df``, the same rows, where the optimizer has dropped the observation (an empty table)."""
+    try:
+        return observation.get
+    except Py4JJavaError:
+        return df.agg(*[metric.alias(name) for name, metric in metrics.items()]).first().asDict()
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:

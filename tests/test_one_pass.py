@@ -175,3 +175,17 @@ def test_distinct_counts_of_integers_in_one_read(spark):
     both = {r.column_name: r.distinct_count for r in distinct_counts(df, ["text", "dense"]).collect()}
     assert both == {"text": 6, "dense": want["dense"]}
     assert distinct_counts(df.where("dense < 0"), ["dense", "small"]).toPandas()["distinct_count"].tolist() == [0, 0]
+
+
+@pytest.mark.parametrize("none", ["Quantity < -5", "1 = 0", "`Customer ID` is null"])
+def test_empty_tables_are_observed_too(spark, none):
+    """Whether the emptiness shows when the plan is made, or only when it runs."""
+    from custval.plans.retail import model_inputs_retail
+
+    lines = invoice_lines(spark, SF_SMALL).where(none)
+    with pytest.raises(ValueError, match="last_date"):
+        rfm_retail(lines)
+    assert rfm_retail(lines, dt.datetime(2000, 1, 1)).count() == 0
+    assert model_inputs_retail(lines, dt.datetime(2000, 1, 1)).count() == 0
+    rows = describe(lines, ["Quantity", "Price"]).collect()
+    assert [(r["count"], r["mean"], r.p50) for r in rows] == [(0, None, None)] * 2
