@@ -38,6 +38,8 @@ AXES = 4
 AXIS_BITS = 15
 #: Tokens of a range of the curve (one task), about.
 RANGE_TOKENS = 4 << 20
+#: Longer documents are dealt in pieces of so many tokens, all with the document's key: ranges even out rows, not tokens.
+PIECE_TOKENS = 1 << 13
 #: Text bytes encoded, and vectors projected, at a time.
 ENCODE_BYTES = 4 << 20
 VECTORS = 4096
@@ -106,7 +108,10 @@ def _reader(data: bytes):
 
 
 def encoded(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, doc_id, row, n_tokens, ids (16 or 32 bits each): every document's ids with its key on the curve."""
+    """key, doc_id, row, start, n_tokens, ids (16 or 32 bits each): every document's ids with its key on the curve.
+
+    Long documents come in pieces; ``start`` counts the ids before a piece, ``n_tokens`` those of the document.
+    """
     with open(tokenizer_file, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a fixed file of under 4 MB
 
@@ -121,13 +126,21 @@ def encoded(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str = "do
             keys = projector.keys(flat, at)
             ids = np.insert(flat, at[1:], end_id).astype(width)
             at = at + np.arange(len(at))
-            body = pa.Array.from_buffers(pa.large_binary(), len(parts), [None, pa.py_buffer(at * ids.itemsize), pa.py_buffer(ids)])
-            rows = pa.array(np.arange(row, row + len(parts)))
+            size = np.diff(at)
+            pieces = -(-size // PIECE_TOKENS)
+            of = np.repeat(np.arange(len(size)), pieces)
+            start = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE_TOKENS
+            cuts = np.append(at[of] + start, at[-1]) * ids.itemsize
+            body = pa.Array.from_buffers(pa.large_binary(), len(of), [None, pa.py_buffer(cuts), pa.py_buffer(ids)])
+            columns = [keys[of], row + of, start, size[of]]
+            keyed_rows = [pa.array(c) for c in columns]
             row += len(parts)
-            columns = [pa.array(keys), block.column("doc_id"), rows, pa.array(np.diff(at)), pc.cast(body, pa.binary())]
-            yield pa.record_batch(columns, names=["key", "doc_id", "row", "n_tokens", "ids"])
+            doc_ids = block.column("doc_id").take(pa.array(of))
+            yield pa.record_batch(
+                [keyed_rows[0], doc_ids, *keyed_rows[1:], pc.cast(body, pa.binary())], names=["key", "doc_id", "row", "start", "n_tokens", "ids"]
+            )
 
-    schema = "key long, doc_id long, row long, n_tokens long, ids binary"
+    schema = "key long, doc_id long, row long, start long, n_tokens long, ids binary"
     return keyed(docs, doc_id=id_col, text=text_col).mapInArrow(released(run), schema)
 
 
@@ -147,11 +160,12 @@ class Packer:
         self.size = 0
         self.rows: list[tuple] = []
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray, start: int, n: int) -> None:
+        """The ids of a document of ``n`` from ``start`` on."""
         at = 0
         while at < len(ids):
             part = ids[at : at + self.capacity - self.size]
-            self.held.append((doc_id, at, part, len(ids)))
+            self.held.append((doc_id, start + at, part, n))
             self.size += len(part)
             at += len(part)
             if self.size == self.capacity:
@@ -187,8 +201,8 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int = 2048
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("the capacity is a power of two")
     made = materialize(encoded(docs, tokenizer_file, end_id, id_col, text_col), "encoded")
-    total = made.agg(F.sum("n_tokens")).first()[0] or 0
-    order = ["key", "doc_id", "row"]
+    total = made.where("start = 0").agg(F.sum("n_tokens")).first()[0] or 0
+    order = ["key", "doc_id", "row", "start"]
     dealt = made.repartitionByRange(-(-total // RANGE_TOKENS) or 1, *order).sortWithinPartitions(*order)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -204,10 +218,11 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int = 2048
             return pa.record_batch(out, names=names + ["ids"] * ids)
 
         for batch in batches:
-            for doc_id, n, data in zip(*[batch.column(c) for c in ("doc_id", "n_tokens", "ids")], strict=True):
+            columns = [batch.column(c) for c in ("doc_id", "start", "n_tokens")]
+            for doc_id, start, n, data in zip(*[c.to_pylist() for c in columns], batch.column("ids"), strict=True):
                 body = data.as_buffer()
-                kind = "<u2" if body.size == 2 * n.as_py() else "<u4"
-                packer.add(doc_id.as_py(), np.frombuffer(body, kind).astype("<u4"))
+                kind = "<u2" if body.size == 2 * min(n - start, PIECE_TOKENS) else "<u4"
+                packer.add(doc_id, np.frombuffer(body, kind).astype("<u4"), start, n)
                 if len(packer.rows) >= 10_000:
                     yield taken()
         packer.finish()
@@ -215,4 +230,4 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int = 2048
             yield taken()
 
     schema = ", ".join(f"{n} long" for n in names) + (", ids array<int>" if ids else "")
-    return dealt.select("doc_id", "n_tokens", "ids").mapInArrow(released(run), schema)
+    return dealt.select("doc_id", "start", "n_tokens", "ids").mapInArrow(released(run), schema)

@@ -49,6 +49,7 @@ def check(pieces, docs, library, capacity=2048):
         open_[r.doc_id] += r.ids
         if len(open_[r.doc_id]) == r.doc_tokens:
             whole.append((r.doc_id, tuple(open_[r.doc_id])))
+    assert sum(r.length for r in got) == sum(len(x) for _, x in whole)
     want = [(d, (*library.encode(t or "", add_special_tokens=False).ids, 1)) for d, t in docs]
     assert sorted(whole, key=str) == sorted(want, key=str)
     return got
@@ -99,10 +100,12 @@ def test_curve_steps(axes, bits):
     assert (np.abs(np.diff(points[np.argsort(keys)], axis=0)).sum(axis=1) == 1).all()
 
 
-def test_neighbours_are_alike(spark):
+def test_neighbours_are_alike(spark, monkeypatch):
     """Following documents are more alike than any two: cosine of the hashed vectors, on the whole small table."""
+    monkeypatch.setattr(C, "PIECE_TOKENS", 1 << 30)
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     rows = C.encoded(docs, FILE, 1).orderBy("key", "doc_id").collect()
+    assert all(r.start == 0 for r in rows)
     ids = [np.frombuffer(r.ids, "<u2")[:-1] for r in rows]
     at = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
     v = C.Projector(50_257).vectors(np.concatenate(ids), at)
@@ -123,3 +126,17 @@ def test_plan_has_one_exchange_of_documents(spark, capsys):
     docs = table(spark, "/root/testdata/sf0.001", "documents").withColumn("key", F.lit(1))
     C.pack(docs, FILE, 1).explain()
     assert capsys.readouterr().out.count("Exchange") == 1
+
+
+def test_long_documents_are_dealt_in_pieces(spark, library, monkeypatch):
+    """Ranges of few rows hold few tokens, whatever the documents' lengths."""
+    monkeypatch.setattr(C, "PIECE_TOKENS", 64)
+    monkeypatch.setattr(C, "RANGE_TOKENS", 2000)
+    rnd = random.Random(8)
+    words = ["alpha", "beta", " gamma", "delta.", "漢字"]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.choice([0, 3, 60, 64, 700, 3000]))), "x") for i in range(40)]
+    got = check(C.pack(spark.createDataFrame(rows, SCHEMA).repartition(3), FILE, 1, ids=True), [r[:2] for r in rows], library)
+    parts = {}
+    for r in got:
+        parts[r.sequence_id >> 40] = parts.get(r.sequence_id >> 40, 0) + r.length
+    assert len(parts) > 8 and max(parts.values()) < 3 * sum(parts.values()) / len(parts)
