@@ -276,7 +276,7 @@ def phrase_counts(rows: DataFrame, plan: Partition, least: int) -> DataFrame:
         if trees:
             yield from done()
 
-    dealt = subtrees(rows, plan).repartition(plan.groups, "grp").sortWithinPartitions("grp")
+    dealt = subtrees(rows, plan).repartitionById(plan.groups, F.col("grp").cast("int"))  # a task for every group
     made = materialize(dealt.mapInArrow(released(run), "name string, n long, spread boolean"), "phrases")
     apart = made.where("spread").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return made.where("not spread").select("name", "n").union(apart)
